@@ -269,11 +269,11 @@ WHERE language IS NOT NULL GROUP BY language"""
         found[name] = f"""WITH {GAPS} SELECT avg(length({value})) AS text_len_mean,
   CAST(max(length({value})) AS INTEGER) AS text_len_max,
   CAST(min(length({value})) AS INTEGER) AS text_len_min FROM gaps"""
-    found["dataset_valid"] = f"""WITH {EMAILS}, both AS (
+    found["dataset_valid"] = f"""WITH {EMAILS}, twin AS (
   SELECT 'all' AS part, label FROM emails
   UNION ALL SELECT 'labelled', label FROM emails WHERE label IS NOT NULL),
 v AS (SELECT part, count(*) AS n_rows, bool_and(coalesce(label IN (0, 1), false)) AS ok
-  FROM both GROUP BY part)
+  FROM twin GROUP BY part)
 SELECT part, n_rows, ok AS all_labels_valid, ok AND n_rows > 10 AS is_valid FROM v"""
     found["validation_report"] = f"""WITH {GAPS}, t AS (
   SELECT count(*) AS n, count(*) FILTER (email_text IS NULL) AS a,

@@ -16,10 +16,9 @@ from pyspark.sql import functions as F
 from mailsift import constants as C
 from mailsift.functions.decide import is_risky, next_steps, recommendation, with_decision
 from mailsift.functions.signals import social_signals
-from mailsift.functions.text import tokens
 from mailsift.operators.quality import guard_batches, reject_blank
 from mailsift.operators.split import flatten_batches
-from mailsift.plans.training import featurize, ngrams, term_id, with_score
+from mailsift.plans.training import featurize, term_index, with_ngrams, with_score
 from mailsift.sources.reports import audit_rows, write_audit
 
 Scorer = PipelineModel | Callable[[DataFrame], DataFrame]
@@ -105,10 +104,11 @@ def top_terms(
     Worked out inside each row (sort, run lengths, lookup, top k), so no term is shuffled.
     Columns ``email_id, rank, term, tf, contribution``.
     """
-    weights = model.stages[-1].coefficients.toArray()[:vocab_size]
-    coefficients = F.from_json(F.lit(json.dumps([float(w) for w in weights])), "array<double>")
+    weights = [float(w) for w in model.stages[-1].coefficients.toArray()]
+    coefficients = F.from_json(F.lit(json.dumps(weights)), "array<double>")
     named = (
-        df.select("email_id", F.array_sort(ngrams(tokens(F.lower("email_text")))).alias("t"))
+        with_ngrams(df.select("email_id", "email_text"))
+        .select("email_id", F.array_sort("terms").alias("t"))
         .withColumn("n", F.size("t"))
         .where("n > 0")
         .withColumn(
@@ -126,7 +126,7 @@ def top_terms(
         lambda r: F.struct(
             (
                 -r["tf"]
-                * F.get(coefficients, term_id(r["term"], vocab_size).cast("int"))
+                * F.get(coefficients, term_index(r["term"], vocab_size))
             ).alias("down"),
             r["term"].alias("term"),
             r["tf"].alias("tf"),

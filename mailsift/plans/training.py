@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
+from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,45 +29,58 @@ from mailsift.session import materialize, pin_if_small
 
 SIGNALS = ["n_urgency", "n_creds", "n_attachments", "n_suspicious"]
 REG_PARAMS = (0.1, 0.01, 0.001)
+ROWS_PER_TASK = 10_000
 
 
-def ngrams(words: Column) -> Column:
-    """All runs of one, two and three tokens, as text joined by single spaces."""
-    n = F.size(words)
+def with_ngrams(df: DataFrame, text: str = "email_text") -> DataFrame:
+    """Add ``terms``: all runs of one, two and three lower-cased tokens, joined by single spaces.
 
-    def from_token(start: int, width: int) -> Column:
-        return F.slice(words, F.lit(start), F.greatest(n - (width - 1), F.lit(0)))
+    Tokens and pairs are columns of their own on the way, so each is worked out once per row.
+    """
+    n = F.size("_words")
 
-    pairs = F.zip_with(
-        from_token(1, 2), from_token(2, 2), lambda a, b: F.concat(a, F.lit(" "), b)
-    )
-    triples = F.zip_with(
-        F.slice(pairs, F.lit(1), F.greatest(n - 2, F.lit(0))),
-        from_token(3, 3),
-        lambda ab, c: F.concat(ab, F.lit(" "), c),
+    def shifted(start: int, width: int) -> Column:
+        return F.slice("_words", F.lit(start), F.greatest(n - (width - 1), F.lit(0)))
+
+    def join(a: Column, b: Column) -> Column:
+        return F.concat(a, F.lit(" "), b)
+
+    leading = F.slice("_pairs", F.lit(1), F.greatest(n - 2, F.lit(0)))
+    return (
+        df.withColumn("_words", tokens(F.lower(F.col(text))))
+        .withColumn("_pairs", F.zip_with(shifted(1, 2), shifted(2, 2), join))
+        .withColumn("terms", F.concat("_words", "_pairs", F.zip_with(leading, shifted(3, 3), join)))
+        .drop("_words", "_pairs")
     )
-    return F.concat(words, pairs, triples)
 
 
-def term_id(term: Column, vocab_size: int = C.VOCAB_SIZE) -> Column:
-    """Stable feature index of an n-gram; the same at fitting and at scoring."""
-    return F.pmod(F.xxhash64(term), F.lit(vocab_size))
+def term_key(term: Column) -> Column:
+    """Stable 16-character key of a term; the same at fitting and at scoring.
+
+    The length is a multiple of four bytes, for which SQL ``hash`` and the hash of ``HashingTF``
+    agree, so ``term_index`` can say which feature a term falls on.
+    """
+    return F.lpad(F.hex(F.xxhash64(term)), 16, "0")
 
 
-def featurize(df: DataFrame, vocab_size: int = C.VOCAB_SIZE) -> DataFrame:
-    """Add the columns that the pipeline reads: ``term_ids`` and the signal counts."""
-    terms = ngrams(tokens(F.lower(F.col("email_text"))))
-    ids = F.transform(terms, lambda t: term_id(t, vocab_size).cast("string"))
-    return signal_counts(df).withColumn("term_ids", ids)
+def term_index(term: Column, vocab_size: int = C.VOCAB_SIZE) -> Column:
+    """Feature index of a term."""
+    return F.pmod(F.hash(term_key(term)), F.lit(vocab_size))
 
 
-def vector_stages(vocab_size: int = C.VOCAB_SIZE) -> PipelineModel:
-    """The fixed stages that turn the feature columns into one sparse vector."""
-    terms = CountVectorizerModel.from_vocabulary(
-        [str(i) for i in range(vocab_size)], inputCol="term_ids", outputCol="term_counts"
+def featurize(df: DataFrame) -> DataFrame:
+    """Add ``term_keys``: the keys of all n-grams, and a key per counted signal hit."""
+    hits = [F.array_repeat(F.lit(f"<{name}>"), F.col(name)) for name in SIGNALS]
+    return (
+        with_ngrams(signal_counts(df))
+        .withColumn("term_keys", F.transform(F.concat("terms", *hits), term_key))
+        .drop("terms", *SIGNALS)
     )
-    assembler = VectorAssembler(inputCols=["term_counts", *SIGNALS], outputCol="features")
-    return PipelineModel([terms, assembler])
+
+
+def vectors(vocab_size: int = C.VOCAB_SIZE) -> HashingTF:
+    """The stage that turns keys into a sparse count vector."""
+    return HashingTF(numFeatures=vocab_size, inputCol="term_keys", outputCol="features")
 
 
 @dataclass
@@ -88,9 +101,8 @@ class Fit:
 
 def with_score(df: DataFrame) -> DataFrame:
     """Replace the model's output columns by ``raw_score``, the probability of class 1."""
-    made = ["term_ids", *SIGNALS, "term_counts", "features"]
-    out = ["rawPrediction", "probability", "prediction"]
-    return df.withColumn("raw_score", vector_to_array("probability")[1]).drop(*made, *out)
+    made = ["term_keys", "features", "rawPrediction", "probability", "prediction"]
+    return df.withColumn("raw_score", vector_to_array("probability")[1]).drop(*made)
 
 
 def fit(
@@ -110,9 +122,9 @@ def fit(
         reason = report.where("section = 'error'").first()["value"]
         raise ValueError(f"Dataset validation failed: {reason}")
     spark = df.sparkSession
-    vectors = vector_stages(vocab_size)
+    hashing = vectors(vocab_size)
     split = stratified_split(df, seed=seed)
-    featured = vectors.transform(featurize(split, vocab_size)).withColumn(
+    featured = hashing.transform(featurize(split)).withColumn(
         "target", F.col("label").cast("double")
     )
     splits = materialize(
@@ -120,7 +132,10 @@ def fit(
             *[c for c in df.columns if c != "email_text"], "split", "target", "features"
         )
     )
+    # Each optimizer step is a job, so a small table should not be spread over many tasks; a large
+    # one keeps its partitions (coalesce never adds any).
     train = splits.where("split = 'train'")
+    train = train.coalesce(1 + train.count() // ROWS_PER_TASK)
     val = splits.where("split = 'val'")
     learner = LogisticRegression(
         featuresCol="features", labelCol="target", maxIter=max_iter, aggregationDepth=2
@@ -147,7 +162,7 @@ def fit(
     best = min(range(len(models)), key=lambda i: selection[i][1])
 
     def pipeline(i: int) -> PipelineModel:
-        return PipelineModel([*vectors.stages, models[i]])
+        return PipelineModel([hashing, models[i]])
 
     return Fit(
         best=pipeline(best),
