@@ -4,9 +4,10 @@ Plan shape. The lower-cased text is put in its own projection, so it is computed
 and not once per keyword. Keyword arrays are built from ``contains`` tests without a lambda, which
 keeps that projection inside whole-stage code generation. There is no shuffle anywhere.
 
-Cost. Each pattern is linear in the length of the text even for long runs without a space: the
-URL pattern steps over a run as soon as it is known to hold no further match, and the sender
-cue looks at each line once.
+Cost. Each pattern is linear in the length of the text, also for long runs without a space. URLs
+are looked for only inside the runs of non-space characters that hold a scheme or a listed ending;
+inside a run, the pattern steps over what is known to hold no further match. The sender cue looks
+at each line once.
 """
 
 from __future__ import annotations
@@ -32,14 +33,20 @@ _MATCH = rf"{_SCHEME}+|{_WWW}+|{_EDGE}{_NONSPACE}+{_ENDING}"
 # matches leave group 1 empty.
 _STEP = rf"{_EDGE}{_NONSPACE}+?(?={_SCHEME}|{_WWW}|[{SPACE}]|\z)"
 
-URL_PATTERN = rf"(?iu)({_MATCH})|{_STEP}"
-URL_COVER_PATTERN = rf"(?isu)({_MATCH})|{_STEP}|[{SPACE}]+|."
+URL_PATTERN = rf"(?iU)({_MATCH})|{_STEP}"
+URL_COVER_PATTERN = rf"(?isU)({_MATCH})|{_STEP}|[{SPACE}]+|."
 """As ``URL_PATTERN``, but its matches put together give back the whole text."""
 
-_URL_HINT = rf"(?iu)https?://|www\\|\.(?:{'|'.join(C.URL_ENDINGS)})"
-_SUSPICIOUS = rf"(?iu)\.(?:{'|'.join(C.SUSPICIOUS_ENDINGS)})(?![{WORD}])"
+# Every match lies inside one such run, but for the `www` branch, which may cross a space.
+URL_RUN_PATTERN = (
+    rf"(?iU)(?<!{_NONSPACE}){_NONSPACE}*?"
+    rf"(?:https?://|\.(?:{'|'.join(C.URL_ENDINGS)})){_NONSPACE}*"
+)
+_URL_HINT = rf"(?iU)https?://|www\\|\.(?:{'|'.join(C.URL_ENDINGS)})"
+_WWW_HINT = r"(?iU)www\\"
+_SUSPICIOUS = rf"(?iU)\.(?:{'|'.join(C.SUSPICIOUS_ENDINGS)})(?![{WORD}])"
 # Atomic: the first `from: ` of a line decides, so a line is never scanned again.
-_FROM_LINE = r"(?iu)(?<![^\n])(?>[^\n]*?from: )[^\n]*@"
+_FROM_LINE = r"(?iU)(?<![^\n])(?>[^\n]*?from: )[^\n]*@"
 
 
 def _no_strings() -> Column:
@@ -59,10 +66,22 @@ def keyword_count(lowered: Column, words: list[str]) -> Column:
     )
 
 
+def may_cross_runs(text: Column) -> Column:
+    """True for the rare text in which a URL match may hold a space."""
+    return F.contains(text, F.lit("\\")) & text.rlike(_WWW_HINT)
+
+
+def has_url_hint(text: Column) -> Column:
+    """False for a text that cannot hold a URL match; one cheap search, made before any other."""
+    return text.rlike(_URL_HINT)
+
+
 def extract_urls(text: Column) -> Column:
     """URL-like strings in order of appearance, duplicates kept."""
-    found = F.array_remove(F.regexp_extract_all(text, F.lit(URL_PATTERN), F.lit(1)), "")
-    return F.when(text.rlike(_URL_HINT), found).otherwise(_no_strings())
+    runs = F.array_join(F.regexp_extract_all(text, F.lit(URL_RUN_PATTERN), F.lit(0)), "\n")
+    searched = F.when(may_cross_runs(text), text).otherwise(runs)
+    found = F.array_remove(F.regexp_extract_all(searched, F.lit(URL_PATTERN), F.lit(1)), "")
+    return F.when(has_url_hint(text), found).otherwise(_no_strings())
 
 
 def suspicious_urls(urls: Column) -> Column:

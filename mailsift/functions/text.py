@@ -3,8 +3,7 @@
 Everything here is a native Spark expression; no Python runs per row.
 
 Whitespace follows Python's ``str.isspace``: Unicode white space plus the four separators
-0x1C-0x1F. The class is written out with ``\\x{..}`` escapes so that it means the same in every
-regex dialect, whatever its Unicode flags.
+0x1C-0x1F. The patterns therefore carry the ``U`` flag, which makes ``\\s`` cover Unicode.
 """
 
 from __future__ import annotations
@@ -14,11 +13,8 @@ from pyspark.sql import functions as F
 
 from mailsift import constants as C
 
-SPACE = (
-    r"\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-)
-"""Body of a character class matching exactly Python's whitespace."""
+SPACE = r"\s\x1C-\x1F"
+"""Body of a character class matching, under ``(?U)``, exactly Python's whitespace."""
 
 WORD = r"\p{L}\p{N}_"
 """Body of a character class matching exactly Python's ``\\w``."""
@@ -26,7 +22,7 @@ WORD = r"\p{L}\p{N}_"
 
 def is_blank(text: Column) -> Column:
     """True for null, empty and whitespace-only text."""
-    return text.isNull() | text.rlike(rf"^[{SPACE}]*\z")
+    return text.isNull() | ~text.rlike(rf"(?U)[^{SPACE}]")
 
 
 def tokens(text: Column, max_len: int | None = None) -> Column:
@@ -36,14 +32,14 @@ def tokens(text: Column, max_len: int | None = None) -> Column:
     pieces that would be thrown away; the tokens kept are the same.
     """
     limit = -1 if max_len is None else max_len + 2
-    pieces = F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+", limit)
+    pieces = F.split(F.coalesce(text, F.lit("")), rf"(?U)[{SPACE}]+", limit)
     kept = F.filter(pieces, lambda piece: piece != "")
     return kept if max_len is None else F.slice(kept, 1, max_len)
 
 
 def token_count(text: Column) -> Column:
     """Number of whitespace tokens of the whole text."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[^{SPACE}]+"))
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(rf"(?U)[^{SPACE}]+"))
 
 
 def stable_int(text: Column) -> Column:

@@ -12,7 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsift import constants as C
-from mailsift.functions.signals import _URL_HINT, URL_COVER_PATTERN
+from mailsift.functions.signals import (
+    URL_COVER_PATTERN,
+    URL_RUN_PATTERN,
+    has_url_hint,
+    may_cross_runs,
+)
 
 
 def obfuscate_url(url: Column) -> Column:
@@ -20,14 +25,28 @@ def obfuscate_url(url: Column) -> Column:
     return F.concat(F.substring(url, 1, 1), F.translate(F.substr(url, F.lit(2)), "ao", "@0"))
 
 
-def obfuscate_urls(text: Column) -> Column:
-    """The text with every URL match disguised in place; all other characters stay as they are."""
+def _weave(text: Column) -> Column:
     pieces = F.regexp_extract_all(text, F.lit(URL_COVER_PATTERN), F.lit(0))
     links = F.regexp_extract_all(text, F.lit(URL_COVER_PATTERN), F.lit(1))
     changed = F.zip_with(
         pieces, links, lambda piece, link: F.when(link == "", piece).otherwise(obfuscate_url(link))
     )
-    return F.when(text.rlike(_URL_HINT), F.array_join(changed, "")).otherwise(text)
+    return F.array_join(changed, "")
+
+
+def obfuscate_urls(text: Column) -> Column:
+    """The text with every URL match disguised in place; all other characters stay as they are.
+
+    Only the runs that may hold a match are taken apart.
+    """
+    between = F.split(text, URL_RUN_PATTERN, -1)
+    runs = F.transform(F.regexp_extract_all(text, F.lit(URL_RUN_PATTERN), F.lit(0)), _weave)
+    woven = F.zip_with(between, F.concat(runs, F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+    return (
+        F.when(~has_url_hint(text), text)
+        .when(may_cross_runs(text), _weave(text))
+        .otherwise(F.array_join(woven, ""))
+    )
 
 
 def substitute_synonyms(text: Column) -> Column:

@@ -106,15 +106,28 @@ def top_terms(
     """
     weights = [float(w) for w in model.stages[-1].coefficients.toArray()]
     coefficients = F.from_json(F.lit(json.dumps(weights)), "array<double>")
+    # No filter stands above these columns: one would be pushed below them and drag a copy of
+    # their whole expressions along. A mail without terms gives an empty array at each step.
+    place = F.when(F.col("n") > 0, F.sequence(F.lit(1), F.col("n"))).otherwise(
+        F.array().cast("array<int>")
+    )
+    first = F.filter(
+        place, lambda i: (i == 1) | (F.get("t", i - 1) != F.get("t", F.greatest(i - 2, F.lit(0))))
+    )
     named = (
         with_ngrams(df.select("email_id", "email_text"))
         .select("email_id", F.array_sort("terms").alias("t"))
         .withColumn("n", F.size("t"))
-        .where("n > 0")
+        .withColumn("starts", first)
         .withColumn(
-            "starts", F.expr("filter(sequence(1, n), i -> i = 1 or t[i - 1] <> t[i - 2])")
+            "ends",
+            F.when(
+                F.col("n") > 0,
+                F.concat(
+                    F.slice("starts", F.lit(2), F.size("starts")), F.array(F.col("n") + 1)
+                ),
+            ).otherwise(F.array().cast("array<int>")),
         )
-        .withColumn("ends", F.expr("concat(slice(starts, 2, n), array(n + 1))"))
     )
     runs = F.zip_with(
         "starts",
@@ -135,7 +148,7 @@ def top_terms(
     return (
         named.select("email_id", runs.alias("runs"))
         .select("email_id", F.slice(F.array_sort(weighed), 1, k).alias("best"))
-        .select("email_id", F.posexplode("best").alias("pos", "item"))
+        .select("email_id", F.posexplode_outer("best").alias("pos", "item"))
         .select(
             "email_id",
             (F.col("pos") + 1).alias("rank"),
@@ -143,4 +156,5 @@ def top_terms(
             F.col("item.tf").alias("tf"),
             (-F.col("item.down")).alias("contribution"),
         )
+        .where("rank is not null")
     )
