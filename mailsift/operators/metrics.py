@@ -12,7 +12,7 @@ from mailsift.operators.ordering import (
     running_sums,
     with_range_bucket,
 )
-from mailsift.session import materialize
+from mailsift.session import materialize, pin_if_small
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -109,7 +109,7 @@ def roc_by_language(
     totals = steps.groupBy(language).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     ranged = with_range_bucket(steps.withColumn("_down", -F.col("score")), "_down")
     summed = running_sums(ranged, [language], "_bucket", [F.col("_down")], ["pos", "neg"])
-    return _match(summed, totals, [language]).select(
+    return _match(summed, pin_if_small(totals), [language]).select(
         language,
         "score",
         _ratio(F.col("cum_pos"), F.col("n_pos")).alias("tpr"),

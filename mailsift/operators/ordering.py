@@ -71,8 +71,8 @@ def running_sums(
 ) -> DataFrame:
     """Add ``cum_<value>``: the inclusive running sum of each value within its group.
 
-    ``bucket`` must never decrease along ``order``. One shuffle by (group, bucket); the join with
-    the bucket offsets uses the same partitioning.
+    ``bucket`` must never decrease along ``order``. One shuffle, by (group, bucket): there is one
+    offset per group and bucket, and they are joined without a shuffle while they are few.
     """
     before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(
         Window.unboundedPreceding, -1
@@ -89,7 +89,7 @@ def running_sums(
     inside = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0
     )
-    joined = _match(df, offsets, [*group, bucket])
+    joined = _match(df, pin_if_small(offsets, 100_000), [*group, bucket])
     return joined.withColumns(
         {f"cum_{v}": F.sum(v).over(inside) + F.col(f"_o_{v}") for v in values}
     ).drop(*[f"_o_{v}" for v in values])

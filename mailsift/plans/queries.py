@@ -508,8 +508,15 @@ def q_latency_summary(spark, sf):
 # --- training and scoring --------------------------------------------------------------------
 
 
+_FITS: dict[tuple[str, str], training.Fit] = {}
+
+
 def fitted(spark, sf):
-    return training.fit(labelled(spark, sf))
+    """One training per session and folder; the queries below read the same fit."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FITS:
+        _FITS[key] = training.fit(labelled(spark, sf))
+    return _FITS[key]
 
 
 def q_train_and_score(spark, sf):

@@ -25,7 +25,14 @@ KNOWN_TYPES = {
     "label": T.IntegerType(),
 }
 CORRUPT = "_corrupt_record"
-_CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
+_CSV = {
+    "header": "true",
+    "multiLine": "true",
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def read_emails(
@@ -79,7 +86,7 @@ def write_emails(
     """Write a mail table (Parquet, or CSV with a header); returns the path."""
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", "true").option("quote", '"').option("escape", '"')
+        writer = writer.options(**_CSV)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
