@@ -70,10 +70,14 @@ METHODS = {"url": obfuscate_urls, "synonym": substitute_synonyms, "digit": swap_
 
 
 def changed_copies(df: DataFrame, method: str, text: str = "email_text") -> DataFrame:
-    """Copies of the mails that a method changes, with ``aug`` naming it."""
+    """Copies of the mails that a method changes, with ``aug`` naming it.
+
+    The new text passes through a generator, below which a filter cannot be pushed; otherwise it
+    would be worked out twice, once to compare it and once to return it.
+    """
     after = METHODS[method](F.col(text))
     return (
-        df.withColumn("_after", after)
+        df.withColumn("_after", F.explode_outer(F.array(after)))
         .where(F.col("_after") != F.col(text))
         .withColumn(text, F.col("_after"))
         .withColumn("aug", F.lit(method))

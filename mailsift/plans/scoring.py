@@ -18,7 +18,7 @@ from mailsift.functions.decide import is_risky, next_steps, recommendation, with
 from mailsift.functions.signals import social_signals
 from mailsift.operators.quality import guard_batches, reject_blank
 from mailsift.operators.split import flatten_batches
-from mailsift.plans.training import featurize, term_index, with_ngrams, with_score
+from mailsift.plans.training import featurize, term_index, with_score, with_terms
 from mailsift.sources.reports import audit_rows, write_audit
 
 Scorer = PipelineModel | Callable[[DataFrame], DataFrame]
@@ -101,60 +101,74 @@ def top_terms(
 ) -> DataFrame:
     """The ``k`` terms that push each mail most towards phishing: tf x coefficient.
 
-    Worked out inside each row (sort, run lengths, lookup, top k), so no term is shuffled.
-    Columns ``email_id, rank, term, tf, contribution``.
+    Columns ``email_id, rank, term, tf, contribution``; of equal contributions the term that starts
+    earlier (then the shorter one) comes first. Worked out inside each row from term hashes (sort,
+    run lengths, lookup, top k), so no term is shuffled, and text is built for the ``k`` best only.
     """
     weights = [float(w) for w in model.stages[-1].coefficients.toArray()]
     coefficients = F.from_json(F.lit(json.dumps(weights)), "array<double>")
+    no_ints = F.array().cast("array<int>")
+    n, n_words = F.col("n"), F.size("words")
+
+    # Place of a term in `terms` -> first token (zero-based) and number of tokens.
+    def place(i: Column) -> Column:
+        pair, triple = i - n_words, i - n_words - F.greatest(n_words - 1, F.lit(0))
+        return (
+            F.when(i < n_words, F.struct(i.alias("at"), F.lit(1).alias("width")))
+            .when(triple < 0, F.struct(pair.alias("at"), F.lit(2).alias("width")))
+            .otherwise(F.struct(triple.alias("at"), F.lit(3).alias("width")))
+        )
+
     # No filter stands above these columns: one would be pushed below them and drag a copy of
     # their whole expressions along. A mail without terms gives an empty array at each step.
-    place = F.when(F.col("n") > 0, F.sequence(F.lit(1), F.col("n"))).otherwise(
-        F.array().cast("array<int>")
-    )
-    first = F.filter(
-        place, lambda i: (i == 1) | (F.get("t", i - 1) != F.get("t", F.greatest(i - 2, F.lit(0))))
-    )
-    named = (
-        with_ngrams(df.select("email_id", "email_text"))
-        .select("email_id", F.array_sort("terms").alias("t"))
-        .withColumn("n", F.size("t"))
-        .withColumn("starts", first)
+    ordered = (
+        with_terms(df.select("email_id", "email_text"))
+        .drop("email_text")
+        .withColumn(
+            "s",
+            F.sort_array(
+                F.transform("terms", lambda t, i: F.struct(t.alias("h"), place(i).alias("p")))
+            ),
+        )
+        .withColumn("n", F.size("s"))
+        .withColumn(
+            "starts",
+            F.filter(
+                F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(no_ints),
+                lambda i: (i == 1)
+                | (F.get("s", i - 1)["h"] != F.get("s", F.greatest(i - 2, F.lit(0)))["h"]),
+            ),
+        )
         .withColumn(
             "ends",
             F.when(
-                F.col("n") > 0,
-                F.concat(
-                    F.slice("starts", F.lit(2), F.size("starts")), F.array(F.col("n") + 1)
-                ),
-            ).otherwise(F.array().cast("array<int>")),
+                n > 0,
+                F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(n + 1)),
+            ).otherwise(no_ints),
         )
     )
-    runs = F.zip_with(
-        "starts",
-        "ends",
-        lambda a, b: F.struct(F.get("t", a - 1).alias("term"), (b - a).alias("tf")),
-    )
-    weighed = F.transform(
-        F.col("runs"),
-        lambda r: F.struct(
-            (
-                -r["tf"]
-                * F.get(coefficients, term_index(r["term"], vocab_size))
-            ).alias("down"),
-            r["term"].alias("term"),
-            r["tf"].alias("tf"),
-        ),
-    )
+
+    def weigh(start: Column, end: Column) -> Column:
+        first = F.get("s", start - 1)
+        weight = F.get(coefficients, term_index(first["h"], vocab_size))
+        return F.struct(
+            (-weight * (end - start)).alias("down"),
+            first["p"].alias("p"),
+            (end - start).alias("tf"),
+        )
+
     return (
-        named.select("email_id", runs.alias("runs"))
-        .select("email_id", F.slice(F.array_sort(weighed), 1, k).alias("best"))
-        .select("email_id", F.posexplode_outer("best").alias("pos", "item"))
+        ordered.withColumn("weighed", F.sort_array(F.zip_with("starts", "ends", weigh)))
+        .select("email_id", "words", F.slice("weighed", 1, k).alias("best"))
+        .select("email_id", "words", F.posexplode_outer("best").alias("pos", "item"))
+        .where("pos is not null")
         .select(
             "email_id",
             (F.col("pos") + 1).alias("rank"),
-            F.col("item.term").alias("term"),
+            F.array_join(
+                F.slice("words", F.col("item.p.at") + 1, F.col("item.p.width")), " "
+            ).alias("term"),
             F.col("item.tf").alias("tf"),
             (-F.col("item.down")).alias("contribution"),
         )
-        .where("rank is not null")
     )

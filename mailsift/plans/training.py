@@ -32,54 +32,47 @@ REG_PARAMS = (0.1, 0.01, 0.001)
 ROWS_PER_TASK = 10_000
 
 
-def with_ngrams(df: DataFrame, text: str = "email_text") -> DataFrame:
-    """Add ``terms``: all runs of one, two and three lower-cased tokens, joined by single spaces.
+def with_terms(df: DataFrame, text: str = "email_text") -> DataFrame:
+    """Add ``words`` (lower-cased tokens) and ``terms`` (one hash per run of 1 to 3 tokens).
 
-    Tokens and pairs are columns of their own on the way, so each is worked out once per row.
+    Hashes are chained over the tokens, so no n-gram text is ever built; ``terms`` holds all single
+    tokens first, then all pairs, then all triples.
     """
-    n = F.size("_words")
+    n = F.size("words")
 
-    def shifted(start: int, width: int) -> Column:
-        return F.slice("_words", F.lit(start), F.greatest(n - (width - 1), F.lit(0)))
-
-    def join(a: Column, b: Column) -> Column:
-        return F.concat(a, F.lit(" "), b)
+    def from_token(start: int, width: int) -> Column:
+        return F.slice("words", F.lit(start), F.greatest(n - (width - 1), F.lit(0)))
 
+    pairs = F.zip_with(from_token(1, 2), from_token(2, 2), lambda a, b: F.xxhash64(a, b))
     leading = F.slice("_pairs", F.lit(1), F.greatest(n - 2, F.lit(0)))
+    triples = F.zip_with(leading, from_token(3, 3), lambda ab, c: F.xxhash64(ab, c))
     return (
-        df.withColumn("_words", tokens(F.lower(F.col(text))))
-        .withColumn("_pairs", F.zip_with(shifted(1, 2), shifted(2, 2), join))
-        .withColumn("terms", F.concat("_words", "_pairs", F.zip_with(leading, shifted(3, 3), join)))
-        .drop("_words", "_pairs")
+        df.withColumn("words", tokens(F.lower(F.col(text))))
+        .withColumn("_pairs", pairs)
+        .withColumn(
+            "terms", F.concat(F.transform("words", lambda w: F.xxhash64(w)), "_pairs", triples)
+        )
+        .drop("_pairs")
     )
 
 
-def term_key(term: Column) -> Column:
-    """Stable 16-character key of a term; the same at fitting and at scoring.
-
-    The length is a multiple of four bytes, for which SQL ``hash`` and the hash of ``HashingTF``
-    agree, so ``term_index`` can say which feature a term falls on.
-    """
-    return F.lpad(F.hex(F.xxhash64(term)), 16, "0")
-
-
 def term_index(term: Column, vocab_size: int = C.VOCAB_SIZE) -> Column:
-    """Feature index of a term."""
-    return F.pmod(F.hash(term_key(term)), F.lit(vocab_size))
+    """Feature index of a term hash; SQL ``hash`` of a BIGINT is what ``HashingTF`` uses for it."""
+    return F.pmod(F.hash(term), F.lit(vocab_size))
 
 
 def featurize(df: DataFrame) -> DataFrame:
-    """Add ``term_keys``: the keys of all n-grams, and a key per counted signal hit."""
-    hits = [F.array_repeat(F.lit(f"<{name}>"), F.col(name)) for name in SIGNALS]
+    """Add ``term_keys``: the hashes of all n-grams, and one hash per counted signal hit."""
+    hits = [F.array_repeat(F.xxhash64(F.lit(f"<{name}>")), F.col(name)) for name in SIGNALS]
     return (
-        with_ngrams(signal_counts(df))
-        .withColumn("term_keys", F.transform(F.concat("terms", *hits), term_key))
-        .drop("terms", *SIGNALS)
+        with_terms(signal_counts(df))
+        .withColumn("term_keys", F.concat("terms", *hits))
+        .drop("words", "terms", *SIGNALS)
     )
 
 
 def vectors(vocab_size: int = C.VOCAB_SIZE) -> HashingTF:
-    """The stage that turns keys into a sparse count vector."""
+    """The stage that turns term hashes into a sparse count vector."""
     return HashingTF(numFeatures=vocab_size, inputCol="term_keys", outputCol="features")
 
 

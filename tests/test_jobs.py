@@ -41,35 +41,36 @@ def test_saved_model_gives_the_same_scores(spark, fitted, tmp_path):
         reports.load_model(str(tmp_path / "none"))
 
 
-def test_term_index_is_the_feature_index(spark, fitted):
-    terms = ["a", "héllo wörld", "urgent: verify your", "点击此处：", ""]
-    df = spark.createDataFrame([(t,) for t in terms], "t string").withColumn(
-        "term_keys", F.array(training.term_key(F.col("t")))
+def test_term_index_is_the_feature_index(spark):
+    df = spark.createDataFrame([(t,) for t in (0, 1, -5, 2**62, -(2**63))], "t long")
+    made = HashingTF(numFeatures=2000, inputCol="k", outputCol="v").transform(
+        df.withColumn("k", F.array("t"))
     )
-    made = HashingTF(numFeatures=2000, inputCol="term_keys", outputCol="v").transform(df)
     for row in made.select("v", training.term_index(F.col("t"), 2000).alias("i")).collect():
         assert list(row.v.indices) == [row.i]
 
 
 def test_top_terms_equal_brute_force(spark, fitted):
-    texts = ["Verify your your account NOW", "one", "", "a b a b a"]
+    texts = ["Verify your your account NOW", "one", "", "a b a b a", "x y"]
     df = spark.createDataFrame(list(enumerate(texts)), "email_id long, email_text string")
     got = scoring.top_terms(df, fitted.best, k=4, vocab_size=2000).collect()
     weights = fitted.best.stages[-1].coefficients.toArray()
     for i, t in enumerate(texts):
         words = t.lower().split()
-        terms = [" ".join(words[a : a + n]) for n in (1, 2, 3) for a in range(len(words) - n + 1)]
-        tf = Counter(terms)
-        index = {
-            r.t: r.i
-            for r in spark.createDataFrame([(x,) for x in tf] or [("",)], "t string")
-            .select("t", training.term_index(F.col("t"), 2000).alias("i"))
-            .collect()
-        }
-        best = sorted(((-n * weights[index[x]], x, n) for x, n in tf.items()))[:4]
+        places = [(a, n) for n in (1, 2, 3) for a in range(len(words) - n + 1)]
+        tf, first = Counter(), {}
+        for a, n in sorted(places):
+            term = " ".join(words[a : a + n])
+            tf[term] += 1
+            first.setdefault(term, (a, n))
+        index = {}
+        for term in tf:
+            one = training.with_terms(spark.createDataFrame([(term,)], "email_text string"))
+            index[term] = one.select(training.term_index(F.element_at("terms", -1), 2000)).first()[0]
+        best = sorted((-n * weights[index[x]], first[x], x, n) for x, n in tf.items())[:4]
         mine = sorted((r["rank"], r.term, r.tf, r.contribution) for r in got if r.email_id == i)
-        assert [(m[1], m[2]) for m in mine] == [(x, n) for _, x, n in best]
-        assert [m[3] for m in mine] == pytest.approx([-c for c, _, _ in best])
+        assert [(m[1], m[2]) for m in mine] == [(x, n) for _, _, x, n in best]
+        assert [m[3] for m in mine] == pytest.approx([-c for c, _, _, _ in best])
 
 
 def test_history_and_report_sinks(spark, fitted, tmp_path):
