@@ -10,7 +10,7 @@ import time
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailsift import constants as C
@@ -18,12 +18,38 @@ from mailsift.functions.decide import is_risky, next_steps, recommendation, with
 from mailsift.functions.signals import social_signals
 from mailsift.operators.quality import guard_batches, reject_blank
 from mailsift.operators.split import flatten_batches
-from mailsift.plans.training import featurize, term_index, with_score, with_terms
+from mailsift.plans.training import featurize, term_index, with_terms
 from mailsift.sources.reports import audit_rows, write_audit
 
 Scorer = PipelineModel | Callable[[DataFrame], DataFrame]
 
 
+def coefficient_of(model: PipelineModel, term: Column) -> Column:
+    """Coefficient of a term hash. The table is a constant of the plan: ``vocab_size`` numbers."""
+    hashing, classifier = model.stages
+    weights = [float(w) for w in classifier.coefficients.toArray()]
+    table = F.from_json(F.lit(json.dumps(weights)), "array<double>")
+    return F.get(table, term_index(term, hashing.getNumFeatures()))
+
+
+def linear_score(df: DataFrame, model: PipelineModel) -> DataFrame:
+    """Add ``raw_score``, the probability of class 1, as a plain column expression.
+
+    The model is linear in the term counts, so its margin is the sum of one coefficient per term
+    occurrence: the same number that the fitted pipeline gives, without building vectors.
+    """
+    margin = F.aggregate(
+        "term_keys",
+        F.lit(float(model.stages[-1].intercept)),
+        lambda total, term: total + coefficient_of(model, term),
+    )
+    return (
+        featurize(df)
+        .withColumn("raw_score", 1.0 / (1.0 + F.exp(-margin)))
+        .drop("term_keys")
+    )
+
+
 def score(
     df: DataFrame,
     scorer: Scorer,
@@ -37,10 +63,7 @@ def score(
     """
     if "label" in df.columns:
         df = df.withColumnRenamed("label", "true_label")
-    if isinstance(scorer, PipelineModel):
-        scored = with_score(scorer.transform(featurize(df)))
-    else:
-        scored = scorer(df)
+    scored = linear_score(df, scorer) if isinstance(scorer, PipelineModel) else scorer(df)
     return with_decision(scored, "raw_score", threshold, mode)
 
 
@@ -96,47 +119,27 @@ def score_job(
     return paths
 
 
-def top_terms(
-    df: DataFrame, model: PipelineModel, k: int = 5, vocab_size: int = C.VOCAB_SIZE
-) -> DataFrame:
+def top_terms(df: DataFrame, model: PipelineModel, k: int = 5) -> DataFrame:
     """The ``k`` terms that push each mail most towards phishing: tf x coefficient.
 
-    Columns ``email_id, rank, term, tf, contribution``; of equal contributions the term that starts
-    earlier (then the shorter one) comes first. Worked out inside each row from term hashes (sort,
-    run lengths, lookup, top k), so no term is shuffled, and text is built for the ``k`` best only.
+    Columns ``email_id, rank, term, tf, contribution``; equal contributions are ordered by term
+    hash. Worked out inside each row from term hashes (sort, run lengths, lookup, top k), so no
+    term is shuffled, and text is built for the ``k`` best only.
     """
-    weights = [float(w) for w in model.stages[-1].coefficients.toArray()]
-    coefficients = F.from_json(F.lit(json.dumps(weights)), "array<double>")
     no_ints = F.array().cast("array<int>")
     n, n_words = F.col("n"), F.size("words")
-
-    # Place of a term in `terms` -> first token (zero-based) and number of tokens.
-    def place(i: Column) -> Column:
-        pair, triple = i - n_words, i - n_words - F.greatest(n_words - 1, F.lit(0))
-        return (
-            F.when(i < n_words, F.struct(i.alias("at"), F.lit(1).alias("width")))
-            .when(triple < 0, F.struct(pair.alias("at"), F.lit(2).alias("width")))
-            .otherwise(F.struct(triple.alias("at"), F.lit(3).alias("width")))
-        )
-
     # No filter stands above these columns: one would be pushed below them and drag a copy of
     # their whole expressions along. A mail without terms gives an empty array at each step.
     ordered = (
         with_terms(df.select("email_id", "email_text"))
         .drop("email_text")
-        .withColumn(
-            "s",
-            F.sort_array(
-                F.transform("terms", lambda t, i: F.struct(t.alias("h"), place(i).alias("p")))
-            ),
-        )
+        .withColumn("s", F.sort_array("terms"))
         .withColumn("n", F.size("s"))
         .withColumn(
             "starts",
             F.filter(
                 F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(no_ints),
-                lambda i: (i == 1)
-                | (F.get("s", i - 1)["h"] != F.get("s", F.greatest(i - 2, F.lit(0)))["h"]),
+                lambda i: (i == 1) | (F.get("s", i - 1) != F.get("s", F.greatest(i - 2, F.lit(0)))),
             ),
         )
         .withColumn(
@@ -149,25 +152,30 @@ def top_terms(
     )
 
     def weigh(start: Column, end: Column) -> Column:
-        first = F.get("s", start - 1)
-        weight = F.get(coefficients, term_index(first["h"], vocab_size))
+        term = F.get("s", start - 1)
         return F.struct(
-            (-weight * (end - start)).alias("down"),
-            first["p"].alias("p"),
+            (coefficient_of(model, term) * (start - end)).alias("down"),
+            term.alias("h"),
             (end - start).alias("tf"),
         )
 
+    # First place of a term in `terms` (tokens, then pairs, then triples) -> its tokens.
+    at = (F.array_position("terms", F.col("item.h")) - 1).cast("int")
+    pairs_from, triples_from = n_words, n_words + F.greatest(n_words - 1, F.lit(0))
+    tokens_of = (
+        F.when(at < pairs_from, F.slice("words", at + 1, F.lit(1)))
+        .when(at < triples_from, F.slice("words", at - pairs_from + 1, F.lit(2)))
+        .otherwise(F.slice("words", at - triples_from + 1, F.lit(3)))
+    )
     return (
         ordered.withColumn("weighed", F.sort_array(F.zip_with("starts", "ends", weigh)))
-        .select("email_id", "words", F.slice("weighed", 1, k).alias("best"))
-        .select("email_id", "words", F.posexplode_outer("best").alias("pos", "item"))
+        .select("email_id", "words", "terms", F.slice("weighed", 1, k).alias("best"))
+        .select("email_id", "words", "terms", F.posexplode_outer("best").alias("pos", "item"))
         .where("pos is not null")
         .select(
             "email_id",
             (F.col("pos") + 1).alias("rank"),
-            F.array_join(
-                F.slice("words", F.col("item.p.at") + 1, F.col("item.p.width")), " "
-            ).alias("term"),
+            F.array_join(tokens_of, " ").alias("term"),
             F.col("item.tf").alias("tf"),
             (-F.col("item.down")).alias("contribution"),
         )

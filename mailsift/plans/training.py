@@ -92,12 +92,6 @@ class Fit:
         return self.splits.where("split = 'test'")
 
 
-def with_score(df: DataFrame) -> DataFrame:
-    """Replace the model's output columns by ``raw_score``, the probability of class 1."""
-    made = ["term_keys", "features", "rawPrediction", "probability", "prediction"]
-    return df.withColumn("raw_score", vector_to_array("probability")[1]).drop(*made)
-
-
 def fit(
     df: DataFrame,
     reg_params: tuple[float, ...] = REG_PARAMS,

@@ -50,24 +50,31 @@ def test_term_index_is_the_feature_index(spark):
         assert list(row.v.indices) == [row.i]
 
 
+def test_score_is_the_pipelines_probability(spark, fitted):
+    mails = corpus.sample_corpus(spark, 20)
+    mine = {r.email_id: r.raw_score for r in scoring.score(mails, fitted.best).collect()}
+    for r in fitted.best.transform(training.featurize(mails)).collect():
+        assert mine[r.email_id] == pytest.approx(r.probability[1], abs=1e-12)
+
+
 def test_top_terms_equal_brute_force(spark, fitted):
     texts = ["Verify your your account NOW", "one", "", "a b a b a", "x y"]
     df = spark.createDataFrame(list(enumerate(texts)), "email_id long, email_text string")
-    got = scoring.top_terms(df, fitted.best, k=4, vocab_size=2000).collect()
+    got = scoring.top_terms(df, fitted.best, k=4).collect()
     weights = fitted.best.stages[-1].coefficients.toArray()
     for i, t in enumerate(texts):
         words = t.lower().split()
-        places = [(a, n) for n in (1, 2, 3) for a in range(len(words) - n + 1)]
-        tf, first = Counter(), {}
-        for a, n in sorted(places):
-            term = " ".join(words[a : a + n])
-            tf[term] += 1
-            first.setdefault(term, (a, n))
-        index = {}
-        for term in tf:
+        tf = Counter(
+            " ".join(words[a : a + n]) for n in (1, 2, 3) for a in range(len(words) - n + 1)
+        )
+        best = []
+        for term, count in tf.items():
             one = training.with_terms(spark.createDataFrame([(term,)], "email_text string"))
-            index[term] = one.select(training.term_index(F.element_at("terms", -1), 2000)).first()[0]
-        best = sorted((-n * weights[index[x]], first[x], x, n) for x, n in tf.items())[:4]
+            h, at = one.select(
+                F.element_at("terms", -1), training.term_index(F.element_at("terms", -1), 2000)
+            ).first()
+            best.append((-count * weights[at], h, term, count))
+        best = sorted(best)[:4]
         mine = sorted((r["rank"], r.term, r.tf, r.contribution) for r in got if r.email_id == i)
         assert [(m[1], m[2]) for m in mine] == [(x, n) for _, _, x, n in best]
         assert [m[3] for m in mine] == pytest.approx([-c for c, _, _, _ in best])
