@@ -10,6 +10,7 @@ from mailsift.operators.ordering import (
     _match,
     exact_percentiles,
     running_sums,
+    value_counts,
     with_range_bucket,
 )
 from mailsift.session import materialize, pin_if_small
@@ -135,8 +136,10 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 def latency_summary(df: DataFrame, by: list[str], value: str = "process_time_ms") -> DataFrame:
     """Count, mean, exact 95th and 99th percentile of a duration per group."""
-    means = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.count("*").alias("n_rows"), F.avg(value).alias("mean")
+    counts = value_counts(df, by, value)
+    n = F.sum("copies")
+    means = counts.groupBy(*by).agg(
+        n.alias("n_rows"), (F.sum(F.col(value) * F.col("copies")) / n).alias("mean")
     )
-    points = exact_percentiles(df, by, value, {"p95": 0.95, "p99": 0.99})
+    points = exact_percentiles(counts, by, value, {"p95": 0.95, "p99": 0.99})
     return _match(means, points, by)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from mailsift.session import materialize, pin_if_small
 
-HASH_BUCKET_DIGITS = 3
+HASH_BUCKET_DIGITS = 4
 RANGE_BUCKETS = 256
 
 
@@ -182,19 +182,22 @@ def values_at_ranks(
     )
 
 
+def value_counts(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Copies of each non-null value per group, stored once: ``group, value, copies``.
+
+    Equal values are added up on the map side, so a hot value is one row from here on.
+    """
+    found = df.where(F.col(value).isNotNull()).groupBy(*group, value)
+    return materialize(found.agg(F.count("*").alias("copies")))
+
+
 def exact_percentiles(
-    df: DataFrame, group: list[str], value: str, shares: dict[str, float]
+    counts: DataFrame, group: list[str], value: str, shares: dict[str, float]
 ) -> DataFrame:
-    """Exact percentiles with linear interpolation: one row per group, one column per share.
+    """Exact percentiles with linear interpolation from ``value_counts``.
 
-    Equal values are counted together first, so a hot value is one row from then on, and those
-    counts are stored once.
+    One row per group, one column per share.
     """
-    counts = materialize(
-        df.where(F.col(value).isNotNull())
-        .groupBy(*group, value)
-        .agg(F.count("*").alias("_copies"))
-    )
     rows = with_range_bucket(counts, value)
 
     def position(n: Column, share: float) -> Column:
@@ -204,11 +207,11 @@ def exact_percentiles(
     for name, share in shares.items():
         ranks[f"{name}:lo"] = lambda n, s=share: F.floor(position(n, s)) + 1
         ranks[f"{name}:hi"] = lambda n, s=share: F.ceil(position(n, s)) + 1
-    found = values_at_ranks(rows, group, "_bucket", value, "_copies", ranks)
+    found = values_at_ranks(rows, group, "_bucket", value, "copies", ranks)
     wide = found.groupBy(*group).agg(
         *[F.max(F.when(F.col("name") == n, F.col(value))).alias(f"_{n}") for n in ranks]
     )
-    sizes = counts.groupBy(*group).agg(F.sum("_copies").alias("_n"))
+    sizes = counts.groupBy(*group).agg(F.sum("copies").alias("_n"))
     joined = _match(wide, sizes, group)
     out = []
     for name, share in shares.items():

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,74 +92,62 @@ def validation_report(df: DataFrame) -> DataFrame:
         rows = [("error", "", f"Missing required column: {missing[0]}")]
         return spark.createDataFrame(rows, "section string, key string, value string")
     length = F.length(F.coalesce("email_text", F.lit("nan")))
+    bad_label = ~F.coalesce(F.col("label").isin(C.VALID_LABELS), F.lit(False))
     cells = df.groupBy("label", "language").agg(
         F.count("*").alias("n"),
         F.count_if(F.col("email_text").isNull()).alias("no_text"),
+        F.count_if(F.col("language").isNull()).alias("no_language"),
+        F.count_if(F.col("label").isNull()).alias("no_label"),
+        F.count_if(bad_label).alias("bad_labels"),
         F.sum(length).alias("len_sum"),
         F.max(length).alias("len_max"),
         F.min(length).alias("len_min"),
     )
-    bad_label = ~F.coalesce(F.col("label").isin(C.VALID_LABELS), F.lit(False))
-
-    def null_rows(column: str):
-        return F.coalesce(F.sum(F.when(F.col(column).isNull(), F.col("n"))), F.lit(0))
-
-    totals = cells.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
-        F.coalesce(F.sum("no_text"), F.lit(0)).alias("no_text"),
-        null_rows("language").alias("no_language"),
-        null_rows("label").alias("no_label"),
+    # A row of zeros, so that an empty table still has totals.
+    counted = ["n", "no_text", "no_language", "no_label", "bad_labels"]
+    zero = spark.range(1).select(*[F.lit(0).cast("bigint").alias(c) for c in counted])
+    cells = cells.unionByName(zero, allowMissingColumns=True)
+    totals = cells.groupingSets(
+        [[F.col("label")], [F.col("language")], []], F.col("label"), F.col("language")
+    ).agg(
+        F.grouping("label").alias("over_labels"),
+        F.grouping("language").alias("over_languages"),
+        *[F.sum(c).alias(c) for c in counted],
         (F.sum("len_sum") / F.sum("n")).alias("len_mean"),
         F.max("len_max").alias("len_max"),
         F.min("len_min").alias("len_min"),
-        F.coalesce(F.sum(F.when(bad_label, F.col("n"))), F.lit(0)).alias("bad_labels"),
     )
 
-    def entry(section: str, key: str, value):
+    def entry(section: str, key, value):
         return F.struct(
             F.lit(section).alias("section"),
-            F.lit(key).alias("key"),
+            (F.lit(key) if isinstance(key, str) else key.cast("string")).alias("key"),
             value.cast("string").alias("value"),
         )
 
     valid = (F.col("bad_labels") == 0) & (F.col("n") > C.MIN_ROWS_EXCLUSIVE)
-    fixed = totals.select(
-        F.inline(
-            F.array(
-                entry("missing_values", "email_text", F.col("no_text")),
-                entry("missing_values", "language", F.col("no_language")),
-                entry("missing_values", "label", F.col("no_label")),
-                entry("text_len", "mean", F.col("len_mean")),
-                entry("text_len", "max", F.col("len_max")),
-                entry("text_len", "min", F.col("len_min")),
-                entry("rows", "total", F.col("n")),
-                entry("valid", "", valid),
-                entry(
-                    "error",
-                    "",
-                    F.when(~valid, F.lit("Invalid labels or too few rows")),
-                ),
-            )
-        )
+    whole = F.array(
+        entry("missing_values", "email_text", F.col("no_text")),
+        entry("missing_values", "language", F.col("no_language")),
+        entry("missing_values", "label", F.col("no_label")),
+        entry("text_len", "mean", F.col("len_mean")),
+        entry("text_len", "max", F.col("len_max")),
+        entry("text_len", "min", F.col("len_min")),
+        entry("rows", "total", F.col("n")),
+        entry("valid", "", valid),
+        entry("error", "", F.when(~valid, F.lit("Invalid labels or too few rows"))),
     )
-
-    def counts(column: str, section: str) -> DataFrame:
-        return (
-            cells.where(F.col(column).isNotNull())
-            .groupBy(column)
-            .agg(F.sum("n").alias("n"))
-            .select(
-                F.lit(section).alias("section"),
-                F.col(column).cast("string").alias("key"),
-                F.col("n").cast("string").alias("value"),
-            )
+    entries = (
+        F.when((F.col("over_labels") == 1) & (F.col("over_languages") == 1), whole)
+        .when(
+            F.col("over_languages") == 1,
+            F.array(entry("class_counts", F.col("label"), F.col("n"))),
         )
-
-    report = reduce(
-        DataFrame.unionByName,
-        [fixed, counts("label", "class_counts"), counts("language", "language_counts")],
+        .otherwise(F.array(entry("language_counts", F.col("language"), F.col("n"))))
+    )
+    return totals.select(F.inline(entries)).where(
+        F.col("key").isNotNull() & F.col("value").isNotNull()
     )
-    return report.where(F.col("value").isNotNull())
 
 
 def validate_emails(df: DataFrame) -> tuple[bool, DataFrame]:

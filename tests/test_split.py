@@ -88,7 +88,9 @@ def test_percentiles_with_a_hot_value(spark):
     rows = [("a", 5.0)] * 700 + [("a", rng.random() * 10) for _ in range(800)]
     rows += [("b", float(x)) for x in range(7)] + [("b", None), (None, 1.5)]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r.g: r for r in ordering.exact_percentiles(df, ["g"], "v", {"p50": 0.5, "p95": 0.95}).collect()}
+    counts = ordering.value_counts(df, ["g"], "v")
+    found = ordering.exact_percentiles(counts, ["g"], "v", {"p50": 0.5, "p95": 0.95})
+    got = {r.g: r for r in found.collect()}
 
     def expected(group, share):
         values = sorted(v for g, v in rows if g == group and v is not None)
