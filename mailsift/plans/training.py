@@ -29,7 +29,7 @@ from mailsift.session import materialize, pin_if_small
 
 SIGNALS = ["n_urgency", "n_creds", "n_attachments", "n_suspicious"]
 REG_PARAMS = (0.1, 0.01, 0.001)
-ROWS_PER_TASK = 10_000
+ROWS_PER_TASK = 1_000
 
 
 def with_terms(df: DataFrame, text: str = "email_text") -> DataFrame:

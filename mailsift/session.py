@@ -35,9 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    folder = tempfile.mkdtemp(prefix="mailsift-")
-    spark.conf.set(CHECKPOINT_SETTING, folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mailsift-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
