@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from mailsift.llm.common import BoundedCache, map_batches, texts_of
+from mailsift.llm.common import TwoGenerations, map_batches, texts_of
 
 NONE = np.iinfo(np.int64).max
 #: White space as in the Unicode property White_Space.
@@ -55,7 +55,7 @@ def pre_tokens(text: str) -> list[str]:
     return (ANY_TOKENS if BEYOND_LATIN.search(text) else LATIN_TOKENS).findall(text)
 
 
-CACHE_LIMIT = 500_000  # pre-tokens a worker remembers
+CACHE_LIMIT = 300_000  # pre-tokens in each generation of a worker's cache
 GROUP_CHARS = 1_000_000
 BATCH_WIDTH = 64  # pre-tokens of up to so many bytes are merged many at a time
 
@@ -235,7 +235,7 @@ class ByteBpe:
         self.bytes_by_text = {str(i): b for i, b in enumerate(self.bytes_of)}
         self.text_of = [str(i) for i in range(size)]
         #: Pre-token -> its ids as decimal numbers joined by commas.
-        self.cache = BoundedCache(self._one, CACHE_LIMIT)
+        self.cache = TwoGenerations(CACHE_LIMIT)
 
     def _one(self, token: str) -> str:
         return self._joined(merge_one(self.merges, token.encode()))
@@ -287,11 +287,7 @@ class ByteBpe:
             for parts in group:
                 for _, tokens in parts:
                     wanted.update(tokens)
-            missing = wanted - self.cache.keys()
-            if len(self.cache) + len(missing) > self.cache.limit:
-                self.cache.clear()
-                missing = wanted
-            self.learn(missing)
+            self.learn(self.cache.missing(wanted))
             get = self.cache.__getitem__
             for parts in group:
                 pieces: list[str] = []

@@ -83,3 +83,22 @@ class BoundedCache(dict):
             self.clear()
         value = self[key] = self.compute(key)
         return value
+
+
+class TwoGenerations(dict):
+    """A bounded dictionary: full, it becomes the old generation, from which used keys come back."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def missing(self, wanted: set) -> set:
+        """The keys that neither generation has; all others are then in the young one."""
+        need = wanted - self.keys()
+        if len(self) + len(need) > self.limit:
+            self.old = dict(self)
+            self.clear()
+            need = wanted
+        again = need & self.old.keys()
+        self.update((k, self.old[k]) for k in again)
+        return need - again

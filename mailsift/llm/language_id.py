@@ -28,6 +28,7 @@ MAX_LANGUAGES = 500
 EVIDENCE = 200  # n-grams that count in full for the score
 SMOOTHING = 0.5
 UNDETERMINED = "und"
+MIN_SCORE = 0.5  # below it a filter rejects a text
 GROUP_CHARS = 2_000_000  # characters scored at once
 _MULTIPLIERS = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 
@@ -148,30 +149,45 @@ def identify(
     model: tuple[list[str], np.ndarray],
     id_col: str = "doc_id",
     text_col: str = "text",
-    keep: list[str] | None = None,
 ) -> DataFrame:
-    """``id_col, lang_pred, score``, one row per row of ``df``: one narrow pass.
-
-    With ``keep``, these columns of ``df`` stand in place of the id.
-    """
+    """``id_col, lang_pred, score``, one row per row of ``df``: one narrow pass."""
     packed = df.sparkSession.sparkContext.broadcast(model)
-    kept = keep or [id_col]
 
     def setup():
         languages, logs = packed.value
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            predicted, scores = predict(languages, logs, batch.column(len(kept)).to_pylist())
+            predicted, scores = predict(languages, logs, batch.column(1).to_pylist())
             return pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(kept)], pa.array(predicted, pa.string()), pa.array(scores, pa.float64())],
-                [*kept, "lang_pred", "score"],
+                [batch.column(0), pa.array(predicted, pa.string()), pa.array(scores, pa.float64())],
+                [id_col, "lang_pred", "score"],
             )
 
         return work
 
-    chosen = df.select(*kept, F.col(text_col).alias("_scored_text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]]
-    return map_batches(chosen, setup, ", ".join([*kinds, "lang_pred string", "score double"]))
+    chosen = df.select(id_col, text_col)
+    kind = chosen.schema[0].dataType.simpleString()
+    return map_batches(chosen, setup, f"`{id_col}` {kind}, lang_pred string, score double")
+
+
+def keep_identified(
+    df: DataFrame, model: tuple[list[str], np.ndarray], min_score: float = MIN_SCORE, text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``df`` whose language is determined with at least ``min_score``."""
+    packed = df.sparkSession.sparkContext.broadcast(model)
+    position = df.columns.index(text_col)
+
+    def setup():
+        languages, logs = packed.value
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            predicted, scores = predict(languages, logs, batch.column(position).to_pylist())
+            kept = [p != UNDETERMINED and s >= min_score for p, s in zip(predicted, scores)]
+            return batch.filter(pa.array(kept, pa.bool_()))
+
+        return work
+
+    return map_batches(df, setup, df.schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -8,11 +8,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.llm import bpe, chat, language_id, piece_counts, quality_rules, secret_scan
-from mailsift.llm.common import table
+from mailsift.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    jaccard_join,
+    language_id,
+    piece_counts,
+    quality_rules,
+    secret_scan,
+    token_files,
+    toxicity,
+)
+from mailsift.llm.common import fold, table
 from mailsift.session import shared_path
 
 
+def op1_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    parts = decontaminate.benchmark_parts(table(spark, sf, "benchmark"))
+    return decontaminate.find_contamination(table(spark, sf, "documents"), parts)
+
+
+def op2_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf, "documents"))
+
+
+def op3_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "token-files")
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    token_files.write_token_files(table(spark, sf, "documents"), tokenizer, path)
+    return token_files.read_token_files(spark, path)
+
+
 def op4_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf, "documents"))
 
@@ -40,6 +67,14 @@ def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return piece_counts.token_counts(table(spark, sf, "documents"), path)
 
 
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents")
+    examples = toxicity.fit(documents, table(spark, sf, "labels"))
+    found = toxicity.score_toxicity(documents, examples)
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+
+
 def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
     documents = table(spark, sf, "documents")
     model = language_id.learn(language_id.learned_rows(documents))
