@@ -49,6 +49,7 @@ BUCKET_KEYS = 2_000_000  # rare keys in one bucket, on average at most
 PIECE = 1 << 21  # bytes hashed at once
 FLUSH = 1_000_000  # keys that a task holds before it writes blobs
 FILTER_BITS = 23
+FILTER_TASKS = 16  # filters that reach the driver, one after the other
 _U = np.uint64
 _BASE, _MIX1, _MIX2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 _LOWER = bytes(
@@ -173,8 +174,8 @@ def describe(docs: DataFrame, path: str) -> tuple[DataFrame, np.ndarray]:
         counters = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         for batch in batches:
             sets = shingle_sets(texts_of(batch.column(1)))
-            for s in sets:
-                counters += _counted(s)
+            if sets:
+                counters += _counted(np.concatenate(sets))
             sums = [int(mix(s).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0 for s in sets]
             xors = [
                 int(np.bitwise_xor.reduce(mix(s ^ _BASE)).astype(np.int64)) if len(s) else 0 for s in sets
@@ -220,9 +221,7 @@ def describe(docs: DataFrame, path: str) -> tuple[DataFrame, np.ndarray]:
     return stored.where("chunk is null").select("doc", "n", "fp1", "fp2"), counters
 
 
-def _counted(hashes: np.ndarray) -> np.ndarray | int:
-    if not len(hashes):
-        return 0
+def _counted(hashes: np.ndarray) -> np.ndarray:
     return np.bincount(
         (hashes >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS
     ).astype(np.uint32)
@@ -264,7 +263,10 @@ def _bucket(keys: np.ndarray, n_buckets: int) -> np.ndarray:
 
 
 def index(docs: DataFrame, classes: np.ndarray, n_keys: int, path: str) -> DataFrame:
-    """``key, doc, n, pure`` of keys that more than one document has (frequent ones: all), stored."""
+    """``key, doc, n, pure, hub, hub_n, hub_pure`` of keys that more than one document has, stored.
+
+    The hub of a key is the smallest document that has it.
+    """
     spark = docs.sparkSession
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_keys // BUCKET_KEYS))
     packed = spark.sparkContext.broadcast(classes)
@@ -321,15 +323,21 @@ def index(docs: DataFrame, classes: np.ndarray, n_keys: int, path: str) -> DataF
         if held:
             yield blobs()
 
-    out_names = ["key", "doc", "n", "pure"]
+    out_names = ["key", "doc", "n", "pure", "hub", "hub_n", "hub_pure"]
 
-    def rows_of(keys, docs_of, sizes):
+    def rows_of(keys, docs_of, sizes, hub=None, hub_sizes=None):
         for at in range(0, len(keys), 100_000):
             part = slice(at, at + 100_000)
+            size = len(keys[part])
+            hubs = [
+                pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.bool_())
+            ] if hub is None else [
+                pa.array(hub[part]), pa.array(np.abs(hub_sizes[part])), pa.array(hub_sizes[part] > 0)
+            ]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(keys[part].view(np.int64)), pa.array(docs_of[part]),
-                    pa.array(np.abs(sizes[part])), pa.array(sizes[part] > 0),
+                    pa.array(np.abs(sizes[part])), pa.array(sizes[part] > 0), *hubs,
                 ],
                 out_names,
             )
@@ -343,7 +351,7 @@ def index(docs: DataFrame, classes: np.ndarray, n_keys: int, path: str) -> DataF
                 entry = (
                     np.frombuffer(raw[0], np.uint64),
                     np.frombuffer(raw[2], np.int64)[at],
-                    np.frombuffer(raw[3], np.int64)[at].astype(np.int64),
+                    np.frombuffer(raw[3], np.int64)[at],
                 )
                 if batch.column(1)[i].as_py():
                     yield from rows_of(*entry)
@@ -353,17 +361,30 @@ def index(docs: DataFrame, classes: np.ndarray, n_keys: int, path: str) -> DataF
             keys, docs_of, sizes = (np.concatenate(c) for c in zip(*rare))
             rare.clear()
             order = np.lexsort((docs_of, keys))
-            keys, docs_of = keys[order], docs_of[order]
+            keys, docs_of, sizes = keys[order], docs_of[order], sizes[order].astype(np.int64)
             first = np.concatenate([[0], np.nonzero(np.diff(keys))[0] + 1])
-            last = np.concatenate([first[1:], [len(keys)]]) - 1
-            shared = np.repeat(docs_of[first] != docs_of[last], last - first + 1)
-            yield from rows_of(keys[shared], docs_of[shared], sizes[order][shared].astype(np.int64))
+            ends = np.concatenate([first[1:], [len(keys)]])
+            shared = np.repeat(docs_of[first] != docs_of[ends - 1], ends - first)
+            hub = np.repeat(first, ends - first)[shared]
+            yield from rows_of(keys[shared], docs_of[shared], sizes[shared], docs_of[hub], sizes[hub])
 
     blobs_schema = "bucket int, frequent boolean, keys binary, rows binary, docs binary, sizes binary"
     dealt = map_stream(docs, run, blobs_schema).repartitionById(n_buckets, "bucket")
-    schema = "key bigint, doc bigint, n bigint, pure boolean"
-    map_stream(dealt, gather, schema).write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    schema = "key bigint, doc bigint, n bigint, pure boolean, hub bigint, hub_n bigint, hub_pure boolean"
+    map_stream(dealt, gather, schema).write.parquet(f"{path}/keys")
+    stored = spark.read.schema(schema).parquet(f"{path}/keys")
+    frequent = stored.where("hub is null").select("key", "doc", "n", "pure")
+    hubs = (
+        frequent.groupBy("key")
+        .agg(F.min(F.struct("doc", "n", "pure")).alias("hub"), F.max("doc").alias("last"))
+        .where("hub.doc < last")
+    )
+    placed = frequent.join(hubs, "key").select(
+        "key", "doc", "n", "pure", F.col("hub.doc").alias("hub"), F.col("hub.n").alias("hub_n"),
+        F.col("hub.pure").alias("hub_pure"),
+    )
+    placed.write.parquet(f"{path}/frequent")
+    return stored.where("hub is not null").unionAll(spark.read.schema(schema).parquet(f"{path}/frequent"))
 
 
 # --- verification -----------------------------------------------------------------------------
@@ -385,7 +406,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], pa.binary())], ["bits"])
 
     flags = np.zeros(bits // 8, dtype=np.uint8)
-    marks = map_stream(named, mark, "bits binary").coalesce(8)
+    marks = map_stream(named.coalesce(FILTER_TASKS), mark, "bits binary")
     for row in marks.toLocalIterator():
         flags |= np.frombuffer(row.bits, dtype=np.uint8)
     packed = docs.sparkSession.sparkContext.broadcast(flags)
@@ -469,18 +490,47 @@ def _open_groups(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
     return known.join(span.select("key"), "key", "left_semi").select("key", "doc", "n", "pure", "comp")
 
 
-def _star_pairs(entries: DataFrame, smallest: bool) -> DataFrame:
+def _unresolved(keyed: DataFrame, counted: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Entries of the keys in which a document is not in the component of the key's hub.
+
+    Any two documents of a key that are in different components make it one of these.
+    """
+    pairs = counted.select("doc", "hub")
+    if labels is not None:
+        own = labels.select("doc", F.col("comp").alias("comp_doc"))
+        hubs = labels.select(F.col("doc").alias("hub"), F.col("comp").alias("comp_hub"))
+        pairs = (
+            pairs.join(own, "doc", "left")
+            .join(hubs, "hub", "left")
+            .where(F.coalesce("comp_doc", "doc") != F.coalesce("comp_hub", "hub"))
+            .select("doc", "hub")
+        )
+    keys = keyed.join(pairs, ["doc", "hub"], "left_semi").select("key").distinct()
+    return keyed.select("key", "doc", "n", "pure").join(keys, "key", "left_semi")
+
+
+def _best_hubs(counted: DataFrame) -> DataFrame:
     """Each document with its best hub: the hub of most of its groups."""
-    pick = F.min if smallest else F.max
-    hubs = entries.groupBy("key").agg(pick(F.struct("doc", "n", "pure", "comp")).alias("hub"))
-    counted = (
+    pure = F.col("pure") & F.col("hub_pure")
+    return (
+        counted.where(_plausible(F.col("n"), F.col("hub_n"), pure, F.col("m")))
+        .groupBy(F.col("doc").alias("a"))
+        .agg(F.max_by("hub", F.struct("m", -F.col("hub"))).alias("b"))
+    )
+
+
+def _star_pairs(entries: DataFrame) -> DataFrame:
+    """Each document with its best hub, the hubs being the largest documents of their groups."""
+    hubs = entries.groupBy("key").agg(F.max(F.struct("doc", "n", "pure", "comp")).alias("h"))
+    return _best_hubs(
         entries.join(hubs, "key")
-        .where("comp <> hub.comp")
-        .groupBy("doc", "n", "pure", F.col("hub.doc").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.pure").alias("pb"))
+        .where("comp <> h.comp")
+        .groupBy(
+            "doc", "n", "pure", F.col("h.doc").alias("hub"), F.col("h.n").alias("hub_n"),
+            F.col("h.pure").alias("hub_pure"),
+        )
         .agg(F.count("*").alias("m"))
-        .where(_plausible(F.col("n"), F.col("nb"), F.col("pure") & F.col("pb"), F.col("m")))
     )
-    return counted.groupBy(F.col("doc").alias("a")).agg(F.max_by("b", F.struct("m", -F.col("b"))).alias("b"))
 
 
 def _cross_pairs(entries: DataFrame) -> DataFrame:
@@ -508,20 +558,33 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = (
         described.where("doc is not null and n > 0")
         .groupBy("fp1", "fp2", "n")
-        .agg(F.min("doc").alias("first"))
+        .agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+        .where("first < last")
+        .drop("last")
     )
     same = described.where("doc is not null and n > 0").join(groups, ["fp1", "fp2", "n"])
     copies = materialize(same.where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b")).distinct())
     n_keys = int(counters.sum()) // 3
     keyed = index(known, classes_of(counters), n_keys, f"{path}/index")
-    # A copy has the keys of its representative.
-    entries = keyed.join(copies.select(F.col("a").alias("doc")), "doc", "left_anti")
+    # A copy has the keys of its representative, which has the smaller id, so hubs are never copies.
+    gone = copies.select(F.col("a").alias("doc"))
+    counted = materialize(
+        keyed.where("doc <> hub")
+        .groupBy("doc", "n", "pure", "hub", "hub_n", "hub_pure")
+        .agg(F.count("*").alias("m"))
+        .join(gone, "doc", "left_anti")
+    )
     links, labels = copies, None
-    for step in ("smallest", "largest", "all"):
-        entries = materialize(_open_groups(entries.select("key", "doc", "n", "pure").distinct(), labels))
-        if entries.isEmpty():
-            break
-        pairs = _cross_pairs(entries) if step == "all" else _star_pairs(entries, step == "smallest")
+    for step in ("first", "largest", "all"):
+        if step == "first":
+            pairs = _best_hubs(counted)
+        else:
+            if step == "largest":
+                entries = _unresolved(keyed, counted, labels).join(gone, "doc", "left_anti")
+            entries = materialize(_open_groups(entries.select("key", "doc", "n", "pure"), labels))
+            if entries.isEmpty():
+                break
+            pairs = _star_pairs(entries) if step == "largest" else _cross_pairs(entries)
         pairs = materialize(pairs)
         if pairs.isEmpty():
             continue
