@@ -20,8 +20,9 @@ has. A rare key has at most as many documents as its counter says, so no group i
 keys left are rows, grouped and joined by Spark, which splits skewed groups.
 
 *Links.* Copies (equal sets) are one representative. Stars first: in each group the documents are
-paired with one hub, each document is verified against its best hub only, and components are
-merged; groups within one component are done. What is left, pairs of different components, is
+paired with one hub, each document is verified against its best hubs only, and components are
+merged; groups within one component are done. Stars with other hubs follow while they find links.
+What is left, pairs of different components, is
 joined in full, thinned by the exact lower bound of common keys, and verified. So no pairs are
 made within what already hangs together, and no link between components is missed. Verification
 computes both sets again from the texts.
@@ -43,11 +44,12 @@ from mailsift.session import materialize, shared_path
 
 SHINGLE = 5
 PERCENT = 75
-SKETCH_BITS = 20
-CHUNK_BITS = 14  # counters in one row of the sketch
+SKETCH_BITS = 22
+CHUNK_BITS = 16  # counters in one row of the sketch
 BUCKET_KEYS = 2_000_000  # rare keys in one bucket, on average at most
 PIECE = 1 << 21  # bytes hashed at once
 FLUSH = 1_000_000  # keys that a task holds before it writes blobs
+HUBS = 3  # hubs that a document is verified against in a round of stars
 FILTER_BITS = 23
 FILTER_TASKS = 16  # filters that reach the driver, one after the other
 _U = np.uint64
@@ -229,7 +231,8 @@ def _counted(hashes: np.ndarray) -> np.ndarray:
 
 def classes_of(counters: np.ndarray) -> np.ndarray:
     """Class of each counter: 0 rare, otherwise the frequency's order of magnitude, base two."""
-    usual = 4 * np.median(counters) + 32
+    typical = np.median(counters)
+    usual = typical + 6 * np.sqrt(typical) + 8
     grade = np.log2(np.maximum(counters, 1).astype(np.float64)).astype(np.uint8) + np.uint8(1)
     return np.where(counters > usual, grade, np.uint8(0)).astype(np.uint8)
 
@@ -237,8 +240,8 @@ def classes_of(counters: np.ndarray) -> np.ndarray:
 # --- second pass: keys ------------------------------------------------------------------------
 
 
-def keys_of(hashes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Rare keys, combined keys of frequent tokens, and whether rare keys alone tell of the prefix."""
+def keys_of(hashes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Rare keys, combined keys of frequent tokens, and how many tokens are rare."""
     n = len(hashes)
     own = classes[(hashes >> _U(64 - SKETCH_BITS)).astype(np.int64)]
     rare = int((own == 0).sum())
@@ -255,7 +258,7 @@ def keys_of(hashes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.nda
         row = ordered[rare : n - overlap_needed(n) + n // 3 + 2]
         if len(row) > 1:
             pairs = mix(row[:-1] * _PLACES[0] + row[1:] * _PLACES[1])
-    return singles, np.concatenate([frequent, pairs]), pure
+    return singles, np.concatenate([frequent, pairs]), rare
 
 
 def _bucket(keys: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -263,9 +266,10 @@ def _bucket(keys: np.ndarray, n_buckets: int) -> np.ndarray:
 
 
 def index(docs: DataFrame, classes: np.ndarray, n_keys: int, path: str) -> DataFrame:
-    """``key, doc, n, pure, hub, hub_n, hub_pure`` of keys that more than one document has, stored.
+    """``key, doc, n, rare, hub, hub_n, hub_rare, single`` of keys that more than one document has, stored.
 
-    The hub of a key is the smallest document that has it.
+    The hub of a key is the smallest document that has it; ``rare`` counts a document's rare
+    tokens; ``single`` is 1 for the key of a rare token, 0 for one of frequent tokens.
     """
     spark = docs.sparkSession
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_keys // BUCKET_KEYS))
@@ -307,13 +311,13 @@ def index(docs: DataFrame, classes: np.ndarray, n_keys: int, path: str) -> DataF
             for doc, hashes in zip(ids, shingle_sets(texts)):
                 if not len(hashes):
                     continue
-                singles, combined, pure = keys_of(hashes, own)
+                singles, combined, rare = keys_of(hashes, own)
                 for kind, keys in enumerate((singles, combined)):
                     if len(keys):
                         found[kind].append(keys)
                         places[kind].append(np.full(len(keys), len(table), dtype=np.uint32))
                         held += len(keys)
-                table.append((doc, len(hashes) if pure else -len(hashes)))
+                table.append((doc, len(hashes) << 32 | rare))
                 if held >= FLUSH:
                     yield blobs()
                     held = 0
@@ -323,21 +327,22 @@ def index(docs: DataFrame, classes: np.ndarray, n_keys: int, path: str) -> DataF
         if held:
             yield blobs()
 
-    out_names = ["key", "doc", "n", "pure", "hub", "hub_n", "hub_pure"]
+    out_names = ["key", "doc", "n", "rare", "hub", "hub_n", "hub_rare"]
+    low = (1 << 32) - 1
 
     def rows_of(keys, docs_of, sizes, hub=None, hub_sizes=None):
         for at in range(0, len(keys), 100_000):
             part = slice(at, at + 100_000)
             size = len(keys[part])
             hubs = [
-                pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.bool_())
+                pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64())
             ] if hub is None else [
-                pa.array(hub[part]), pa.array(np.abs(hub_sizes[part])), pa.array(hub_sizes[part] > 0)
+                pa.array(hub[part]), pa.array(hub_sizes[part] >> 32), pa.array(hub_sizes[part] & low)
             ]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(keys[part].view(np.int64)), pa.array(docs_of[part]),
-                    pa.array(np.abs(sizes[part])), pa.array(sizes[part] > 0), *hubs,
+                    pa.array(sizes[part] >> 32), pa.array(sizes[part] & low), *hubs,
                 ],
                 out_names,
             )
@@ -356,12 +361,12 @@ def index(docs: DataFrame, classes: np.ndarray, n_keys: int, path: str) -> DataF
                 if batch.column(1)[i].as_py():
                     yield from rows_of(*entry)
                 else:
-                    rare.append((entry[0].copy(), entry[1], entry[2].astype(np.int32)))
+                    rare.append((entry[0].copy(), entry[1], entry[2]))
         if rare:
             keys, docs_of, sizes = (np.concatenate(c) for c in zip(*rare))
             rare.clear()
             order = np.lexsort((docs_of, keys))
-            keys, docs_of, sizes = keys[order], docs_of[order], sizes[order].astype(np.int64)
+            keys, docs_of, sizes = keys[order], docs_of[order], sizes[order]
             first = np.concatenate([[0], np.nonzero(np.diff(keys))[0] + 1])
             ends = np.concatenate([first[1:], [len(keys)]])
             shared = np.repeat(docs_of[first] != docs_of[ends - 1], ends - first)
@@ -370,21 +375,24 @@ def index(docs: DataFrame, classes: np.ndarray, n_keys: int, path: str) -> DataF
 
     blobs_schema = "bucket int, frequent boolean, keys binary, rows binary, docs binary, sizes binary"
     dealt = map_stream(docs, run, blobs_schema).repartitionById(n_buckets, "bucket")
-    schema = "key bigint, doc bigint, n bigint, pure boolean, hub bigint, hub_n bigint, hub_pure boolean"
+    schema = "key bigint, doc bigint, n bigint, rare bigint, hub bigint, hub_n bigint, hub_rare bigint"
     map_stream(dealt, gather, schema).write.parquet(f"{path}/keys")
     stored = spark.read.schema(schema).parquet(f"{path}/keys")
-    frequent = stored.where("hub is null").select("key", "doc", "n", "pure")
+    frequent = stored.where("hub is null").select("key", "doc", "n", "rare")
     hubs = (
         frequent.groupBy("key")
-        .agg(F.min(F.struct("doc", "n", "pure")).alias("hub"), F.max("doc").alias("last"))
+        .agg(F.min(F.struct("doc", "n", "rare")).alias("hub"), F.max("doc").alias("last"))
         .where("hub.doc < last")
     )
     placed = frequent.join(hubs, "key").select(
-        "key", "doc", "n", "pure", F.col("hub.doc").alias("hub"), F.col("hub.n").alias("hub_n"),
-        F.col("hub.pure").alias("hub_pure"),
+        "key", "doc", "n", "rare", F.col("hub.doc").alias("hub"), F.col("hub.n").alias("hub_n"),
+        F.col("hub.rare").alias("hub_rare"),
     )
     placed.write.parquet(f"{path}/frequent")
-    return stored.where("hub is not null").unionAll(spark.read.schema(schema).parquet(f"{path}/frequent"))
+    both = stored.where("hub is not null").withColumn("single", F.lit(1))
+    return both.unionAll(
+        spark.read.schema(schema).parquet(f"{path}/frequent").withColumn("single", F.lit(0))
+    )
 
 
 # --- verification -----------------------------------------------------------------------------
@@ -468,16 +476,23 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _needed(na: Column, nb: Column) -> Column:
-    """Fewest common keys of a linked pair whose prefixes hold rare tokens only."""
-    total = F.ceil((na + nb) * PERCENT / (100 + PERCENT) - F.lit(1e-9))
-    outside = F.greatest(F.ceil(na * PERCENT / 100 - 1e-9), F.ceil(nb * PERCENT / 100 - 1e-9)) - 1
-    return F.greatest(F.lit(1), total - outside)
+def _prefix(n: Column) -> Column:
+    return n - F.ceil(n * PERCENT / 100 - 1e-9) + 1
+
+
+def _can_link(na: Column, ra: Column, nb: Column, rb: Column, singles: Column) -> Column:
+    """Whether two sets can link that have at most ``singles`` rare keys in common.
+
+    Rare tokens in common are keys in common or lie beyond a prefix; frequent ones are at most
+    those of the set with fewer.
+    """
+    beyond = F.greatest(F.lit(0), ra - _prefix(na), rb - _prefix(nb))
+    most = F.least(ra, rb, singles + beyond) + F.least(na - ra, nb - rb)
+    needed = F.ceil((na + nb) * PERCENT / (100 + PERCENT) - 1e-9)
+    return (100 * na >= PERCENT * nb) & (100 * nb >= PERCENT * na) & (most >= needed)
 
 
-def _plausible(na: Column, nb: Column, pure: Column, common: Column) -> Column:
-    sizes = (100 * na >= PERCENT * nb) & (100 * nb >= PERCENT * na)
-    return sizes & (~pure | (common >= _needed(na, nb)))
+_ENTRY = ["key", "doc", "n", "rare", "single"]
 
 
 def _open_groups(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -487,7 +502,7 @@ def _open_groups(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
     else:
         known = entries.join(labels, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
     span = known.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi")
-    return known.join(span.select("key"), "key", "left_semi").select("key", "doc", "n", "pure", "comp")
+    return known.join(span.select("key"), "key", "left_semi").select(*_ENTRY, "comp")
 
 
 def _unresolved(keyed: DataFrame, counted: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -506,44 +521,56 @@ def _unresolved(keyed: DataFrame, counted: DataFrame, labels: DataFrame | None)
             .select("doc", "hub")
         )
     keys = keyed.join(pairs, ["doc", "hub"], "left_semi").select("key").distinct()
-    return keyed.select("key", "doc", "n", "pure").join(keys, "key", "left_semi")
+    return keyed.select(*_ENTRY).join(keys, "key", "left_semi")
 
 
 def _best_hubs(counted: DataFrame) -> DataFrame:
-    """Each document with its best hub: the hub of most of its groups."""
-    pure = F.col("pure") & F.col("hub_pure")
+    """Each document with its ``HUBS`` best hubs: those of most of its groups."""
+    sizes = [F.col(c) for c in ("n", "rare", "hub_n", "hub_rare")]
     return (
-        counted.where(_plausible(F.col("n"), F.col("hub_n"), pure, F.col("m")))
+        counted.where(_can_link(*sizes, F.col("singles")))
         .groupBy(F.col("doc").alias("a"))
-        .agg(F.max_by("hub", F.struct("m", -F.col("hub"))).alias("b"))
+        .agg(F.collect_list(F.struct("m", "hub")).alias("hubs"))
+        .select("a", F.explode(F.slice(F.sort_array("hubs", asc=False), 1, HUBS)).alias("h"))
+        .select("a", F.col("h.hub").alias("b"))
     )
 
 
-def _star_pairs(entries: DataFrame) -> DataFrame:
-    """Each document with its best hub, the hubs being the largest documents of their groups."""
-    hubs = entries.groupBy("key").agg(F.max(F.struct("doc", "n", "pure", "comp")).alias("h"))
+def _star_pairs(entries: DataFrame, turn: int) -> DataFrame:
+    """Each document with its best hubs; which document of a group is its hub changes by turn."""
+    place = F.xxhash64(F.lit(turn), "doc")
+    hubs = entries.groupBy("key").agg(F.min_by(F.struct("doc", "n", "rare", "comp"), place).alias("h"))
     return _best_hubs(
         entries.join(hubs, "key")
         .where("comp <> h.comp")
         .groupBy(
-            "doc", "n", "pure", F.col("h.doc").alias("hub"), F.col("h.n").alias("hub_n"),
-            F.col("h.pure").alias("hub_pure"),
+            "doc", "n", "rare", F.col("h.doc").alias("hub"), F.col("h.n").alias("hub_n"),
+            F.col("h.rare").alias("hub_rare"),
         )
-        .agg(F.count("*").alias("m"))
+        .agg(F.count("*").alias("m"), F.sum("single").alias("singles"))
     )
 
 
 def _cross_pairs(entries: DataFrame) -> DataFrame:
-    """All pairs of documents of different components that can link by their common keys."""
-    a = entries.select("key", *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "pure", "comp")])
-    b = entries.select("key", *[F.col(c).alias(f"{c}_b") for c in ("doc", "n", "pure", "comp")])
-    sizes = (100 * F.col("n_a") >= PERCENT * F.col("n_b")) & (100 * F.col("n_b") >= PERCENT * F.col("n_a"))
+    """All pairs of documents of different components that can link by their common keys.
+
+    The join itself bounds a pair by the fewer open rare keys of the two; counting the keys that
+    they really share then bounds it again.
+    """
+    own = entries.groupBy("doc").agg(F.sum("single").alias("singles"))
+    rows = entries.join(own, "doc")
+    fields = ["doc", "n", "rare", "comp", "single", "singles"]
+    a = rows.select("key", *[F.col(c).alias(f"{c}_a") for c in fields])
+    b = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in fields])
+    sizes = [F.col(c) for c in ("n_a", "rare_a", "n_b", "rare_b")]
+    at_most = F.least("singles_a", "singles_b")
+    joined = a.join(
+        b, (a["key"] == b["key"]) & (F.col("comp_a") < F.col("comp_b")) & _can_link(*sizes, at_most)
+    )
     return (
-        a.join(b, "key")
-        .where((F.col("comp_a") < F.col("comp_b")) & sizes)
-        .groupBy("doc_a", "doc_b", "n_a", "n_b", (F.col("pure_a") & F.col("pure_b")).alias("pure"))
-        .agg(F.count("*").alias("m"))
-        .where(_plausible(F.col("n_a"), F.col("n_b"), F.col("pure"), F.col("m")))
+        joined.groupBy("doc_a", "doc_b", "n_a", "n_b", "rare_a", "rare_b")
+        .agg(F.sum("single_a").alias("common"))
+        .where(_can_link(*sizes, F.col("common")))
         .select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
     )
 
@@ -570,28 +597,28 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     gone = copies.select(F.col("a").alias("doc"))
     counted = materialize(
         keyed.where("doc <> hub")
-        .groupBy("doc", "n", "pure", "hub", "hub_n", "hub_pure")
-        .agg(F.count("*").alias("m"))
+        .groupBy("doc", "n", "rare", "hub", "hub_n", "hub_rare")
+        .agg(F.count("*").alias("m"), F.sum("single").alias("singles"))
         .join(gone, "doc", "left_anti")
     )
     links, labels = copies, None
-    for step in ("first", "largest", "all"):
-        if step == "first":
-            pairs = _best_hubs(counted)
-        else:
-            if step == "largest":
-                entries = _unresolved(keyed, counted, labels).join(gone, "doc", "left_anti")
-            entries = materialize(_open_groups(entries.select("key", "doc", "n", "pure"), labels))
-            if entries.isEmpty():
-                break
-            pairs = _star_pairs(entries) if step == "largest" else _cross_pairs(entries)
-        pairs = materialize(pairs)
-        if pairs.isEmpty():
-            continue
+    pairs, turn, whole = materialize(_best_hubs(counted)), 0, False
+    while True:
         found = materialize(verify(known, pairs))
-        if not found.isEmpty():
+        news = not found.isEmpty()
+        if news:
             links = links.unionAll(found)
             labels = components(links)
+        if whole:
+            break
+        if turn == 0:
+            entries = _unresolved(keyed, counted, labels).join(gone, "doc", "left_anti")
+        entries = materialize(_open_groups(entries.select(*_ENTRY), labels))
+        if entries.isEmpty():
+            break
+        # Stars with other hubs go on while they find links; then all that is left is paired.
+        turn, whole = turn + 1, turn > 0 and not news
+        pairs = materialize(_cross_pairs(entries) if whole else _star_pairs(entries, turn))
     if labels is None and not links.isEmpty():
         labels = components(links)
     result = described.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"))
