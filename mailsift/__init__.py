@@ -29,6 +29,7 @@ from mailsift.functions.text import (
 )
 from mailsift.operators.augment import augment
 from mailsift.operators.corpus import expand_templates, sample_corpus
+from mailsift.operators.identity import with_email_id
 from mailsift.operators.metrics import (
     class_metrics,
     class_weights,
@@ -72,5 +73,5 @@ __all__ = [
     "score_batches", "score_job", "sequence_ids", "shuffled", "snapshot", "social_signals",
     "start_audit", "start_scoring", "stratified_split", "suspicious_urls", "token_ids", "tokens",
     "top_terms", "validate_emails", "validation_report", "verdicts", "with_decision",
-    "with_heuristic_score", "write_emails",
+    "with_email_id", "with_heuristic_score", "write_emails",
 ]

@@ -70,8 +70,8 @@ def next_steps(risky: Column) -> Column:
 
 
 def clamp(score: Column) -> Column:
-    """Score limited to [0, 1]."""
-    return F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0))
+    """Score limited to [0, 1]; a missing score stays missing."""
+    return F.when(score.isNotNull(), F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0)))
 
 
 def display_score(score: Column, digits: int = 3) -> Column:

@@ -81,12 +81,18 @@ def metrics_by_language(
 
 
 def log_loss(df: DataFrame, label: str = "label", score: str = "raw_score") -> DataFrame:
-    """Mean binary cross-entropy with probabilities clipped away from 0 and 1."""
+    """Mean binary cross-entropy with probabilities clipped away from 0 and 1.
+
+    Labelled rows without a score have no loss; ``n_unscored`` counts them.
+    """
     p = F.greatest(
         F.least(F.col(score), F.lit(1 - C.LOG_LOSS_EPSILON)), F.lit(C.LOG_LOSS_EPSILON)
     )
     loss = F.when(F.col(label) == 1, -F.log(p)).otherwise(-F.log(F.lit(1.0) - p))
-    return df.where(F.col(label).isNotNull()).agg(F.avg(loss).alias("log_loss"))
+    scored = F.when(F.col(score).isNotNull(), loss)
+    return df.where(F.col(label).isNotNull()).agg(
+        F.avg(scored).alias("log_loss"), F.count_if(F.col(score).isNull()).alias("n_unscored")
+    )
 
 
 def roc_by_language(

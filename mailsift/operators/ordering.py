@@ -15,6 +15,7 @@ of all rows). The bounds steer only how the work is divided; results are exact f
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import isfinite
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -27,8 +28,12 @@ RANGE_BUCKETS = 256
 
 
 def shuffle_key(id_col: str, seed: int) -> Column:
-    """Seeded pseudo-random ordering key: MD5 of ``seed:id``; the id must be unique."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    """Seeded pseudo-random ordering key: MD5 of ``seed:id``; the id must be unique.
+
+    A null id is an error at run time: rows without one cannot be told apart.
+    """
+    present = F.coalesce(F.col(id_col).cast("string"), F.raise_error(F.lit(f"null {id_col}")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), present))
 
 
 def hash_bucket(key: str, digits: int = HASH_BUCKET_DIGITS) -> Column:
@@ -37,16 +42,19 @@ def hash_bucket(key: str, digits: int = HASH_BUCKET_DIGITS) -> Column:
 
 
 def with_range_bucket(
-    df: DataFrame, value: str, bucket: str = "_bucket", n_buckets: int = RANGE_BUCKETS
+    df: DataFrame, value: str, bucket: str = "_bucket", n_buckets: int | None = None
 ) -> DataFrame:
     """Add an ordered bucket number for a numeric column, balanced over the rows of ``df``.
 
     Bounds come from one approximate-percentile aggregate (at most ``n_buckets`` numbers reach the
     driver). Rows with a null value get a null bucket.
     """
+    if n_buckets is None:
+        # Follows the shuffle partitions, so that ranges do not grow with the table.
+        n_buckets = max(RANGE_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shares = [i / n_buckets for i in range(1, n_buckets)]
     found = df.agg(F.percentile_approx(F.col(value).cast("double"), shares, 10_000)).first()[0]
-    bounds = sorted({b for b in (found or []) if b == b})
+    bounds = sorted({b for b in (found or []) if isfinite(b)})
     splits = [float("-inf"), *bounds, float("inf")]
     if len(splits) < 3:
         return df.withColumn(bucket, F.lit(0.0))

@@ -314,6 +314,10 @@ SELECT email_id, substr(email_text, 1, 60) || '...' AS preview FROM mails"""
     AS confidence, 0.9::DOUBLE AS threshold, heuristic_score > {cut} AS is_phishing,
   '{mode}' AS mode FROM scored""")
     found["confidence_threshold"] = f"{SCORED} {both[0]} UNION ALL {both[1]}"
+    found["assign_ids"] = """WITH bare AS (
+  SELECT text, lang, unnest(range(doc_id % 3 + 1)) AS copy FROM documents),
+d AS (SELECT text, lang, sha256(coalesce(text, chr(30)) || chr(31) || coalesce(lang, chr(30))) AS h FROM bare)
+SELECT h || '-' || row_number() OVER (PARTITION BY h) AS email_id, lang, length(text) AS n_chars FROM d"""
     found["display_scores"] = f"""{SCORED} SELECT email_id,
   greatest(least(heuristic_score * 1.5::DOUBLE - 0.25::DOUBLE, 1.0), 0.0) AS clamped,
   printf('%.3f', heuristic_score) AS score_3, printf('%.4f', heuristic_score) AS score_4,

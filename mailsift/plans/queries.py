@@ -23,6 +23,7 @@ from mailsift.functions.signals import (
     with_heuristic_score,
 )
 from mailsift.operators import augment, corpus, metrics, quality, split
+from mailsift.operators.identity import with_email_id
 from mailsift.operators.ordering import global_rank
 from mailsift.plans import scoring, training
 from mailsift.session import shared_path
@@ -553,7 +554,7 @@ def q_score_job(spark, sf):
         "email_text", F.when(kind != 0, F.col("email_text")).otherwise(" ")
     )
     out = shared_path(spark, "score-job")
-    paths = scoring.score_job(spark, some_blank, heuristic_scorer, out)
+    paths = scoring.score_job(spark, some_blank, heuristic_scorer, out, batch_id=0)
     assert set(paths) == {"predictions", "quarantine", "audit"}
     return reports.read_audit(spark, f"{out}/audit").select(
         "email_id", "label", "raw_score", "status"
@@ -627,6 +628,14 @@ def q_augment_all(spark, sf):
     ).agg(F.count("*").alias("n_rows"))
 
 
+def q_assign_ids(spark, sf):
+    """Ids for a table without any, whose rows occur once, twice or three times."""
+    copies = F.explode(F.sequence(F.lit(0), F.expr("cast(doc_id % 3 as int)")))
+    bare = table(spark, sf, "documents").select("text", "lang", copies.alias("_copy")).drop("_copy")
+    named = with_email_id(bare)
+    return named.select("email_id", "lang", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
     found = {

@@ -73,6 +73,10 @@ def verdicts(scored: DataFrame) -> DataFrame:
     Works without a model too: with no ``label`` column every mail counts as legitimate until its
     signals say otherwise.
     """
+    kinds = dict(scored.dtypes)
+    if "label" in kinds and kinds["label"] != "string":
+        # Not a predicted label: the true one of the table.
+        scored = scored.withColumnRenamed("label", "true_label")
     label = F.col("label") if "label" in scored.columns else F.lit(None).cast("string")
     return (
         social_signals(scored)
@@ -96,7 +100,7 @@ def score_batches(df: DataFrame, scorer: Scorer) -> tuple[DataFrame, DataFrame]:
 
 
 def score_job(
-    spark: SparkSession, df: DataFrame, scorer: Scorer, out: str, batch_id: int = 0
+    spark: SparkSession, df: DataFrame, scorer: Scorer, out: str, batch_id: int
 ) -> dict[str, str]:
     """Score a mail table: writes ``predictions``, ``quarantine`` and ``audit`` under ``out``.
 

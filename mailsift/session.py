@@ -29,12 +29,14 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None) -> Spar
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for intermediate data.
 
-    Read from the session. Only where the setting is absent, as in a bare local run, is a
-    temporary folder used.
+    Read from the session. Only in a local run without the setting is a temporary folder used; a
+    cluster without it is an error, because its executors would each write to their own disk.
     """
     configured = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError(f"{CHECKPOINT_SETTING} must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mailsift-"))
     return spark.sparkContext.getCheckpointDir()
 

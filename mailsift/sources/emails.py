@@ -40,13 +40,13 @@ def read_emails(
     path: str,
     fmt: str = "csv",
     keep_corrupt: bool = False,
-    merge_schema: bool = False,
+    merge_schema: bool = True,
 ) -> DataFrame:
     """A labelled mail table with every column it has; a missing path is an error.
 
     Types are never inferred: the known columns have theirs, all others are text. With
     ``keep_corrupt`` a row whose fields do not fit is kept whole in ``_corrupt_record``.
-    ``merge_schema`` is for Parquet tables to which later appends have added columns.
+    ``merge_schema`` shows columns that later appends have added to a Parquet table.
     """
     if fmt != "csv":
         return spark.read.format(fmt).option("mergeSchema", merge_schema).load(path)
