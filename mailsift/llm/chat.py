@@ -53,12 +53,14 @@ def events_of_turns(turns: DataFrame) -> DataFrame:
 def fold_events(log: DataFrame) -> DataFrame:
     """Final messages: ``conv_id, message, role, text``.
 
-    A message whose last reset is a ``regenerate`` and that got no delta since is left out.
+    The role of a message is the last one given. A message whose last reset is a ``regenerate`` and that got no delta since is left out.
     """
     own = Window.partitionBy("conv_id", "message").orderBy("seq", "kind", "text")
+    all_of = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     resets = F.when(F.col("kind") == "delta", 0).otherwise(1)
     epochs = log.select(
-        "conv_id", "message", "seq", "kind", "role",
+        "conv_id", "message", "seq", "kind",
+        F.last("role", ignorenulls=True).over(all_of).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
         F.sum(resets).over(own).alias("_epoch"),
         F.row_number().over(own).alias("_at"),
@@ -67,7 +69,7 @@ def fold_events(log: DataFrame) -> DataFrame:
     last = epochs.withColumn("_last", F.max("_epoch").over(every)).where("_epoch = _last")
     body = F.struct("_at", F.when(F.col("kind") == "regenerate", "").otherwise(F.col("text")).alias("text"))
     folded = last.groupBy("conv_id", "message").agg(
-        F.max(F.struct(F.col("role").isNotNull(), "_at", "role"))["role"].alias("role"),
+        F.max("role").alias("role"),
         F.array_sort(F.collect_list(body)).alias("_parts"),
         F.max(F.when(F.col("kind") != "regenerate", F.lit(True))).alias("_filled"),
     )

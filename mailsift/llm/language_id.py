@@ -119,8 +119,10 @@ def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tupl
     learned = counts.sum(axis=1) > 0
     languages = [x for x, ok in zip(languages, learned) if ok]
     counts = counts[learned] + SMOOTHING
+    if not languages:
+        return [], np.zeros((0, ORDERS << BITS), dtype=np.float32)
     shares = counts.reshape(len(languages), ORDERS, 1 << BITS)
-    logs = np.log(shares / shares.sum(axis=2, keepdims=True)) if languages else shares
+    logs = np.log(shares / shares.sum(axis=2, keepdims=True))
     return languages, logs.reshape(len(languages), -1).astype(np.float32)
 
 
