@@ -21,8 +21,7 @@ keys left are rows, grouped and joined by Spark, which splits skewed groups.
 
 *Links.* Copies (equal sets) are one representative. Stars first: in each group the documents are
 paired with one hub, each document is verified against its best hubs only, and components are
-merged; groups within one component are done. Stars with other hubs follow while they find links.
-What is left, pairs of different components, is
+merged; groups within one component are done. A second round takes other hubs. What is left, pairs of different components, is
 joined in full, thinned by the exact lower bound of common keys, and verified. So no pairs are
 made within what already hangs together, and no link between components is missed. Verification
 computes both sets again from the texts.
@@ -44,7 +43,7 @@ from mailsift.session import materialize, shared_path
 
 SHINGLE = 5
 PERCENT = 75
-SKETCH_BITS = 22
+SKETCH_BITS = 21
 CHUNK_BITS = 16  # counters in one row of the sketch
 BUCKET_KEYS = 2_000_000  # rare keys in one bucket, on average at most
 PIECE = 1 << 21  # bytes hashed at once
@@ -233,8 +232,10 @@ def classes_of(counters: np.ndarray) -> np.ndarray:
     """Class of each counter: 0 rare, otherwise the frequency's order of magnitude, base two."""
     typical = np.median(counters)
     usual = typical + 6 * np.sqrt(typical) + 8
-    grade = np.log2(np.maximum(counters, 1).astype(np.float64)).astype(np.uint8) + np.uint8(1)
-    return np.where(counters > usual, grade, np.uint8(0)).astype(np.uint8)
+    classes = np.zeros(len(counters), dtype=np.uint8)
+    frequent = np.nonzero(counters > usual)[0]
+    classes[frequent] = np.log2(counters[frequent].astype(np.float64)).astype(np.uint8) + 1
+    return classes
 
 
 # --- second pass: keys ------------------------------------------------------------------------
@@ -605,8 +606,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     pairs, turn, whole = materialize(_best_hubs(counted)), 0, False
     while True:
         found = materialize(verify(known, pairs))
-        news = not found.isEmpty()
-        if news:
+        if not found.isEmpty():
             links = links.unionAll(found)
             labels = components(links)
         if whole:
@@ -616,8 +616,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         entries = materialize(_open_groups(entries.select(*_ENTRY), labels))
         if entries.isEmpty():
             break
-        # Stars with other hubs go on while they find links; then all that is left is paired.
-        turn, whole = turn + 1, turn > 0 and not news
+        # One more round of stars with other hubs; then all that is left is paired.
+        turn, whole = turn + 1, turn > 0
         pairs = materialize(_cross_pairs(entries) if whole else _star_pairs(entries, turn))
     if labels is None and not links.isEmpty():
         labels = components(links)
