@@ -48,7 +48,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: No stage but the last could be said in SQL; tests compare each with a brute-force version.
+#: SQL cannot express the stages; tests compare their operators, one by one, with brute force.
 ORACLE_SQL = None
 
 
