@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import repeat
@@ -44,6 +45,9 @@ BLOCK_ITEMS = 8
 PART_WORDS = 1 << 20  # words of items in one broadcast
 CHUNK_ITEMS = 512  # items in one index
 GROUP_CHARS = 1_000_000
+PAIRS = 1 << 19  # words of passages whose bounds are added up at once
+CELLS = 1 << 22  # bounds of words in blocks that are held at once
+ROUNDING = 1e-4  # more than the rounding errors of a bound, so that pruning stays safe
 
 
 def words_of(text: str) -> list[str]:
@@ -55,6 +59,15 @@ def triples(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
+def previous_places(ids: np.ndarray) -> np.ndarray:
+    """For each place of an array, the last place before it with the same value, or -1."""
+    order = np.argsort(ids, kind="stable")
+    before = np.full(len(ids), -1, dtype=np.int64)
+    same = ids[order[1:]] == ids[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    return before
+
+
 @dataclass
 class Chunk:
     """An index of items of one length class."""
@@ -68,6 +81,41 @@ class Chunk:
     shares: np.ndarray  # their shares
     items: list[int]  # positions in ``Index.items``
 
+    def open_blocks(
+        self, ids: np.ndarray, before: np.ndarray, start: np.ndarray, end: np.ndarray
+    ) -> Iterator[tuple[int, np.ndarray]]:
+        """Passages that may reach the threshold, each with a flag per block that may hold an item.
+
+        A word counts once per passage, where it stands first. First the highest shares of the
+        words in any item are added up (WAND), then, for passages still open, those in each block.
+        """
+        size = end - start
+        ends = np.cumsum(size)
+        at = 0
+        while at < len(size):
+            # Passages of at most about PAIRS words together, at least one.
+            offset = ends[at] - size[at]
+            to = max(at + 1, int(np.searchsorted(ends, offset + PAIRS, side="right")))
+            own = np.repeat(np.arange(at, to), size[at:to])
+            place = np.arange(len(own)) - np.repeat(ends[at:to] - size[at:to] - offset, size[at:to])
+            place += start[own]
+            term = self.local[ids[place]]
+            kept = (term >= 0) & (before[place] < start[own])
+            own, place, term = own[kept], place[kept], term[kept]
+            reach = np.bincount(own - at, self.highest[ids[place]], minlength=to - at)
+            kept = reach[own - at] >= THRESHOLD - ROUNDING
+            own, term = own[kept], term[kept]
+            cuts = np.nonzero(np.diff(own, prepend=-1))[0]
+            step = max(1, CELLS // self.blocks.shape[1] // max(1, int(size[at:to].max())))
+            for k in range(0, len(cuts), step):
+                low = cuts[k]
+                high = cuts[k + step] if k + step < len(cuts) else len(own)
+                sums = np.add.reduceat(self.blocks[term[low:high]], cuts[k : k + step] - low, axis=0)
+                flags = sums >= THRESHOLD - ROUNDING
+                for row in np.nonzero(flags.any(axis=1))[0].tolist():
+                    yield int(own[cuts[k + row]]), flags[row]
+            at = to
+
 
 @dataclass
 class Item:
@@ -148,17 +196,17 @@ class Index:
         sizes = np.array([len(w) for w in words], dtype=np.int64)
         first = np.cumsum(sizes) - sizes
         found: list[dict[int, tuple[float, float, float, int]]] = [{} for _ in texts]
+        before = previous_places(ids)
         for chunk in self.chunks:
             stride = chunk.window // 2
-            bounds = np.concatenate([[0.0], np.cumsum(chunk.highest[ids])])
             n = np.where(sizes > 0, np.maximum(1, -(-(sizes - chunk.window) // stride) + 1), 0)
             text = np.repeat(np.arange(len(texts)), n)
             start = (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * stride
             end = np.minimum(start + chunk.window, sizes[text])
-            reach = bounds[first[text] + end] - bounds[first[text] + start]
-            for at in np.nonzero(reach >= THRESHOLD - 1e-6)[0].tolist():
+            begin = first[text]
+            for at, blocks in chunk.open_blocks(ids, before, begin + start, begin + end):
                 i, a, b = int(text[at]), int(start[at]), int(end[at])
-                for position, share in self._score(chunk, ids[first[i] + a : first[i] + b]):
+                for position, share in self._score(chunk, ids[first[i] + a : first[i] + b], blocks):
                     item = self.items[position]
                     near = triples(words[i][max(0, a - stride) : b + stride])
                     q = len(item.question & near) / len(item.question) if item.question else 1.0
@@ -169,19 +217,16 @@ class Index:
                             found[i][item.item_id] = row
         return found
 
-    def _score(self, chunk: Chunk, ids: np.ndarray) -> list[tuple[int, float]]:
-        """Items of a chunk that a passage reaches, with their exact shares."""
+    def _score(
+        self, chunk: Chunk, ids: np.ndarray, open_blocks: np.ndarray
+    ) -> list[tuple[int, float]]:
+        """Items of a chunk's open blocks that a passage reaches, with their exact shares."""
         rows = np.unique(chunk.local[ids])
         rows = rows[rows >= 0]
-        open_blocks = chunk.blocks[rows].sum(axis=0, dtype=np.float64) >= THRESHOLD - 1e-6
-        if not open_blocks.any():
-            return []
-        scores = np.zeros(len(chunk.items))
-        for row in rows:
-            a, b = chunk.starts[row], chunk.starts[row + 1]
-            numbers = chunk.posted[a:b]
-            kept = open_blocks[numbers // BLOCK_ITEMS]
-            scores[numbers[kept]] += chunk.shares[a:b][kept]
+        size = chunk.starts[rows + 1] - chunk.starts[rows]
+        own = np.repeat(chunk.starts[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        own = own[open_blocks[chunk.posted[own] // BLOCK_ITEMS]]
+        scores = np.bincount(chunk.posted[own], chunk.shares[own], minlength=len(chunk.items))
         hit = np.nonzero(scores >= THRESHOLD)[0]
         return [(chunk.items[i], float(scores[i])) for i in hit]
 
