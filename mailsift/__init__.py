@@ -60,7 +60,7 @@ from mailsift.sources.emails import (
 )
 from mailsift.sources.reports import load_model, read_audit, save_model
 from mailsift.streaming.monitor import monitor
-from mailsift.streaming.score import read_email_stream, start_audit, start_scoring
+from mailsift.streaming.score import read_email_stream, start_audit, start_rejects, start_scoring
 
 __all__ = [
     "append_csv", "append_emails", "append_single", "augment", "batch_rows", "class_metrics",
@@ -71,7 +71,7 @@ __all__ = [
     "padding_mask", "read_audit", "read_email_stream", "read_emails", "read_raw_text",
     "recommendation", "reject_blank", "roc_by_language", "sample_corpus", "save_model", "score",
     "score_batches", "score_job", "sequence_ids", "shuffled", "snapshot", "social_signals",
-    "start_audit", "start_scoring", "stratified_split", "suspicious_urls", "token_ids", "tokens",
+    "start_audit", "start_rejects", "start_scoring", "stratified_split", "suspicious_urls", "token_ids", "tokens",
     "top_terms", "validate_emails", "validation_report", "verdicts", "with_decision",
     "with_email_id", "with_heuristic_score", "write_emails",
 ]

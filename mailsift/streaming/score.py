@@ -46,17 +46,11 @@ def scored(emails: DataFrame, scorer: Scorer | None = None) -> DataFrame:
     return verdicts(score(good, scorer) if scorer is not None else good)
 
 
-def start_scoring(
-    emails: DataFrame,
-    out: str,
-    checkpoint: str,
-    scorer: Scorer | None = None,
-    available_now: bool = True,
+def _append(
+    rows: DataFrame, out: str, checkpoint: str, available_now: bool
 ) -> StreamingQuery:
-    """Append verdicts to a Parquet table; ``available_now`` ends after what is there."""
     writer = (
-        scored(emails, scorer)
-        .writeStream.format("parquet")
+        rows.writeStream.format("parquet")
         .outputMode("append")
         .option("path", out)
         .option("checkpointLocation", checkpoint)
@@ -64,6 +58,27 @@ def start_scoring(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def start_scoring(
+    emails: DataFrame,
+    out: str,
+    checkpoint: str,
+    scorer: Scorer | None = None,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Append verdicts to a Parquet table; ``available_now`` ends after what is there.
+
+    Blank mails get no verdict; ``start_rejects`` on the same stream writes them down.
+    """
+    return _append(scored(emails, scorer), out, checkpoint, available_now)
+
+
+def start_rejects(
+    emails: DataFrame, out: str, checkpoint: str, available_now: bool = True
+) -> StreamingQuery:
+    """Append the mails that ``start_scoring`` refuses, ``email_id, reason``, to a Parquet table."""
+    return _append(reject_blank(emails)[1], out, checkpoint, available_now)
+
+
 def start_audit(
     emails: DataFrame,
     out: str,

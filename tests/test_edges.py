@@ -7,6 +7,7 @@ from mailsift.operators.identity import with_email_id
 from mailsift.operators.ordering import with_range_bucket
 from mailsift.operators.split import stratified_split
 from mailsift.plans.scoring import verdicts
+from mailsift.streaming import score as stream
 
 
 def test_missing_score_stays_missing(spark):
@@ -39,3 +40,15 @@ def test_ids_make_the_split_exact(spark):
 def test_infinite_values_have_a_range(spark):
     df = spark.createDataFrame([(float("inf"),), (1.0,), (2.0,), (float("-inf"),)], "v double")
     assert with_range_bucket(df, "v").count() == 4
+
+
+def test_stream_rejects_are_written(spark, tmp_path):
+    mails = [(1, "act now"), (2, " "), (3, None), (4, "hello")]
+    rows = spark.createDataFrame([(*m, "en") for m in mails], stream.EMAIL_SCHEMA)
+    rows.write.parquet(str(tmp_path / "in"))
+    source = stream.read_email_stream(spark, str(tmp_path / "in"))
+    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
+    stream.start_scoring(source, good, str(tmp_path / "state")).awaitTermination()
+    stream.start_rejects(source, bad, str(tmp_path / "state2")).awaitTermination()
+    assert sorted(r.email_id for r in spark.read.parquet(good).collect()) == [1, 4]
+    assert sorted(map(tuple, spark.read.parquet(bad).collect())) == [(2, "EMPTY_TEXT"), (3, "EMPTY_TEXT")]
