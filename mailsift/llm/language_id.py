@@ -15,6 +15,8 @@ columns are neither read nor returned; equal rows give equal rows; texts are rea
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,7 +31,7 @@ EVIDENCE = 200  # n-grams that count in full for the score
 SMOOTHING = 0.5
 UNDETERMINED = "und"
 MIN_SCORE = 0.5  # below it a filter rejects a text
-GROUP_CHARS = 2_000_000  # characters scored at once
+GROUP_CHARS = 250_000  # characters scored at once, about 15 MB of arrays
 _MULTIPLIERS = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 
 
@@ -37,14 +39,45 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def hashed_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Columns of all n-grams of the texts, and the end of each text's part."""
-    lowered = [t.lower() for t in texts]
-    sizes = np.array([len(t) for t in lowered], dtype=np.int64)
-    joined = "".join(lowered).encode("utf-32-le", "surrogatepass")
+def units(texts: list[str]) -> list[tuple[int, str, int]]:
+    """Lower-cased pieces of the texts: number of the text, piece, n-grams' starts in it.
+
+    A long text is cut into pieces that overlap by one n-gram less a character, so its n-grams are
+    those of the whole text.
+    """
+    found = []
+    for i, text in enumerate(texts):
+        low = text.lower()
+        for at in range(0, len(low), GROUP_CHARS):
+            piece = low[at : at + GROUP_CHARS + ORDERS - 1]
+            found.append((i, piece, min(GROUP_CHARS, len(low) - at)))
+    return found
+
+
+def grouped(pieces: list[tuple[int, str, int]]) -> Iterator[list[tuple[int, str, int]]]:
+    """The pieces in groups of at most about ``GROUP_CHARS`` characters, or one piece."""
+    now, chars = [], 0
+    for piece in pieces:
+        if now and chars + piece[2] > GROUP_CHARS:
+            yield now
+            now, chars = [], 0
+        now.append(piece)
+        chars += piece[2]
+    if now:
+        yield now
+
+
+def hashed_grams(pieces: list[tuple[int, str, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of all n-grams of the pieces, and the end of each piece's part."""
+    sizes = np.array([len(text) for _, text, _ in pieces], dtype=np.int32)
+    joined = "".join([text for _, text, _ in pieces]).encode("utf-32-le", "surrogatepass")
     codes = np.frombuffer(joined, dtype=np.uint32)
-    owner_end = np.repeat(np.cumsum(sizes), sizes)
-    position = np.arange(len(codes))
+    ends = np.cumsum(sizes, dtype=np.int32)
+    starts = np.array([n for _, _, n in pieces], dtype=np.int32)
+    owner = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
+    position = np.arange(len(codes), dtype=np.int32)
+    is_start = position < np.repeat(ends - sizes + starts, sizes)
+    text_end = np.repeat(ends, sizes)
     columns, owners = [], []
     key = np.zeros(len(codes), dtype=np.uint32)
     for order in range(ORDERS):
@@ -52,29 +85,16 @@ def hashed_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if valid <= 0:
             break
         key = key[:valid] * np.uint32(31) + codes[order:] * _MULTIPLIERS[order]
-        inside = position[:valid] + order < owner_end[:valid]
+        inside = is_start[:valid] & (position[:valid] + order < text_end[:valid])
         mixed = (key ^ (key >> np.uint32(15))) * np.uint32(2654435761)
         column = (mixed >> np.uint32(32 - BITS)) + np.uint32(order << BITS)
         columns.append(column[inside])
-        owners.append(position[:valid][inside])
+        owners.append(owner[:valid][inside])
     if not columns:
-        return np.zeros(0, dtype=np.uint32), np.zeros(len(texts), dtype=np.int64)
+        return np.zeros(0, dtype=np.uint32), np.zeros(len(pieces), dtype=np.int64)
     column, owner = np.concatenate(columns), np.concatenate(owners)
-    text_of = np.repeat(np.arange(len(texts)), sizes)[owner]
-    order = np.argsort(text_of, kind="stable")
-    return column[order], np.cumsum(np.bincount(text_of, minlength=len(texts)))
-
-
-def grouped(texts: list[str]) -> list[list[int]]:
-    """Row numbers in groups of at most about ``GROUP_CHARS`` characters."""
-    groups, now, chars = [], [], 0
-    for i, t in enumerate(texts):
-        if now and chars + len(t) > GROUP_CHARS:
-            groups.append(now)
-            now, chars = [], 0
-        now.append(i)
-        chars += len(t)
-    return [*groups, now] if now else groups
+    order = np.argsort(owner, kind="stable")
+    return column[order], np.cumsum(np.bincount(owner, minlength=len(pieces)))
 
 
 def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:
@@ -90,8 +110,8 @@ def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tupl
                     by_lang.setdefault(lang, []).append(text)
             for lang, own in by_lang.items():
                 total = totals.setdefault(lang, np.zeros(ORDERS << BITS, dtype=np.int64))
-                for rows in grouped(own):
-                    columns, _ = hashed_grams([own[i] for i in rows])
+                for pieces in grouped(units(own)):
+                    columns, _ = hashed_grams(pieces)
                     total += np.bincount(columns, minlength=ORDERS << BITS)
         for lang, total in totals.items():
             at = np.nonzero(total)[0]
@@ -130,19 +150,23 @@ def predict(languages: list[str], logs: np.ndarray, texts: list[str | None]) ->
     """The language and the score of each text."""
     predicted, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
     rows = [i for i, t in enumerate(texts) if has_letter(t)] if languages else []
-    for group in grouped([texts[i] for i in rows]):
-        own = [rows[i] for i in group]
-        columns, ends = hashed_grams([texts[i] for i in own])
+    if not rows:
+        return predicted, scores
+    sums, sizes = np.zeros((len(languages), len(rows))), np.zeros(len(rows))
+    for pieces in grouped(units([texts[i] for i in rows])):
+        columns, ends = hashed_grams(pieces)
         starts = np.concatenate([[0], ends[:-1]])
-        sums = np.stack([np.add.reduceat(log[columns], starts, dtype=np.float64) for log in logs])
-        sizes = ends - starts
-        scaled = sums * np.minimum(1.0, EVIDENCE / sizes)
-        scaled -= scaled.max(axis=0)
-        odds = np.exp(scaled)
-        best = sums.argmax(axis=0)
-        share = odds[best, np.arange(len(own))] / odds.sum(axis=0)
-        for i, b, s in zip(own, best.tolist(), share.tolist()):
-            predicted[i], scores[i] = languages[b], s
+        text_of = np.array([i for i, _, _ in pieces])
+        np.add.at(sizes, text_of, ends - starts)
+        for total, log in zip(sums, logs):
+            np.add.at(total, text_of, np.add.reduceat(log[columns], starts, dtype=np.float64))
+    scaled = sums * np.minimum(1.0, EVIDENCE / sizes)
+    scaled -= scaled.max(axis=0)
+    odds = np.exp(scaled)
+    best = sums.argmax(axis=0)
+    share = odds[best, np.arange(len(rows))] / odds.sum(axis=0)
+    for i, b, s in zip(rows, best.tolist(), share.tolist()):
+        predicted[i], scores[i] = languages[b], s
     return predicted, scores
 
 
