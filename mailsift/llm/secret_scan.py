@@ -2,9 +2,10 @@
 
 The text is the first layer. Each layer is searched for secrets and for encoded parts: percent
 escapes and Unicode escapes (the layer is taken over with the escapes replaced), base64 runs and,
-under base64, compressed data (the decoded part is a layer of its own). A layer that was already
-met at the same place of the text is not taken again, so the work ends also where a part decodes
-to itself. Spans of every layer are mapped to code points of the text.
+under base64, compressed data (the decoded part is a layer of its own). Compressed data is unpacked
+again while a header matches, with all members that follow each other in a stream. A layer that was
+already met at the same place of the text is not taken again, so the work ends also where a part
+decodes to itself. Spans of every layer are mapped to code points of the text.
 
 Defined results: a null text is empty and holds no secret; equal rows give equal rows; other
 columns are neither read nor returned by ``scan_secrets`` and are kept as they are by
@@ -188,27 +189,80 @@ def replaced(layer: Layer, pattern: re.Pattern, chars) -> Layer | None:
     return Layer("".join(out), layer, starts or [0], places or [whole(0, len(text))])
 
 
-def unpack(raw: bytes) -> tuple[bytes, bool] | None:
-    """Compressed bytes unpacked, and whether they were cut; None if they are not compressed."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or (raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
-            tool = zlib.decompressobj(47)
-            out = tool.decompress(raw, MAX_UNPACKED)
-            return (out, bool(tool.unconsumed_tail)) if out else None
-        if raw[:3] == b"BZh":
-            tool = bz2.BZ2Decompressor()
-        elif raw[:6] == b"\xfd7zXZ\x00":
-            tool = lzma.LZMADecompressor()
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(raw) as reader:
-                out = reader.read(MAX_UNPACKED)
-                return out, bool(reader.read(1))
-        else:
-            return None
-        out = tool.decompress(raw, MAX_UNPACKED)
-        return out, not tool.eof and not tool.needs_input
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-        return None
+def opener(raw: bytes, at: int):
+    """A decompressor for the stream that begins there, by its header; None if none begins."""
+    head = raw[at : at + 6]
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(lzma.FORMAT_XZ)
+    if head[:4] == ZSTD:
+        return zstandard.ZstdDecompressor().decompressobj()
+    if len(head) > 1 and head[0] & 143 == 8 and (head[0] << 8 | head[1]) % 31 == 0:
+        return zlib.decompressobj(15)
+    return None
+
+
+def unpack(raw: bytes, at: int = 0) -> tuple[bytes, int, bool] | None:
+    """The stream that begins there, all members that follow each other included: the unpacked
+    bytes, where the stream ends, and whether it was cut. None if no stream begins there.
+
+    A stream that breaks off or fails later on gives what stands before; under the two bytes of a
+    zlib header, which texts have by chance too, one that fails gives nothing.
+    """
+    out, size, view = [], 0, memoryview(raw)
+    while (tool := opener(raw, at)) is not None:
+        is_zstd = raw[at : at + 4] == ZSTD
+        weak = not is_zstd and raw[at] & 143 == 8
+        end, step, own, before = at, FEED_ZSTD if is_zstd else FEED, 0, len(out)
+        try:
+            while not tool.eof and end < len(raw):
+                given = view[end : end + step]
+                end += len(given)
+                while True:
+                    if size > MAX_UNPACKED:
+                        return b"".join(out)[:MAX_UNPACKED], len(raw), True
+                    got = tool.decompress(given) if is_zstd else tool.decompress(given, PIECE)
+                    out.append(got)
+                    size, own = size + len(got), own + len(got)
+                    given = getattr(tool, "unconsumed_tail", b"")
+                    if tool.eof or not (given or (got and not is_zstd)):
+                        break
+        except FAILURES:
+            if weak or not own:
+                del out[before:]
+                break
+        if not (own or tool.eof):
+            break
+        at = end - len(tool.unused_data) if tool.eof else len(raw)
+    return (b"".join(out), at, False) if out else None
+
+
+def opened(raw: bytes) -> tuple[list[bytes], int]:
+    """What is packed in compressed bytes, unpacked until no header matches, and how many parts
+    were cut. Bytes that were met are not taken again. Empty if nothing is compressed."""
+    out, n_cut = [], 0
+    work, met = [raw], {raw}
+    while work:
+        part = work.pop()
+        found = unpack(part)
+        if found is None:
+            if part is not raw:
+                out.append(part)
+            continue
+        n_cut += found[2]
+        for below in (found[0], part[found[1] :]):
+            if below and below not in met:
+                met.add(below)
+                work.append(below)
+    return out, n_cut
+
+
+FAILURES = (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError)
+ZSTD = b"\x28\xb5\x2f\xfd"
+FEED, FEED_ZSTD, PIECE = 1 << 16, 1 << 8, 1 << 20  # zstd has no bound on what a call returns
 
 
 def readable(raw: bytes) -> str | None:
@@ -232,16 +286,13 @@ def packed_layers(layer: Layer) -> tuple[list[Layer], int]:
             raw = base64.b64decode(run + "=" * (-len(run) % 4))
         except binascii.Error:
             continue
-        unpacked, cut = unpack(raw) or (None, False)
+        unpacked, cut = opened(raw)
         n_cut += cut
-        if unpacked is not None:
-            text, place = unpacked.decode("utf-8", "replace"), whole(m.start(), m.end())
-        else:
-            text = readable(raw)
-            if text is None:
-                continue
-            place = in_base64(m.start(), m.end(), text)
-        out.append(Layer(text, layer, [0], [place]))
+        place = whole(m.start(), m.end())
+        for part in unpacked:
+            out.append(Layer(part.decode("utf-8", "replace"), layer, [0], [place]))
+        if not unpacked and (text := readable(raw)) is not None:
+            out.append(Layer(text, layer, [0], [in_base64(m.start(), m.end(), text)]))
     return out, n_cut
 
 

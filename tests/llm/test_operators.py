@@ -1,7 +1,9 @@
 """Operators for training data against brute force, on edge rows and random texts."""
 
 import base64
+import bz2
 import gzip
+import lzma
 import random
 import zlib
 
@@ -9,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -112,6 +115,28 @@ def test_secret_layers():
     assert secret_scan.masked("a token=abcdef1 b", [("assign", 2, 15)]) == "a [SECRET] b"
 
 
+PACKERS = [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress]
+
+
+def test_secret_layers_packed_twice_and_in_later_members():
+    secret = b"token=abcdef123456"
+
+    def kinds(raw):
+        inner = base64.b64encode(raw).decode()
+        base, spans, cut = secret_scan.all_spans(f"see {inner} end")
+        assert base == [] and cut == 0
+        return [(k, a, b) for k, a, b in spans] == [("assign", 4, 4 + len(inner))]
+
+    for outer in PACKERS:
+        assert kinds(outer(b"first member ") + outer(secret))
+        assert kinds(outer(b"token=abc") + outer(b"def123456"))
+        assert kinds(outer(b"first") + b"\x00" * 3 + b" " + secret)
+        for inner in PACKERS:
+            assert kinds(outer(inner(secret)))
+            assert kinds(outer(b"first") + inner(secret))
+            assert kinds(outer(inner(gzip.compress(b"x") + zlib.compress(secret))))
+
+
 def test_secret_scan_rows(spark):
     texts = [None, "", "PassWord: 'hunter22'", "ſecret=abcdefgh", "token=abc", "AKIA" + "A" * 16, "f" * 24, "f" * 23]
     rows = {r.doc_id: r for r in secret_scan.scan_secrets(documents(spark, texts)).collect()}
