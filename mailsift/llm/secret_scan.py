@@ -5,7 +5,9 @@ escapes and Unicode escapes (the layer is taken over with the escapes replaced),
 under base64, compressed data (the decoded part is a layer of its own). Compressed data is unpacked
 again while a header matches, with all members that follow each other in a stream. A layer that was
 already met at the same place of the text is not taken again, so the work ends also where a part
-decodes to itself. Spans of every layer are mapped to code points of the text.
+decodes to itself. A base64 run is decoded in all four alignments and over the breaks of wrapped
+lines; decoded bytes need not be text, and a compressed stream may begin anywhere in them. A run
+begins with 16 characters in a line at least. Spans of every layer are mapped to code points of the text.
 
 Defined results: a null text is empty and holds no secret; equal rows give equal rows; other
 columns are neither read nor returned by ``scan_secrets`` and are kept as they are by
@@ -16,13 +18,13 @@ a compressed part that unpacks to more is searched up to there and counted in ``
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import html
 import lzma
 import re
 import zlib
 from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -46,7 +48,12 @@ ESCAPE = re.compile(
     r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+"
     r"|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
 )
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+BASE64 = re.compile(r"([A-Za-z0-9+/_-]{16,})={0,2}")
+# A further line of a base64 run: a break, real or escaped, and characters up to the line's end.
+LINE = re.compile(
+    r"[ \t]*(?:\r\n?|\n|\\r\\n|\\n)[ \t>]*([A-Za-z0-9+/_-]+)"
+    r"(?:={1,2}|(?=[ \t]*(?:[\r\n]|\\[rn]|\Z)|[\"'<>()\[\]{},;.]))"
+)
 MAX_UNPACKED = 1 << 26  # bytes of one compressed part
 MASK = "[SECRET]"
 
@@ -98,13 +105,20 @@ def whole(first: int, last: int):
     return lambda start, end: (first, last)
 
 
-def in_base64(first: int, last: int, text: str):
-    """Characters of a decoded run, mapped to the characters that hold their bits."""
+def in_base64(lines: list[tuple[int, int]], skip: int, by: int = 0):
+    """Bytes of a run decoded from its character ``skip`` on, from byte ``by``, mapped to the
+    characters that hold their bits; ``lines`` are the spans of the run's lines."""
+    firsts = list(accumulate([b - a for a, b in lines], initial=0))
+    total = firsts.pop()
+
+    def at(number: int) -> int:
+        line = bisect_right(firsts, number) - 1
+        return lines[line][0] + number - firsts[line]
 
     def place(start: int, end: int) -> tuple[int, int]:
-        a = len(text[:start].encode())
-        b = a + len(text[start:end].encode())
-        return first + a * 8 // 6, min(last, first + -(-b * 8 // 6))
+        first = skip + (start + by) * 8 // 6
+        last = max(first + 1, skip - (-(end + by) * 8 // 6))
+        return at(first), at(min(total, last) - 1) + 1
 
     return place
 
@@ -205,14 +219,15 @@ def opener(raw: bytes, at: int):
     return None
 
 
-def unpack(raw: bytes, at: int = 0) -> tuple[bytes, int, bool] | None:
+def unpack(raw: bytes, at: int = 0) -> tuple[bytes, int, bool, bool] | None:
     """The stream that begins there, all members that follow each other included: the unpacked
-    bytes, where the stream ends, and whether it was cut. None if no stream begins there.
+    bytes, where the stream ends, whether it was cut, and whether it broke off. None if no stream
+    begins there.
 
     A stream that breaks off or fails later on gives what stands before; under the two bytes of a
     zlib header, which texts have by chance too, one that fails gives nothing.
     """
-    out, size, view = [], 0, memoryview(raw)
+    out, size, view, broken = [], 0, memoryview(raw), False
     while (tool := opener(raw, at)) is not None:
         is_zstd = raw[at : at + 4] == ZSTD
         weak = not is_zstd and raw[at] & 143 == 8
@@ -223,7 +238,7 @@ def unpack(raw: bytes, at: int = 0) -> tuple[bytes, int, bool] | None:
                 end += len(given)
                 while True:
                     if size > MAX_UNPACKED:
-                        return b"".join(out)[:MAX_UNPACKED], len(raw), True
+                        return b"".join(out)[:MAX_UNPACKED], len(raw), True, False
                     got = tool.decompress(given) if is_zstd else tool.decompress(given, PIECE)
                     out.append(got)
                     size, own = size + len(got), own + len(got)
@@ -236,63 +251,114 @@ def unpack(raw: bytes, at: int = 0) -> tuple[bytes, int, bool] | None:
                 break
         if not (own or tool.eof):
             break
-        at = end - len(tool.unused_data) if tool.eof else len(raw)
-    return (b"".join(out), at, False) if out else None
+        broken = not tool.eof
+        at = len(raw) if broken else end - len(tool.unused_data)
+    return (b"".join(out), at, False, broken) if size else None
 
 
-def opened(raw: bytes) -> tuple[list[bytes], int]:
-    """What is packed in compressed bytes, unpacked until no header matches, and how many parts
-    were cut. Bytes that were met are not taken again. Empty if nothing is compressed."""
+def opened(raw: bytes) -> tuple[list[tuple[int, int, bytes, bool]], int]:
+    """The parts of bytes, and how many of them were cut: start, end, what stands there, unpacked
+    until no header matches, and whether it was packed. Streams may begin anywhere; those that break
+    off are taken as plain bytes too. Bytes that were met at a place are not taken again there."""
     out, n_cut = [], 0
-    work, met = [raw], {raw}
+    work: list[tuple[bytes, tuple[int, int] | None]] = [(raw, None)]
+    met = set()
     while work:
-        part = work.pop()
-        found = unpack(part)
-        if found is None:
-            if part is not raw:
-                out.append(part)
-            continue
-        n_cut += found[2]
-        for below in (found[0], part[found[1] :]):
-            if below and below not in met:
-                met.add(below)
-                work.append(below)
+        part, place = work.pop()
+        at = plain = 0
+        ends = []
+        while (m := HEADER.search(part, at)) is not None:
+            at = m.start() + 1
+            if (found := unpack(part, m.start())) is None:
+                continue
+            below, end, cut, broken = found
+            n_cut += cut
+            own = place or (m.start(), end)
+            if (own, below) not in met:
+                met.add((own, below))
+                work.append((below, own))
+            if not broken:
+                ends.append((plain, m.start()))
+                plain = at = end
+        for a, b in [*ends, (plain, len(part))]:
+            if a < b:
+                out.append((*(place or (a, b)), part[a:b], place is not None))
     return out, n_cut
 
 
+def _zlib_headers() -> bytes:
+    """A pattern for the two bytes of every zlib header without a preset dictionary."""
+    pairs = [
+        bytes([a]) + bytes([b])
+        for a in range(8, 128, 16)
+        for b in range(256)
+        if (a << 8 | b) % 31 == 0 and not b & 32
+    ]
+    return b"|".join(map(re.escape, pairs))
+
+
+HEADER = re.compile(
+    rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|" + _zlib_headers(),
+    re.DOTALL,
+)
 FAILURES = (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError)
 ZSTD = b"\x28\xb5\x2f\xfd"
 FEED, FEED_ZSTD, PIECE = 1 << 16, 1 << 8, 1 << 20  # zstd has no bound on what a call returns
 
 
-def readable(raw: bytes) -> str | None:
-    """Bytes as text, if they are UTF-8 without control characters."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    bad = sum(ord(c) < 32 and c not in "\t\n\r" for c in text)
-    return text if text and not bad else None
+def starts_line(text: str, at: int) -> bool:
+    while at and text[at - 1] in " \t>":
+        at -= 1
+    return not at or text[at - 1] in "\r\n" or text[max(0, at - 2) : at] in ("\\n", "\\r")
+
+
+def base64_runs(text: str):
+    """The base64 runs of a text, each as the spans of its lines and its end with the padding.
+
+    Lines that follow each other and hold nothing else are one run: all of the first one's width,
+    but for the last one, which may be shorter, and the first one, where other text stands before.
+    """
+    at = 0
+    while (m := BASE64.search(text, at)) is not None:
+        start, end, padded = m.start(), m.end(1), m.end()
+        if text[start - 1 : start] == "\\" and text[start] in "nr":
+            start += 1
+        lines = [(start, end)]
+        width = end - start if starts_line(text, start) else None
+        while padded == end and (n := LINE.match(text, end)) is not None:
+            size = n.end(1) - n.start(1)
+            if width is not None and size > width:
+                break
+            lines.append(n.span(1))
+            end, padded = n.end(1), n.end()
+            if width is not None and size < width:
+                break
+            width = size
+        yield lines, padded
+        at = padded
 
 
 def packed_layers(layer: Layer) -> tuple[list[Layer], int]:
-    """Layers under the base64 runs of a layer, and how many unpacked parts were cut."""
+    """Layers under the base64 runs of a layer, and how many unpacked parts were cut.
+
+    What stands before a run may belong to its alphabet, so each run is decoded from each of its
+    first four characters. Bytes are read as Latin-1: all that is searched for is ASCII, and a
+    position is a byte then, whatever the bytes around it are.
+    """
     out, n_cut = [], 0
-    for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").translate(URL_SAFE)
-        if len(run) % 4 == 1:
-            run = run[:-1]
-        try:
-            raw = base64.b64decode(run + "=" * (-len(run) % 4))
-        except binascii.Error:
-            continue
-        unpacked, cut = opened(raw)
-        n_cut += cut
-        place = whole(m.start(), m.end())
-        for part in unpacked:
-            out.append(Layer(part.decode("utf-8", "replace"), layer, [0], [place]))
-        if not unpacked and (text := readable(raw)) is not None:
-            out.append(Layer(text, layer, [0], [in_base64(m.start(), m.end(), text)]))
+    for lines, end in base64_runs(layer.text):
+        run = "".join([layer.text[a:b] for a, b in lines]).translate(URL_SAFE)
+        for skip in range(4):
+            size = len(run) - skip
+            size -= size % 4 == 1
+            raw = base64.b64decode(run[skip : skip + size] + "=" * (-size % 4))
+            place = in_base64(lines, skip)
+            parts, cut = opened(raw)
+            n_cut += cut
+            for a, b, part, packed in parts:
+                first, last = place(a, b)
+                own = whole(first, end if b == len(raw) else last) if packed else in_base64(lines, skip, a)
+                out.append(Layer(part.decode("latin-1"), layer, [0], [own]))
     return out, n_cut
 
 

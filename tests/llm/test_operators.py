@@ -130,13 +130,52 @@ def test_secret_layers_packed_twice_and_in_later_members():
     for outer in PACKERS:
         assert kinds(outer(b"first member ") + outer(secret))
         assert kinds(outer(b"token=abc") + outer(b"def123456"))
-        assert kinds(outer(b"first") + b"\x00" * 3 + b" " + secret)
+        text = base64.b64encode(outer(b"first") + b"\x00" * 3 + b" " + secret).decode()
+        assert [s[0] for s in secret_scan.all_spans(text)[1]] == ["assign"]
         for inner in PACKERS:
             assert kinds(outer(inner(secret)))
             assert kinds(outer(b"first") + inner(secret))
             assert kinds(outer(inner(gzip.compress(b"x") + zlib.compress(secret))))
 
 
+def test_secret_layers_in_glued_wrapped_and_binary_runs():
+    secret = b"token=abcdef123456"
+
+    def spans_in(text):
+        base, spans, cut = secret_scan.all_spans(text)
+        assert base == [] and cut == 0
+        return spans
+
+    plain = base64.b64encode(secret).decode()
+    for before in ("https://h/dl/", "sess-", "key_", "x/", "abcd", "a", "\\n"):
+        for after in ("", "/x", " y"):
+            at = len(before)
+            assert spans_in(f"{before}{plain}{after}") == [("assign", at, at + 24)]
+            for pack in PACKERS:
+                inner = base64.b64encode(pack(secret)).decode()
+                (kind, a, b), *others = spans_in(f"{before}{inner}{after}")
+                assert not others and kind == "assign" and a == at
+                assert 0 <= b - at - len(inner.rstrip("=")) <= 2
+    for raw in (b"\x00" + secret, b"\xff\xfe" + secret + b"\x01", "é\x07".encode() + secret):
+        inner = base64.b64encode(raw).decode()
+        (kind, a, b), = spans_in(f"é {inner} z")
+        start = raw.index(secret)
+        assert (kind, a, b) == ("assign", 2 + start * 8 // 6, 2 - (-(start + 18) * 8 // 6))
+    rng = random.Random(7)
+    noise = "".join(rng.choice("ghijk mnop") for _ in range(300)).encode()
+    for stop in ("\n", "\r\n", "\n  ", "\n> ", "\\n"):
+        for size in range(40, 60):
+            for raw in (b" " * size + secret, gzip.compress(noise + secret)):
+                inner = base64.b64encode(raw).decode()
+                text = "Data:" + stop + stop.join(inner[i : i + 76] for i in range(0, len(inner), 76)) + stop
+                (kind, a, b), = spans_in(text)
+                got = text[a:b].replace(stop, "").replace("=", "")
+                if raw[:1] == b" ":
+                    assert got == inner[size * 8 // 6 : -(-(size + 18) * 8 // 6)].replace("=", "")
+                else:
+                    assert got == inner.replace("=", "")
+
+
 def test_secret_scan_rows(spark):
     texts = [None, "", "PassWord: 'hunter22'", "ſecret=abcdefgh", "token=abc", "AKIA" + "A" * 16, "f" * 24, "f" * 23]
     rows = {r.doc_id: r for r in secret_scan.scan_secrets(documents(spark, texts)).collect()}
