@@ -1,4 +1,8 @@
-"""Toxicity from the nearest labelled examples under exact TF-IDF cosine.
+"""Toxicity from the nearest labelled examples under the exact cosine of selected terms' idf.
+
+This is not the TF-IDF cosine of whole texts: terms count once, and only terms that go with the
+toxic label make up the vectors, so an example or a text without any has no neighbours. The README
+has the figures of both.
 
 Fitting is bounded: at most ``EXAMPLES`` labelled rows of each class, the first by the hash of
 their ids, are the examples; the terms (words and word beginnings) are those whose presence goes

@@ -259,6 +259,33 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score_toxicity(df, None).collect()} == {0.0}
 
 
+def test_nearest_equals_brute_force_cosine():
+    rng = random.Random(8)
+    idf = {f"t{i}": rng.uniform(0.1, 5) for i in range(60)}
+    pick = lambda: sorted(rng.sample(sorted(idf), rng.randint(1, 12)))
+    rows = [(i, rng.randint(0, 1), pick()) for i in range(400)]
+    rows += [(400 + i, 1, rows[i][2]) for i in range(40)]  # copies tie
+    index = toxicity.Examples(idf, rows, {0: 2.0, 1: 1.0}, 0.1)
+    terms = {r[0]: set(r[2]) for r in rows}
+
+    def norm(own):
+        return sum(idf[t] ** 2 for t in own) ** 0.5
+
+    for _ in range(200):
+        query = pick()
+        want = []
+        for number, i in enumerate(index.ids):
+            cosine = sum(idf[t] ** 2 for t in terms[i].intersection(query)) / norm(terms[i]) / norm(query)
+            if cosine > 0:
+                want.append((-cosine, number))
+        want = sorted(want)[: toxicity.NEIGHBOURS]
+        near = index.nearest(query)
+        assert [c for c, _ in near] == pytest.approx([-c for c, _ in want], abs=1e-8)
+        for cosine, number in near:
+            own = terms[index.ids[number]]
+            assert cosine == pytest.approx(sum(idf[t] ** 2 for t in own.intersection(query)) / norm(own) / norm(query), abs=1e-8)
+
+
 def brute_components(texts):
     import re
 
