@@ -12,7 +12,8 @@ begins with 16 characters in a line at least. Spans of every layer are mapped to
 Defined results: a null text is empty and holds no secret; equal rows give equal rows; other
 columns are neither read nor returned by ``scan_secrets`` and are kept as they are by
 ``redact_secrets``. Whole texts are searched. ``MAX_UNPACKED`` guards against compression bombs:
-a compressed part that unpacks to more is searched up to there and counted in ``n_cut``.
+a compressed part that unpacks to more is searched up to there and counted in ``n_cut``, and
+``redact_secrets`` replaces its whole run.
 """
 
 from __future__ import annotations
@@ -256,11 +257,11 @@ def unpack(raw: bytes, at: int = 0) -> tuple[bytes, int, bool, bool] | None:
     return (b"".join(out), at, False, broken) if size else None
 
 
-def opened(raw: bytes) -> tuple[list[tuple[int, int, bytes, bool]], int]:
-    """The parts of bytes, and how many of them were cut: start, end, what stands there, unpacked
+def opened(raw: bytes) -> tuple[list[tuple[int, int, bytes, bool]], list[tuple[int, int]]]:
+    """The parts of bytes, and the places of those that were cut: start, end, what stands there, unpacked
     until no header matches, and whether it was packed. Streams may begin anywhere; those that break
     off are taken as plain bytes too. Bytes that were met at a place are not taken again there."""
-    out, n_cut = [], 0
+    out, cuts = [], []
     work: list[tuple[bytes, tuple[int, int] | None]] = [(raw, None)]
     met = set()
     while work:
@@ -272,8 +273,9 @@ def opened(raw: bytes) -> tuple[list[tuple[int, int, bytes, bool]], int]:
             if (found := unpack(part, m.start())) is None:
                 continue
             below, end, cut, broken = found
-            n_cut += cut
             own = place or (m.start(), end)
+            if cut:
+                cuts.append(own)
             if (own, below) not in met:
                 met.add((own, below))
                 work.append((below, own))
@@ -283,7 +285,7 @@ def opened(raw: bytes) -> tuple[list[tuple[int, int, bytes, bool]], int]:
         for a, b in [*ends, (plain, len(part))]:
             if a < b:
                 out.append((*(place or (a, b)), part[a:b], place is not None))
-    return out, n_cut
+    return out, cuts
 
 
 def _zlib_headers() -> bytes:
@@ -338,14 +340,14 @@ def base64_runs(text: str):
         at = padded
 
 
-def packed_layers(layer: Layer) -> tuple[list[Layer], int]:
-    """Layers under the base64 runs of a layer, and how many unpacked parts were cut.
+def packed_layers(layer: Layer) -> tuple[list[Layer], list[tuple[int, int]]]:
+    """Layers under the base64 runs of a layer, and where unpacked parts were cut.
 
     What stands before a run may belong to its alphabet, so each run is decoded from each of its
     first four characters. Bytes are read as Latin-1: all that is searched for is ASCII, and a
     position is a byte then, whatever the bytes around it are.
     """
-    out, n_cut = [], 0
+    out, all_cuts = [], []
     for lines, end in base64_runs(layer.text):
         run = "".join([layer.text[a:b] for a, b in lines]).translate(URL_SAFE)
         for skip in range(4):
@@ -353,13 +355,13 @@ def packed_layers(layer: Layer) -> tuple[list[Layer], int]:
             size -= size % 4 == 1
             raw = base64.b64decode(run[skip : skip + size] + "=" * (-size % 4))
             place = in_base64(lines, skip)
-            parts, cut = opened(raw)
-            n_cut += cut
+            parts, cuts = opened(raw)
+            all_cuts += [(place(a, b)[0], end) for a, b in cuts]
             for a, b, part, packed in parts:
                 first, last = place(a, b)
                 own = whole(first, end if b == len(raw) else last) if packed else in_base64(lines, skip, a)
                 out.append(Layer(part.decode("latin-1"), layer, [0], [own]))
-    return out, n_cut
+    return out, all_cuts
 
 
 URL_SAFE = str.maketrans("-_", "+/")
@@ -367,13 +369,19 @@ URL_SAFE = str.maketrans("-_", "+/")
 
 def all_spans(text: str) -> tuple[list[Span], list[Span], int]:
     """Base secrets, secrets of all layers (base ones included), unpacked parts that were cut."""
+    base, spans, cuts = scanned(text)
+    return base, spans, len(cuts)
+
+
+def scanned(text: str) -> tuple[list[Span], list[Span], list[tuple[int, int]]]:
+    """As ``all_spans``, with the places of the parts that were cut."""
     base = sorted_spans(find_in(text))
-    spans, n_cut = set(base), 0
+    spans, all_cuts = set(base), []
     work, met = [Layer(text, None, [0], [])], {(text, 0, len(text))}
     while work:
         layer = work.pop()
-        below, cut = packed_layers(layer)
-        n_cut += cut
+        below, cuts = packed_layers(layer)
+        all_cuts += [layer.to_row(a, b) for a, b in cuts]
         if "%" in layer.text:
             below.append(replaced(layer, PERCENT, percent_chars))
         if "\\" in layer.text or "&#" in layer.text:
@@ -387,7 +395,7 @@ def all_spans(text: str) -> tuple[list[Span], list[Span], int]:
             met.add(key)
             work.append(child)
             spans.update((k, *child.to_row(a, b)) for k, a, b in find_in(child.text))
-    return base, sorted_spans(spans), n_cut
+    return base, sorted_spans(spans), all_cuts
 
 
 def sorted_spans(spans) -> list[Span]:
@@ -440,6 +448,12 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def redacted(text: str, mask: str = MASK) -> str:
+    """The text without secrets, and without the parts that were not searched to their end."""
+    _, spans, cuts = scanned(text)
+    return masked(text, sorted([*spans, *[("cut", a, b) for a, b in cuts]], key=lambda s: s[1]), mask)
+
+
 def redact_secrets(df: DataFrame, text_col: str = "text", mask: str = MASK) -> DataFrame:
     """All rows and columns of ``df``; every span in the text is replaced. A null stays null."""
     position = df.columns.index(text_col)
@@ -448,7 +462,7 @@ def redact_secrets(df: DataFrame, text_col: str = "text", mask: str = MASK) -> D
         def clean(text: str | None) -> str | None:
             if not text:
                 return text
-            return masked(text, all_spans(text)[1], mask)
+            return redacted(text, mask)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             columns = list(batch.columns)

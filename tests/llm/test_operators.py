@@ -176,6 +176,18 @@ def test_secret_layers_in_glued_wrapped_and_binary_runs():
                     assert got == inner.replace("=", "")
 
 
+def test_redaction_replaces_runs_that_were_cut(monkeypatch):
+    monkeypatch.setattr(secret_scan, "MAX_UNPACKED", 1 << 12)
+    raw = b"word " * (1 << 19) + b"token=abcdef123456"
+    for data in (gzip.compress(raw), gzip.compress(gzip.compress(raw) * 99), b"x" + zlib.compress(raw)):
+        text = f"é {base64.b64encode(data).decode()} end"
+        assert secret_scan.all_spans(text)[1:] == ([], 1)
+        out = secret_scan.redacted(text)
+        assert out.startswith("é ") and out.endswith("[SECRET] end") and len(out) < 20
+    escaped = "".join(f"%{ord(c):02X}" for c in base64.b64encode(gzip.compress(raw)).decode())
+    assert secret_scan.redacted(f"a {escaped} b") == "a [SECRET] b"
+
+
 def test_secret_scan_rows(spark):
     texts = [None, "", "PassWord: 'hunter22'", "ſecret=abcdefgh", "token=abc", "AKIA" + "A" * 16, "f" * 24, "f" * 23]
     rows = {r.doc_id: r for r in secret_scan.scan_secrets(documents(spark, texts)).collect()}
