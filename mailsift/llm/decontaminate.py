@@ -27,7 +27,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -54,11 +54,21 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def triples(words: list[str]) -> set[tuple[str, ...]]:
-    n = min(3, len(words))
+def triples(words: list[str], n: int = 3) -> set[tuple[str, ...]]:
+    """The runs of ``n`` words; none where there are fewer words."""
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
+def own_triples(words: list[str]) -> set[tuple[str, ...]]:
+    """The triples of a part of an item; its pair or its only word if it has no three words."""
+    return triples(words, min(3, len(words)))
+
+
+def overlap(own: set[tuple[str, ...]], near: dict[int, set]) -> float:
+    """The share of an item's tuples that stand in a passage, whose tuples are given by size."""
+    return len(own & near[len(next(iter(own)))]) / len(own) if own else 1.0
+
+
 def previous_places(ids: np.ndarray) -> np.ndarray:
     """For each place of an array, the last place before it with the same value, or -1."""
     order = np.argsort(ids, kind="stable")
@@ -139,8 +149,8 @@ class Index:
             cut = len(words) - tail
             needed = OVERLAP if len(words) >= SHORT_ITEM else 1.0
             # The answer's triples reach back over the cut, so that short answers have some.
-            answer = triples(words[max(0, min(cut, len(words) - 3)) :])
-            self.items.append(Item(item_id, triples(words[:cut]), answer, needed))
+            answer = own_triples(words[max(0, min(cut, len(words) - 3)) :])
+            self.items.append(Item(item_id, own_triples(words[:cut]), answer, needed))
             size = 0
             while len(words) > CLASS_WORDS << size:
                 size += 1
@@ -208,9 +218,10 @@ class Index:
                 i, a, b = int(text[at]), int(start[at]), int(end[at])
                 for position, share in self._score(chunk, ids[first[i] + a : first[i] + b], blocks):
                     item = self.items[position]
-                    near = triples(words[i][max(0, a - stride) : b + stride])
-                    q = len(item.question & near) / len(item.question) if item.question else 1.0
-                    r = len(item.answer & near) / len(item.answer) if item.answer else 1.0
+                    passage = words[i][max(0, a - stride) : b + stride]
+                    sizes_of = {len(t) for own in (item.question, item.answer) for t in islice(own, 1)}
+                    near = {n: triples(passage, n) for n in sizes_of}
+                    q, r = overlap(item.question, near), overlap(item.answer, near)
                     if q >= item.needed and r >= item.needed:
                         row = (round(share, 6), q, r, a)
                         if row[:3] > found[i].get(item.item_id, (-1.0, 0.0, 0.0, 0))[:3]:

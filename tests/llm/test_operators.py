@@ -255,6 +255,25 @@ def test_decontamination(spark):
     assert decontaminate.find_contamination(documents(spark, texts), []).count() == 0
 
 
+def test_decontamination_of_short_items():
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    items = [rng.sample(words[:200], n) for n in (1, 2, 3, 4, 5, 7)]
+    rows = [(n, own, max(1, len(own) // 4)) for n, own in enumerate(items)]
+    long = rng.sample(words[:200], 14)
+    rows += [(10, long, 12), (11, long[:3], 2)]  # a question of two words; one of a single word
+    index = decontaminate.Index(rows)
+    noise = lambda: rng.choices(words[200:], k=rng.randint(0, 150))
+    for number, own, _ in rows:
+        text = " ".join([*noise(), *own, *noise()])
+        want = {i for i, other, _ in rows if any(own[k : k + len(other)] == other for k in range(len(own)))}
+        assert number in want and set(index.matches([text])[0]) == want
+        if 1 < len(own) < decontaminate.SHORT_ITEM:
+            broken = " ".join([*noise(), *own[:-1], words[-1], own[-1], *noise()])
+            assert number not in index.matches([broken])[0]
+    assert index.matches(["", " ".join(words[200:])]) == [{}, {}]
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
