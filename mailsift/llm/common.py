@@ -102,3 +102,32 @@ class TwoGenerations(dict):
         again = need & self.old.keys()
         self.update((k, self.old[k]) for k in again)
         return need - again
+
+
+_INDEX_BITS = 33  # monotonically_increasing_id: task number above, row number of the task below
+
+
+def place_in_order(df: DataFrame, order: list[Column], path: str) -> DataFrame:
+    """``df`` sorted over all tasks and stored at ``path``, with ``part`` and ``idx``.
+
+    Parts are ordered ranges and ``idx`` counts the rows of a part from 0, so the place of a row is
+    the size of all parts before its own plus ``idx``. Rows that are equal in ``order`` are told
+    apart by their place in the input, so many copies of a row do not make one large part.
+    """
+    by = [*order, F.col("_row")]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (
+        df.withColumn("_row", F.monotonically_increasing_id())
+        .repartitionByRange(parts, *by)
+        .sortWithinPartitions(*by)
+        .drop("_row")
+        .withColumn("_at", F.monotonically_increasing_id())
+        .write.parquet(path)
+    )
+    stored = df.sparkSession.read.parquet(path)
+    return stored.withColumns(
+        {
+            "part": F.shiftright("_at", _INDEX_BITS),
+            "idx": F.col("_at").bitwiseAND((1 << _INDEX_BITS) - 1),
+        }
+    ).drop("_at")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mailsift.llm import quality_rules as rules
+from mailsift.llm import merkle, mixing, quality_rules as rules, resampling
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -95,5 +95,149 @@ FROM f
 """
 
 
+def _crc(value: str) -> str:
+    """Unsigned CRC-32 of the UTF-8 bytes of a text; needs ``crc_table`` in the FROM clause."""
+    octets = f"list_transform(range(strlen({value})), lambda i: ('0x' || substr(hex(encode({value})), 2 * i + 1, 2))::BIGINT)"
+    step = "lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8)"
+    return f"xor(list_reduce([4294967295::BIGINT] || {octets}, {step}), 4294967295)"
+
+
+_CRC_TABLE = """crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS steps)"""
+
+
+def _features(name: str, table: str) -> str:
+    letters = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    return f"""
+{name}_words AS (
+  SELECT row_number() OVER () AS row, *, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), {letters}) AS ws
+  FROM {table}),
+{name} AS (
+  SELECT row, unnest(ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS feature FROM {name}_words)"""
+
+
+_N = resampling.BUCKETS
+OP11 = f"""
+WITH {_CRC_TABLE},
+{_features("docs", "documents")},
+{_features("target", "benchmark")},
+named AS (
+  SELECT feature, {_crc("feature")} % {_N} AS bucket
+  FROM (SELECT feature FROM docs UNION SELECT feature FROM target), crc_table),
+s AS (SELECT bucket, count(*) AS n FROM docs JOIN named USING (feature) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM target JOIN named USING (feature) GROUP BY bucket),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM docs) + {_N})
+    / ((s.n + 1)::DOUBLE * ((SELECT count(*) FROM target) + {_N})))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+summed AS (
+  SELECT row, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS total
+  FROM docs JOIN named USING (feature) JOIN gain USING (bucket) GROUP BY row),
+scored AS (
+  SELECT doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features,
+    CASE WHEN n_features IS NULL THEN 0 ELSE (total - ((total % n_features) + n_features) % n_features) // n_features END AS weight,
+    ('0x' || substr(sha256('{resampling.SEED}:' || doc_id), 1, 8))::BIGINT AS h
+  FROM docs_words LEFT JOIN summed USING (row)),
+noisy AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM scored),
+ranked AS (
+  SELECT *, n_words >= {resampling.MIN_WORDS} AND doc_id IS NOT NULL AS takes_part,
+    row_number() OVER (PARTITION BY n_words >= {resampling.MIN_WORDS} AND doc_id IS NOT NULL ORDER BY score DESC, doc_id) AS place
+  FROM noisy)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN takes_part AND place <= {resampling.PERCENT} * (SELECT count(*) FROM ranked WHERE takes_part) // 100 THEN place END AS rank
+FROM ranked
+"""
+
+OP12 = f"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORDS})) AS BIGINT) AS size,
+    sha256('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS hash
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    {list(mixing.WEIGHTS)}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1] AS weight
+  FROM sized GROUP BY source),
+ordered AS (
+  SELECT *, {mixing.MAX_EPOCHS} * source_size AS most,
+    row_number() OVER (ORDER BY {mixing.MAX_EPOCHS} * source_size / weight, source NULLS LAST) AS place
+  FROM sources),
+remaining AS (
+  SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(most) OVER before, 0) AS DOUBLE) AS words_left,
+    CAST(sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS DOUBLE) AS weight_left
+  FROM ordered WINDOW before AS (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (
+  SELECT words_left, weight_left, place AS first FROM remaining
+  WHERE most * weight_left > weight * words_left ORDER BY place LIMIT 1),
+targets AS (
+  SELECT source, source_size,
+    CASE WHEN place < coalesce(first, 1000000) THEN CAST(most AS DOUBLE) ELSE weight * level.words_left / level.weight_left END AS target
+  FROM remaining LEFT JOIN level ON true),
+placed AS (
+  SELECT sized.*, source_size, target, CAST(floor(target) AS BIGINT) AS goal,
+    CAST(coalesce(sum(size) OVER (PARTITION BY sized.source ORDER BY hash, doc_id NULLS FIRST, size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source)
+SELECT doc_id, size, source_size, target,
+  CASE WHEN size = 0 THEN 0
+    ELSE goal // source_size * size + greatest(0, least(size, goal % source_size - start)) END AS taken
+FROM placed
+"""
+
+
+def _levels(name: str, first: str, n_levels: int) -> str:
+    """Tables ``{name}0`` up to the roots, and ``{name}_path`` of each leaf's siblings by level."""
+    parts = [f"{name}0 AS ({first})"]
+    for k in range(n_levels):
+        parts.append(f"""{name}_runs{k} AS (
+  SELECT tree, pos // {merkle.FANOUT} AS pos, n, list(digest ORDER BY pos) AS ds FROM {name}{k} GROUP BY tree, pos // {merkle.FANOUT}, n)""")
+        parts.append(f"""{name}{k + 1} AS (
+  SELECT tree, pos, CAST(ceil(n / {merkle.FANOUT}) AS BIGINT) AS n,
+    CASE WHEN n > 1 THEN sha256(array_to_string(ds, '')) ELSE ds[1] END AS digest FROM {name}_runs{k})""")
+    steps, joins, at = [], [], "l.pos"
+    for k in range(n_levels):
+        joins.append(f"JOIN {name}_runs{k} r{k} ON r{k}.tree = l.tree AND r{k}.pos = l.pos // {merkle.FANOUT ** (k + 1)}")
+        place = f"(l.pos // {merkle.FANOUT ** k} % {merkle.FANOUT})"
+        steps.append(
+            f"{{'hashed': r{k}.n > 1, 'l': array_to_string(r{k}.ds[1:{place}], ''), 'r': array_to_string(r{k}.ds[{place} + 2:], '')}}"
+        )
+    parts.append(f"{name}_path AS (SELECT l.*, [{', '.join(steps)}] AS steps FROM {name}0 l {' '.join(joins)})")
+    return ",\n".join(parts)
+
+
+def _hashed_leaf(text: str) -> str:
+    fields = [text if f == "text" else f"CAST({f} AS VARCHAR)" for f in merkle.FIELDS]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+OP13_LEVELS = 5  # 16 ** 5 leaves of a source, and as many sources
+OP13 = f"""
+WITH {_CRC_TABLE},
+leaves AS (
+  SELECT doc_id, source, {_hashed_leaf("text")} AS leaf,
+    CASE WHEN {_crc("CAST(doc_id AS VARCHAR)")} % 5 = 0
+      THEN {_hashed_leaf(f"translate(text, '{_UPPER}', '{_LOWER}')")} ELSE {_hashed_leaf("text")} END AS found
+  FROM documents, crc_table),
+{_levels("t", """SELECT doc_id, found, coalesce('s' || source, '') AS tree, leaf AS digest,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY source) AS n FROM leaves""", OP13_LEVELS)},
+{_levels("u", f"SELECT tree AS name, 0 AS tree, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM t{OP13_LEVELS}", OP13_LEVELS)},
+paths AS (
+  SELECT t.doc_id, t.digest AS leaf, t.found, u.digest AS subroot, (SELECT digest FROM u{OP13_LEVELS}) AS root, t.steps || u.steps AS steps
+  FROM t_path t JOIN u_path u ON t.tree = u.name),
+folded AS (
+  SELECT *, list_reduce([{{'hashed': true, 'l': found, 'r': ''}}] || list_filter(steps, lambda s: s.hashed),
+    lambda a, s: {{'hashed': true, 'l': sha256(s.l || a.l || s.r), 'r': ''}}).l AS folded_root FROM paths)
+SELECT doc_id, leaf, subroot, root,
+  sha256(array_to_string(list_transform(list_filter(steps, lambda s: s.hashed), lambda s: s.l || s.r), '')) AS proof_sha256,
+  folded_root, folded_root = root AS verified
+FROM folded
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op2_jaccard_join": OP2, "op5_chat_formatting": OP5, "op10_quality_rules": OP10}
+    return {
+        "op2_jaccard_join": OP2, "op5_chat_formatting": OP5, "op10_quality_rules": OP10,
+        "op11_resampling": OP11, "op12_mixing": OP12, "op13_merkle_manifest": OP13,
+    }

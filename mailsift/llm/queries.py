@@ -14,8 +14,11 @@ from mailsift.llm import (
     decontaminate,
     jaccard_join,
     language_id,
+    merkle,
+    mixing,
     piece_counts,
     quality_rules,
+    resampling,
     secret_scan,
     token_files,
     toxicity,
@@ -91,6 +94,21 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf, "documents")).drop("clean_text")
 
 
+def op11_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resampling.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op12_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents")
+    tampered = [merkle.lowered(F.col(c)) if c == "text" else F.col(c) for c in merkle.FIELDS]
+    altered = F.when(fold("doc_id", 5) == 0, merkle.leaf_of(tampered))
+    return merkle.manifest(documents, altered)
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(own.items(), key=lambda x: int(x[0][2:].split("_")[0])))
