@@ -38,7 +38,6 @@ from mailsift.session import shared_path
 FANOUT_BITS = 4
 FANOUT = 1 << FANOUT_BITS
 LEVELS = 3  # of a block
-BLOCK_BITS = FANOUT_BITS * LEVELS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,10 +56,10 @@ def leaf_of(fields: list[Column]) -> Column:
 # --- sweeps over one block --------------------------------------------------------------------
 
 
-def height(n: int) -> int:
+def height(n: int, most: int = LEVELS) -> int:
     """Levels above the nodes of a block whose tree has ``n`` nodes on the block's lowest level."""
     levels = 0
-    while n > 1 and levels < LEVELS:
+    while n > 1 and levels < most:
         n, levels = -(-n // FANOUT), levels + 1
     return levels
 
@@ -159,40 +158,43 @@ def _put(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
-def climb(nodes: DataFrame, path: str) -> DataFrame:
+def climb(nodes: DataFrame, path: str, levels: int = LEVELS) -> DataFrame:
     """The roots of all blocks of ``nodes`` (``tree, pos, n, digest``), stored as the next round's nodes."""
     schema = pa.schema([("tree", pa.string()), ("pos", pa.int64()), ("n", pa.int64()), ("digest", pa.string())])
+    bits = FANOUT_BITS * levels
 
     def roots(batches):
         for (tree, block), own in groupby(_rows(batches), key=lambda r: (r[0], r[1])):
             rows = list(own)
             n = rows[0][3]
-            root, _ = sweep([r[4].encode() for r in rows], height(n))
-            yield tree, block, -(-n >> BLOCK_BITS) if n > 1 else n, root.decode()
+            root, _ = sweep([r[4].encode() for r in rows], height(n, levels))
+            yield tree, block, -(-n >> bits), root.decode()
 
-    dealt = _blocks(nodes.select("tree", F.shiftright("pos", BLOCK_BITS).alias("block"), "pos", "n", "digest"))
+    dealt = _blocks(nodes.select("tree", F.shiftright("pos", bits).alias("block"), "pos", "n", "digest"))
     map_stream(dealt, lambda batches: _put(roots(batches), schema), _NODE).write.parquet(path)
     return nodes.sparkSession.read.schema(_NODE).parquet(path)
 
 
-def grow(nodes: DataFrame, most: int, path: str) -> list[DataFrame]:
+def grow(nodes: DataFrame, most: int, path: str, levels: int = LEVELS) -> list[DataFrame]:
     """``nodes`` and the nodes of all further rounds; the last has one node per tree.
 
     ``most`` is the largest number of nodes that a tree has.
     """
     rounds = [nodes]
     while len(rounds) == 1 or most > 1:
-        rounds.append(climb(rounds[-1], f"{path}/round-{len(rounds)}"))
-        most = -(-most >> BLOCK_BITS)
+        rounds.append(climb(rounds[-1], f"{path}/round-{len(rounds)}", levels))
+        most = -(-most >> FANOUT_BITS * levels)
     return rounds
 
 
 _SUFFIX = "lefts array<string>, rights array<string>, subroot string, root string"
+_CHAIN_KINDS = f"tree string, pos bigint, {_SUFFIX}"
 _TEXTS = pa.list_(pa.string())
 
 
 def descend(
-    nodes: DataFrame, suffixes: DataFrame, keep: dict[str, str], finish: Callable, schema: pa.Schema, kinds: str
+    nodes: DataFrame, suffixes: DataFrame, keep: dict[str, str], finish: Callable, schema: pa.Schema, kinds: str,
+    levels: int = LEVELS,
 ) -> DataFrame:
     """Deliver the suffixes of a round's blocks (``tree, pos`` and ``_SUFFIX``) to their nodes.
 
@@ -201,7 +203,7 @@ def descend(
     """
     names = ["lefts", "rights", "subroot", "root"]
     nothing = {k: F.lit(None).cast(t) for k, t in keep.items()}
-    own = nodes.withColumns({"block": F.shiftright("pos", BLOCK_BITS)} | {c: F.lit(None) for c in names})
+    own = nodes.withColumns({"block": F.shiftright("pos", FANOUT_BITS * levels)} | {c: F.lit(None) for c in names})
     sent = suffixes.withColumns(
         {"block": F.col("pos"), "pos": F.lit(-1).cast("bigint"), "n": F.lit(None), "digest": F.lit(None), **nothing}
     )
@@ -215,9 +217,9 @@ def descend(
             suffix = None
             for left, right in zip(reversed(lefts), reversed(rights)):
                 suffix = Suffix(left.encode(), right.encode(), suffix)
-            levels = height(rows[0][3])
-            _, inner = sweep([r[4].encode() for r in rows], levels)
-            for at, found in reversed_sweep(len(rows), inner, levels, suffix):
+            above = height(rows[0][3], levels)
+            _, inner = sweep([r[4].encode() for r in rows], above)
+            for at, found in reversed_sweep(len(rows), inner, above, suffix):
                 row = rows[at]
                 yield finish((tree, row[2], row[4], *row[9:]), found, subroot, root)
 
@@ -235,10 +237,10 @@ _CHAIN = pa.schema(
 )
 
 
-def deliver(rounds: list[DataFrame], suffixes: DataFrame, path: str) -> DataFrame:
+def deliver(rounds: list[DataFrame], suffixes: DataFrame, path: str, levels: int = LEVELS) -> DataFrame:
     """The suffixes of the blocks of the first round, from those of the trees' roots."""
     for number in range(len(rounds) - 2, 0, -1):
-        down = descend(rounds[number], suffixes, {}, _chain, _CHAIN, f"tree string, pos bigint, {_SUFFIX}")
+        down = descend(rounds[number], suffixes, {}, _chain, _CHAIN, _CHAIN_KINDS, levels)
         down.write.parquet(f"{path}/down-{number}")
         suffixes = down.sparkSession.read.schema(down.schema).parquet(f"{path}/down-{number}")
     return suffixes
@@ -268,12 +270,13 @@ def number_leaves(leaves: DataFrame, order: list[str], path: str) -> tuple[DataF
 
 def manifest(
     df: DataFrame, altered: Column | None = None, fields: tuple[str, ...] = FIELDS,
-    id_col: str = "doc_id", source_col: str = "source",
+    id_col: str = "doc_id", source_col: str = "source", levels: int = LEVELS,
 ) -> DataFrame:
     """``id_col, leaf, subroot, root, proof_sha256, folded_root, verified``, one row per row.
 
     ``altered`` is the leaf that a later reader finds, null where it is the original one;
-    ``folded_root`` follows from it and the original siblings.
+    ``folded_root`` follows from it and the original siblings. ``levels`` bounds a block: its size
+    has no effect on the result.
     """
     spark = df.sparkSession
     path = shared_path(spark, "merkle")
@@ -285,11 +288,11 @@ def manifest(
         (F.lit(None).cast("string") if altered is None else altered).alias("altered"),
     )
     numbered, most = number_leaves(leaves, ["id", "digest"], f"{path}/leaves")
-    rounds = grow(numbered.select("tree", "pos", "n", "digest", "id", "altered"), most, f"{path}/leaves")
+    rounds = grow(numbered.select("tree", "pos", "n", "digest", "id", "altered"), most, f"{path}/leaves", levels)
 
     subroots = rounds[-1].select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest")
     sources, n_sources = number_leaves(subroots, ["name"], f"{path}/sources")
-    upper = grow(sources.select("tree", "pos", "n", "digest", "name"), n_sources, f"{path}/sources")
+    upper = grow(sources.select("tree", "pos", "n", "digest", "name"), n_sources, f"{path}/sources", levels)
     nothing = F.array().cast("array<string>")
     top = upper[-1].select(
         "tree", "pos", nothing.alias("lefts"), nothing.alias("rights"),
@@ -299,12 +302,10 @@ def manifest(
     def of_source(node, suffix, _, root):
         return node[3], 0, *_chain(node, suffix, node[2], root)[2:]
 
-    given = deliver(upper, top, f"{path}/sources")
-    to_sources = descend(
-        upper[0], given, {"name": "string"}, of_source, _CHAIN, f"tree string, pos bigint, {_SUFFIX}"
-    )
+    given = deliver(upper, top, f"{path}/sources", levels)
+    to_sources = descend(upper[0], given, {"name": "string"}, of_source, _CHAIN, _CHAIN_KINDS, levels)
     to_sources.write.parquet(f"{path}/to-sources")
-    given = deliver(rounds, spark.read.schema(to_sources.schema).parquet(f"{path}/to-sources"), f"{path}/leaves")
+    given = deliver(rounds, spark.read.schema(to_sources.schema).parquet(f"{path}/to-sources"), f"{path}/leaves", levels)
 
     def of_row(node, suffix, subroot, root):
         _, _, leaf, own, other = node
@@ -318,7 +319,7 @@ def manifest(
     kinds = f"id {kind if kind == 'bigint' else 'string'}, {', '.join(f'{c} string' for c in names)}, verified boolean"
     keep = {"id": "bigint" if kind == "bigint" else "string", "altered": "string"}
     leaves_back = rounds[0].withColumn("id", F.col("id").cast(keep["id"]))
-    found = descend(leaves_back, given, keep, of_row, schema, kinds)
+    found = descend(leaves_back, given, keep, of_row, schema, kinds, levels)
     return found.select(F.col("id").cast(kind).alias(id_col), *names, "verified")
 
 
