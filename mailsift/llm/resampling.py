@@ -27,10 +27,10 @@ columns, also those named like results, are neither read nor returned.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import sha256
-from itertools import repeat
+from itertools import count, repeat
 from zlib import crc32
 
 import numpy as np
@@ -48,7 +48,7 @@ PERCENT = 25
 HEAD_WORDS = 32_768
 HEAD_PAIRS = 65_536
 SLOT_BITS = 18  # slots of the table of frequent pairs
-COUNTED = 262_144  # features of a kind that a task counts at once
+COUNTED = 262_144  # words, and pairs, that a task counts at once
 PIECE = 1 << 19  # bytes whose words are held at once
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Characters of words, A-Z as a-z; all others become spaces.
@@ -141,37 +141,74 @@ class Head:
         return np.concatenate([single[counted], pair]), np.concatenate([owner[counted], owner[first]])
 
 
-def _trim(counts: Counter, limit: int) -> Counter:
-    return Counter(dict(counts.most_common(limit)))
+class _Frequent:
+    """The most frequent words and pairs of a part of the texts, counted in bounded tables.
+
+    A pair counts where it comes twice in a group of texts; a full table of pairs keeps its larger
+    half.
+    """
+
+    def __init__(self):
+        self.number = defaultdict(count().__next__)
+        self.words = np.zeros(0, dtype=np.int64)
+        self.keys, self.copies, self.held = [], [], 0
+
+    def add(self, words: list[bytes]) -> None:
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        found = np.bincount(at, minlength=len(self.number))
+        found[: len(self.words)] += self.words
+        self.words = found
+        keys, copies = np.unique(at[:-1] << 32 | at[1:], return_counts=True)
+        twice = copies > 1
+        self.keys.append(keys[twice])
+        self.copies.append(copies[twice])
+        self.held += len(self.keys[-1])
+        if self.held > COUNTED:
+            self.merge(COUNTED // 2)
+
+    def merge(self, most: int) -> None:
+        keys, at = np.unique(np.concatenate(self.keys), return_inverse=True)
+        copies = np.bincount(at, np.concatenate(self.copies)).astype(np.int64)
+        best = np.argsort(-copies, kind="stable")[:most]
+        self.keys, self.copies, self.held = [keys[best]], [copies[best]], len(best)
+
+    def rows(self) -> Iterator[tuple[bytes, bytes | None, int]]:
+        """The most frequent words (without a second) and pairs."""
+        names = list(self.number)
+        for i in np.argsort(-self.words, kind="stable")[: HEAD_WORDS // 2].tolist():
+            yield names[i], None, int(self.words[i])
+        if self.keys:
+            self.merge(HEAD_PAIRS // 2)
+            for key, n in zip(self.keys[0].tolist(), self.copies[0].tolist()):
+                yield names[key >> 32], names[key & 0xFFFFFFFF], n
 
 
 def head_of(df: DataFrame, text_col: str = "text") -> Head:
     """The head of all texts of ``df``.
 
-    Each task counts in tables of bounded size (full, a table keeps its larger half) and gives its
-    most frequent features; sums of these choose the head.
+    Each task counts in tables of bounded size and gives its most frequent features; the sums of
+    these choose the head.
     """
 
-    def count(batches):
-        words, pairs = Counter(), Counter()
-        for batch in batches:
-            for own, sizes in groups(_bytes(batch.column(0))):
-                words.update(own)
-                pairs.update(zip(own, own[1:]))  # a few pairs over two texts: of no effect on results
-                if len(words) > COUNTED:
-                    words = _trim(words, COUNTED // 2)
-                if len(pairs) > COUNTED:
-                    pairs = _trim(pairs, COUNTED // 2)
-        best = [(w, None, n) for w, n in words.most_common(HEAD_WORDS // 2)]
-        best += [(*p, n) for p, n in pairs.most_common(HEAD_PAIRS // 2)]
-        best = [b for b in best if b[2] > 1]
+    def give(found: _Frequent) -> Iterator[pa.RecordBatch]:
+        best = [r for r in found.rows() if r[2] > 1]
         if best:
             a, b, n = zip(*best)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64())], ["a", "b", "n"]
             )
 
-    found = map_stream(df.select(text_col), count, "a binary, b binary, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    def count_all(batches):
+        found = _Frequent()
+        for batch in batches:
+            for words, _ in groups(_bytes(batch.column(0))):
+                found.add(words)  # a few pairs over two texts: of no effect on results
+                if len(found.number) > COUNTED:
+                    yield from give(found)
+                    found = _Frequent()
+        yield from give(found)
+
+    found = map_stream(df.select(text_col), count_all, "a binary, b binary, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
     def most(rows: DataFrame, limit: int) -> list[tuple]:
         best = rows.orderBy(F.desc("n"), "a", "b").limit(limit).select("a", "b").toArrow()
@@ -192,7 +229,7 @@ def bucket_totals(df: DataFrame, head: Head, text_col: str = "text") -> np.ndarr
     """How many features of all texts fall in each bucket."""
     packed = df.sparkSession.sparkContext.broadcast(head)
 
-    def count(batches):
+    def count_all(batches):
         own = packed.value
         totals = np.zeros(own.buckets, dtype=np.int64)
         for batch in batches:
@@ -201,7 +238,7 @@ def bucket_totals(df: DataFrame, head: Head, text_col: str = "text") -> np.ndarr
         at = np.nonzero(totals)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(totals[at])], ["bucket", "n"])
 
-    summed = map_stream(df.select(text_col), count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    summed = map_stream(df.select(text_col), count_all, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(head.buckets, dtype=np.int64)
     for row in summed.collect():  # one row per bucket
         out[row.bucket] = row.n
