@@ -42,7 +42,7 @@ MAX_EPOCHS = 3
 BLOCK = 2_048  # words of a slot, about
 SLOTS = 65_536
 CHUNK_BITS = 14  # slots ranked together
-BUCKET_ROWS = 16_384  # rows of a source in one hash bucket, about
+BUCKET_ROWS = 1_024  # rows of a source in one hash bucket, about
 MAX_SOURCES = 100_000
 SEED = 7
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)  # the golden ratio's fraction times 2 ** 64
