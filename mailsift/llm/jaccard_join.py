@@ -1,30 +1,39 @@
 """N-gram Jaccard join with token-combination prefixes, and its connected components.
 
-A document is the set of its distinct five-word shingles (64-bit hashes). Two documents link when
-``100 * |intersection| >= 75 * |union|``; the result is one component per document.
+A document is the set of its distinct five-word shingles (64-bit hashes, the *tokens*). Two documents
+link when ``100 * |intersection| >= 75 * |union|``; the result is one component per document.
 
-*Order and classes.* A sketch of ``2 ** SKETCH_BITS`` counters holds how many documents have each
-hash (never too few). Tokens whose counter is far above the usual are *frequent*, all others rare;
-the global order is rare tokens by hash, then frequent ones by counter and hash.
+*Frequencies.* Tokens are dealt out by hash, in blobs of a group of texts, and each task counts in how many
+documents its tokens occur. Tokens of one document only go no further; all others return to
+their group with that count, ``FREQUENT`` for more than ``RARE`` documents. A token in more than ``RARE``
+documents of one group is frequent without being dealt out; its bucket gets one mark per group, so
+a token that a third of all documents hold does not fill a task. The global order is: tokens of one
+document, rare ones by count and hash, frequent ones by hash.
 
 *Keys.* With o = ceil(0.75 n), the first n - o + 1 tokens of two linked sets share one (prefix
-filter). Rare tokens of that prefix are keys by themselves. If the prefix reaches into the frequent
-class, the pair may have frequent tokens in common only; then the prefix is extended to
-n - o + floor(n / 3) + 2 tokens and pairs of neighbouring frequent tokens are keys. Linked sets
-have at most floor(n / 3) tokens not in common, so of the first floor(n / 3) + 2 common ones two
-stand next to each other in both sets: no link is lost, and the keys stay linear in the text.
-Sets of up to five tokens use all their prefix tokens.
-
-*Groups.* Rare keys are packed into blobs by key bucket; a bucket drops keys that one document
-has. A rare key has at most as many documents as its counter says, so no group is large. The few
-keys left are rows, grouped and joined by Spark, which splits skewed groups.
+filter). A document with more tokens of its own than that has no link. Rare tokens of the prefix
+are keys by themselves, of at most ``RARE`` documents. If the prefix reaches the frequent tokens, a pair may
+have frequent tokens in common only; then the prefix is extended to n - o + floor(n / 3) + 2 tokens
+and pairs of neighbouring frequent tokens are keys. Linked sets have at most floor(n / 3) tokens
+not in common, so of the first floor(n / 3) + 2 common ones two stand next to each other in
+both sets: no link is lost, and the keys stay linear in the text. Sets of up to five tokens use all
+their prefix tokens.
+
+*Classes.* Documents with the same set F of frequent tokens are a class. Two of them with r and s
+other tokens and no rare one in common link exactly if |F| >= 3 (r + s). So if any do, each of them links
+with the document of the least r, the hub: a star finds all these links, however many documents share
+one passage. A document that hangs on its hub needs no combined keys, because whatever it links with
+without a common rare token the hub links with too (it has the same F and fewer others).
 
 *Links.* Copies (equal sets) are one representative. Stars first: in each group the documents are
 paired with one hub, each document is verified against its best hubs only, and components are
-merged; groups within one component are done. A second round takes other hubs. What is left, pairs of different components, is
-joined in full, thinned by the exact lower bound of common keys, and verified. So no pairs are
-made within what already hangs together, and no link between components is missed. Verification
-computes both sets again from the texts.
+merged; groups within one component are done. A second round takes other hubs. What is left, pairs
+of different components, is joined in full under exact bounds: the sizes, the rare keys in common, and
+a parity bitmap of the tokens, whose differing bits are at most the tokens not in common. So no pairs
+are made within what already hangs together, hardly any that do not link, and no link between
+components is missed. Verification computes both sets again from the texts.
+
+Texts are hashed in pieces of bounded bytes, and pairs are verified in slices of bounded bytes.
 
 Defined results: a null or empty text, or one without words, has 0 shingles and is its own
 component. Rows with equal ids are one node. A row with a null id is returned with a null
@@ -33,8 +42,13 @@ component and takes no part. Other columns are neither read nor returned; texts
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,11 +57,14 @@ from mailsift.session import materialize, shared_path
 
 SHINGLE = 5
 PERCENT = 75
-SKETCH_BITS = 21
-CHUNK_BITS = 16  # counters in one row of the sketch
-BUCKET_KEYS = 2_000_000  # rare keys in one bucket, on average at most
-PIECE = 1 << 21  # bytes hashed at once
-FLUSH = 1_000_000  # keys that a task holds before it writes blobs
+RARE = 64  # documents that a rare token occurs in, at most
+FREQUENT = 255  # stands for any number above RARE
+PIECE = 1 << 18  # bytes hashed at once
+SLICE = 1 << 20  # bytes of texts whose sets are held at once
+GROUP_TOKENS = 500_000  # tokens that a task holds before it writes blobs
+GROUP_DOCS = 50_000
+HASH_BYTES = 6  # of a token that is dealt out or a part of a key
+BITMAP = 8  # longs of a parity bitmap
 HUBS = 3  # hubs that a document is verified against in a round of stars
 FILTER_BITS = 23
 FILTER_TASKS = 16  # filters that reach the driver, one after the other
@@ -160,240 +177,287 @@ def overlap_needed(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
-# --- first pass: sizes, fingerprints, sketch --------------------------------------------------
-
-
-def describe(docs: DataFrame, path: str) -> tuple[DataFrame, np.ndarray]:
-    """``doc, n, fp1, fp2`` per row, stored at ``path``, and the sketch's counters.
+def slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of at most ``SLICE`` bytes, or of one text."""
+    first, held = 0, 0
+    for at, size in enumerate(sizes):
+        if at > first and held + size > SLICE:
+            yield first, at
+            first, held = at, 0
+        held += size
+    if len(sizes) > first:
+        yield first, len(sizes)
+
+
+def sets_of(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Row number and shingle set of each text of a batch, a bounded slice of texts at a time."""
+    texts = batch.column(column)
+    lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
+    for first, last in slices(lengths):
+        yield from enumerate(shingle_sets(texts_of(texts[first:last])), first)
+
+
+# --- first pass: sizes, fingerprints, tokens dealt out by hash --------------------------------
+
+_DOC, _DEALT, _LOCAL = 0, 1, 2  # kinds of rows: a document, tokens for a bucket, tokens frequent in a group
+_MARK = 0xFFFF  # instead of a place: the token is frequent in this group
+_NAMES = ["kind", "bucket", "grp", "doc", "n", "fp1", "fp2", "place", "tokens", "places", "counts"]
+_KINDS = [
+    pa.int8(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(),
+    pa.binary(), pa.binary(), pa.binary(),
+]
+_ROW = (
+    "kind tinyint, bucket int, grp bigint, doc bigint, n bigint, fp1 bigint, fp2 bigint, place int, "
+    "tokens binary, places binary, counts binary"
+)
 
-    Each task adds its counters up and writes them once, in chunks; the chunks are added up as a
-    stream, so neither tasks nor the driver hold more than one sketch.
-    """
-    chunk = 1 << CHUNK_BITS
 
-    def run(batches):
-        counters = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
-        for batch in batches:
-            sets = shingle_sets(texts_of(batch.column(1)))
-            if sets:
-                counters += _counted(np.concatenate(sets))
-            sums = [int(mix(s).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0 for s in sets]
-            xors = [
-                int(np.bitwise_xor.reduce(mix(s ^ _BASE)).astype(np.int64)) if len(s) else 0 for s in sets
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.nulls(len(sets), pa.int32()), batch.column(0),
-                    pa.array([len(s) for s in sets], pa.int64()), pa.array(sums, pa.int64()),
-                    pa.array(xors, pa.int64()), pa.nulls(len(sets), pa.binary()),
-                ],
-                names,
+def _rows(**columns) -> pa.RecordBatch:
+    size = max(len(c) for c in columns.values() if not isinstance(c, int))
+    made = []
+    for name, kind in zip(_NAMES, _KINDS):
+        value = columns.get(name)
+        if isinstance(value, int):
+            value = np.full(size, value)
+        made.append(pa.nulls(size, kind) if value is None else pa.array(value, kind))
+    return pa.RecordBatch.from_arrays(made, _NAMES)
+
+
+def _packed(tokens: np.ndarray) -> bytes:
+    """The lowest ``HASH_BYTES`` bytes of each token."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+
+
+def _unpacked(raw) -> np.ndarray:
+    cut = np.frombuffer(raw, dtype=np.uint8).reshape(-1, HASH_BYTES)
+    out = np.zeros((len(cut), 8), dtype=np.uint8)
+    out[:, :HASH_BYTES] = cut
+    return out.reshape(-1).view("<u8")
+
+
+def deal(docs: DataFrame, n_buckets: int) -> DataFrame:
+    """Rows of ``docs`` (``doc, text``) as documents of groups, and their tokens in blobs by bucket."""
+
+    def blobs(grp: int, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        tokens = np.concatenate(sets) & _U((1 << 8 * HASH_BYTES) - 1)
+        places = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+        order = np.argsort(tokens, kind="stable")
+        tokens, places = tokens[order], places[order]
+        first = np.nonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))[0]
+        sizes = np.diff(np.concatenate([first, [len(tokens)]]))
+        local = np.repeat(sizes > RARE, sizes)
+        if local.any():
+            yield _rows(
+                kind=_LOCAL, bucket=[grp % n_buckets], grp=[grp], tokens=[_packed(tokens[local])],
+                places=[places[local].tobytes()],
             )
-        rows = [counters[i * chunk : (i + 1) * chunk].tobytes() for i in range(len(counters) // chunk)]
-        empty = pa.nulls(len(rows), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(len(rows)), pa.int32()), empty, empty, empty, empty, pa.array(rows, pa.binary())],
-            names,
+        marks = tokens[first[sizes > RARE]]
+        tokens = np.concatenate([tokens[~local], marks])
+        places = np.concatenate([places[~local], np.full(len(marks), _MARK, dtype=np.uint16)])
+        bucket = _bucket(tokens, n_buckets)
+        order = np.argsort(bucket, kind="stable")
+        tokens, places, bucket = tokens[order], places[order], bucket[order]
+        cuts = np.concatenate([[0], np.nonzero(np.diff(bucket))[0] + 1, [len(bucket)]])
+        ranges = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+        yield _rows(
+            kind=_DEALT, bucket=[int(bucket[a]) for a, _ in ranges], grp=grp,
+            tokens=[_packed(tokens[a:b]) for a, b in ranges], places=[places[a:b].tobytes() for a, b in ranges],
         )
 
-    names = ["chunk", "doc", "n", "fp1", "fp2", "counters"]
-    schema = "chunk int, doc bigint, n bigint, fp1 bigint, fp2 bigint, counters binary"
-    map_stream(docs, run, schema).write.parquet(path)
-    stored = docs.sparkSession.read.schema(schema).parquet(path)
-
-    def add_up(batches):
-        totals: dict[int, np.ndarray] = {}
+    def run(batches):
+        grp = TaskContext.get().partitionId() << 32
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
-            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(raw.as_buffer(), dtype=np.uint32)
-                total = totals.setdefault(key, np.zeros(chunk, dtype=np.uint64))
-                total += part
-        if totals:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())],
-                ["chunk", "counters"],
-            )
-
-    chunks = stored.where("chunk is not null").select("chunk", "counters")
-    added = map_stream(chunks.repartition("chunk"), add_up, "chunk int, counters binary").toArrow()
-    counters = np.zeros(1 << SKETCH_BITS, dtype=np.uint64)
-    for key, raw in zip(added.column(0).to_pylist(), added.column(1).to_pylist()):
-        counters[key * chunk : (key + 1) * chunk] = np.frombuffer(raw, dtype=np.uint64)
-    return stored.where("chunk is null").select("doc", "n", "fp1", "fp2"), counters
+            ids = batch.column(0)
+            known = ids.is_valid().to_pylist()
+            rows: tuple[list, ...] = ([], [], [], [], [], [])
+
+            def documents() -> pa.RecordBatch:
+                at, groups, n, sums, xors, places = rows
+                out = _rows(
+                    kind=_DOC, bucket=[g % n_buckets for g in groups], grp=groups, doc=ids.take(pa.array(at, pa.int64())),
+                    n=n, fp1=sums, fp2=xors, place=places,
+                )
+                for column in rows:
+                    column.clear()
+                return out
+
+            for at, tokens in sets_of(batch, 1):
+                takes_part = known[at] and len(tokens)
+                values = (
+                    at, grp, len(tokens), int(mix(tokens).sum(dtype=np.uint64).astype(np.int64)) if len(tokens) else 0,
+                    int(np.bitwise_xor.reduce(mix(tokens ^ _BASE)).astype(np.int64)) if len(tokens) else 0,
+                    len(held) if takes_part else None,
+                )
+                for column, value in zip(rows, values):
+                    column.append(value)
+                if not takes_part:
+                    continue
+                held.append(tokens)
+                size += len(tokens)
+                if size >= GROUP_TOKENS or len(held) >= GROUP_DOCS:
+                    yield from blobs(grp, held)
+                    grp, size = grp + 1, 0
+                    held.clear()
+            if rows[0]:
+                yield documents()
+        if held:
+            yield from blobs(grp, held)
 
+    return map_stream(docs, run, _ROW)
 
-def _counted(hashes: np.ndarray) -> np.ndarray:
-    return np.bincount(
-        (hashes >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS
-    ).astype(np.uint32)
 
+def _bucket(tokens: np.ndarray, n_buckets: int) -> np.ndarray:
+    return ((mix(tokens) >> _U(33)) % _U(n_buckets)).astype(np.int32)
 
-def classes_of(counters: np.ndarray) -> np.ndarray:
-    """Class of each counter: 0 rare, otherwise the frequency's order of magnitude, base two."""
-    typical = np.median(counters)
-    usual = typical + 6 * np.sqrt(typical) + 8
-    classes = np.zeros(len(counters), dtype=np.uint8)
-    frequent = np.nonzero(counters > usual)[0]
-    classes[frequent] = np.log2(counters[frequent].astype(np.float64)).astype(np.uint8) + 1
-    return classes
 
+def count_tokens(dealt: DataFrame, n_buckets: int, path: str) -> DataFrame:
+    """Rows of documents and, per group, the tokens that more than one document has, with counts; stored."""
 
-# --- second pass: keys ------------------------------------------------------------------------
+    def run(batches):
+        tokens, groups, places = [], [], []
+        for batch in batches:
+            kinds = batch.column(0).to_numpy()
+            kept = batch.filter(pa.array(kinds != _DEALT))
+            if kept.num_rows:
+                yield kept
+            own = batch.filter(pa.array(kinds == _DEALT))
+            for grp, raw, at in zip(*(own.column(c) for c in (2, 8, 9))):
+                tokens.append(_unpacked(raw.as_buffer()))
+                places.append(np.frombuffer(at.as_buffer(), dtype=np.uint16).copy())
+                groups.append(np.full(len(places[-1]), grp.as_py(), dtype=np.int64))
+        if not tokens:
+            return
+        token, grp, place = (np.concatenate(c) for c in (tokens, groups, places))
+        for column in (tokens, groups, places):
+            column.clear()
+        order = np.argsort(token, kind="stable")
+        token, grp, place = token[order], grp[order], place[order]
+        first = np.nonzero(np.concatenate([[True], token[1:] != token[:-1]]))[0]
+        sizes = np.diff(np.concatenate([first, [len(token)]]))
+        marked = np.bincount(np.repeat(np.arange(len(first)), sizes), place == _MARK) > 0
+        counts = np.where(marked | (sizes > RARE), FREQUENT, sizes).astype(np.uint8)
+        count = np.repeat(counts, sizes)
+        shared = (count > 1) & (place != _MARK)
+        token, grp, place, count = token[shared], grp[shared], place[shared], count[shared]
+        order = np.argsort(grp, kind="stable")
+        token, grp, place, count = token[order], grp[order], place[order], count[order]
+        cuts = np.concatenate([[0], np.nonzero(np.diff(grp))[0] + 1, [len(grp)]])
+        for a in range(0, len(cuts) - 1, 256):
+            ranges = list(zip(cuts[a : a + 256].tolist(), cuts[a + 1 : a + 257].tolist()))
+            if ranges[0][0] < ranges[0][1]:
+                yield _rows(
+                    kind=_DEALT, bucket=0, grp=[int(grp[x]) for x, _ in ranges], tokens=[_packed(token[x:y]) for x, y in ranges],
+                    places=[place[x:y].tobytes() for x, y in ranges], counts=[count[x:y].tobytes() for x, y in ranges],
+                )
 
+    map_stream(dealt.repartitionById(n_buckets, "bucket"), run, _ROW).write.parquet(path)
+    return dealt.sparkSession.read.schema(_ROW).parquet(path)
 
-def keys_of(hashes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Rare keys, combined keys of frequent tokens, and how many tokens are rare."""
-    n = len(hashes)
-    own = classes[(hashes >> _U(64 - SKETCH_BITS)).astype(np.int64)]
-    rare = int((own == 0).sum())
-    ordered = hashes if rare == n else hashes[np.lexsort((hashes, own))]
-    prefix = n - overlap_needed(n) + 1
-    pure = rare >= prefix
-    none = hashes[:0]
-    if n <= SHINGLE:
-        singles, frequent = ordered[: min(prefix, rare)], ordered[min(prefix, rare) : prefix]
-    else:
-        singles, frequent = ordered[: min(prefix, rare)], none
-    pairs = none
-    if not pure and n >= SHINGLE:
-        row = ordered[rare : n - overlap_needed(n) + n // 3 + 2]
-        if len(row) > 1:
-            pairs = mix(row[:-1] * _PLACES[0] + row[1:] * _PLACES[1])
-    return singles, np.concatenate([frequent, pairs]), rare
 
+# --- second pass: keys ------------------------------------------------------------------------
 
-def _bucket(keys: np.ndarray, n_buckets: int) -> np.ndarray:
-    return ((mix(keys) >> _U(33)) % _U(n_buckets)).astype(np.int32)
+_SINGLE, _COMBINED, _CLASS, _INFO = 1, 0, 2, 3  # kinds of rows
 
 
-def index(docs: DataFrame, classes: np.ndarray, n_keys: int, path: str) -> DataFrame:
-    """``key, doc, n, rare, hub, hub_n, hub_rare, single`` of keys that more than one document has, stored.
+def keys_of(tokens: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, tuple[int, int] | None]:
+    """Rare keys, combined keys and class key (two hashes) of a set of ``n`` tokens.
 
-    The hub of a key is the smallest document that has it; ``rare`` counts a document's rare
-    tokens; ``single`` is 1 for the key of a rare token, 0 for one of frequent tokens.
+    ``tokens`` are those that other documents have, in the global order, with their ``counts``. The
+    class key is None where the prefix holds no frequent token.
+    """
+    own = n - len(tokens)
+    prefix = n - overlap_needed(n) + 1
+    rare = int((counts < FREQUENT).sum())
+    none = tokens[:0]
+    if own >= prefix:
+        return none, none, None
+    singles, frequent = tokens[: min(prefix - own, rare)], tokens[rare:]
+    if own + rare >= prefix:
+        return singles, none, None
+    combined = [frequent[: prefix - own - rare] if n <= SHINGLE else none]
+    if n >= SHINGLE:
+        row = frequent[: n - overlap_needed(n) + n // 3 + 2 - own - rare]
+        combined.append(mix(row[:-1] * _PLACES[0] + row[1:] * _PLACES[1]))
+    sums = [mix(frequent).sum(dtype=np.uint64), mix(frequent ^ _BASE).sum(dtype=np.uint64)]
+    named = mix(np.array(sums) + _U(len(frequent))).astype(np.int64).tolist()
+    return singles, np.concatenate(combined), (named[0], named[1])
+
+
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Bit i of 512 is the parity of the number of tokens that fall on it."""
+    at = (mix(tokens + _BASE) >> _U(64 - 9)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=512) & 1).astype(np.uint8).view(np.int64)
+
+
+def index(counted: DataFrame, path: str) -> DataFrame:
+    """``kind, key, cls, cls2, doc, fp, n, uniq, rare`` and the bitmap of every document that may have links; stored.
+
+    A row per key, and one per document (kind ``_INFO``). ``uniq`` counts the tokens that no other
+    document has, ``rare`` those that are not frequent, these included; ``cls, cls2`` is the class key.
     """
-    spark = docs.sparkSession
-    n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_keys // BUCKET_KEYS))
-    packed = spark.sparkContext.broadcast(classes)
-    names = ["bucket", "frequent", "keys", "rows", "docs", "sizes"]
+    names = ["kind", "key", "cls", "cls2", "doc", "fp", "n", "uniq", "rare", *[f"b{i}" for i in range(BITMAP)]]
+    schema = "kind tinyint, " + ", ".join(f"{c} bigint" for c in names[1:])
 
     def run(batches):
-        own = packed.value
-        held = 0
-        table: list[tuple[int, int]] = []
-        found: tuple[list, list] = ([], [])
-        places: tuple[list, list] = ([], [])
-
-        def blobs():
-            docs_of = np.array([t[0] for t in table], dtype=np.int64)
-            sizes_of = np.array([t[1] for t in table], dtype=np.int64)
-            columns: list[list] = [[], [], [], [], [], []]
-            for kind in (0, 1):
-                if not found[kind]:
+        def parts():
+            for batch in batches:
+                columns = [batch.column(c) for c in (0, 2, 3, 4, 5, 7, 8, 9, 10)]
+                yield from zip(*[c.to_pylist() for c in columns])
+
+        for _, rows in groupby(parts(), key=lambda r: r[1]):
+            docs, tokens, places, counts = {}, [], [], []
+            for kind, _, doc, n, fp, place, raw, at, count in rows:
+                if kind == _DOC:
+                    docs[place] = (doc, n, fp)
                     continue
-                keys, rows = np.concatenate(found[kind]), np.concatenate(places[kind])
-                bucket = _bucket(keys, n_buckets)
-                order = np.lexsort((keys, bucket))
-                keys, rows, bucket = keys[order], rows[order], bucket[order]
-                cuts = np.concatenate([[0], np.nonzero(np.diff(bucket))[0] + 1, [len(keys)]])
-                for a, b in zip(cuts[:-1], cuts[1:]):
-                    used, at = np.unique(rows[a:b], return_inverse=True)
-                    values = (
-                        int(bucket[a]), kind == 1, keys[a:b].tobytes(), at.astype(np.uint32).tobytes(),
-                        docs_of[used].tobytes(), sizes_of[used].tobytes(),
-                    )
-                    for column, value in zip(columns, values):
-                        column.append(value)
-            kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-            for doc, hashes in zip(ids, shingle_sets(texts)):
-                if not len(hashes):
-                    continue
-                singles, combined, rare = keys_of(hashes, own)
-                for kind, keys in enumerate((singles, combined)):
-                    if len(keys):
-                        found[kind].append(keys)
-                        places[kind].append(np.full(len(keys), len(table), dtype=np.uint32))
-                        held += len(keys)
-                table.append((doc, len(hashes) << 32 | rare))
-                if held >= FLUSH:
-                    yield blobs()
-                    held = 0
-                    table.clear()
-                    for kept in (*found, *places):
-                        kept.clear()
-        if held:
-            yield blobs()
-
-    out_names = ["key", "doc", "n", "rare", "hub", "hub_n", "hub_rare"]
-    low = (1 << 32) - 1
-
-    def rows_of(keys, docs_of, sizes, hub=None, hub_sizes=None):
-        for at in range(0, len(keys), 100_000):
-            part = slice(at, at + 100_000)
-            size = len(keys[part])
-            hubs = [
-                pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64())
-            ] if hub is None else [
-                pa.array(hub[part]), pa.array(hub_sizes[part] >> 32), pa.array(hub_sizes[part] & low)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys[part].view(np.int64)), pa.array(docs_of[part]),
-                    pa.array(sizes[part] >> 32), pa.array(sizes[part] & low), *hubs,
-                ],
-                out_names,
-            )
-
-    def gather(batches):
-        rare: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            for i in range(batch.num_rows):
-                raw = [batch.column(c)[i].as_buffer() for c in range(2, 6)]
-                at = np.frombuffer(raw[1], np.uint32)
-                entry = (
-                    np.frombuffer(raw[0], np.uint64),
-                    np.frombuffer(raw[2], np.int64)[at],
-                    np.frombuffer(raw[3], np.int64)[at],
+                tokens.append(_unpacked(raw))
+                places.append(np.frombuffer(at, dtype=np.uint16))
+                counts.append(
+                    np.full(len(tokens[-1]), FREQUENT, dtype=np.uint8) if kind == _LOCAL else np.frombuffer(count, dtype=np.uint8)
                 )
-                if batch.column(1)[i].as_py():
-                    yield from rows_of(*entry)
-                else:
-                    rare.append((entry[0].copy(), entry[1], entry[2]))
-        if rare:
-            keys, docs_of, sizes = (np.concatenate(c) for c in zip(*rare))
-            rare.clear()
-            order = np.lexsort((docs_of, keys))
-            keys, docs_of, sizes = keys[order], docs_of[order], sizes[order]
-            first = np.concatenate([[0], np.nonzero(np.diff(keys))[0] + 1])
-            ends = np.concatenate([first[1:], [len(keys)]])
-            shared = np.repeat(docs_of[first] != docs_of[ends - 1], ends - first)
-            hub = np.repeat(first, ends - first)[shared]
-            yield from rows_of(keys[shared], docs_of[shared], sizes[shared], docs_of[hub], sizes[hub])
-
-    blobs_schema = "bucket int, frequent boolean, keys binary, rows binary, docs binary, sizes binary"
-    dealt = map_stream(docs, run, blobs_schema).repartitionById(n_buckets, "bucket")
-    schema = "key bigint, doc bigint, n bigint, rare bigint, hub bigint, hub_n bigint, hub_rare bigint"
-    map_stream(dealt, gather, schema).write.parquet(f"{path}/keys")
-    stored = spark.read.schema(schema).parquet(f"{path}/keys")
-    frequent = stored.where("hub is null").select("key", "doc", "n", "rare")
-    hubs = (
-        frequent.groupBy("key")
-        .agg(F.min(F.struct("doc", "n", "rare")).alias("hub"), F.max("doc").alias("last"))
-        .where("hub.doc < last")
-    )
-    placed = frequent.join(hubs, "key").select(
-        "key", "doc", "n", "rare", F.col("hub.doc").alias("hub"), F.col("hub.n").alias("hub_n"),
-        F.col("hub.rare").alias("hub_rare"),
-    )
-    placed.write.parquet(f"{path}/frequent")
-    both = stored.where("hub is not null").withColumn("single", F.lit(1))
-    return both.unionAll(
-        spark.read.schema(schema).parquet(f"{path}/frequent").withColumn("single", F.lit(0))
-    )
+            if not tokens:
+                continue
+            token, place, count = (np.concatenate(c) for c in (tokens, places, counts))
+            order = np.lexsort((token, count, place))
+            token, place, count = token[order], place[order], count[order]
+            cuts = np.concatenate([[0], np.nonzero(np.diff(place))[0] + 1, [len(place)]])
+            columns: list[list] = [[] for _ in names]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                doc, n, fp = docs[int(place[a])]
+                own = n - (b - a)
+                if own >= n - overlap_needed(n) + 1:
+                    continue
+                singles, combined, named = keys_of(token[a:b], count[a:b], n)
+                rare = own + int((count[a:b] < FREQUENT).sum())
+                keys = np.concatenate([singles, combined]).view(np.int64).tolist()
+                kinds = [_SINGLE] * len(singles) + [_COMBINED] * len(combined)
+                if named is not None:
+                    keys.append(named[0])
+                    kinds.append(_CLASS)
+                one, two = named or (None, None)
+                size = len(keys) + 1
+                bits = bitmap(token[a:b]).tolist()
+                values = [[*kinds, _INFO], [*keys, None], *[[v] * size for v in (one, two, doc, fp, n, own, rare)]]
+                values += [[None] * (size - 1) + [b_] for b_ in bits]
+                for column, value in zip(columns, values):
+                    column += value
+                if len(columns[0]) > 50_000:
+                    yield made(columns)
+            if columns[0]:
+                yield made(columns)
+
+    def made(columns):
+        kinds = [pa.int8(), *[pa.int64()] * (len(names) - 1)]
+        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        for column in columns:
+            column.clear()
+        return out
+
+    grouped = counted.where("kind <> 0 or place is not null").repartition("grp").sortWithinPartitions("grp")
+    map_stream(grouped, run, schema).write.parquet(path)
+    return counted.sparkSession.read.schema(schema).parquet(path)
 
 
 # --- verification -----------------------------------------------------------------------------
@@ -434,9 +498,12 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def compare(batches):
         for batch in batches:
-            sets = [shingle_sets(texts_of(batch.column(c))) for c in (2, 3)]
-            kept = [linked(a, b) for a, b in zip(*sets)]
-            yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
+            sizes = [pa.compute.fill_null(pa.compute.binary_length(batch.column(c)), 0).to_numpy() for c in (2, 3)]
+            for first, last in slices(np.add(*sizes).tolist()):
+                part = batch.slice(first, last - first)
+                sets = [shingle_sets(texts_of(part.column(c))) for c in (2, 3)]
+                kept = [linked(a, b) for a, b in zip(*sets)]
+                yield part.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
     return map_stream(both, compare, "a bigint, b bigint").distinct()
 
@@ -481,99 +548,88 @@ def _prefix(n: Column) -> Column:
     return n - F.ceil(n * PERCENT / 100 - 1e-9) + 1
 
 
-def _can_link(na: Column, ra: Column, nb: Column, rb: Column, singles: Column) -> Column:
+_FIELDS = ["n", "uniq", "rare"]
+
+
+def _can_link(a: str, b: str, singles: Column) -> Column:
     """Whether two sets can link that have at most ``singles`` rare keys in common.
 
-    Rare tokens in common are keys in common or lie beyond a prefix; frequent ones are at most
-    those of the set with fewer.
+    The sets' ``n, uniq, rare`` are the columns with the suffixes ``a`` and ``b``. Rare tokens in
+    common are keys in common or lie beyond a prefix; frequent ones are at most those of the set
+    with fewer; tokens of one document are never in common.
     """
+    (na, ua, ra), (nb, ub, rb) = ([F.col(f"{c}{x}") for c in _FIELDS] for x in (a, b))
     beyond = F.greatest(F.lit(0), ra - _prefix(na), rb - _prefix(nb))
-    most = F.least(ra, rb, singles + beyond) + F.least(na - ra, nb - rb)
+    most = F.least(ra - ua, rb - ub, singles + beyond) + F.least(na - ra, nb - rb)
     needed = F.ceil((na + nb) * PERCENT / (100 + PERCENT) - 1e-9)
     return (100 * na >= PERCENT * nb) & (100 * nb >= PERCENT * na) & (most >= needed)
 
 
-_ENTRY = ["key", "doc", "n", "rare", "single"]
+def _bits_allow(a: str, b: str) -> Column:
+    """Whether the bitmaps leave room for a link: bits that differ are tokens not in common."""
+    differ = F.col(f"uniq{a}") + F.col(f"uniq{b}")
+    for i in range(BITMAP):
+        differ = differ + F.bit_count(F.col(f"b{i}{a}").bitwiseXOR(F.col(f"b{i}{b}")))
+    # |x - y| + |y - x| <= (1 - J) / (1 + J) * (|x| + |y|) for J = PERCENT / 100
+    return (100 + PERCENT) * differ <= (100 - PERCENT) * (F.col(f"n{a}") + F.col(f"n{b}"))
+
+
+def _more_than_one(entries: DataFrame, key: str = "key") -> DataFrame:
+    """The entries of keys that more than one document has."""
+    span = entries.groupBy(key).agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi")).where("_lo < _hi")
+    return entries.join(span.select(key), key, "left_semi")
+
+
+def _class_stars(entries: DataFrame) -> DataFrame:
+    """``cls, a, fp, b``: documents that link with the hub of their class by sizes alone."""
+    own = entries.where(F.col("kind") == _CLASS)
+    hubs = own.groupBy("cls", "cls2").agg(F.min(F.struct("rare", "doc")).alias("h"))
+    return own.join(hubs, ["cls", "cls2"]).where(
+        (F.col("doc") != F.col("h.doc")) & (F.col("n") - F.col("rare") >= 3 * (F.col("rare") + F.col("h.rare")))
+    ).select("cls", F.col("doc").alias("a"), "fp", F.col("h.doc").alias("b"))
 
 
 def _open_groups(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Entries with their component, of keys that more than one component has."""
+    known = entries.drop("comp")
     if labels is None:
-        known = entries.withColumn("comp", F.col("doc"))
+        known = known.withColumn("comp", F.col("doc"))
     else:
-        known = entries.join(labels, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+        known = known.join(labels, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
     span = known.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi")
-    return known.join(span.select("key"), "key", "left_semi").select(*_ENTRY, "comp")
-
-
-def _unresolved(keyed: DataFrame, counted: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Entries of the keys in which a document is not in the component of the key's hub.
-
-    Any two documents of a key that are in different components make it one of these.
-    """
-    pairs = counted.select("doc", "hub")
-    if labels is not None:
-        own = labels.select("doc", F.col("comp").alias("comp_doc"))
-        hubs = labels.select(F.col("doc").alias("hub"), F.col("comp").alias("comp_hub"))
-        pairs = (
-            pairs.join(own, "doc", "left")
-            .join(hubs, "hub", "left")
-            .where(F.coalesce("comp_doc", "doc") != F.coalesce("comp_hub", "hub"))
-            .select("doc", "hub")
-        )
-    keys = keyed.join(pairs, ["doc", "hub"], "left_semi").select("key").distinct()
-    return keyed.select(*_ENTRY).join(keys, "key", "left_semi")
-
-
-def _best_hubs(counted: DataFrame) -> DataFrame:
-    """Each document with its ``HUBS`` best hubs: those of most of its groups."""
-    sizes = [F.col(c) for c in ("n", "rare", "hub_n", "hub_rare")]
-    return (
-        counted.where(_can_link(*sizes, F.col("singles")))
-        .groupBy(F.col("doc").alias("a"))
-        .agg(F.collect_list(F.struct("m", "hub")).alias("hubs"))
-        .select("a", F.explode(F.slice(F.sort_array("hubs", asc=False), 1, HUBS)).alias("h"))
-        .select("a", F.col("h.hub").alias("b"))
-    )
+    return known.join(span.select("key"), "key", "left_semi")
 
 
 def _star_pairs(entries: DataFrame, turn: int) -> DataFrame:
     """Each document with its best hubs; which document of a group is its hub changes by turn."""
     place = F.xxhash64(F.lit(turn), "doc")
-    hubs = entries.groupBy("key").agg(F.min_by(F.struct("doc", "n", "rare", "comp"), place).alias("h"))
-    return _best_hubs(
-        entries.join(hubs, "key")
-        .where("comp <> h.comp")
-        .groupBy(
-            "doc", "n", "rare", F.col("h.doc").alias("hub"), F.col("h.n").alias("hub_n"),
-            F.col("h.rare").alias("hub_rare"),
-        )
-        .agg(F.count("*").alias("m"), F.sum("single").alias("singles"))
+    hubs = entries.groupBy("key").agg(F.min_by(F.struct("doc", "comp", *_FIELDS), place).alias("h"))
+    sizes = [F.col(f"h.{c}").alias(f"{c}_hub") for c in ("doc", *_FIELDS)]
+    met = entries.join(hubs, "key").where("comp <> h.comp").select("doc", *_FIELDS, "kind", *sizes)
+    return (
+        met.groupBy("doc", *_FIELDS, "doc_hub", *[f"{c}_hub" for c in _FIELDS])
+        .agg(F.count("*").alias("m"), F.count_if(F.col("kind") == _SINGLE).alias("singles"))
+        .where(_can_link("", "_hub", F.col("singles")))
+        .groupBy(F.col("doc").alias("a"))
+        .agg(F.collect_list(F.struct("m", "doc_hub")).alias("hubs"))
+        .select("a", F.explode(F.slice(F.sort_array("hubs", asc=False), 1, HUBS)).alias("h"))
+        .select("a", F.col("h.doc_hub").alias("b"))
     )
 
 
-def _cross_pairs(entries: DataFrame) -> DataFrame:
-    """All pairs of documents of different components that can link by their common keys.
-
-    The join itself bounds a pair by the fewer open rare keys of the two; counting the keys that
-    they really share then bounds it again.
-    """
-    own = entries.groupBy("doc").agg(F.sum("single").alias("singles"))
-    rows = entries.join(own, "doc")
-    fields = ["doc", "n", "rare", "comp", "single", "singles"]
+def _cross_pairs(entries: DataFrame, info: DataFrame) -> DataFrame:
+    """All pairs of documents of different components that can link by sizes, keys and bitmaps."""
+    own = entries.groupBy("doc", "fp").agg(F.count_if(F.col("kind") == _SINGLE).alias("singles"))
+    bits = info.select("doc", "fp", *[f"b{i}" for i in range(BITMAP)])
+    rows = entries.join(own.join(bits, ["doc", "fp"]), ["doc", "fp"])
+    fields = ["doc", "comp", "singles", *_FIELDS, *[f"b{i}" for i in range(BITMAP)]]
     a = rows.select("key", *[F.col(c).alias(f"{c}_a") for c in fields])
     b = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in fields])
-    sizes = [F.col(c) for c in ("n_a", "rare_a", "n_b", "rare_b")]
-    at_most = F.least("singles_a", "singles_b")
-    joined = a.join(
-        b, (a["key"] == b["key"]) & (F.col("comp_a") < F.col("comp_b")) & _can_link(*sizes, at_most)
-    )
-    return (
-        joined.groupBy("doc_a", "doc_b", "n_a", "n_b", "rare_a", "rare_b")
-        .agg(F.sum("single_a").alias("common"))
-        .where(_can_link(*sizes, F.col("common")))
-        .select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+    met = (
+        (a["key"] == b["key"]) & (F.col("comp_a") < F.col("comp_b")) & _bits_allow("_a", "_b")
+        & _can_link("_a", "_b", F.least("singles_a", "singles_b"))
     )
+    return a.join(b, met).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -581,7 +637,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = df.sparkSession
     path = shared_path(spark, "jaccard")
     docs = df.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
-    described, counters = describe(docs, f"{path}/described")
+    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = count_tokens(deal(docs, n_buckets), n_buckets, f"{path}/counted")
+    described = counted.where(F.col("kind") == _DOC).select("doc", "n", "fp1", "fp2")
     known = docs.where("doc is not null")
     groups = (
         described.where("doc is not null and n > 0")
@@ -591,36 +649,32 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .drop("last")
     )
     same = described.where("doc is not null and n > 0").join(groups, ["fp1", "fp2", "n"])
-    copies = materialize(same.where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b")).distinct())
-    n_keys = int(counters.sum()) // 3
-    keyed = index(known, classes_of(counters), n_keys, f"{path}/index")
-    # A copy has the keys of its representative, which has the smaller id, so hubs are never copies.
-    gone = copies.select(F.col("a").alias("doc"))
-    counted = materialize(
-        keyed.where("doc <> hub")
-        .groupBy("doc", "n", "rare", "hub", "hub_n", "hub_rare")
-        .agg(F.count("*").alias("m"), F.sum("single").alias("singles"))
-        .join(gone, "doc", "left_anti")
+    copies = materialize(
+        same.where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b"), F.col("fp1").alias("fp")).distinct()
     )
-    links, labels = copies, None
-    pairs, turn, whole = materialize(_best_hubs(counted)), 0, False
-    while True:
+    indexed = index(counted, f"{path}/index")
+    info = indexed.where(F.col("kind") == _INFO)
+    # A copy has the keys of its representative.
+    gone = copies.select(F.col("a").alias("doc"), "fp")
+    keyed = indexed.where(F.col("kind") != _INFO).select("kind", "key", "cls", "cls2", "doc", "fp", *_FIELDS)
+    keyed = materialize(_more_than_one(keyed.join(gone, ["doc", "fp"], "left_anti")))
+    stars = materialize(_class_stars(keyed))
+    hanging = stars.select("cls", F.col("a").alias("doc"), "fp")
+    combined = keyed.where(F.col("kind") == _COMBINED).join(hanging, ["cls", "doc", "fp"], "left_anti")
+    entries = keyed.where(F.col("kind") == _SINGLE).unionByName(combined).select("kind", "key", "doc", "fp", *_FIELDS)
+
+    links = copies.select("a", "b").unionAll(stars.select("a", "b"))
+    labels = None if links.isEmpty() else components(links)
+    for turn in range(3):
+        entries = materialize(_open_groups(entries, labels))
+        if entries.isEmpty():
+            break
+        # Two rounds of stars with different hubs; then all that is left is paired.
+        pairs = materialize(_star_pairs(entries, turn) if turn < 2 else _cross_pairs(entries, info))
         found = materialize(verify(known, pairs))
         if not found.isEmpty():
             links = links.unionAll(found)
             labels = components(links)
-        if whole:
-            break
-        if turn == 0:
-            entries = _unresolved(keyed, counted, labels).join(gone, "doc", "left_anti")
-        entries = materialize(_open_groups(entries.select(*_ENTRY), labels))
-        if entries.isEmpty():
-            break
-        # One more round of stars with other hubs; then all that is left is paired.
-        turn, whole = turn + 1, turn > 0
-        pairs = materialize(_cross_pairs(entries) if whole else _star_pairs(entries, turn))
-    if labels is None and not links.isEmpty():
-        labels = components(links)
     result = described.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"))
     if labels is None:
         return result.withColumn("component_id", F.col(id_col))
@@ -633,14 +687,18 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` with the smallest id of each component; all columns are kept.
 
-    Of rows with equal ids one stays. Rows with a null id all stay.
+    Of rows with equal ids the one with the smallest SHA-256 of all its columns stays. Rows with a
+    null id all stay.
     """
     found = jaccard_components(df, id_col, text_col)
     ids = materialize(found.where(F.col(id_col).isNotNull()))
     gone = ids.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
     kept = df.join(gone, id_col, "left_anti").select(df.columns)
-    if ids.groupBy(id_col).agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
+    repeated = ids.groupBy(id_col).agg(F.count("*").alias("_n")).where("_n > 1").select(id_col)
+    if repeated.isEmpty():
         return kept
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionAll(
-        kept.where(F.col(id_col).isNull())
-    )
+    row = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}), 256)
+    marked = kept.join(repeated, id_col, "left_semi").select(*df.columns, row.alias("_row"))
+    chosen = marked.groupBy(id_col).agg(F.min("_row").alias("_row"))
+    once = marked.join(chosen, [id_col, "_row"], "left_semi").dropDuplicates([id_col, "_row"])  # equal rows
+    return kept.join(repeated, id_col, "left_anti").unionAll(once.select(df.columns))

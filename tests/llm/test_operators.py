@@ -360,14 +360,82 @@ def test_jaccard_components(spark):
 
 def test_keys_of_frequent_tokens_lose_no_link():
     rng = np.random.default_rng(4)
-    pool = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
-    for classes in (
-        np.ones(1 << jaccard_join.SKETCH_BITS, dtype=np.uint8),
-        rng.integers(0, 2, 1 << jaccard_join.SKETCH_BITS).astype(np.uint8),
-    ):
+    pool = np.unique(rng.integers(0, 1 << 48, 4000).astype(np.uint64))
+    for share in (0.0, 0.5, 0.9, 1.0):
+        # Tokens that are frequent, and how many documents have the others.
+        counts = np.where(rng.random(len(pool)) < share, jaccard_join.FREQUENT, rng.integers(2, 65, len(pool)))
+
+        def keys(own, other):
+            count = counts[np.searchsorted(pool, own)]
+            alone = (count < jaccard_join.FREQUENT) & ~np.isin(own, other) & (own % 2 == 0)
+            shared, count = own[~alone], count[~alone]
+            order = np.lexsort((shared, count))
+            found = jaccard_join.keys_of(shared[order], count[order], len(own))
+            frequent = shared[count == jaccard_join.FREQUENT]
+            assert found[2] is None or 100 * len(frequent) >= 75 * len(own)
+            return found, len(own) - len(frequent), frequent
+
         for _ in range(400):
-            a = rng.choice(pool, rng.integers(1, 60), replace=False)
+            a = np.unique(rng.choice(pool, rng.integers(1, 60), replace=False))
             b = np.union1d(a[rng.random(len(a)) > 0.12], rng.choice(pool, rng.integers(0, 8)))
-            if jaccard_join.linked(np.unique(a), b):
-                keys = [np.concatenate(jaccard_join.keys_of(np.unique(x), classes)[:2]) for x in (a, b)]
-                assert len(a) == len(b) == len(np.intersect1d(a, b)) or len(np.intersect1d(*keys))
+            if jaccard_join.linked(a, b) and not np.array_equal(a, b):
+                (x, r, f), (y, s, _) = keys(a, b), keys(b, a)
+                common = len(np.intersect1d(np.concatenate(x[:2]), np.concatenate(y[:2])))
+                assert common or (x[2] == y[2] and x[2] and len(f) >= 3 * (r + s))
+
+
+def test_frequent_passages_do_not_join_texts(spark, monkeypatch):
+    """A passage in a third of the texts: those that link by it alone, and those that do not."""
+    monkeypatch.setattr(jaccard_join, "RARE", 4)
+    monkeypatch.setattr(jaccard_join, "GROUP_TOKENS", 900)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    passage = rng.choices(words, k=60)
+    texts = []
+    for i in range(60):
+        texts.append(" ".join(passage + rng.choices(words, k=rng.choice([0, 1, 3, 5, 9, 12, 15, 60]))))
+        texts.append(" ".join(passage[: rng.choice([40, 50, 55])] + rng.choices(words, k=rng.choice([0, 2, 8]))))
+        texts.append(" ".join(rng.choices(words, k=70)))
+        near = list(passage)
+        near[rng.randrange(60)] = "x"
+        texts.append(" ".join(near))
+    found = jaccard_join.jaccard_components(documents(spark, texts).repartition(5))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute_components(texts)
+
+
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 1 << 48, rng.integers(1, 300)).astype(np.uint64))
+        b = np.union1d(a[rng.random(len(a)) > 0.1], rng.integers(0, 1 << 48, 20).astype(np.uint64))
+        differ = np.unpackbits((jaccard_join.bitmap(a) ^ jaccard_join.bitmap(b)).view(np.uint8)).sum()
+        assert differ <= len(np.setxor1d(a, b))
+
+
+def test_slices_are_bounded():
+    sizes = [5, jaccard_join.SLICE, jaccard_join.SLICE * 3, 1, 1, 0, jaccard_join.SLICE - 2, 9]
+    found = list(jaccard_join.slices(sizes))
+    assert [i for a, b in found for i in range(a, b)] == list(range(len(sizes)))
+    assert all(sum(sizes[a:b]) <= jaccard_join.SLICE or b - a == 1 for a, b in found)
+    assert list(jaccard_join.slices([])) == []
+
+
+def test_jaccard_null_and_repeated_ids_and_empty_tables(spark):
+    assert jaccard_join.jaccard_components(documents(spark, [])).count() == 0
+    rows = [(1, "a b c d e f g h"), (1, "q r s t u v w x y"), (2, "a b c d e f g h"), (None, "a b c d e f g h"),
+            (3, "q r s t u v w x y"), (None, None), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("x"))
+    found = sorted(map(tuple, jaccard_join.jaccard_components(df).collect()), key=str)
+    want = [(1, 4, 1), (1, 5, 1), (2, 4, 1), (None, 4, None), (3, 5, 1), (None, 0, None), (4, 0, 4), (5, 0, 5)]
+    assert found == sorted(want, key=str)
+    kept = jaccard_join.one_of_each(df).collect()
+    assert sorted([r.doc_id for r in kept], key=str) == sorted([1, 4, 5, None, None], key=str)
+    again = jaccard_join.one_of_each(df.repartition(3)).collect()
+    assert [r.text for r in kept if r.doc_id == 1] == [r.text for r in again if r.doc_id == 1]
+
+
+def test_long_texts_are_hashed_in_pieces(spark):
+    long = "lorem ipsum dolor " * 20_000 + "z" * 300_000 + " end of it"
+    other = long + " more"
+    found = jaccard_join.jaccard_components(documents(spark, [long, other, "short one here", long])).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components([long, other, "short one here", long])
