@@ -27,9 +27,9 @@ without a common rare token the hub links with too (it has the same F and fewer
 
 *Links.* Copies (equal sets) are one representative. Stars first: in each group the documents are
 paired with one hub, each document is verified against its best hubs only, and components are
-merged; groups within one component are done. A second round takes other hubs. What is left, pairs
-of different components, is joined in full under exact bounds: the sizes, the rare keys in common, and
-a parity bitmap of the tokens, whose differing bits are at most the tokens not in common. So no pairs
+merged; groups within one component are done. A further round takes other hubs. What is left, pairs
+of different components, is joined in full under exact bounds: the sizes, the key's places in both sets, the
+rare keys in common, and a parity bitmap of the tokens, whose differing bits are at most the tokens not in common. So no pairs
 are made within what already hangs together, hardly any that do not link, and no link between
 components is missed. Verification computes both sets again from the texts.
 
@@ -65,7 +65,9 @@ GROUP_TOKENS = 500_000  # tokens that a task holds before it writes blobs
 GROUP_DOCS = 50_000
 HASH_BYTES = 6  # of a token that is dealt out or a part of a key
 BITMAP = 8  # longs of a parity bitmap
+STARS = 2  # rounds of stars
 HUBS = 3  # hubs that a document is verified against in a round of stars
+BUCKETS = 4  # buckets of tokens per shuffle partition; a task holds one bucket's tokens
 FILTER_BITS = 23
 FILTER_TASKS = 16  # filters that reach the driver, one after the other
 _U = np.uint64
@@ -361,8 +363,12 @@ def count_tokens(dealt: DataFrame, n_buckets: int, path: str) -> DataFrame:
 _SINGLE, _COMBINED, _CLASS, _INFO = 1, 0, 2, 3  # kinds of rows
 
 
-def keys_of(tokens: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, tuple[int, int] | None]:
-    """Rare keys, combined keys and class key (two hashes) of a set of ``n`` tokens.
+def keys_of(
+    tokens: np.ndarray, counts: np.ndarray, n: int
+) -> tuple[np.ndarray, np.ndarray, tuple[int, int] | None, list[int]]:
+    """Rare keys, combined keys, class key (two hashes) of a set of ``n`` tokens, and where the keys stand.
+
+    Places in the global order count from 0; that of a combined key is its first token's.
 
     ``tokens`` are those that other documents have, in the global order, with their ``counts``. The
     class key is None where the prefix holds no frequent token.
@@ -372,17 +378,19 @@ def keys_of(tokens: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray,
     rare = int((counts < FREQUENT).sum())
     none = tokens[:0]
     if own >= prefix:
-        return none, none, None
+        return none, none, None, []
     singles, frequent = tokens[: min(prefix - own, rare)], tokens[rare:]
+    places = list(range(own, own + len(singles)))
     if own + rare >= prefix:
-        return singles, none, None
+        return singles, none, None, places
     combined = [frequent[: prefix - own - rare] if n <= SHINGLE else none]
     if n >= SHINGLE:
         row = frequent[: n - overlap_needed(n) + n // 3 + 2 - own - rare]
         combined.append(mix(row[:-1] * _PLACES[0] + row[1:] * _PLACES[1]))
     sums = [mix(frequent).sum(dtype=np.uint64), mix(frequent ^ _BASE).sum(dtype=np.uint64)]
     named = mix(np.array(sums) + _U(len(frequent))).astype(np.int64).tolist()
-    return singles, np.concatenate(combined), (named[0], named[1])
+    places += [own + rare + i for part in combined for i in range(len(part))]
+    return singles, np.concatenate(combined), (named[0], named[1]), places
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -392,12 +400,12 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
 
 
 def index(counted: DataFrame, path: str) -> DataFrame:
-    """``kind, key, cls, cls2, doc, fp, n, uniq, rare`` and the bitmap of every document that may have links; stored.
+    """``kind, key, cls, cls2, doc, fp, n, uniq, rare, pos`` and the bitmap of every document that may have links; stored.
 
     A row per key, and one per document (kind ``_INFO``). ``uniq`` counts the tokens that no other
-    document has, ``rare`` those that are not frequent, these included; ``cls, cls2`` is the class key.
+    document has, ``rare`` those that are not frequent, these included; ``cls, cls2`` is the class key, ``pos`` the place of a key.
     """
-    names = ["kind", "key", "cls", "cls2", "doc", "fp", "n", "uniq", "rare", *[f"b{i}" for i in range(BITMAP)]]
+    names = ["kind", "key", "cls", "cls2", "doc", "fp", "n", "uniq", "rare", "pos", *[f"b{i}" for i in range(BITMAP)]]
     schema = "kind tinyint, " + ", ".join(f"{c} bigint" for c in names[1:])
 
     def run(batches):
@@ -429,7 +437,7 @@ def index(counted: DataFrame, path: str) -> DataFrame:
                 own = n - (b - a)
                 if own >= n - overlap_needed(n) + 1:
                     continue
-                singles, combined, named = keys_of(token[a:b], count[a:b], n)
+                singles, combined, named, pos = keys_of(token[a:b], count[a:b], n)
                 rare = own + int((count[a:b] < FREQUENT).sum())
                 keys = np.concatenate([singles, combined]).view(np.int64).tolist()
                 kinds = [_SINGLE] * len(singles) + [_COMBINED] * len(combined)
@@ -438,8 +446,9 @@ def index(counted: DataFrame, path: str) -> DataFrame:
                     kinds.append(_CLASS)
                 one, two = named or (None, None)
                 size = len(keys) + 1
+                pos += [None] * (size - len(pos))
                 bits = bitmap(token[a:b]).tolist()
-                values = [[*kinds, _INFO], [*keys, None], *[[v] * size for v in (one, two, doc, fp, n, own, rare)]]
+                values = [[*kinds, _INFO], [*keys, None], *[[v] * size for v in (one, two, doc, fp, n, own, rare)], pos]
                 values += [[None] * (size - 1) + [b_] for b_ in bits]
                 for column, value in zip(columns, values):
                     column += value
@@ -565,13 +574,34 @@ def _can_link(a: str, b: str, singles: Column) -> Column:
     return (100 * na >= PERCENT * nb) & (100 * nb >= PERCENT * na) & (most >= needed)
 
 
+_BITS = [f"b{i}" for i in range(BITMAP)]
+
+
+def _differ(a: str, b: str) -> Column:
+    """At least so many tokens are in one of two sets only: bits that differ, and tokens of one document."""
+    found = F.col(f"uniq{a}") + F.col(f"uniq{b}")
+    for i in _BITS:
+        found = found + F.bit_count(F.col(f"{i}{a}").bitwiseXOR(F.col(f"{i}{b}")))
+    return found
+
+
 def _bits_allow(a: str, b: str) -> Column:
-    """Whether the bitmaps leave room for a link: bits that differ are tokens not in common."""
-    differ = F.col(f"uniq{a}") + F.col(f"uniq{b}")
-    for i in range(BITMAP):
-        differ = differ + F.bit_count(F.col(f"b{i}{a}").bitwiseXOR(F.col(f"b{i}{b}")))
+    """Whether the bitmaps leave room for a link."""
     # |x - y| + |y - x| <= (1 - J) / (1 + J) * (|x| + |y|) for J = PERCENT / 100
-    return (100 + PERCENT) * differ <= (100 - PERCENT) * (F.col(f"n{a}") + F.col(f"n{b}"))
+    return (100 + PERCENT) * _differ(a, b) <= (100 - PERCENT) * (F.col(f"n{a}") + F.col(f"n{b}"))
+
+
+def _in_prefixes(a: str, b: str) -> Column:
+    """Whether a common key may be the first one of a link, by its places in both sets.
+
+    Before the first token that two sets have in common stand at most the n - o tokens that a set
+    does not share, with o the overlap that these two sizes need; before the first neighbours in
+    common at most as many common ones more as there are tokens not in common.
+    """
+    na, nb = F.col(f"n{a}"), F.col(f"n{b}")
+    needed = F.ceil((na + nb) * PERCENT / (100 + PERCENT) - 1e-9)
+    more = F.when((F.col(f"kind{a}") == _SINGLE) & (F.col(f"kind{b}") == _SINGLE), 0).otherwise(na + nb - 2 * needed)
+    return (F.col(f"pos{a}") <= na - needed + more) & (F.col(f"pos{b}") <= nb - needed + more)
 
 
 def _more_than_one(entries: DataFrame, key: str = "key") -> DataFrame:
@@ -600,36 +630,46 @@ def _open_groups(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
     return known.join(span.select("key"), "key", "left_semi")
 
 
-def _star_pairs(entries: DataFrame, turn: int) -> DataFrame:
-    """Each document with its best hubs; which document of a group is its hub changes by turn."""
+def _star_pairs(entries: DataFrame, info: DataFrame, turn: int) -> DataFrame:
+    """Each document with its best hubs; which document of a group is its hub changes by turn.
+
+    The best are those whose bitmaps differ least, of those that they, the sizes and the keys in
+    common allow.
+    """
     place = F.xxhash64(F.lit(turn), "doc")
-    hubs = entries.groupBy("key").agg(F.min_by(F.struct("doc", "comp", *_FIELDS), place).alias("h"))
-    sizes = [F.col(f"h.{c}").alias(f"{c}_hub") for c in ("doc", *_FIELDS)]
-    met = entries.join(hubs, "key").where("comp <> h.comp").select("doc", *_FIELDS, "kind", *sizes)
-    return (
-        met.groupBy("doc", *_FIELDS, "doc_hub", *[f"{c}_hub" for c in _FIELDS])
-        .agg(F.count("*").alias("m"), F.count_if(F.col("kind") == _SINGLE).alias("singles"))
+    hubs = entries.groupBy("key").agg(F.min_by(F.struct("doc", "fp", "comp", *_FIELDS), place).alias("h"))
+    sizes = [F.col(f"h.{c}").alias(f"{c}_hub") for c in ("doc", "fp", *_FIELDS)]
+    met = entries.join(hubs, "key").where("comp <> h.comp").select("doc", "fp", *_FIELDS, "kind", *sizes)
+    own = ["doc", "fp", *_FIELDS]
+    counted = (
+        met.groupBy(*own, *[f"{c}_hub" for c in own])
+        .agg(F.count_if(F.col("kind") == _SINGLE).alias("singles"))
         .where(_can_link("", "_hub", F.col("singles")))
-        .groupBy(F.col("doc").alias("a"))
-        .agg(F.collect_list(F.struct("m", "doc_hub")).alias("hubs"))
-        .select("a", F.explode(F.slice(F.sort_array("hubs", asc=False), 1, HUBS)).alias("h"))
+    )
+    bits = info.select("doc", "fp", *_BITS)
+    hub_bits = bits.select(*[F.col(c).alias(f"{c}_hub") for c in bits.columns])
+    near = counted.join(bits, ["doc", "fp"]).join(hub_bits, ["doc_hub", "fp_hub"]).where(_bits_allow("", "_hub"))
+    return (
+        near.groupBy(F.col("doc").alias("a"))
+        .agg(F.collect_list(F.struct(_differ("", "_hub").alias("differ"), "doc_hub")).alias("hubs"))
+        .select("a", F.explode(F.slice(F.sort_array("hubs"), 1, HUBS)).alias("h"))
         .select("a", F.col("h.doc_hub").alias("b"))
     )
 
 
-def _cross_pairs(entries: DataFrame, info: DataFrame) -> DataFrame:
-    """All pairs of documents of different components that can link by sizes, keys and bitmaps."""
+def _cross_rows(entries: DataFrame, info: DataFrame) -> DataFrame:
+    """Pairs of documents of different components that can link by sizes, keys and bitmaps, once per common key."""
     own = entries.groupBy("doc", "fp").agg(F.count_if(F.col("kind") == _SINGLE).alias("singles"))
-    bits = info.select("doc", "fp", *[f"b{i}" for i in range(BITMAP)])
-    rows = entries.join(own.join(bits, ["doc", "fp"]), ["doc", "fp"])
-    fields = ["doc", "comp", "singles", *_FIELDS, *[f"b{i}" for i in range(BITMAP)]]
+    rows = entries.join(own.join(info.select("doc", "fp", *_BITS), ["doc", "fp"]), ["doc", "fp"])
+    fields = ["kind", "pos", "doc", "comp", "singles", *_FIELDS, *_BITS]
     a = rows.select("key", *[F.col(c).alias(f"{c}_a") for c in fields])
     b = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in fields])
     met = (
-        (a["key"] == b["key"]) & (F.col("comp_a") < F.col("comp_b")) & _bits_allow("_a", "_b")
+        (a["key"] == b["key"]) & (F.col("comp_a") < F.col("comp_b"))
+        & _in_prefixes("_a", "_b") & _bits_allow("_a", "_b")
         & _can_link("_a", "_b", F.least("singles_a", "singles_b"))
     )
-    return a.join(b, met).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
+    return a.join(b, met).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -637,7 +677,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = df.sparkSession
     path = shared_path(spark, "jaccard")
     docs = df.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
-    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = count_tokens(deal(docs, n_buckets), n_buckets, f"{path}/counted")
     described = counted.where(F.col("kind") == _DOC).select("doc", "n", "fp1", "fp2")
     known = docs.where("doc is not null")
@@ -656,21 +696,21 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     info = indexed.where(F.col("kind") == _INFO)
     # A copy has the keys of its representative.
     gone = copies.select(F.col("a").alias("doc"), "fp")
-    keyed = indexed.where(F.col("kind") != _INFO).select("kind", "key", "cls", "cls2", "doc", "fp", *_FIELDS)
+    keyed = indexed.where(F.col("kind") != _INFO).select("kind", "key", "cls", "cls2", "doc", "fp", "pos", *_FIELDS)
     keyed = materialize(_more_than_one(keyed.join(gone, ["doc", "fp"], "left_anti")))
     stars = materialize(_class_stars(keyed))
     hanging = stars.select("cls", F.col("a").alias("doc"), "fp")
     combined = keyed.where(F.col("kind") == _COMBINED).join(hanging, ["cls", "doc", "fp"], "left_anti")
-    entries = keyed.where(F.col("kind") == _SINGLE).unionByName(combined).select("kind", "key", "doc", "fp", *_FIELDS)
+    entries = keyed.where(F.col("kind") == _SINGLE).unionByName(combined).select("kind", "key", "doc", "fp", "pos", *_FIELDS)
 
     links = copies.select("a", "b").unionAll(stars.select("a", "b"))
     labels = None if links.isEmpty() else components(links)
-    for turn in range(3):
+    for turn in range(STARS + 1):
         entries = materialize(_open_groups(entries, labels))
         if entries.isEmpty():
             break
-        # Two rounds of stars with different hubs; then all that is left is paired.
-        pairs = materialize(_star_pairs(entries, turn) if turn < 2 else _cross_pairs(entries, info))
+        # Rounds of stars with different hubs; then all that is left is paired.
+        pairs = materialize(_star_pairs(entries, info, turn) if turn < STARS else _cross_rows(entries, info).distinct())
         found = materialize(verify(known, pairs))
         if not found.isEmpty():
             links = links.unionAll(found)

@@ -4,8 +4,11 @@ import base64
 import bz2
 import gzip
 import lzma
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -176,18 +179,100 @@ def test_secret_layers_in_glued_wrapped_and_binary_runs():
                     assert got == inner.replace("=", "")
 
 
-def test_redaction_replaces_runs_that_were_cut(monkeypatch):
-    monkeypatch.setattr(secret_scan, "MAX_UNPACKED", 1 << 12)
-    raw = b"word " * (1 << 19) + b"token=abcdef123456"
-    for data in (gzip.compress(raw), gzip.compress(gzip.compress(raw) * 99), b"x" + zlib.compress(raw)):
-        text = f"é {base64.b64encode(data).decode()} end"
-        assert secret_scan.all_spans(text)[1:] == ([], 1)
-        out = secret_scan.redacted(text)
+def test_large_packed_parts_are_searched_in_windows(monkeypatch):
+    monkeypatch.setattr(secret_scan, "WINDOW", 1 << 12)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 1 << 8)
+    monkeypatch.setattr(secret_scan, "PIECE", 1 << 9)
+    monkeypatch.setattr(secret_scan, "FEED_ZSTD", 1 << 4)
+    raw = b"word " * (1 << 17) + b"token=abcdef123456" + b" word" * 1000
+    for data in (gzip.compress(raw), bz2.compress(raw), b"x" + zlib.compress(raw), gzip.compress(gzip.compress(raw))):
+        inner = base64.b64encode(data).decode()
+        base, spans, n_cut = secret_scan.all_spans(f"é {inner} end")
+        assert base == [] and n_cut and [k for k, _, _ in spans] == ["assign"]
+        out = secret_scan.redacted(f"é {inner} end")
         assert out.startswith("é ") and out.endswith("[SECRET] end") and len(out) < 20
+    for at in range(0, 4300, 97):  # wherever a window ends
+        packed = base64.b64encode(zlib.compress(b"x" * at + b" token=abcdef123456 " + b"y" * 9000)).decode()
+        assert [k for k, _, _ in secret_scan.all_spans(packed)[1]] == ["assign"]
     escaped = "".join(f"%{ord(c):02X}" for c in base64.b64encode(gzip.compress(raw)).decode())
     assert secret_scan.redacted(f"a {escaped} b") == "a [SECRET] b"
 
 
+def percent(raw):
+    return "".join(f"%{b:02x}" for b in raw)
+
+
+def slash_x(raw):
+    return "".join(f"\\x{b:02x}" for b in raw)
+
+
+def slash_u(raw):
+    return "".join(f"\\u{b:04x}" for b in raw)
+
+
+def entity(raw):
+    return "".join(f"&#{b};" for b in raw)
+
+
+WRAPPERS = [percent, slash_x, slash_u, entity, lambda raw: base64.b64encode(raw).decode()]
+
+
+def test_secrets_under_every_pair_of_wrappers():
+    secret = b"token=abcdef123456"
+    for outer in WRAPPERS:
+        assert {k for k, _, _ in secret_scan.all_spans(f"a {outer(secret)} b")[1]} == {"assign"}
+        for inner in WRAPPERS:
+            text = f"a {outer(inner(secret).encode())} b"
+            spans = [s for s in secret_scan.all_spans(text)[1] if s[0] == "assign"]
+            assert spans and all(2 <= a < b <= len(text) - 2 for _, a, b in spans), (outer, inner)
+    for pack in PACKERS:
+        packed = pack(secret)
+        for outer in (percent, slash_x):
+            text = f"a {outer(packed)} b"
+            spans = secret_scan.all_spans(text)[1]
+            assert ("assign", 2, len(text) - 2) in spans, (pack, outer)
+            again = f"a {outer(base64.b64encode(packed))} b"
+            assert "assign" in [k for k, _, _ in secret_scan.all_spans(again)[1]]
+        import urllib.parse
+
+        quoted = f"x={urllib.parse.quote(packed)}&y"
+        assert "assign" in [k for k, _, _ in secret_scan.all_spans(quoted)[1]]
+        shown = f"data = {packed!r}"
+        assert "assign" in [k for k, _, _ in secret_scan.all_spans(shown)[1]]
+
+
+def test_escapes_of_escapes_take_linear_time():
+    import time
+
+    for levels, limit in ((4_000, 0.5), (50_000, 4.0)):
+        for chain_, end in (("%" + "25" * levels, "74oken=abcdef123456"), ("\\" + "x5c" * levels, "x74oken=abcdef123456"),
+                            ("\\" + "u005c" * levels, "u0074oken=abcdef123456"), ("&" + "#38;" * levels, "#116;oken=abcdef123456")):
+            started = time.perf_counter()
+            spans = [s for s in secret_scan.all_spans(f"a {chain_}{end} b")[1] if s[0] == "assign"]
+            assert spans == [("assign", 2, 2 + len(chain_) + len(end))]
+            assert time.perf_counter() - started < limit
+    mixed = "%5cx25" * 300 + "41"  # signs in turn: one level at a time
+    secret_scan.all_spans(mixed)
+
+
+def test_base_spans_equal_plain_search():
+    """On every document of the smallest table, against the patterns written out again."""
+    import duckdb
+
+    texts = duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    assign = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+    found = 0
+    for (text,) in texts:
+        text = text or ""
+        want = [("assign", *m.span()) for m in re.finditer(assign, text, re.ASCII) if len(m[1]) >= 6]
+        want += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        want += [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+        base, spans, _ = secret_scan.all_spans(text)
+        assert sorted(base) == sorted(want) and set(base) <= set(spans)
+        found += len(base)
+    assert found
+
+
 def test_secret_scan_rows(spark):
     texts = [None, "", "PassWord: 'hunter22'", "ſecret=abcdefgh", "token=abc", "AKIA" + "A" * 16, "f" * 24, "f" * 23]
     rows = {r.doc_id: r for r in secret_scan.scan_secrets(documents(spark, texts)).collect()}
@@ -278,43 +363,105 @@ def test_toxicity(spark):
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
     texts = [" ".join(rng.choices(words, k=30)) + (" vileword" if i % 4 == 0 else "") for i in range(200)]
-    df = documents(spark, texts + [None, ""])
+    df = documents(spark, texts + [None, "", "99 new1 new2"])
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] + [(1, None), (None, 1)], "doc_id long, toxic int")
     examples = toxicity.fit(df, labels)
     rows = {r.doc_id: r for r in toxicity.score_toxicity(df, examples).collect()}
     assert all(rows[i].predicted == int(i % 4 == 0) for i in range(200))
-    assert rows[200].score == rows[201].score == examples.prior
-    terms = ["vileword", "vile*", "vilew*"]
-    assert examples.nearest(terms)[0][0] > 0.9
+    assert rows[200].score == rows[201].score == rows[202].score == examples.prior
+    learned = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    assert sorted(examples.ids) == learned  # both classes, whatever their words
+    assert not set(rows[0].evidence) - set(learned)
     assert toxicity.fit(df, labels.limit(0)) is None
     assert {r.score for r in toxicity.score_toxicity(df, None).collect()} == {0.0}
 
 
-def test_nearest_equals_brute_force_cosine():
-    rng = random.Random(8)
-    idf = {f"t{i}": rng.uniform(0.1, 5) for i in range(60)}
-    pick = lambda: sorted(rng.sample(sorted(idf), rng.randint(1, 12)))
-    rows = [(i, rng.randint(0, 1), pick()) for i in range(400)]
-    rows += [(400 + i, 1, rows[i][2]) for i in range(40)]  # copies tie
-    index = toxicity.Examples(idf, rows, {0: 2.0, 1: 1.0}, 0.1)
-    terms = {r[0]: set(r[2]) for r in rows}
+def test_toxicity_of_null_and_repeated_ids(spark):
+    rows = [(i, "clean words here" if i % 2 else "vile words here") for i in range(40)]
+    rows += [(None, "vile words"), (3, "another clean text"), (3, "clean words here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("x"))
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)] + [(3, 1)], "doc_id long, toxic int")
+    examples = toxicity.fit(df, labels)
+    found = toxicity.score_toxicity(df, examples).collect()
+    assert len(found) == 43 and [r.predicted for r in found if r.doc_id is None] == [1]
+    assert toxicity.score_toxicity(df.limit(0), examples).count() == 0
+
+
+def brute_toxicity(train, texts):
+    """Scores by plain dictionaries: cosine to every example, ties to the earlier one in index order."""
+    bags = [(Counter(re.findall(r"\w+", t.lower())), label) for _, t, label in train]
+    n = [sum(1 for _, label in bags if label == k) for k in (0, 1)]
+    held = [Counter(w for bag, label in bags if label == k for w in bag) for k in (0, 1)]
+    weight = {}
+    for w in held[0] | held[1]:
+        a, b = held[1][w], held[0][w]
+        below = (a + b) * (sum(n) - a - b) * n[0] * n[1]
+        chi2 = sum(n) * (a * (n[0] - b) - b * (n[1] - a)) ** 2 / below if below else 0
+        weight[w] = math.log(1 + sum(n) / (a + b)) * math.sqrt(max(0, chi2 - 1))
+
+    def vector(bag):
+        v = {w: (1 + math.log(k)) * weight.get(w, 0) for w, k in bag.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items() if x} if norm else {}
+
+    vectors = [vector(bag) for bag, _ in bags]
+    out = []
+    for t in texts:
+        own = vector(Counter(re.findall(r"\w+", (t or "").lower())))
+        out.append([round(sum(x * v.get(w, 0) for w, x in own.items()), 9) for v in vectors])
+    return out
+
+
+def test_scores_equal_brute_force_on_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    documents_, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text for r in documents_.collect()}
+    toxic = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None}
+    train = [(i, texts[i] or "", toxic[i]) for i in sorted(toxic) if i in texts and zlib.crc32(str(i).encode()) % 5]
+    examples = toxicity.fit(documents_, labels)
+    assert sorted(examples.ids) == [i for i, _, _ in train]
+    order = sorted(texts)[:80]
+    for i, cosines in zip(order, brute_toxicity(train, [texts[i] for i in order])):
+        found, at = examples.nearest(toxicity.words_of(texts[i] or ""))
+        by_id = dict(zip([t[0] for t in train], cosines))
+        want = sorted((c for c in cosines if c > 0), reverse=True)[: toxicity.NEIGHBOURS]
+        assert list(found) == pytest.approx(want, abs=1e-7)
+        assert [by_id[examples.ids[k]] for k in at] == pytest.approx(want, abs=1e-7)
+        if want:
+            label = np.array([toxic[examples.ids[k]] for k in at])
+            square = found**2 * examples.stands_for[at]
+            score = (square @ label + toxicity.PRIOR_WEIGHT * examples.prior) / (square.sum() + toxicity.PRIOR_WEIGHT)
+            assert examples.score(texts[i])[0] == pytest.approx(min(1, max(0, score)))
 
-    def norm(own):
-        return sum(idf[t] ** 2 for t in own) ** 0.5
 
+def test_nearest_equals_brute_force_cosine():
+    rng = random.Random(8)
+    names = [f"t{i}" for i in range(60)]
+    weight = np.array([rng.choice([0.0, rng.uniform(0.1, 5)]) for _ in names])
+    pick = lambda: {w: rng.randint(1, 4) for w in rng.sample(names, rng.randint(1, 12))}
+    bags = [pick() for _ in range(400)]
+    bags += bags[:40]  # copies tie
+    rows = [(i, rng.randint(0, 1)) for i in range(len(bags))]
+    owner = np.array([i for i, bag in enumerate(bags) for _ in bag])
+    word = np.array([names.index(w) for bag in bags for w in bag])
+    tf = np.array([n for bag in bags for n in bag.values()], dtype=float)
+    index = toxicity.Examples(names, weight, rows, owner, word, tf, {0: 2.0, 1: 1.0}, 0.1)
+
+    def vector(bag):
+        v = np.zeros(len(names))
+        for w, n in bag.items():
+            v[names.index(w)] = (1 + math.log(n)) * weight[names.index(w)]
+        return v / (np.sqrt(v @ v) or 1)
+
+    vectors = np.array([vector(bags[i]) for i in index.ids])
     for _ in range(200):
         query = pick()
-        want = []
-        for number, i in enumerate(index.ids):
-            cosine = sum(idf[t] ** 2 for t in terms[i].intersection(query)) / norm(terms[i]) / norm(query)
-            if cosine > 0:
-                want.append((-cosine, number))
-        want = sorted(want)[: toxicity.NEIGHBOURS]
-        near = index.nearest(query)
-        assert [c for c, _ in near] == pytest.approx([-c for c, _ in want], abs=1e-8)
-        for cosine, number in near:
-            own = terms[index.ids[number]]
-            assert cosine == pytest.approx(sum(idf[t] ** 2 for t in own.intersection(query)) / norm(own) / norm(query), abs=1e-8)
+        cosine = np.round(vectors @ vector(query), 9)
+        want = np.lexsort((np.arange(len(cosine)), -cosine))[: toxicity.NEIGHBOURS]
+        want = want[cosine[want] > 0]
+        found, at = index.nearest(query)
+        assert list(found) == pytest.approx(cosine[want], abs=1e-8)
+        assert list(cosine[at]) == pytest.approx(cosine[want], abs=1e-8)
 
 
 def brute_components(texts):
@@ -375,12 +522,22 @@ def test_keys_of_frequent_tokens_lose_no_link():
             assert found[2] is None or 100 * len(frequent) >= 75 * len(own)
             return found, len(own) - len(frequent), frequent
 
+        def first_places(x, y, na, nb):
+            """Whether some common key stands where the first one of a link of these sizes can."""
+            needed = -(-75 * (na + nb) // 175)
+            for kind in (0, 1):
+                more = (0, na + nb - 2 * needed)[kind]
+                at = [dict(zip(k[kind].tolist(), k[3][kind and len(k[0]):])) for k in (x, y)]
+                if any(at[0][k] <= na - needed + more and at[1][k] <= nb - needed + more for k in set(at[0]) & set(at[1])):
+                    return True
+            return False
+
         for _ in range(400):
             a = np.unique(rng.choice(pool, rng.integers(1, 60), replace=False))
             b = np.union1d(a[rng.random(len(a)) > 0.12], rng.choice(pool, rng.integers(0, 8)))
             if jaccard_join.linked(a, b) and not np.array_equal(a, b):
                 (x, r, f), (y, s, _) = keys(a, b), keys(b, a)
-                common = len(np.intersect1d(np.concatenate(x[:2]), np.concatenate(y[:2])))
+                common = first_places(x, y, len(a), len(b))
                 assert common or (x[2] == y[2] and x[2] and len(f) >= 3 * (r + s))
 
 
