@@ -1,21 +1,23 @@
-"""Toxicity from the nearest labelled examples under the exact cosine of selected terms' idf.
+"""Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-This is not the TF-IDF cosine of whole texts: terms count once, and only terms that go with the
-toxic label make up the vectors, so an example or a text without any has no neighbours. The README
-has the figures of both.
+A text's vector holds a weight for every word: (1 + ln tf) x idf x association, where the association is the
+square root of what the word's chi-squared statistic with the label has above its mean under chance
+(1). So all words of the sample take part by term frequency and idf, those that go with neither label at
+weight 0, and examples of both classes are kept whatever their words. Without the association the
+nearest neighbours follow the prose and hardly any toxic text is found (README).
 
 Fitting is bounded: at most ``EXAMPLES`` labelled rows of each class, the first by the hash of
-their ids, are the examples; the terms (words and word beginnings) are those whose presence goes
-with the label by a chi-squared test over the examples, at most ``TERMS``. Both bounds make the
-index a broadcast of proven size. Scoring covers every text whole, in one narrow pass.
+their ids, and of these, classes in turn, as many as hold ``POSTINGS`` different words in all. The bounds make
+the index a broadcast of proven size. Scoring covers every text whole, in one narrow pass.
 
-The index is inverted and cut into blocks of examples; it holds each term's highest weight per
-block. Blocks are scored in the order of their bounds until no block can hold a nearer example
-than the k-th found, so the neighbours are exact. Votes weigh the squared cosine and the share of
-the population that an example stands for; a prior of weight ``PRIOR_WEIGHT`` at the population's
-rate pulls weak evidence towards it, which keeps scores calibrated. The nearest ids are evidence.
+The index is inverted and cut into blocks of examples; it holds each word's highest weight per
+block. The blocks with the highest bounds are scored first; of the others only those whose bound
+reaches the k-th nearest found so far, so the neighbours are exact. Votes weigh the squared cosine
+and the share of the population that an example stands for; a prior of weight ``PRIOR_WEIGHT`` at the
+population's rate pulls weak evidence towards it, which keeps scores calibrated. The nearest ids
+are evidence.
 
-Defined results: null and empty texts, and texts without any term, score the population's rate;
+Defined results: null and empty texts, and texts without any word of weight, score the population's rate;
 without labelled rows every score is 0. Rows with a null id are scored but not learned from; a
 null label counts as no label; of equal ids in the labels the highest label counts. Ties among
 neighbours go to the earlier example. Other columns are neither read nor returned.
@@ -23,103 +25,148 @@ neighbours go to the earlier example. Other columns are neither read nor returne
 
 from __future__ import annotations
 
-import heapq
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailsift.llm.common import fold, map_batches, map_stream, texts_of
+from mailsift.llm.common import fold, map_batches, texts_of
+from mailsift.session import shared_path
 
 WORD = re.compile(r"\w+")
-BEGINNINGS = (4, 5)  # lengths of word beginnings that count as terms
 EXAMPLES = 3_000
-TERMS = 4_096
-MIN_CHI2 = 24.0
+POSTINGS = 4_000_000
 NEIGHBOURS = 25
 BLOCK = 32
+FIRST_BLOCKS = 8  # scored before any is left out
 PRIOR_WEIGHT = 0.5
 EVIDENCE = 3
 
 
-def terms_of(text: str) -> set[str]:
-    words = set(WORD.findall(text.lower()))
-    out = set(words)
-    for n in BEGINNINGS:
-        out.update([w[:n] + "*" for w in words if len(w) > n])
-    return out
+def words_of(text: str) -> Counter:
+    """How often each word occurs."""
+    return Counter(m.group() for m in WORD.finditer(text.lower()))
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Examples:
-    """The block-max index: postings by term, in blocks of examples."""
-
-    def __init__(self, idf: dict[str, float], rows: list[tuple[int, int, list[str]]], rates: dict[int, float], prior: float):
-        """``rows``: id, label and terms of each example; ``rates``: rows that one stands for."""
-        self.idf, self.prior = idf, prior
-        rows = sorted(rows, key=lambda r: (max(r[2], key=lambda t: (idf[t], t)), r[0]))
-        self.ids = [r[0] for r in rows]
-        self.labels = np.array([r[1] for r in rows], dtype=np.float64)
+    """The block-max index: postings by word, in blocks of examples."""
+
+    def __init__(
+        self, words: list[str], weight: np.ndarray, rows: list[tuple[int, int]], owner: np.ndarray,
+        word: np.ndarray, tf: np.ndarray, rates: dict[int, float], prior: float,
+    ):
+        """``rows``: id and label of each example; ``owner, word, tf``: what words it holds, how often.
+
+        ``weight`` is that of each of the ``words``; ``rates``: rows of a class that one example
+        stands for.
+        """
+        self.number = {w: i for i, w in enumerate(words)}
+        self.weight, self.prior = weight, prior
+        value = (1 + np.log(tf)) * weight[word]
+        kept = value > 0
+        owner, word, value = owner[kept], word[kept], value[kept]
+        norm = np.sqrt(np.bincount(owner, value * value, minlength=len(rows)))
+        value = value / norm[owner]
+        # Examples with the same heaviest word are neighbours in a block.
+        heaviest = np.full(len(rows), len(words), dtype=np.int64)
+        by_value = np.lexsort((value, owner))
+        last = np.concatenate([owner[by_value][1:] != owner[by_value][:-1], [True]]) if len(owner) else owner.astype(bool)
+        heaviest[owner[by_value][last]] = word[by_value][last]
+        order = np.lexsort(([r[0] for r in rows], heaviest)) if rows else np.zeros(0, dtype=np.int64)
+        place = np.empty(len(rows), dtype=np.int64)
+        place[order] = np.arange(len(rows))
+        self.ids = [rows[i][0] for i in order.tolist()]
+        self.labels = np.array([rows[i][1] for i in order.tolist()], dtype=np.float64)
         mean = np.mean([rates[r[1]] for r in rows]) if rows else 1.0
-        self.stands_for = np.array([rates[r[1]] / mean for r in rows])
+        self.stands_for = np.array([rates[rows[i][1]] / mean for i in order.tolist()])
         self.n_blocks = -(-len(rows) // BLOCK)
-        posts: dict[str, list[tuple[int, float]]] = {}
-        for number, (_, _, terms) in enumerate(rows):
-            norm = sum(idf[t] ** 2 for t in terms) ** 0.5
-            for t in terms:
-                posts.setdefault(t, []).append((number, idf[t] / norm))
-        self.posts, self.highest = {}, {}
-        for t, own in posts.items():
-            numbers = np.array([n for n, _ in own])
-            weights = np.array([w for _, w in own])
-            blocks, starts = np.unique(numbers // BLOCK, return_index=True)
-            self.posts[t] = {
-                int(b): (numbers[a:z], weights[a:z])
-                for b, a, z in zip(blocks, starts, [*starts[1:], len(numbers)])
-            }
-            self.highest[t] = (blocks, np.maximum.reduceat(weights, starts))
-
-    def nearest(self, terms: list[str]) -> list[tuple[float, int]]:
-        """The nearest examples by cosine: (cosine, example), nearest first."""
-        norm = sum(self.idf[t] ** 2 for t in terms) ** 0.5
-        query = {t: self.idf[t] / norm for t in terms if t in self.posts}
-        bounds = np.zeros(self.n_blocks)
-        for t, q in query.items():
-            blocks, weights = self.highest[t]
-            bounds[blocks] += q * weights
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or (len(best) == NEIGHBOURS and bounds[block] < best[0][0]):
-                break
-            scores = np.zeros(BLOCK)
-            for t, q in query.items():
-                if (own := self.posts[t].get(block)) is not None:
-                    scores[own[0] - block * BLOCK] += q * own[1]
-            for i in np.nonzero(scores)[0].tolist():
-                entry = (round(float(scores[i]), 9), -(block * BLOCK + i))
-                if len(best) < NEIGHBOURS:
-                    heapq.heappush(best, entry)
-                elif entry > best[0]:
-                    heapq.heapreplace(best, entry)
-        return [(c, -i) for c, i in sorted(best, reverse=True)]
+        # Postings by word and example; runs are the postings of a word in a block.
+        at = np.lexsort((place[owner], word))
+        word, self.example, self.value = word[at], place[owner][at], value[at]
+        block = self.example // BLOCK
+        new = np.ones(len(word), dtype=bool)
+        new[1:] = (word[1:] != word[:-1]) | (block[1:] != block[:-1])
+        self.run_start = np.nonzero(new)[0]
+        self.run_size = np.diff(np.concatenate([self.run_start, [len(word)]]))
+        self.run_block = block[self.run_start]
+        self.run_max = np.maximum.reduceat(self.value, self.run_start) if len(word) else self.value
+        runs = np.bincount(word[self.run_start], minlength=len(words))
+        self.first_run, self.n_runs = np.cumsum(runs) - runs, runs
+
+    def nearest(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Cosine and number of the nearest examples to a text with these words, nearest first."""
+        known = [(self.number[w], n) for w, n in counts.items() if w in self.number]
+        nothing = np.zeros(0), np.zeros(0, dtype=np.int64)
+        if not known:
+            return nothing
+        known.sort()
+        word, tf = (np.array(c) for c in zip(*known))
+        query = (1 + np.log(tf)) * self.weight[word]
+        norm = np.sqrt((query * query).sum())
+        if not norm:
+            return nothing
+        run = _ranges(self.first_run[word], self.n_runs[word])
+        share = np.repeat(query / norm, self.n_runs[word])
+        block = self.run_block[run]
+        bounds = np.bincount(block, share * self.run_max[run], minlength=self.n_blocks)
+
+        def scored(open_: np.ndarray) -> np.ndarray:
+            chosen = open_[block]
+            sizes = self.run_size[run[chosen]]
+            post = _ranges(self.run_start[run[chosen]], sizes)
+            return np.bincount(
+                self.example[post], np.repeat(share[chosen], sizes) * self.value[post], minlength=len(self.ids)
+            )
+
+        first = np.zeros(self.n_blocks, dtype=bool)
+        first[np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]] = True
+        scores = scored(first)
+        best = np.sort(scores)[-NEIGHBOURS:]
+        least = best[0] if len(best) == NEIGHBOURS else 0.0
+        rest = ~first & (bounds > 0) & (bounds >= least - 1e-9)
+        if rest.any():
+            scores += scored(rest)
+        scores = np.round(scores, 9)
+        found = np.nonzero(scores)[0]
+        if len(found) > NEIGHBOURS:
+            found = found[scores[found] >= np.sort(scores[found])[-NEIGHBOURS]]
+        found = found[np.lexsort((found, -scores[found]))][:NEIGHBOURS]
+        return scores[found], found
 
     def score(self, text: str) -> tuple[float, list[int]]:
-        terms = [t for t in terms_of(text) if t in self.idf] if text else []
-        if not terms:
+        cosine, at = self.nearest(words_of(text)) if text else ((), ())
+        if not len(at):
             return self.prior, []
-        near = self.nearest(sorted(terms))
-        at = [i for _, i in near]
-        weights = np.array([c * c for c, _ in near]) * self.stands_for[at]
+        weights = cosine * cosine * self.stands_for[at]
         total = weights.sum() + PRIOR_WEIGHT
         score = float((weights @ self.labels[at] + PRIOR_WEIGHT * self.prior) / total)
-        return min(1.0, max(0.0, score)), [self.ids[i] for i in at[:EVIDENCE]]
+        return min(1.0, max(0.0, score)), [self.ids[i] for i in at[:EVIDENCE].tolist()]
 
 
 def learned(id_col: str) -> Column:
     return fold(id_col, 5) != 0
 
 
+def weights_of(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """idf x association of words, from the examples of each class that hold them."""
+    n, held = n_toxic + n_clean, toxic + clean
+    idf = np.log(1 + n / np.maximum(held, 1))
+    difference = toxic * (n_clean - clean) - clean * (n_toxic - toxic)
+    below = held * (n - held) * float(n_toxic * n_clean)
+    chi2 = np.divide(n * difference * difference, below, out=np.zeros(len(held)), where=below > 0)
+    return idf * np.sqrt(np.maximum(0.0, chi2 - 1))
+
+
 def fit(
     df: DataFrame,
     labels: DataFrame,
@@ -143,70 +190,57 @@ def fit(
         chosen = first if chosen is None else chosen.unionAll(first)
     picked = spark.createDataFrame(chosen.toArrow(), "id bigint, label int")  # 2 * EXAMPLES rows
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = texts.join(F.broadcast(picked), "id").select("id", "label", "text")
-
-    def count(batches):
-        seen: dict[tuple[str, int], int] = {}
-        sizes = [0, 0]
-        for batch in batches:
-            for label, text in zip(batch.column(1).to_pylist(), texts_of(batch.column(2))):
-                sizes[label] += 1
-                for t in terms_of(text):
-                    seen[t, label] = seen.get((t, label), 0) + 1
-        keys = [*seen, *[("", k) for k in (0, 1) if sizes[k]]]
-        values = [*seen.values(), *[n for n in sizes if n]]
-        if keys:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int32()), pa.array(values, pa.int64())],
-                ["term", "label", "n"],
-            )
-
-    counted = (
-        map_stream(sample, count, "term string, label int, n bigint")
-        .groupBy("term")
-        .agg(
-            F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"),
-            F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"),
-        )
-        .where("toxic + clean > 2")
-        .persist()
-    )
-    whole = counted.where("term = ''").first()
-    n1, n0 = (whole.toxic, whole.clean) if whole else (0, 0)
-    n = n1 + n0
-    prior = population.get(1, 0) / sum(population.values())
-    a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
-    difference = a * (n0 - b) - b * (n1 - a)
-    chi2 = n * difference * difference / ((a + b) * (n - a - b) * F.lit(float(max(1, n1 * n0))))
-    top = (
-        counted.where("term <> ''")
-        .withColumn("chi2", F.when(F.col("toxic") + F.col("clean") < n, chi2))
-        .where((F.col("chi2") >= MIN_CHI2) & (difference > 0))
-        .orderBy(F.desc("chi2"), "term")
-        .limit(TERMS)
-        .collect()
-    )
-    counted.unpersist()
-    idf = {r.term: float(np.log(1 + n / (r.toxic + r.clean))) for r in top}
-    words = spark.sparkContext.broadcast(frozenset(idf))
 
     def setup():
-        own = words.value
-
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [sorted(terms_of(t) & own) for t in texts_of(batch.column(2))]
+            found = [words_of(t) for t in texts_of(batch.column(2))]
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))],
-                ["id", "label", "terms"],
+                [
+                    batch.column(0), batch.column(1), pa.array([len(f) for f in found], pa.int64()),
+                    pa.array([list(f) for f in found], pa.list_(pa.string())),
+                    pa.array([list(f.values()) for f in found], pa.list_(pa.int32())),
+                ],
+                ["id", "label", "n_words", "words", "tf"],
             )
 
         return work
 
-    vectors = map_batches(sample, setup, "id bigint, label int, terms array<string>")
-    rows = [(r.id, r.label, r.terms) for r in vectors.where("size(terms) > 0").collect()]
-    taken = {1: max(1, n1), 0: max(1, n0)}
-    rates = {k: population.get(k, 0) / taken[k] for k in (0, 1)}
-    return Examples(idf, rows, rates, prior)
+    sample = texts.join(F.broadcast(picked), "id").select("id", "label", "text")
+    schema = "id bigint, label int, n_words bigint, words array<string>, tf array<int>"
+    path = shared_path(spark, "examples")
+    map_batches(sample, setup, schema).write.parquet(path)
+    stored = spark.read.schema(schema).parquet(path)
+    # At most 2 * EXAMPLES narrow rows; equal ids in the texts make more, of which the first count.
+    in_class = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", "n_words")
+    upto = Window.orderBy("_rank", "label").rowsBetween(Window.unboundedPreceding, 0)
+    used = (
+        stored.withColumn("_rank", F.row_number().over(in_class))
+        .where(F.col("_rank") <= EXAMPLES)
+        .withColumn("_upto", F.sum("n_words").over(upto))
+        .where(F.col("_upto") <= POSTINGS)
+        .orderBy("id", "label", "n_words", "words")
+        .select("id", "label", "words", "tf")
+        .toArrow()
+    )
+    prior = population.get(1, 0) / sum(population.values())
+    label = used.column("label").to_numpy().astype(np.int64)
+    sizes = np.array(pa.compute.list_value_length(used.column("words")).to_pylist(), dtype=np.int64)
+    flat = pa.compute.list_flatten(used.column("words")).combine_chunks().dictionary_encode()
+    words, word = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    tf = pa.compute.list_flatten(used.column("tf")).to_numpy().astype(np.float64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    held = [np.bincount(word[label[owner] == k], minlength=len(words)).astype(np.float64) for k in (0, 1)]
+    n = [int((label == k).sum()) for k in (0, 1)]
+    weight = weights_of(held[1], held[0], n[1], n[0])
+    useful = np.nonzero(weight > 0)[0]
+    number = np.full(len(words), -1)
+    number[useful] = np.arange(len(useful))
+    kept = number[word] >= 0
+    rates = {k: population.get(k, 0) / max(1, n[k]) for k in (0, 1)}
+    rows = list(zip(used.column("id").to_pylist(), label.tolist()))
+    return Examples(
+        [words[i] for i in useful.tolist()], weight[useful], rows, owner[kept], number[word][kept], tf[kept], rates, prior
+    )
 
 
 def score_toxicity(
