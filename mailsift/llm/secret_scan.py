@@ -1,19 +1,23 @@
 """Secret scans: a worklist of layers, each the decoded form of a part of an earlier one.
 
 The text is the first layer. Each layer is searched for secrets and for encoded parts: percent
-escapes and Unicode escapes (the layer is taken over with the escapes replaced), base64 runs and,
-under base64, compressed data (the decoded part is a layer of its own). Compressed data is unpacked
-again while a header matches, with all members that follow each other in a stream. A layer that was
-already met at the same place of the text is not taken again, so the work ends also where a part
-decodes to itself. A base64 run is decoded in all four alignments and over the breaks of wrapped
-lines; decoded bytes need not be text, and a compressed stream may begin anywhere in them. A run
-begins with 16 characters in a line at least. Spans of every layer are mapped to code points of the text.
+escapes and Unicode escapes (the layer is taken over with the escapes replaced), base64 runs (the
+decoded part is a layer of its own), and compressed data under base64 or under percent or byte
+escapes. Compressed data is unpacked again while a header matches, with all members that follow each
+other in a stream. An escape that is itself escaped many times over (``%252525...41``) is undone down to
+the last but one level at once. A layer that was already met at the same place of the text is not
+taken again, so the work ends also where a part decodes to itself. A base64 run is decoded in all
+four alignments and over the breaks of wrapped lines; decoded bytes need not be text, and a
+compressed stream may begin anywhere in them. A run begins with 16 characters in a line at least.
+Spans of every layer are mapped to code points of the text; each layer knows the places of its
+characters in the text, so a map is not followed through the layers above.
 
 Defined results: a null text is empty and holds no secret; equal rows give equal rows; other
 columns are neither read nor returned by ``scan_secrets`` and are kept as they are by
-``redact_secrets``. Whole texts are searched. ``MAX_UNPACKED`` guards against compression bombs:
-a compressed part that unpacks to more is searched up to there and counted in ``n_cut``, and
-``redact_secrets`` replaces its whole run.
+``redact_secrets``. Whole texts are searched, and all of a compressed part: one that unpacks to more than
+``WINDOW`` bytes is searched in windows that overlap by ``OVERLAP``, of which one is held at a time. Such
+parts are counted in ``n_cut`` (a stream inside one may be cut by a window's end), and
+``redact_secrets`` replaces their whole run.
 """
 
 from __future__ import annotations
@@ -24,9 +28,11 @@ import html
 import lzma
 import re
 import zlib
-from bisect import bisect_right
-from itertools import accumulate
+from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -44,9 +50,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the maximal runs of 24 or more
 ASSIGN_VALUE, ACCESS_LENGTH = 6, 20
 
-PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+# The first alternatives are escapes of the sign that begins an escape, any number of times.
+PERCENT = re.compile(r"%(?:25)+(?=[0-9A-Fa-f]{2})|(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(
-    r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+"
+    r"\\(?:x5[cC])+(?=x[0-9A-Fa-f]{2})|\\(?:u005[cC])+(?=u[0-9A-Fa-f]{4})|&(?:#(?:38|[xX]26);)+(?=#)"
+    r"|(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+"
     r"|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
 )
 BASE64 = re.compile(r"([A-Za-z0-9+/_-]{16,})={0,2}")
@@ -55,7 +63,14 @@ LINE = re.compile(
     r"[ \t]*(?:\r\n?|\n|\\r\\n|\\n)[ \t>]*([A-Za-z0-9+/_-]+)"
     r"(?:={1,2}|(?=[ \t]*(?:[\r\n]|\\[rn]|\Z)|[\"'<>()\[\]{},;.]))"
 )
-MAX_UNPACKED = 1 << 26  # bytes of one compressed part
+#: Bytes written as escapes, as languages print them.
+BYTE_ESCAPE = re.compile(r"\\x[0-9A-Fa-f]{2}|\\[abtnvfr0\\'\"]")
+PERCENT_BYTE = re.compile(r"%[0-9A-Fa-f]{2}")
+UNPRINTED = re.compile(r"(?:%|\\x)(?:[01]|[89A-Fa-f])[0-9A-Fa-f]")
+LEAST_UNPRINTED = 4  # escapes of bytes that are no ASCII characters, without which nothing is packed
+NEAR = 16  # bytes of a stream among which one is escaped
+WINDOW = 1 << 26  # unpacked bytes that are searched at once
+OVERLAP = 1 << 16
 MASK = "[SECRET]"
 
 Span = tuple[str, int, int]
@@ -79,53 +94,53 @@ def find_in(text: str) -> list[Span]:
 
 
 class Layer:
-    """A decoded text and where each of its parts stands in the text of the row.
+    """A decoded text and where each of its characters stands in the text of the row.
 
-    ``starts`` holds the first position of each part; ``place`` maps a span of a part to the
-    parent layer.
+    ``lo`` and ``hi`` are arrays of first positions and ends, or two numbers where all characters
+    stand for the same part. In the text of the row itself they are None.
     """
 
-    def __init__(self, text: str, parent: Layer | None, starts: list[int], places: list):
-        self.text, self.parent, self.starts, self.places = text, parent, starts, places
+    def __init__(self, text: str, lo=None, hi=None):
+        self.text, self.lo, self.hi = text, lo, hi
 
     def to_row(self, start: int, end: int) -> tuple[int, int]:
-        layer = self
-        while layer.parent is not None:
-            first = layer.places[bisect_right(layer.starts, start) - 1]
-            last = layer.places[bisect_right(layer.starts, max(start, end - 1)) - 1]
-            start, end = first(start, end)[0], last(start, end)[1]
-            layer = layer.parent
-        return start, end
-
-
-def shifted(by: int):
-    return lambda start, end: (start + by, end + by)
-
-
-def whole(first: int, last: int):
-    return lambda start, end: (first, last)
-
-
-def in_base64(lines: list[tuple[int, int]], skip: int, by: int = 0):
-    """Bytes of a run decoded from its character ``skip`` on, from byte ``by``, mapped to the
-    characters that hold their bits; ``lines`` are the spans of the run's lines."""
-    firsts = list(accumulate([b - a for a, b in lines], initial=0))
-    total = firsts.pop()
-
-    def at(number: int) -> int:
-        line = bisect_right(firsts, number) - 1
-        return lines[line][0] + number - firsts[line]
-
-    def place(start: int, end: int) -> tuple[int, int]:
-        first = skip + (start + by) * 8 // 6
-        last = max(first + 1, skip - (-(end + by) * 8 // 6))
-        return at(first), at(min(total, last) - 1) + 1
-
-    return place
+        if self.lo is None:
+            return start, end
+        if isinstance(self.lo, int):
+            return self.lo, self.hi
+        return int(self.lo[start]), int(self.hi[max(start, end - 1)])
+
+    def places(self, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """First positions and ends of a range of characters."""
+        if self.lo is None:
+            return np.arange(start, end), np.arange(start + 1, end + 1)
+        if isinstance(self.lo, int):
+            return np.full(end - start, self.lo), np.full(end - start, self.hi)
+        return self.lo[start:end], self.hi[start:end]
+
+
+class Run:
+    """Places of the characters of a base64 run, worked out when a decoded part needs them."""
+
+    def __init__(self, layer: Layer, lines: list[tuple[int, int]]):
+        self.layer, self.lines, self.found = layer, lines, None
+
+    def part(self, skip: int, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of bytes ``a`` to ``b`` of what is decoded from character ``skip`` on: those of
+        the characters that hold their bits."""
+        if self.found is None:
+            own = [self.layer.places(*line) for line in self.lines]
+            self.found = np.concatenate([x for x, _ in own]), np.concatenate([x for _, x in own])
+        lo, hi = self.found
+        first = skip + np.arange(a, b) * 8 // 6
+        last = skip - (-np.arange(a + 1, b + 1) * 8 // 6) - 1
+        return lo[first], hi[np.minimum(np.maximum(last, first), len(hi) - 1)]
 
 
 def percent_chars(run: str) -> list[tuple[str, int]]:
     """Characters of a run of percent escapes and the length of the escapes of each."""
+    if len(run) > 3 and run.count("%") == 1:
+        return [("%", len(run))]
     raw = bytes.fromhex(run.replace("%", ""))
     return [(c, 3 * size) for c, size in utf8_chars(raw)]
 
@@ -156,6 +171,8 @@ def valid(code: int) -> str:
 
 def escape_chars(run: str) -> list[tuple[str, int]]:
     """Characters of a run of Unicode escapes and the length of the escapes of each."""
+    if run.count("#") > 1 or (run.count("\\") == 1 and len(run) > (6 if run[1] == "u" else 4) and run[1:4] in ("x5c", "x5C", "u00")):
+        return [(run[0], len(run))]
     if run.startswith("&"):
         return [(html.unescape(run), len(run))]
     if run.startswith("\\u{"):
@@ -179,29 +196,43 @@ def escape_chars(run: str) -> list[tuple[str, int]]:
 
 def replaced(layer: Layer, pattern: re.Pattern, chars) -> Layer | None:
     """The layer with all escapes of a pattern replaced; None where there are none."""
-    text, out, starts, places = layer.text, [], [], []
-    end = size = 0
+    text, out, los, his = layer.text, [], [], []
+    fixed = isinstance(layer.lo, int)
+    end = 0
+    found: tuple[list[int], list[int]] = ([], [])
+
+    def flush() -> None:
+        if found[0]:
+            los.append(np.array(found[0]))
+            his.append(np.array(found[1]))
+            found[0].clear()
+            found[1].clear()
+
     for m in pattern.finditer(text):
         if m.start() > end:
             out.append(text[end : m.start()])
-            starts.append(size)
-            places.append(shifted(end - size))
-            size += m.start() - end
+            if not fixed:
+                flush()
+                lo, hi = layer.places(end, m.start())
+                los.append(lo)
+                his.append(hi)
         at = m.start()
         for c, width in chars(m[0]):
             out.append(c)
-            starts.append(size)
-            places.append(whole(at, at + width))
-            size += len(c)
+            if not fixed:
+                lo, hi = layer.to_row(at, at + width)
+                found[0].extend([lo] * len(c))
+                found[1].extend([hi] * len(c))
             at += width
         end = m.end()
     if not end:
         return None
-    if end < len(text):
-        out.append(text[end:])
-        starts.append(size)
-        places.append(shifted(end - size))
-    return Layer("".join(out), layer, starts or [0], places or [whole(0, len(text))])
+    out.append(text[end:])
+    if fixed:
+        return Layer("".join(out), layer.lo, layer.hi)
+    flush()
+    lo, hi = layer.places(end, len(text))
+    return Layer("".join(out), np.concatenate([*los, lo]), np.concatenate([*his, hi]))
 
 
 def opener(raw: bytes, at: int):
@@ -220,72 +251,102 @@ def opener(raw: bytes, at: int):
     return None
 
 
-def unpack(raw: bytes, at: int = 0) -> tuple[bytes, int, bool, bool] | None:
-    """The stream that begins there, all members that follow each other included: the unpacked
-    bytes, where the stream ends, whether it was cut, and whether it broke off. None if no stream
-    begins there.
+class Stream:
+    """The stream that begins at a byte, all members that follow each other included.
 
-    A stream that breaks off or fails later on gives what stands before; under the two bytes of a
-    zlib header, which texts have by chance too, one that fails gives nothing.
+    After :meth:`windows` ``end`` is where it ends and ``broken`` whether it broke off. A stream that
+    breaks off or fails later on gives what stands before; under the two bytes of a zlib header,
+    which texts have by chance too, one that fails gives nothing.
     """
-    out, size, view, broken = [], 0, memoryview(raw), False
-    while (tool := opener(raw, at)) is not None:
-        is_zstd = raw[at : at + 4] == ZSTD
-        weak = not is_zstd and raw[at] & 143 == 8
-        end, step, own, before = at, FEED_ZSTD if is_zstd else FEED, 0, len(out)
-        try:
-            while not tool.eof and end < len(raw):
-                given = view[end : end + step]
-                end += len(given)
-                while True:
-                    if size > MAX_UNPACKED:
-                        return b"".join(out)[:MAX_UNPACKED], len(raw), True, False
-                    got = tool.decompress(given) if is_zstd else tool.decompress(given, PIECE)
-                    out.append(got)
-                    size, own = size + len(got), own + len(got)
-                    given = getattr(tool, "unconsumed_tail", b"")
-                    if tool.eof or not (given or (got and not is_zstd)):
-                        break
-        except FAILURES:
-            if weak or not own:
-                del out[before:]
+
+    def __init__(self, raw: bytes, at: int):
+        self.raw, self.end, self.broken = raw, at, False
+
+    def windows(self) -> Iterator[bytes]:
+        """The unpacked bytes, at most about ``WINDOW`` at a time; none if no stream begins there."""
+        raw, view, held, at = self.raw, memoryview(self.raw), bytearray(), self.end
+        fresh = 0  # bytes held that no window had yet
+        while (tool := opener(raw, at)) is not None:
+            is_zstd = raw[at : at + 4] == ZSTD
+            weak = not is_zstd and raw[at] & 143 == 8
+            end, step, own, before = at, FEED_ZSTD if is_zstd else FEED, 0, len(held)
+            try:
+                while not tool.eof and end < len(raw):
+                    given = view[end : end + step]
+                    end += len(given)
+                    while True:
+                        got = tool.decompress(given) if is_zstd else tool.decompress(given, PIECE)
+                        held += got
+                        own, fresh = own + len(got), fresh + len(got)
+                        if len(held) >= WINDOW:
+                            yield bytes(held)
+                            del held[: -min(OVERLAP, len(held) // 2)]
+                            fresh, before = 0, -1
+                        given = getattr(tool, "unconsumed_tail", b"")
+                        if tool.eof or not (given or (got and not is_zstd)):
+                            break
+            except FAILURES:
+                if before >= 0 and (weak or not own):
+                    fresh -= len(held) - before
+                    del held[before:]
+                    break
+            if not (own or tool.eof):
                 break
-        if not (own or tool.eof):
-            break
-        broken = not tool.eof
-        at = len(raw) if broken else end - len(tool.unused_data)
-    return (b"".join(out), at, False, broken) if size else None
-
-
-def opened(raw: bytes) -> tuple[list[tuple[int, int, bytes, bool]], list[tuple[int, int]]]:
-    """The parts of bytes, and the places of those that were cut: start, end, what stands there, unpacked
-    until no header matches, and whether it was packed. Streams may begin anywhere; those that break
-    off are taken as plain bytes too. Bytes that were met at a place are not taken again there."""
-    out, cuts = [], []
-    work: list[tuple[bytes, tuple[int, int] | None]] = [(raw, None)]
-    met = set()
+            self.broken = not tool.eof
+            at = self.end = len(raw) if self.broken else end - len(tool.unused_data)
+        if fresh > 0:
+            yield bytes(held)
+
+
+Part = tuple[str, tuple[int, int], bytes]
+
+
+def _streams(part: bytes, place: tuple[int, int] | None, begins) -> Iterator[Part]:
+    """What bytes hold: ``below`` unpacked bytes of streams, ``cut`` streams of several windows, and
+    ``bytes`` what stands between streams, each with its place."""
+    at = plain = 0
+    while (m := HEADER.search(part, at)) is not None:
+        at = m.start() + 1
+        if not begins(m.start()):
+            continue
+        stream = Stream(part, m.start())
+        windows = stream.windows()
+        ahead = [w for w in (next(windows, None), next(windows, None)) if w is not None]
+        if not ahead:
+            continue
+        several = len(ahead) > 1
+        own = place or (m.start(), len(part) if several else stream.end)
+        if several:
+            yield "cut", own, b""
+        for window in chain(ahead, windows):
+            yield "below", own, window
+        if not stream.broken:
+            if plain < m.start():
+                yield "bytes", place or (plain, m.start()), part[plain : m.start()]
+            plain = at = stream.end
+    if plain < len(part):
+        yield "bytes", place or (plain, len(part)), part[plain:]
+
+
+def opened(raw: bytes, begins=lambda at: True) -> Iterator[tuple[str, tuple[int, int], bytes]]:
+    """The parts of bytes, unpacked until no header matches: ``bytes`` as they stand, ``packed`` from
+    streams, and ``cut`` places. Streams may begin anywhere that ``begins`` allows; those that break off
+    are taken as plain bytes too. Bytes that were met at a place are not taken again there."""
+    work, met = [_streams(raw, None, begins)], set()
     while work:
-        part, place = work.pop()
-        at = plain = 0
-        ends = []
-        while (m := HEADER.search(part, at)) is not None:
-            at = m.start() + 1
-            if (found := unpack(part, m.start())) is None:
-                continue
-            below, end, cut, broken = found
-            own = place or (m.start(), end)
-            if cut:
-                cuts.append(own)
-            if (own, below) not in met:
-                met.add((own, below))
-                work.append((below, own))
-            if not broken:
-                ends.append((plain, m.start()))
-                plain = at = end
-        for a, b in [*ends, (plain, len(part))]:
-            if a < b:
-                out.append((*(place or (a, b)), part[a:b], place is not None))
-    return out, cuts
+        found = next(work[-1], None)
+        if found is None:
+            work.pop()
+            continue
+        kind, place, part = found
+        if kind == "below":
+            if (key := (place, blake2b(part).digest())) not in met:
+                met.add(key)
+                work.append(_streams(part, place, lambda at: True))
+        elif kind == "bytes" and len(work) > 1:
+            yield "packed", place, part
+        else:
+            yield found
 
 
 def _zlib_headers() -> bytes:
@@ -340,61 +401,104 @@ def base64_runs(text: str):
         at = padded
 
 
-def packed_layers(layer: Layer) -> tuple[list[Layer], list[tuple[int, int]]]:
-    """Layers under the base64 runs of a layer, and where unpacked parts were cut.
+def base64_layers(layer: Layer) -> Iterator[Layer | tuple[int, int]]:
+    """Layers under the base64 runs of a layer, and the places of parts of several windows.
 
     What stands before a run may belong to its alphabet, so each run is decoded from each of its
     first four characters. Bytes are read as Latin-1: all that is searched for is ASCII, and a
     position is a byte then, whatever the bytes around it are.
     """
-    out, all_cuts = [], []
     for lines, end in base64_runs(layer.text):
-        run = "".join([layer.text[a:b] for a, b in lines]).translate(URL_SAFE)
+        text = "".join([layer.text[a:b] for a, b in lines]).translate(URL_SAFE)
+        run = Run(layer, lines)
+        _, stop = layer.to_row(max(0, end - 1), end)
         for skip in range(4):
-            size = len(run) - skip
+            size = len(text) - skip
             size -= size % 4 == 1
-            raw = base64.b64decode(run[skip : skip + size] + "=" * (-size % 4))
-            place = in_base64(lines, skip)
-            parts, cuts = opened(raw)
-            all_cuts += [(place(a, b)[0], end) for a, b in cuts]
-            for a, b, part, packed in parts:
-                first, last = place(a, b)
-                own = whole(first, end if b == len(raw) else last) if packed else in_base64(lines, skip, a)
-                out.append(Layer(part.decode("latin-1"), layer, [0], [own]))
-    return out, all_cuts
+            raw = base64.b64decode(text[skip : skip + size] + "=" * (-size % 4))
+            for kind, (a, b), part in opened(raw):
+                if kind == "bytes":
+                    yield Layer(part.decode("latin-1"), *run.part(skip, a, b))
+                    continue
+                lo, hi = run.part(skip, a, b)
+                first, last = int(lo[0]), stop if b == len(raw) else int(hi[-1])
+                yield (first, stop) if kind == "cut" else Layer(part.decode("latin-1"), first, last)
+
+
+def escaped_streams(layer: Layer, pattern: re.Pattern) -> Iterator[Layer | tuple[int, int]]:
+    """Layers of compressed data whose bytes are written as escapes, other characters as themselves."""
+    text, raw, firsts, at = layer.text, bytearray(), [], 0
+    for m in pattern.finditer(text):
+        raw += text[at : m.start()].encode("latin-1", "replace")
+        firsts.extend(range(at, m.start()))
+        raw.append(_byte(m[0]))
+        firsts.append(m.start())
+        at = m.end()
+    raw += text[at:].encode("latin-1", "replace")
+    firsts.extend(range(at, len(text) + 1))
+
+    def begins(at: int) -> bool:
+        to = min(at + NEAR, len(raw))
+        return firsts[to] - firsts[at] > to - at
+
+    for kind, (a, b), part in opened(bytes(raw), begins):
+        if kind != "bytes":
+            place = layer.to_row(firsts[a], firsts[b])
+            yield place if kind == "cut" else Layer(part.decode("latin-1"), *place)
+
+
+_ESCAPED = dict(zip("abtnvfr0", b"\a\b\t\n\v\f\r\0"))
+
+
+def _byte(escape: str) -> int:
+    if len(escape) > 2:
+        return int(escape[-2:], 16)
+    return _ESCAPED.get(escape[1], ord(escape[1]))
+
+
+def layers_below(layer: Layer) -> Iterator[Layer | tuple[int, int]]:
+    """All layers directly under a layer, and the places of parts of several windows."""
+    yield from base64_layers(layer)
+    percent, back = "%" in layer.text, "\\" in layer.text
+    if (percent or back) and sum(1 for _ in islice(UNPRINTED.finditer(layer.text), LEAST_UNPRINTED)) == LEAST_UNPRINTED:
+        if percent:
+            yield from escaped_streams(layer, PERCENT_BYTE)
+        if back:
+            yield from escaped_streams(layer, BYTE_ESCAPE)
+    if percent and (child := replaced(layer, PERCENT, percent_chars)) is not None:
+        yield child
+    if (back or "&#" in layer.text) and (child := replaced(layer, ESCAPE, escape_chars)) is not None:
+        yield child
 
 
 URL_SAFE = str.maketrans("-_", "+/")
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span], int]:
-    """Base secrets, secrets of all layers (base ones included), unpacked parts that were cut."""
+    """Base secrets, secrets of all layers (base ones included), number of parts of several windows."""
     base, spans, cuts = scanned(text)
     return base, spans, len(cuts)
 
 
 def scanned(text: str) -> tuple[list[Span], list[Span], list[tuple[int, int]]]:
-    """As ``all_spans``, with the places of the parts that were cut."""
+    """As ``all_spans``, with the places of the parts of several windows."""
     base = sorted_spans(find_in(text))
     spans, all_cuts = set(base), []
-    work, met = [Layer(text, None, [0], [])], {(text, 0, len(text))}
+    # One path of layers is held at a time: a layer's own layers come before the next one beside it.
+    work, met = [layers_below(Layer(text))], {(blake2b(text.encode("utf-8", "surrogatepass")).digest(), 0, len(text))}
     while work:
-        layer = work.pop()
-        below, cuts = packed_layers(layer)
-        all_cuts += [layer.to_row(a, b) for a, b in cuts]
-        if "%" in layer.text:
-            below.append(replaced(layer, PERCENT, percent_chars))
-        if "\\" in layer.text or "&#" in layer.text:
-            below.append(replaced(layer, ESCAPE, escape_chars))
-        for child in below:
-            if child is None:
-                continue
-            key = (child.text, *child.to_row(0, len(child.text)))
-            if key in met:
+        child = next(work[-1], None)
+        if child is None:
+            work.pop()
+        elif isinstance(child, tuple):
+            all_cuts.append(child)
+        else:
+            name = blake2b(child.text.encode("utf-8", "surrogatepass")).digest()
+            if not child.text or (key := (name, *child.to_row(0, len(child.text)))) in met:
                 continue
             met.add(key)
-            work.append(child)
             spans.update((k, *child.to_row(a, b)) for k, a, b in find_in(child.text))
+            work.append(layers_below(child))
     return base, sorted_spans(spans), all_cuts
 
 
@@ -449,7 +553,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def redacted(text: str, mask: str = MASK) -> str:
-    """The text without secrets, and without the parts that were not searched to their end."""
+    """The text without secrets, and without packed parts of several windows."""
     _, spans, cuts = scanned(text)
     return masked(text, sorted([*spans, *[("cut", a, b) for a, b in cuts]], key=lambda s: s[1]), mask)
 
