@@ -3,7 +3,9 @@
 A text becomes pre-tokens: runs of the space mark followed by the characters up to the next mark.
 No piece of the model has the mark after another character (checked when the model is loaded), so
 no merge crosses a pre-token and the count of a text is the sum over its pre-tokens. Tier one is a
-broadcast table of the lengths of frequent pre-tokens, bounded by ``TABLE_SIZE``; tier two is a
+broadcast table of the lengths of the pre-tokens that are frequent in all texts, bounded by
+``TABLE_SIZE``: each task counts its own in a table of bounded size, which keeps its larger half when it is
+full, and gives its most frequent ones, which Spark adds up. Tier two is a
 bounded cache in each worker that encodes what the table lacks. Both only save time: which
 pre-tokens are in the table never changes a count.
 
@@ -23,12 +25,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailsift.llm.common import BoundedCache, map_batches, texts_of
+from mailsift.llm.common import BoundedCache, map_batches, map_stream, texts_of
 
 MARK = "▁"  # stands for a space
 PRE_TOKENS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 TABLE_SIZE = 50_000  # pre-tokens in the broadcast table
-SAMPLE_ROWS = 2_000  # rows that choose the table; it has no effect on any count
+COUNTED = 200_000  # pre-tokens that a task counts at once, to choose the table
 CACHE_LIMIT = 400_000  # pre-tokens a worker remembers
 
 
@@ -75,44 +77,38 @@ def piece_counter(path: str) -> PieceCounter:
 
 
 def frequent_lengths(df: DataFrame, path: str, text_col: str = "text") -> tuple[list[str], bytes]:
-    """The frequent pre-tokens of ``SAMPLE_ROWS`` rows and their lengths (one byte each).
+    """The frequent pre-tokens of all texts and their lengths (one byte each).
 
-    Counted in the tasks and added up by Spark; at most ``TABLE_SIZE`` rows reach the driver.
+    Counted in the tasks, with at most ``TABLE_SIZE`` rows from each, and added up by Spark; at most
+    ``TABLE_SIZE`` rows reach the driver.
     """
 
-    def setup():
-        counter = piece_counter(path)
-
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            counts: Counter[str] = Counter()
+    def run(batches):
+        counts: Counter[str] = Counter()
+        for batch in batches:
             for text in texts_of(batch.column(0)):
                 counts.update(pre_tokens(text))
-            kept = [t for t, n in counts.items() if n > 1]
-            sizes = [counter.cache[t] for t in kept]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(kept, pa.string()),
-                    pa.array(sizes, pa.int32()),
-                    pa.array([counts[t] for t in kept], pa.int64()),
-                ],
-                ["token", "size", "n"],
-            )
+                if len(counts) > COUNTED:
+                    counts = Counter(dict(counts.most_common(COUNTED // 2)))
+        kept = [(t, n) for t, n in counts.most_common(TABLE_SIZE) if n > 1]
+        if kept:
+            tokens, numbers = zip(*kept)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(numbers, pa.int64())], ["token", "n"])
 
-        return work
-
-    counted = map_batches(
-        df.select(text_col).limit(SAMPLE_ROWS), setup, "token string, size int, n bigint"
-    )
     top = (
-        counted.where("size < 256")
-        .groupBy("token", "size")
+        map_stream(df.select(text_col), run, "token string, n bigint")
+        .groupBy("token")
         .agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "token")
         .limit(TABLE_SIZE)
-        .select("token", "size")
+        .select("token")
         .toArrow()
     )
-    return top.column(0).to_pylist(), np.array(top.column(1), dtype=np.uint8).tobytes()
+    tokens = top.column(0).to_pylist()
+    counter = piece_counter(path)
+    sizes = [counter.length(t) for t in tokens]
+    short = [i for i, n in enumerate(sizes) if n < 256]
+    return [tokens[i] for i in short], bytes(sizes[i] for i in short)
 
 
 def token_counts(
