@@ -46,32 +46,37 @@ from mailsift.operators.quality import (
     validation_report,
 )
 from mailsift.operators.split import batch_rows, flatten_batches, shuffled, stratified_split
-from mailsift.plans.scoring import score, score_batches, score_job, top_terms, verdicts
-from mailsift.plans.training import evaluate, fit
+from mailsift.plans.scoring import read_results, score, score_batches, score_job, top_terms, verdicts
+from mailsift.plans.training import evaluate, fit, retrain
 from mailsift.sources.emails import (
     append_csv,
     append_emails,
     append_single,
     create_corpus,
+    ingest_csv,
+    read_csv_with_reasons,
     read_emails,
     read_raw_text,
+    read_snapshot,
     snapshot,
     write_emails,
 )
 from mailsift.sources.reports import load_model, read_audit, save_model
+from mailsift.sources.versions import VersionedMails
 from mailsift.streaming.monitor import monitor
-from mailsift.streaming.score import read_email_stream, start_audit, start_rejects, start_scoring
+from mailsift.streaming.score import read_email_stream, start_audit, start_scoring
 
 __all__ = [
     "append_csv", "append_emails", "append_single", "augment", "batch_rows", "class_metrics",
     "class_weights", "classify", "confidence", "confidence_at", "confusion_counts",
     "create_corpus", "detect_language", "evaluate", "expand_templates", "extract_urls", "fit",
-    "flatten_batches", "fold_ids", "guard_batches", "is_risky", "keyword_hits",
+    "flatten_batches", "fold_ids", "guard_batches", "ingest_csv", "is_risky", "keyword_hits",
     "latency_summary", "load_model", "log_loss", "metrics_by_language", "monitor", "pad_ids",
-    "padding_mask", "read_audit", "read_email_stream", "read_emails", "read_raw_text",
-    "recommendation", "reject_blank", "roc_by_language", "sample_corpus", "save_model", "score",
-    "score_batches", "score_job", "sequence_ids", "shuffled", "snapshot", "social_signals",
-    "start_audit", "start_rejects", "start_scoring", "stratified_split", "suspicious_urls", "token_ids", "tokens",
-    "top_terms", "validate_emails", "validation_report", "verdicts", "with_decision",
+    "padding_mask", "read_audit", "read_csv_with_reasons", "read_email_stream", "read_emails",
+    "read_raw_text", "read_results", "read_snapshot", "recommendation", "reject_blank",
+    "retrain", "roc_by_language", "sample_corpus", "save_model", "score", "score_batches",
+    "score_job", "sequence_ids", "shuffled", "snapshot", "social_signals", "start_audit",
+    "start_scoring", "stratified_split", "suspicious_urls", "token_ids", "tokens", "top_terms",
+    "validate_emails", "validation_report", "verdicts", "VersionedMails", "with_decision",
     "with_email_id", "with_heuristic_score", "write_emails",
 ]

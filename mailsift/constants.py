@@ -164,6 +164,9 @@ LURE_URLS = [
     "g00gle-security.tk",
 ]
 
+# Text of the report on a table that is not fit for use.
+UNFIT_TABLE = "Invalid labels or too few rows"
+
 # --- Our own choices (not given by any outside source) --------------------------------------
 # Synonyms for signal words, applied in this order by the synonym augmentation.
 SYNONYMS = [

@@ -74,11 +74,39 @@ def clamp(score: Column) -> Column:
     return F.when(score.isNotNull(), F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0)))
 
 
+def _rounded(value: Column, digits: int) -> Column:
+    """The double's exact binary value rounded to ``digits`` decimals, ties to even, as a whole number.
+
+    The product with the power of ten is a double and its exact error: the value is cut in two
+    halves of 26 bits whose products are exact, and the error decides where the double is a tie.
+    """
+    scale = F.lit(float(10**digits))
+    wide = value * F.lit(134217729.0)  # 2 ** 27 + 1
+    high = wide - (wide - value)
+    product = value * scale
+    error = (high * scale - product) + (value - high) * scale
+    whole = F.floor(product)
+    over = product - whole.cast("double") - F.lit(0.5)
+    up = (over > 0) | ((over == 0) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    return whole + F.when(up, 1).otherwise(0)
+
+
+def _fixed(value: Column, digits: int) -> Column:
+    number = _rounded(F.abs(value), digits)
+    sign = F.when((value < 0) & (number > 0), "-").otherwise("")
+    power = 10**digits
+    after = F.lpad((number % power).cast("string"), digits, "0")
+    return F.concat(sign, F.floor(number / F.lit(power)).cast("string"), F.lit("."), after)
+
+
 def display_score(score: Column, digits: int = 3) -> Column:
-    """Score as text with a fixed number of decimals; for display only."""
-    return F.format_string(f"%.{digits}f", score)
+    """Score as text with a fixed number of decimals; for display only.
+
+    Rounds the binary value of the double, ties to even; a null score gives null.
+    """
+    return _fixed(score, digits)
 
 
 def display_percent(score: Column) -> Column:
-    """Score as a percentage with one decimal; for display only."""
-    return F.format_string("%.1f%%", score * 100.0)
+    """Score as a percentage with one decimal, rounded in the same way; for display only."""
+    return F.concat(_fixed(score * 100.0, 1), F.lit("%"))

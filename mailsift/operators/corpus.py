@@ -157,15 +157,17 @@ def corpus_over(
 ) -> DataFrame:
     """A balanced corpus whose rows carry the ids of a given table, in seeded random assignment.
 
-    As ``sample_corpus`` with ``samples_per_language`` = rows / languages; ids left over by the
-    two integer divisions get no mail.
+    As ``sample_corpus`` with ``samples_per_language`` = rows / languages. Every id gets a mail: those
+    left over by the two integer divisions go to the languages and classes in turn.
     """
     languages = C.LANGUAGES if languages is None else languages
     ids = df.select(F.col(id_col).alias("email_id"))
     half = ids.count() // len(languages) // 2
     ranked = global_rank(ids, "email_id", seed, rank="_n").withColumn("_n", F.col("_n") - 1)
-    inside = ranked.where(F.col("_n") < len(languages) * 2 * half)
-    return _corpus_rows(inside, F.col("_n"), F.lit(max(half, 1)), languages, seed)
+    whole = len(languages) * 2 * half
+    left_over = F.col("_n") - whole
+    n = F.when(left_over < 0, F.col("_n")).otherwise(left_over * max(half, 1))
+    return _corpus_rows(ranked, n, F.lit(max(half, 1)), languages, seed)
 
 
 def match_templates(df: DataFrame, text: str = "email_text") -> DataFrame:

@@ -13,7 +13,7 @@ from mailsift.operators.ordering import (
     value_counts,
     with_range_bucket,
 )
-from mailsift.session import materialize, pin_if_small
+from mailsift.session import materialize, stored
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -24,7 +24,10 @@ def _ratio(part: Column, whole: Column) -> Column:
 def confusion_counts(
     df: DataFrame, by: list[str], label: str = "label", score: str = "raw_score"
 ) -> DataFrame:
-    """True and false positives and negatives; predicted positive means a score above 0.5."""
+    """True and false positives and negatives; predicted positive means a score above 0.5.
+
+    Labelled rows without a score are neither; ``n_unscored`` counts them.
+    """
     positive = F.col(score) > C.DECISION_THRESHOLD
     return (
         df.where(F.col(label).isNotNull())
@@ -34,6 +37,7 @@ def confusion_counts(
             F.count_if(positive & (F.col(label) != 1)).alias("fp"),
             F.count_if(~positive & (F.col(label) == 1)).alias("fn"),
             F.count_if(~positive & (F.col(label) != 1)).alias("tn"),
+            F.count_if(F.col(score).isNull()).alias("n_unscored"),
         )
     )
 
@@ -60,7 +64,10 @@ def _rates(counts: DataFrame) -> DataFrame:
 
 
 def class_metrics(df: DataFrame, label: str = "label", score: str = "raw_score") -> DataFrame:
-    """One row: ``n_rows, accuracy, precision, recall, f1``; a ratio of 0/0 is 0."""
+    """One row: ``n_rows, n_unscored, accuracy, precision, recall, f1``; a ratio of 0/0 is 0.
+
+    ``n_rows`` are the labelled rows with a score, which the ratios are of.
+    """
     return _rates(confusion_counts(df, [], label, score))
 
 
@@ -74,21 +81,24 @@ def metrics_by_language(
     counts = confusion_counts(df, [language], label, score)
     rolled = counts.rollup(language).agg(
         F.grouping(language).alias("_whole"),
-        *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")],
+        *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn", "n_unscored")],
     )
     scope = F.when(F.col("_whole") == 1, "overall").otherwise("language")
     return _rates(rolled.withColumn("scope", scope).drop("_whole"))
 
 
+def row_loss(label: Column, score: Column) -> Column:
+    """Binary cross-entropy of one row, the probability clipped away from 0 and 1."""
+    p = F.greatest(F.least(score, F.lit(1 - C.LOG_LOSS_EPSILON)), F.lit(C.LOG_LOSS_EPSILON))
+    return F.when(label == 1, -F.log(p)).otherwise(-F.log(F.lit(1.0) - p))
+
+
 def log_loss(df: DataFrame, label: str = "label", score: str = "raw_score") -> DataFrame:
     """Mean binary cross-entropy with probabilities clipped away from 0 and 1.
 
     Labelled rows without a score have no loss; ``n_unscored`` counts them.
     """
-    p = F.greatest(
-        F.least(F.col(score), F.lit(1 - C.LOG_LOSS_EPSILON)), F.lit(C.LOG_LOSS_EPSILON)
-    )
-    loss = F.when(F.col(label) == 1, -F.log(p)).otherwise(-F.log(F.lit(1.0) - p))
+    loss = row_loss(F.col(label), F.col(score))
     scored = F.when(F.col(score).isNotNull(), loss)
     return df.where(F.col(label).isNotNull()).agg(
         F.avg(scored).alias("log_loss"), F.count_if(F.col(score).isNull()).alias("n_unscored")
@@ -103,20 +113,21 @@ def roc_by_language(
 ) -> DataFrame:
     """True and false positive rate at every distinct score of every language.
 
+    Mails without a label or without a score have no part in it.
     Mails are first added up per (language, score); that table is stored once, and the running
     sums over it are taken in score ranges, so a language that holds most of the mails is still
     spread over many tasks.
     """
     hit = F.col(label) == 1
     steps = materialize(
-        df.where(F.col(label).isNotNull())
+        df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
         .groupBy(language, F.col(score).alias("score"))
         .agg(F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg"))
     )
     totals = steps.groupBy(language).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     ranged = with_range_bucket(steps.withColumn("_down", -F.col("score")), "_down")
     summed = running_sums(ranged, [language], "_bucket", [F.col("_down")], ["pos", "neg"])
-    return _match(summed, pin_if_small(totals), [language]).select(
+    return _match(summed, stored(totals), [language]).select(
         language,
         "score",
         _ratio(F.col("cum_pos"), F.col("n_pos")).alias("tpr"),

@@ -20,8 +20,9 @@ from math import isfinite
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from mailsift.session import materialize, pin_if_small
+from mailsift.session import materialize, stored
 
 HASH_BUCKET_DIGITS = 4
 RANGE_BUCKETS = 256
@@ -44,14 +45,21 @@ def hash_bucket(key: str, digits: int = HASH_BUCKET_DIGITS) -> Column:
 def with_range_bucket(
     df: DataFrame, value: str, bucket: str = "_bucket", n_buckets: int | None = None
 ) -> DataFrame:
-    """Add an ordered bucket number for a numeric column, balanced over the rows of ``df``.
+    """Add an ordered bucket number for a number or text, balanced over the rows of ``df``.
 
-    Bounds come from one approximate-percentile aggregate (at most ``n_buckets`` numbers reach the
-    driver). Rows with a null value get a null bucket.
+    Bounds come from one approximate-percentile aggregate, those of texts from the ranges that Spark
+    deals the values out by (at most ``n_buckets`` values reach the driver). Rows with a null value
+    get a null bucket.
     """
     if n_buckets is None:
         # Follows the shuffle partitions, so that ranges do not grow with the table.
         n_buckets = max(RANGE_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if isinstance(df.schema[value].dataType, StringType):
+        dealt = df.select(value).where(F.col(value).isNotNull()).repartitionByRange(n_buckets, value)
+        least = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.min(value).alias("least"))
+        firsts = F.array(*[F.lit(r.least) for r in least.orderBy("least").collect()]).cast("array<string>")
+        number = F.size(F.filter(firsts, lambda b: b <= F.col(value))).cast("double")
+        return df.withColumn(bucket, F.when(F.col(value).isNotNull(), number))
     shares = [i / n_buckets for i in range(1, n_buckets)]
     found = df.agg(F.percentile_approx(F.col(value).cast("double"), shares, 10_000)).first()[0]
     bounds = sorted({b for b in (found or []) if isfinite(b)})
@@ -97,7 +105,7 @@ def running_sums(
     inside = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0
     )
-    joined = _match(df, pin_if_small(offsets, 100_000), [*group, bucket])
+    joined = _match(df, stored(offsets), [*group, bucket])
     return joined.withColumns(
         {f"cum_{v}": F.sum(v).over(inside) + F.col(f"_o_{v}") for v in values}
     ).drop(*[f"_o_{v}" for v in values])
@@ -112,8 +120,8 @@ def global_rank(
 ) -> DataFrame:
     """Add the exact 1-based rank over the whole table.
 
-    With a seed the order is the seeded shuffle, without one it is the order of the (numeric,
-    unique) id.
+    With a seed the order is the seeded shuffle, without one it is the order of the unique id, a
+    number or a text.
     """
     if seed is None:
         keyed = with_range_bucket(df, id_col)
@@ -181,7 +189,7 @@ def values_at_ranks(
     )
     inside = Window.partitionBy(*group, bucket, "name").orderBy(value)
     return (
-        _match(rows, pin_if_small(targets), [*group, bucket])
+        _match(rows, stored(targets), [*group, bucket])
         .withColumn("_cum", F.sum(weight).over(inside))
         .where(
             (F.col("_rank") <= F.col("_cum")) & (F.col("_rank") > F.col("_cum") - F.col(weight))

@@ -18,7 +18,7 @@ def require_columns(df: DataFrame, required: list[str] | None = None) -> DataFra
     """The table itself, or an error that names every missing column."""
     missing = missing_columns(df, required)
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"the table has no column {', '.join(missing)}")
     return df
 
 
@@ -89,7 +89,7 @@ def validation_report(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     missing = missing_columns(df)
     if missing:
-        rows = [("error", "", f"Missing required column: {missing[0]}")]
+        rows = [("error", "", f"the table has no column {missing[0]}")]
         return spark.createDataFrame(rows, "section string, key string, value string")
     length = F.length(F.coalesce("email_text", F.lit("nan")))
     bad_label = ~F.coalesce(F.col("label").isin(C.VALID_LABELS), F.lit(False))
@@ -135,7 +135,7 @@ def validation_report(df: DataFrame) -> DataFrame:
         entry("text_len", "min", F.col("len_min")),
         entry("rows", "total", F.col("n")),
         entry("valid", "", valid),
-        entry("error", "", F.when(~valid, F.lit("Invalid labels or too few rows"))),
+        entry("error", "", F.when(~valid, F.lit(C.UNFIT_TABLE))),
     )
     entries = (
         F.when((F.col("over_labels") == 1) & (F.col("over_languages") == 1), whole)

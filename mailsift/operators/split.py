@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsift import constants as C
@@ -13,7 +13,7 @@ from mailsift.operators.ordering import (
     shuffle_key,
     values_at_ranks,
 )
-from mailsift.session import pin_if_small
+from mailsift.session import materialize, stored
 
 
 def split_shares(train: float, val: float, test: float) -> tuple[float, float]:
@@ -43,7 +43,15 @@ def stratified_split(
     table itself is then labelled by comparing its own key with the cut-offs: a map-side step, so
     the mail texts are never shuffled.
     """
-    train_share, val_share = split_shares(train, val, test)
+    keys = df.select(label, shuffle_key(id_col, seed).alias("_key")).withColumn("_weight", F.lit(1))
+    keyed = df.withColumn("_key", shuffle_key(id_col, seed)).withColumn("_class", F.col(label))
+    return _cut(keyed, keys, label, split_shares(train, val, test)).drop("_key", "_class")
+
+
+def _cut(keyed: DataFrame, keys: DataFrame, label: str, shares: tuple[float, float]) -> DataFrame:
+    """``keyed`` (with ``_key, _class``) with ``split``; the two cut-off keys of each class are found
+    from ``keys`` (class ``label``, ``_key``, and ``_weight`` rows that the key stands for)."""
+    train_share, val_share = shares
 
     def train_rank(n):
         return F.floor(n.cast("double") * F.lit(train_share))
@@ -52,33 +60,79 @@ def stratified_split(
         rest = (n - train_rank(n)).cast("double")
         return train_rank(n) + F.floor(rest * F.lit(val_share))
 
-    keys = (
-        df.select(label, shuffle_key(id_col, seed).alias("_key"))
-        .withColumn("_bucket", hash_bucket("_key"))
-        .withColumn("_one", F.lit(1))
+    ranked = values_at_ranks(
+        keys.withColumn("_bucket", hash_bucket("_key")), [label], "_bucket", "_key", "_weight",
+        {"train": train_rank, "val": val_rank},
     )
-    cuts = (
-        values_at_ranks(
-            keys, [label], "_bucket", "_key", "_one", {"train": train_rank, "val": val_rank}
-        )
-        .groupBy(label)
-        .agg(
-            F.max(F.when(F.col("name") == "train", F.col("_key"))).alias("_train_cut"),
-            F.max(F.when(F.col("name") == "val", F.col("_key"))).alias("_val_cut"),
-        )
+    cuts = ranked.groupBy(F.col(label).alias("_of")).agg(
+        F.max(F.when(F.col("name") == "train", F.col("_key"))).alias("_train_cut"),
+        F.max(F.when(F.col("name") == "val", F.col("_key"))).alias("_val_cut"),
     )
     # A class too small for any cut has no row above; the left side keeps it as test.
-    classes = pin_if_small(cuts)
-    renamed = classes.withColumnRenamed(label, "_class")
-    joined = df.withColumn("_key", shuffle_key(id_col, seed)).join(
-        renamed, F.col(label).eqNullSafe(F.col("_class")), "left"
-    )
+    joined = keyed.join(stored(cuts), F.col("_class").eqNullSafe(F.col("_of")), "left")
     split = (
         F.when(F.col("_key") <= F.col("_train_cut"), "train")
         .when(F.col("_key") <= F.col("_val_cut"), "val")
         .otherwise("test")
     )
-    return joined.withColumn("split", split).drop("_key", "_class", "_train_cut", "_val_cut")
+    return joined.withColumn("split", split).drop("_of", "_train_cut", "_val_cut")
+
+
+def text_digest(text: str) -> Column:
+    """SHA-256 of a text; a null text has a digest of its own."""
+    return F.coalesce(F.sha2(F.col(text), 256), F.lit("null"))
+
+
+def grouped_split(
+    df: DataFrame,
+    train: float = 0.7,
+    val: float = 0.15,
+    test: float = 0.15,
+    seed: int = 42,
+    label: str = "label",
+    text: str = "email_text",
+) -> DataFrame:
+    """Add ``split`` so that equal texts are never in two splits; no id is needed.
+
+    Equal texts are one group with the class that most of its rows have (ties: the smaller
+    label; null counts last). Within a class the groups are ordered by ``md5(seed:digest)``, and a group is
+    in the split in which its first row falls, as :func:`stratified_split` would cut the rows: so a split
+    has at least its share of the class, and at most the rest of one group more.
+
+    Digests are what is shuffled, one row per text and task. The texts are labelled where they are read,
+    by comparing their own key with the cut-off keys; only the groups with more than one label are
+    joined to them, which Spark does without a shuffle while they are few.
+    """
+    digest = text_digest(text)
+    counts = df.groupBy(digest.alias("_digest"), F.col(label).alias("_own")).agg(F.count("*").alias("_n"))
+    most = F.max_by("_own", F.struct("_n", F.col("_own").isNotNull(), -F.col("_own"))).alias("_class")
+    groups = counts.groupBy("_digest").agg(
+        most, F.sum("_n").alias("_weight"), (F.count("*") > 1).alias("_mixed")
+    )
+    groups = materialize(groups)
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("_digest")))
+    keys = groups.select(F.col("_class").alias(label), key.alias("_key"), "_weight")
+    mixed = groups.where("_mixed").select("_digest", F.col("_class").alias("_most"), F.lit(True).alias("_found"))
+    keyed = (
+        df.withColumn("_digest", digest)
+        .join(mixed, "_digest", "left")
+        .withColumn("_class", F.when(F.col("_found"), F.col("_most")).otherwise(F.col(label)))
+        .withColumn("_key", key)
+    )
+    found = _cut(keyed, keys, label, split_shares(train, val, test))
+    return found.select(*df.columns, "split")
+
+
+def split_leakage(df: DataFrame, text: str = "email_text") -> DataFrame:
+    """One row: ``n_texts`` different texts, ``n_leaked`` of them in more than one split, ``n_rows`` these have."""
+    texts = df.groupBy(text_digest(text).alias("_digest")).agg(
+        F.count("*").alias("_n"), (F.min("split") != F.max("split")).alias("_leaked")
+    )
+    return texts.agg(
+        F.count("*").alias("n_texts"),
+        F.count_if(F.col("_leaked")).alias("n_leaked"),
+        F.coalesce(F.sum(F.when(F.col("_leaked"), F.col("_n"))), F.lit(0)).alias("n_rows"),
+    )
 
 
 def split_sizes(df: DataFrame) -> DataFrame:

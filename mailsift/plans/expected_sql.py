@@ -83,6 +83,9 @@ SCORED = f"WITH {MAILS}, {signals('mails')}"
 LABELLED = f"""{SCORED}, judged AS (
   SELECT s.email_id, s.language, s.heuristic_score AS raw_score, l.toxic AS label
   FROM scored s JOIN labels l ON l.doc_id = s.email_id)"""
+LABELLED_WITH_GAPS = LABELLED.replace(
+    "s.heuristic_score AS raw_score", "CASE WHEN s.email_id % 17 <> 0 THEN s.heuristic_score END AS raw_score"
+)
 HEADED = f"""{MAILS}, headed AS (
   SELECT email_id, CASE email_id % 3 WHEN 0 THEN 'From: ' || language || '@example.org' || chr(10)
     WHEN 1 THEN 'FROM: nobody' || chr(10) ELSE '' END || email_text AS email_text
@@ -177,20 +180,33 @@ def expansion() -> str:
 def confusion(by: str) -> str:
     group = f"GROUP BY {by}" if by else ""
     lead = f"{by}, " if by else ""
-    return f"""SELECT {lead}CAST(count(*) AS BIGINT) AS n_rows,
+    return f"""SELECT {lead}CAST(count(raw_score) AS BIGINT) AS n_rows,
   count(*) FILTER (raw_score > 0.5 AND label = 1) AS tp,
   count(*) FILTER (raw_score > 0.5 AND label <> 1) AS fp,
   count(*) FILTER (raw_score <= 0.5 AND label = 1) AS fn,
-  count(*) FILTER (raw_score <= 0.5 AND label <> 1) AS tn
+  count(*) FILTER (raw_score <= 0.5 AND label <> 1) AS tn,
+  count(*) FILTER (raw_score IS NULL) AS n_unscored
 FROM judged {group}"""
 
 
-RATES = """n_rows, coalesce((tp + tn)::DOUBLE / nullif(n_rows, 0), 0) AS accuracy,
+RATES = """n_rows, n_unscored, coalesce((tp + tn)::DOUBLE / nullif(n_rows, 0), 0) AS accuracy,
   coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS precision,
   coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS recall"""
 F1 = "coalesce(2.0::DOUBLE * precision * recall / nullif(precision + recall, 0), 0) AS f1"
 
 
+def row_digest(*columns: str) -> str:
+    """Digest of the named fields, which come in the order of their names."""
+
+    def field(name: str) -> str:
+        text = f"CAST({name} AS VARCHAR)"
+        return (
+            f"CASE WHEN {name} IS NOT NULL THEN '{len(name)}:{name}' || strlen({text}) || ':' || {text} ELSE '' END"
+        )
+
+    return f"sha256({' || '.join(map(field, columns))})"
+
+
 def obfuscated(column: str, key: str, source: str, keep: str) -> str:
     link = "substr(u, 1, 1) || translate(substr(u, 2), 'ao', '@0')"
     return f"""pieces AS (
@@ -314,16 +330,88 @@ SELECT email_id, substr(email_text, 1, 60) || '...' AS preview FROM mails"""
     AS confidence, 0.9::DOUBLE AS threshold, heuristic_score > {cut} AS is_phishing,
   '{mode}' AS mode FROM scored""")
     found["confidence_threshold"] = f"{SCORED} {both[0]} UNION ALL {both[1]}"
-    found["assign_ids"] = """WITH bare AS (
+    found["assign_ids"] = f"""WITH bare AS (
   SELECT text, lang, unnest(range(doc_id % 3 + 1)) AS copy FROM documents),
-d AS (SELECT text, lang, sha256(coalesce(text, chr(30)) || chr(31) || coalesce(lang, chr(30))) AS h FROM bare)
+d AS (SELECT text, lang, {row_digest("lang", "text")} AS h FROM bare)
 SELECT h || '-' || row_number() OVER (PARTITION BY h) AS email_id, lang, length(text) AS n_chars FROM d"""
+    digest = row_digest("email_text", "label", "language")
+    found["append_with_ids"] = f"""WITH {EMAILS}, both_appends AS (
+  SELECT email_text, language, label, unnest(range(email_id % 3 + 1)) AS copy FROM emails
+  UNION ALL SELECT email_text, language, label, 0 FROM emails),
+d AS (SELECT *, {digest} AS h FROM both_appends)
+SELECT h || '-' || row_number() OVER (PARTITION BY h) AS email_id, language, label, length(email_text) AS n_chars FROM d"""
+    with_source = row_digest("email_text", "label", "language", "source_id")
+    found["snapshot_as_of"] = f"""WITH {EMAILS}, d AS (
+  SELECT email_id AS source_id, email_text, language, label FROM emails),
+named AS (SELECT *, {with_source} || '-1' AS email_id FROM d)
+SELECT version, email_id, source_id, language, label, length(email_text) AS n_chars
+FROM named JOIN (SELECT CAST(unnest([1, 2]) AS INTEGER) AS version) v ON label IS NOT NULL OR version = 2"""
+    found["table_versions"] = """WITH n AS (
+  SELECT count(l.toxic) AS labelled, count(*) AS everything FROM documents d LEFT JOIN labels l USING (doc_id))
+SELECT CAST(1 AS BIGINT) AS version, 'append 0' AS append_id, labelled AS n_rows, labelled AS listed_rows, 0::BIGINT AS n_damaged FROM n
+UNION ALL SELECT 2, 'append 1', everything - labelled, everything, 0 FROM n"""
+    found["read_snapshot"] = f"WITH {EMAILS} SELECT * FROM emails WHERE label IS NOT NULL"
+    found["stored_append_ids"] = f"""WITH {EMAILS}
+SELECT label IS NULL AS appended, count(*) AS n_rows, count(*) AS n_ids,
+  CASE WHEN label IS NULL THEN 1 ELSE min(email_id) END AS first_id,
+  CASE WHEN label IS NULL THEN count(*) ELSE max(email_id) END AS last_id,
+  CAST(sum(length(email_text)) AS BIGINT) AS n_chars
+FROM emails GROUP BY label IS NULL"""
+    found["csv_by_header"] = f"""WITH {EMAILS}, marked AS (
+  SELECT *, email_id % 6 = 0 AS bad FROM emails)
+SELECT email_id, language, CASE WHEN NOT bad THEN label END AS label,
+  CASE WHEN bad OR label IS NOT NULL THEN 'b' END AS origin,
+  CASE WHEN bad THEN 'quarantine' ELSE 'good' END AS status,
+  CASE WHEN bad THEN 'label is no number' END AS reason, length(email_text) AS n_chars,
+  CASE WHEN bad THEN true END AS row_kept FROM marked"""
+    found["retrain_latest"] = f"""WITH {EMAILS}, d AS (
+  SELECT language, label, {digest} AS h FROM emails WHERE label IS NOT NULL),
+named AS (SELECT *, h || '-' || row_number() OVER (PARTITION BY h) AS id FROM d),
+ranked AS (
+  SELECT language, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || id)) AS rn,
+    count(*) OVER (PARTITION BY label) AS n FROM named),
+cut AS (SELECT *, floor(n * 0.7::DOUBLE) AS n_train FROM ranked),
+test AS (SELECT language FROM cut WHERE rn > n_train + floor((n - n_train) * 0.5::DOUBLE))
+SELECT CAST(2 AS BIGINT) AS version, 'language' AS scope, language, count(*) AS n_rows FROM test GROUP BY language
+UNION ALL SELECT 2, 'overall', NULL, count(*) FROM test"""
+    found["column_check"] = f"""SELECT column_name, source = 'labelled' AS present, source
+FROM (SELECT unnest({arr(C.REQUIRED_COLUMNS)}) AS column_name), (SELECT unnest(['labelled', 'pages']) AS source)"""
     found["display_scores"] = f"""{SCORED} SELECT email_id,
   greatest(least(heuristic_score * 1.5::DOUBLE - 0.25::DOUBLE, 1.0), 0.0) AS clamped,
   printf('%.3f', heuristic_score) AS score_3, printf('%.4f', heuristic_score) AS score_4,
   printf('%.1f%%', heuristic_score * 100.0::DOUBLE) AS percent FROM scored"""
 
     found["stratified_split"] = f"WITH {SPLIT} SELECT * FROM divided"
+    copies = """copies AS (
+  SELECT d.doc_id AS email_id, d.text AS email_text, l.toxic AS label, unnest(range(d.doc_id % 3 + 1)) AS n
+  FROM documents d JOIN labels l USING (doc_id)),
+rows AS (SELECT email_id, label, CAST(n AS INTEGER) AS copy, coalesce(sha256(email_text), 'null') AS digest FROM copies)"""
+    grouped = f"""{copies},
+counts AS (SELECT digest, label, count(*) AS n FROM rows GROUP BY ALL),
+groups AS (
+  SELECT digest, sum(n) AS weight, first(label ORDER BY n DESC, label NULLS LAST) AS class FROM counts GROUP BY digest),
+placed AS (
+  SELECT digest, coalesce(sum(weight) OVER (PARTITION BY class ORDER BY md5('42:' || digest)
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(weight) OVER (PARTITION BY class) AS n FROM groups),
+cut AS (SELECT *, floor(n * 0.7::DOUBLE) AS n_train FROM placed),
+split_of AS (
+  SELECT digest, CASE WHEN before < n_train THEN 'train'
+    WHEN before < n_train + floor((n - n_train) * 0.5::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM cut),
+by_text AS (SELECT rows.*, split FROM rows JOIN split_of USING (digest))"""
+    found["grouped_split"] = f"WITH {grouped} SELECT email_id, copy, label, split FROM by_text"
+    leaked = """SELECT digest, count(*) AS n, min(split) <> max(split) AS leaked FROM {0} GROUP BY digest"""
+    counted = "count(*) AS n_texts, count(*) FILTER (leaked) AS n_leaked, CAST(coalesce(sum(n) FILTER (leaked), 0) AS BIGINT) AS n_rows"
+    found["split_leakage"] = f"""WITH {grouped},
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || email_id || '-' || copy)) AS rn,
+    count(*) OVER (PARTITION BY label) AS n FROM rows),
+cut_rows AS (SELECT *, floor(n * 0.7::DOUBLE) AS n_train FROM ranked),
+by_row AS (
+  SELECT digest, CASE WHEN rn <= n_train THEN 'train'
+    WHEN rn <= n_train + floor((n - n_train) * 0.5::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM cut_rows)
+SELECT 'row' AS cut_by, {counted} FROM ({leaked.format("by_row")})
+UNION ALL SELECT 'text', {counted} FROM ({leaked.format("by_text")})"""
     found["split_sizes"] = (
         f"WITH {SPLIT} SELECT split, count(*) AS n_rows FROM divided GROUP BY split"
     )
@@ -353,8 +441,9 @@ FROM mails"""
     found["batch_explode"] = f"""WITH {REQUESTS} SELECT batch_id,
   CAST(unnest(range(len(emails))) AS INTEGER) AS pos, unnest(emails) AS email_text
 FROM checked WHERE reason IS NULL"""
-    found["label_cast"] = """SELECT d.doc_id AS email_id, l.toxic AS label
-FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.doc_id % 4 <> 0"""
+    found["label_cast"] = """SELECT d.doc_id AS email_id, CASE WHEN d.doc_id % 4 <> 0 THEN l.toxic END AS label,
+  CASE WHEN d.doc_id % 4 = 0 THEN 'spam' END AS refused
+FROM documents d LEFT JOIN labels l USING (doc_id)"""
     count = f"len(regexp_extract_all(email_text, '[^{SPACE}]+'))"
     found["token_length_histogram"] = f"""WITH {MAILS}, c AS (
   SELECT language, {count} AS n FROM mails)
@@ -389,24 +478,29 @@ FROM c"""
     text = made("language", "label", "('42:' || email_id::VARCHAR)")
     found["sample_corpus"] = f"""WITH half AS (
   SELECT count(*) // 4 // 2 AS h FROM documents),
-numbered AS (SELECT doc_id AS email_id, {position} - 1 AS n FROM documents),
+ranked AS (SELECT doc_id AS email_id, {position} - 1 AS rank FROM documents),
+numbered AS (
+  SELECT email_id, CASE WHEN rank < 8 * h THEN rank ELSE (rank - 8 * h) * greatest(h, 1) END AS n, greatest(h, 1) AS g
+  FROM ranked, half),
 cells AS (
-  SELECT email_id, {choose(C.LANGUAGES, 'n // (h * 2)')} AS language,
-    CAST(CASE WHEN (n // h) % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS label
-  FROM numbered, half WHERE n < 8 * h)
+  SELECT email_id, {choose(C.LANGUAGES, 'n // (g * 2)')} AS language,
+    CAST(CASE WHEN (n // g) % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS label
+  FROM numbered)
 SELECT email_id, {text} AS email_text, language, label FROM cells"""
 
-    found["class_metrics"] = f"""{LABELLED}, c AS ({confusion('')}), r AS (SELECT {RATES} FROM c)
+    found["class_metrics"] = f"""{LABELLED_WITH_GAPS}, c AS ({confusion('')}), r AS (SELECT {RATES} FROM c)
 SELECT *, {F1} FROM r"""
-    found["log_loss"] = f"""{LABELLED}, p AS (
-  SELECT label, greatest(least(raw_score, 1 - 1e-7), 1e-7) AS p FROM judged)
-SELECT round(avg(CASE WHEN label = 1 THEN -ln(p) ELSE -ln(1 - p) END), 9) AS log_loss FROM p"""
-    found["metrics_by_language"] = f"""{LABELLED}, c AS (
+    found["log_loss"] = f"""{LABELLED_WITH_GAPS}, p AS (
+  SELECT label, CASE WHEN raw_score IS NOT NULL THEN greatest(least(raw_score, 1 - 1e-7), 1e-7) END AS p
+  FROM judged)
+SELECT round(avg(CASE WHEN label = 1 THEN -ln(p) ELSE -ln(1 - p) END), 9) AS log_loss,
+  count(*) FILTER (p IS NULL) AS n_unscored FROM p"""
+    found["metrics_by_language"] = f"""{LABELLED_WITH_GAPS}, c AS (
   {confusion('language')} UNION ALL SELECT NULL, * FROM ({confusion('')})),
 r AS (SELECT language, {RATES} FROM c)
 SELECT *, {F1}, CASE WHEN language IS NULL THEN 'overall' ELSE 'language' END AS scope FROM r"""
-    found["confusion_by_language"] = f"""{LABELLED}
-SELECT language, tp, fp, fn, tn FROM ({confusion('language')})"""
+    found["confusion_by_language"] = f"""{LABELLED_WITH_GAPS}
+SELECT language, tp, fp, fn, tn, n_unscored FROM ({confusion('language')})"""
     found["roc_by_language"] = f"""{LABELLED}, spread AS (
   SELECT j.language, j.label, j.raw_score * 0.9::DOUBLE +
     (d.n_chars % 1000)::DOUBLE / 10000.0::DOUBLE AS score
@@ -429,10 +523,21 @@ FROM c"""
   round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type"""
 
     label = "CASE WHEN heuristic_score > 0.5 THEN 'PHISHING' ELSE 'LEGITIMATE' END"
-    found["score_job"] = f"""{SCORED} SELECT email_id,
-  CASE WHEN email_id % 5 <> 0 THEN {label} END AS label,
-  CASE WHEN email_id % 5 <> 0 THEN heuristic_score END AS raw_score,
-  CASE WHEN email_id % 5 <> 0 THEN 'OK' ELSE 'EMPTY_TEXT' END AS status FROM scored"""
+    void = {
+        "label": f"CASE WHEN email_id % 5 <> 0 THEN {label} END",
+        "raw_score": "CASE WHEN email_id % 5 <> 0 THEN heuristic_score END",
+        "status": "CASE WHEN email_id % 5 <> 0 THEN 'OK' ELSE 'EMPTY_TEXT' END",
+        "text_len": "CAST(CASE WHEN email_id % 5 <> 0 THEN length(email_text) ELSE 1 + email_id % 7 END AS INTEGER)",
+    }
+    logged = ", ".join(f"{value} AS {name}" for name, value in void.items())
+    found["score_job"] = f"""{SCORED} SELECT email_id, {logged}, 0::BIGINT AS batch_id FROM scored"""
+    scored_only = {
+        "confidence": "CASE WHEN heuristic_score > 0.5 THEN heuristic_score ELSE 1.0 - heuristic_score END",
+        "threshold": "0.5::DOUBLE",
+        "is_phishing": "heuristic_score > 0.5",
+    }
+    from_score = ", ".join(f"CASE WHEN email_id % 5 <> 0 THEN {v} END AS {k}" for k, v in scored_only.items())
+    found["score_job_results"] = f"""{SCORED} SELECT email_id, language, {logged}, {from_score}, 0 AS batch FROM scored"""
     found["score_batches"] = f"""WITH {REQUESTS}, flat AS (
   SELECT batch_id, CAST(unnest(range(len(emails))) AS INTEGER) AS pos,
     unnest(emails) AS email_text FROM checked WHERE reason IS NULL),
@@ -440,11 +545,10 @@ FROM c"""
 SELECT batch_id, pos, heuristic_score AS raw_score, {label} AS label,
   CASE WHEN heuristic_score > 0.5 THEN heuristic_score ELSE 1.0 - heuristic_score END
     AS confidence, 0.5::DOUBLE AS threshold, heuristic_score > 0.5 AS is_phishing FROM scored"""
-    found["stream_score"] = f"""{SCORED} SELECT email_id, language, heuristic_score,
-  heuristic_score > 0.4 AS is_risky FROM scored"""
-    found["stream_audit"] = f"""{SCORED} SELECT email_id,
-  CAST(length(email_text) AS INTEGER) AS text_len, {label} AS label,
-  heuristic_score AS raw_score, 'OK' AS status FROM scored"""
+    found["stream_score"] = f"""{SCORED} SELECT email_id, language, {void['text_len']} AS text_len,
+  CASE WHEN email_id % 5 <> 0 THEN heuristic_score END AS heuristic_score,
+  CASE WHEN email_id % 5 <> 0 THEN heuristic_score > 0.4 END AS is_risky, {void['status']} AS status FROM scored"""
+    found["stream_audit"] = f"""{SCORED} SELECT email_id, {logged} FROM scored"""
     found["monitor_windows"] = """WITH w AS (
   SELECT date_trunc('hour', ts) AS s, count(*) AS n_rows,
     avg(CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS e,
@@ -453,6 +557,37 @@ SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start,
   strftime(s + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, n_rows,
   round(e, 9) AS error_share, round(m, 6) AS mean_value FROM w"""
 
+    found["monitor_percentiles"] = """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+  count(*) AS n_rows, true AS p50, true AS p95, true AS p99 FROM events GROUP BY date_trunc('hour', ts)"""
+    found["report_file"] = found["validation_report"] + f"""
+UNION ALL SELECT 'text_len', 'mean', round(avg(length(coalesce(email_text, 'nan'))), 6)::VARCHAR FROM gaps"""
+    found["raw_text_files"] = f"""WITH {MAILS}
+SELECT coalesce(language, 'none') AS language, CAST(sum(length(email_text) + 1) AS BIGINT) AS n_chars,
+  CAST(sum(1 + length(email_text) - length(replace(email_text, chr(10), ''))) AS BIGINT) AS n_lines
+FROM mails WHERE email_text IS NOT NULL GROUP BY 1"""
+    found["corpus_file"] = f"""WITH n AS (SELECT count(*) // 4 // 2 AS half FROM documents)
+SELECT language, label, half AS n_rows, half AS n_ids
+FROM n, (SELECT unnest({arr(C.LANGUAGES)}) AS language), (SELECT CAST(unnest([0, 1]) AS INTEGER) AS label)"""
+
+    listed = {
+        name: f"len(list_filter(ws, lambda w: list_contains({arr(values)}, w)))"
+        for name, values in (("sw", C.SWAHILI_STOPWORDS), ("en", C.ENGLISH_STOPWORDS))
+    }
+    found["detect_mail_language"] = f"""WITH {MAILS}, c AS (
+  SELECT email_id, email_text, len(regexp_extract_all(email_text, '\\p{{L}}')) AS letters,
+    len(regexp_extract_all(email_text, '\\p{{Han}}')) AS han,
+    len(regexp_extract_all(email_text, '\\p{{Cyrillic}}')) AS cyrillic,
+    string_split_regex(lower(email_text), '[^\\p{{L}}]+') AS ws FROM mails)
+SELECT email_id, CASE WHEN email_text IS NULL OR regexp_full_match(email_text, '[{SPACE}]*') THEN NULL
+  WHEN han * 5 >= letters AND han > 0 AND han >= cyrillic THEN 'zh'
+  WHEN cyrillic * 5 >= letters AND cyrillic > 0 THEN 'ru'
+  WHEN {listed["sw"]} > {listed["en"]} THEN 'sw' ELSE 'en' END AS guess FROM c"""
+
+    found["document_frequencies"] = f"""WITH {MAILS}, t AS (
+  SELECT DISTINCT email_id, unnest(list_transform(list_filter(string_split_regex(email_text, '[{SPACE}]+'),
+    lambda t: t <> ''), lambda t: {stable('t')} % {C.VOCAB_SIZE})) AS term_id FROM mails)
+SELECT CAST(term_id AS INTEGER) AS term_id, count(*) AS n_docs,
+  round(ln(((SELECT count(*) FROM mails) + 1)::DOUBLE / (count(*) + 1)::DOUBLE), 9) AS idf FROM t GROUP BY term_id"""
     found["augment_urls"] = (
         f"WITH {MAILS}, {obfuscated('email_text', 'email_id', 'mails', ', language')}"
     )

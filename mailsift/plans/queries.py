@@ -29,6 +29,7 @@ from mailsift.plans import scoring, training
 from mailsift.session import shared_path
 from mailsift.sources import emails as store
 from mailsift.sources import reports
+from mailsift.sources.versions import VersionedMails
 from mailsift.streaming import monitor as monitoring
 from mailsift.streaming import score as stream
 
@@ -93,6 +94,12 @@ def labelled_scores(spark: SparkSession, sf: str) -> DataFrame:
     return with_labels(scored, spark, sf, "inner")
 
 
+def scores_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled scores of which one in 17 is missing."""
+    score = F.when(F.col("email_id") % 17 != 0, F.col("raw_score"))
+    return labelled_scores(spark, sf).withColumn("raw_score", score)
+
+
 def heuristic_scorer(df: DataFrame) -> DataFrame:
     return with_heuristic_score(df).withColumnRenamed("heuristic_score", "raw_score")
 
@@ -245,6 +252,38 @@ def q_validation_report(spark, sf):
     return report.where("key <> 'mean'")
 
 
+def q_report_file(spark, sf):
+    """The report, written as a JSON file and read again."""
+    path = reports.write_report(quality.validation_report(gaps(spark, sf)), shared_path(spark, "report"))
+    stored = spark.read.schema("section string, key string, value string").json(path)
+    mean = F.col("key") == "mean"
+    value = F.when(mean, F.round(F.col("value").cast("double"), 6).cast("string")).otherwise(F.col("value"))
+    return stored.withColumn("value", value)
+
+
+def q_raw_text_files(spark, sf):
+    """Whole raw files: the lines and characters of each language's mails, one file per language and task."""
+    path = shared_path(spark, "raw")
+    rows = mails(spark, sf).select(F.coalesce("language", F.lit("none")).alias("language"), "email_text")
+    rows.where("email_text is not null").write.partitionBy("language").text(path)
+    files = store.read_raw_text(spark, f"{path}/*/*.txt")
+    language = F.regexp_extract("path", r"language=([^/]*)/", 1)
+    return files.groupBy(language.alias("language")).agg(
+        F.sum(F.length("email_text")).alias("n_chars"),
+        F.sum(F.length("email_text") - F.length(F.replace("email_text", F.lit("\n")))).alias("n_lines"),
+    )
+
+
+def q_corpus_file(spark, sf):
+    """A generated corpus of one mail per document, written twice to the same place."""
+    n = table(spark, sf, "documents").count()
+    path = shared_path(spark, "corpus")
+    for _ in range(2):
+        store.create_corpus(spark, path, n // len(C.LANGUAGES))
+    rows = store.read_emails(spark, path, "parquet")
+    return rows.groupBy("language", "label").agg(F.count("*").alias("n_rows"), F.countDistinct("email_id").alias("n_ids"))
+
+
 def q_reject_blank(spark, sf):
     kind = F.col("email_id") % 5
     blanked = mails(spark, sf).withColumn(
@@ -337,6 +376,27 @@ def q_stratified_split(spark, sf):
     return split.stratified_split(labelled(spark, sf)).select("email_id", "label", "split")
 
 
+def text_copies(spark, sf):
+    """Labelled documents, whose texts occur up to three times."""
+    copies = F.explode(F.sequence(F.lit(0), F.expr("cast(doc_id % 3 as int)")))
+    documents = table(spark, sf, "documents").select(F.col("doc_id").alias("email_id"), F.col("text").alias("email_text"))
+    rows = with_labels(documents, spark, sf, "inner")
+    return rows.withColumn("doc_id", F.col("email_id")).withColumn("copy", copies).drop("doc_id")
+
+
+def q_grouped_split(spark, sf):
+    """A split in which equal texts stay together."""
+    return split.grouped_split(text_copies(spark, sf)).select("email_id", "copy", "label", "split")
+
+
+def q_split_leakage(spark, sf):
+    """Texts in more than one split: cut by row, and by text."""
+    rows = text_copies(spark, sf).withColumn("row_id", F.concat_ws("-", "email_id", "copy"))
+    by_row = split.split_leakage(split.stratified_split(rows, id_col="row_id"))
+    by_text = split.split_leakage(split.grouped_split(rows))
+    return by_row.withColumn("cut_by", F.lit("row")).unionByName(by_text.withColumn("cut_by", F.lit("text")))
+
+
 def q_split_sizes(spark, sf):
     return split.split_sizes(split.stratified_split(labelled(spark, sf)))
 
@@ -380,6 +440,23 @@ def q_preview_new_rows(spark, sf):
     return store.preview_rows(parts(spark, sf)[1], "email_id")
 
 
+def q_stored_append_ids(spark, sf):
+    """Rows without an id, appended to a table with numbers: ids go on after the largest."""
+    existing, new = parts(spark, sf)
+    path = shared_path(spark, "append")
+    store.write_emails(existing, path)
+    store.append_emails(spark, path, new.drop("email_id"), dry_run=False, report=lambda line: None)
+    rows = store.read_emails(spark, path, "parquet")
+    top = existing.agg(F.max("email_id")).first()[0]
+    fresh = F.col("label").isNull()
+    number = F.col("email_id") - F.when(fresh, top).otherwise(0)
+    return rows.groupBy(fresh.alias("appended")).agg(
+        F.count("*").alias("n_rows"), F.countDistinct("email_id").alias("n_ids"),
+        F.min(number).alias("first_id"), F.max(number).alias("last_id"),
+        F.sum(F.length("email_text")).alias("n_chars"),
+    )
+
+
 def q_stored_append(spark, sf):
     existing, new = parts(spark, sf)
     path = shared_path(spark, "append")
@@ -397,11 +474,108 @@ def q_csv_round_trip(spark, sf):
 # --- tokens ----------------------------------------------------------------------------------
 
 
+def q_csv_by_header(spark, sf):
+    """CSV files with two column orders, one with a column more, and labels that are no numbers."""
+    path = shared_path(spark, "csv")
+    raw = emails_view(spark, sf).withColumn(
+        "label", F.when(F.col("email_id") % 6 == 0, "spam").otherwise(F.col("label").cast("string"))
+    )
+    first = raw.where("label is null").select("label", "email_text", "email_id", "language")
+    second = raw.where("label is not null").withColumn("origin", F.lit("b"))
+    store.write_emails(first, path, "csv")
+    store.write_emails(second, path, "csv", mode="append")
+    out = shared_path(spark, "ingested")
+    store.ingest_csv(spark, path, out)
+    return spark.read.parquet(out).select(
+        "email_id", "language", "label", "origin", "status", "reason",
+        F.length("email_text").cast("bigint").alias("n_chars"),
+        F.col("_corrupt_record").contains("spam").alias("row_kept"),
+    )
+
+
+def q_append_with_ids(spark, sf):
+    """Rows that occur up to three times, appended; then once more; then the second append again."""
+    table_ = VersionedMails(spark, shared_path(spark, "mails"))
+    copies = F.explode(F.sequence(F.lit(0), F.expr("cast(email_id % 3 as int)")))
+    many = emails_view(spark, sf).withColumn("_copy", copies).drop("_copy", "email_id")
+    table_.append(many, "many")
+    for _ in range(2):
+        table_.append(emails_view(spark, sf).drop("email_id"), "once more")
+    return table_.as_of().select(
+        "email_id", "language", "label", F.length("email_text").cast("bigint").alias("n_chars")
+    )
+
+
+def q_snapshot_as_of(spark, sf):
+    """Every version of a table that grew by two appends."""
+    table_ = VersionedMails(spark, shared_path(spark, "mails"))
+    for number, rows in enumerate(parts(spark, sf)):
+        table_.append(rows, f"append {number}")
+    first, second = (table_.as_of(v).withColumn("version", F.lit(v)) for v in (1, 2))
+    return first.unionByName(second).select(
+        "version", "email_id", "source_id", "language", "label", F.length("email_text").cast("bigint").alias("n_chars")
+    )
+
+
+def q_table_versions(spark, sf):
+    """The history of that table, with what the manifests say of each version's files."""
+    table_ = VersionedMails(spark, shared_path(spark, "mails"))
+    for number, rows in enumerate(parts(spark, sf)):
+        table_.append(rows, f"append {number}")
+    counts = [
+        (v, table_.files(v).agg(F.sum("n_rows")).first()[0], table_.damaged(v).count()) for v in (1, 2)
+    ]
+    found = spark.createDataFrame(counts, "version bigint, listed_rows bigint, n_damaged bigint")
+    return table_.versions().join(found, "version").select(
+        "version", "append_id", "n_rows", "listed_rows", "n_damaged"
+    )
+
+
+def q_read_snapshot(spark, sf):
+    """A table as its snapshot has it, after an append."""
+    existing, new = parts(spark, sf)
+    path = shared_path(spark, "append")
+    store.write_emails(existing, path)
+    kept = store.snapshot(spark, path, f"{path}-kept", content="manifest")
+    store.append_emails(spark, path, new, dry_run=False, backup=False, report=lambda line: None)
+    return store.read_snapshot(spark, kept)
+
+
+def q_retrain_latest(spark, sf):
+    """Test rows per language of a training on the newest version of a table with two."""
+    table_ = VersionedMails(spark, shared_path(spark, "mails"))
+    everything = labelled(spark, sf).drop("email_id")
+    labelled_one = F.col("label") == 1
+    table_.append(everything.where(labelled_one), "phishing")
+    table_.append(everything.where(~labelled_one), "legitimate")
+    models = shared_path(spark, "models")
+    options = {"reg_params": (0.1,), "max_iter": 2, "vocab_size": 500}
+    version, _ = training.retrain(table_, models, **options)
+    assert training.retrain(table_, models, **options)[0] == version
+    found = spark.read.json(f"{models}/version={version}/metrics")
+    return found.select(F.lit(version).cast("bigint").alias("version"), "scope", "language", "n_rows")
+
+
+def q_column_check(spark, sf):
+    """Which required columns each of two tables has."""
+    full = quality.column_check(emails_view(spark, sf)).withColumn("source", F.lit("labelled"))
+    some = quality.column_check(table(spark, sf, "pages")).withColumn("source", F.lit("pages"))
+    return full.unionByName(some)
+
+
 def q_token_ids(spark, sf):
     ids = text.sequence_ids(F.col("email_text"))
     return mails(spark, sf).select("email_id", F.array_join(ids, ",").alias("ids"))
 
 
+def q_document_frequencies(spark, sf):
+    """In how many mails each token id occurs, over whole texts, and the weight that follows."""
+    ids = mails(spark, sf).select(text.token_ids(text.tokens(F.col("email_text"))).alias("term_ids"))
+    counted = training.document_frequencies(ids)
+    idf = training.inverse_frequency(F.col("n_docs"), F.lit(ids.count()))
+    return counted.select("term_id", "n_docs", F.round(idf, 9).alias("idf"))
+
+
 def q_fold_ids(spark, sf):
     wide = text.sequence_ids(F.col("email_text"), vocab_size=50_000)
     return (
@@ -422,12 +596,19 @@ def q_batch_explode(spark, sf):
     return split.flatten_batches(accepted)
 
 
-def q_label_cast(spark, sf):
+def labels_as_text(spark, sf):
     raw = with_labels(mails(spark, sf).select("email_id"), spark, sf).withColumn(
         "label",
         F.when(F.col("email_id") % 4 == 0, "spam").otherwise(F.col("label").cast("string")),
     )
-    return store.cast_labels(raw)[0]
+    return raw
+
+
+def q_label_cast(spark, sf):
+    """The rows with a number for a label, and the quarantine of the others."""
+    good, bad = store.cast_labels(labels_as_text(spark, sf))
+    bad = bad.select("email_id", F.lit(None).cast("int").alias("label"), F.col("label").alias("refused"))
+    return good.withColumn("refused", F.lit(None).cast("string")).unionByName(bad)
 
 
 def q_token_length_histogram(spark, sf):
@@ -448,6 +629,12 @@ def q_detect_language(spark, sf):
 # --- corpora ---------------------------------------------------------------------------------
 
 
+def q_detect_mail_language(spark, sf):
+    """The language guess for whole mails."""
+    guess = text.detect_language(F.col("email_text"))
+    return mails(spark, sf).select("email_id", guess.alias("guess"))
+
+
 def q_expand_templates(spark, sf):
     return corpus.match_templates(mails(spark, sf))
 
@@ -472,20 +659,20 @@ def q_sample_corpus(spark, sf):
 
 
 def q_class_metrics(spark, sf):
-    return metrics.class_metrics(labelled_scores(spark, sf))
+    return metrics.class_metrics(scores_with_gaps(spark, sf))
 
 
 def q_log_loss(spark, sf):
-    loss = metrics.log_loss(labelled_scores(spark, sf))
-    return loss.select(F.round("log_loss", 9).alias("log_loss"))
+    loss = metrics.log_loss(scores_with_gaps(spark, sf))
+    return loss.select(F.round("log_loss", 9).alias("log_loss"), "n_unscored")
 
 
 def q_metrics_by_language(spark, sf):
-    return metrics.metrics_by_language(labelled_scores(spark, sf))
+    return metrics.metrics_by_language(scores_with_gaps(spark, sf))
 
 
 def q_confusion_by_language(spark, sf):
-    return metrics.confusion_counts(labelled_scores(spark, sf), ["language"])
+    return metrics.confusion_counts(scores_with_gaps(spark, sf), ["language"])
 
 
 def q_roc_by_language(spark, sf):
@@ -548,17 +735,27 @@ def q_top_terms(spark, sf):
     return scoring.top_terms(mails(spark, sf), fitted(spark, sf).best)
 
 
+def some_blank(df: DataFrame) -> DataFrame:
+    """The mails, of which one in five has a blank text of its own length."""
+    blank = F.concat(F.lit(" "), F.repeat(F.lit("\n"), (F.col("email_id") % 7).cast("int")))
+    kept = F.when(F.col("email_id") % 5 != 0, F.col("email_text")).otherwise(blank)
+    return df.withColumn("email_text", kept)
+
+
+AUDIT = ["email_id", "text_len", "label", "raw_score", "status"]
+
+
 def q_score_job(spark, sf):
-    kind = F.col("email_id") % 5
-    some_blank = mails(spark, sf).withColumn(
-        "email_text", F.when(kind != 0, F.col("email_text")).otherwise(" ")
-    )
     out = shared_path(spark, "score-job")
-    paths = scoring.score_job(spark, some_blank, heuristic_scorer, out, batch_id=0)
-    assert set(paths) == {"predictions", "quarantine", "audit"}
-    return reports.read_audit(spark, f"{out}/audit").select(
-        "email_id", "label", "raw_score", "status"
-    )
+    scoring.score_job(spark, some_blank(mails(spark, sf)), heuristic_scorer, out, batch_id=0)
+    return reports.read_audit(spark, f"{out}/audit").select(*AUDIT, "batch_id")
+
+
+def q_score_job_results(spark, sf):
+    """What the job stores per mail, the refused ones included."""
+    out = shared_path(spark, "score-job")
+    scoring.score_job(spark, some_blank(mails(spark, sf)), heuristic_scorer, out, batch_id=0)
+    return scoring.read_results(spark, out)
 
 
 def q_score_batches(spark, sf):
@@ -577,16 +774,17 @@ def document_stream(spark, sf):
 
 def q_stream_score(spark, sf):
     out, state = shared_path(spark, "stream"), shared_path(spark, "stream-state")
-    stream.start_scoring(document_stream(spark, sf), out, state).awaitTermination()
-    return spark.read.parquet(out).select("email_id", "language", "heuristic_score", "is_risky")
+    stream.start_scoring(some_blank(document_stream(spark, sf)), out, state).awaitTermination()
+    return spark.read.parquet(out).select(
+        "email_id", "language", "heuristic_score", "is_risky", "text_len", "status"
+    )
 
 
 def q_stream_audit(spark, sf):
     out, state = shared_path(spark, "audit"), shared_path(spark, "audit-state")
-    stream.start_audit(document_stream(spark, sf), out, state, heuristic_scorer).awaitTermination()
-    return reports.read_audit(spark, f"{out}/audit").select(
-        "email_id", "text_len", "label", "raw_score", "status"
-    )
+    arriving = some_blank(document_stream(spark, sf))
+    stream.start_audit(arriving, out, state, heuristic_scorer).awaitTermination()
+    return reports.read_audit(spark, f"{out}/audit").select(*AUDIT)
 
 
 def q_monitor_windows(spark, sf):
@@ -602,6 +800,29 @@ def q_monitor_windows(spark, sf):
     )
 
 
+def q_monitor_percentiles(spark, sf):
+    """Whether the rank of each window's sketched percentiles is within the stated error of theirs."""
+    events = table(spark, sf, "events")
+    found = monitoring.monitor(events, "ts", F.lit(False), "value", percentiles=(0.5, 0.95, 0.99))
+    values = events.select(F.window("ts", "1 hour").getField("start").alias("window_start"), "value")
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    ranked = values.join(found, "window_start").groupBy("window_start", "n_rows").agg(
+        *[F.count_if(F.col("value") < F.col(p)).alias(f"{p}_below") for p in shares],
+        *[F.count_if(F.col("value") <= F.col(p)).alias(f"{p}_upto") for p in shares],
+    )
+
+    def within(p: str, share: float) -> Column:
+        # Three times the error that 99 of 100 sketches keep, and one row for the ends of a step.
+        slack = 3 * monitoring.RANK_ERROR * F.col("n_rows") + 1
+        at = share * F.col("n_rows")
+        return ((F.col(f"{p}_below") <= at + slack) & (F.col(f"{p}_upto") >= at - slack)).alias(p)
+
+    return ranked.select(
+        F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n_rows",
+        *[within(p, share) for p, share in shares.items()],
+    )
+
+
 # --- augmentation ----------------------------------------------------------------------------
 
 

@@ -5,48 +5,53 @@ Scoring is a narrow plan: no shuffle, one pass over the texts.
 
 from __future__ import annotations
 
-import json
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from mailsift import constants as C
 from mailsift.functions.decide import is_risky, next_steps, recommendation, with_decision
-from mailsift.functions.signals import social_signals
-from mailsift.operators.quality import guard_batches, reject_blank
+from mailsift.functions.signals import signal_counts, social_signals
+from mailsift.functions.text import is_blank
+from mailsift.operators.quality import guard_batches
 from mailsift.operators.split import flatten_batches
-from mailsift.plans.training import featurize, term_index, with_terms
+from mailsift.plans.training import (
+    SIGNALS,
+    constant,
+    featurize,
+    probability,
+    signal_term,
+    signal_terms,
+    term_index,
+    weights_of,
+    with_terms,
+)
+from mailsift.sources import files
 from mailsift.sources.reports import audit_rows, write_audit
 
+OK, BLANK = "OK", "EMPTY_TEXT"
+
 Scorer = PipelineModel | Callable[[DataFrame], DataFrame]
 
 
 def coefficient_of(model: PipelineModel, term: Column) -> Column:
-    """Coefficient of a term hash. The table is a constant of the plan: ``vocab_size`` numbers."""
-    hashing, classifier = model.stages
-    weights = [float(w) for w in classifier.coefficients.toArray()]
-    table = F.from_json(F.lit(json.dumps(weights)), "array<double>")
-    return F.get(table, term_index(term, hashing.getNumFeatures()))
+    """Coefficient of a term hash."""
+    return F.get(constant(weights_of(model)), term_index(term, model.stages[0].getNumFeatures()))
 
 
 def linear_score(df: DataFrame, model: PipelineModel) -> DataFrame:
-    """Add ``raw_score``, the probability of class 1, as a plain column expression.
-
-    The model is linear in the term counts, so its margin is the sum of one coefficient per term
-    occurrence: the same number that the fitted pipeline gives, without building vectors.
-    """
-    margin = F.aggregate(
-        "term_keys",
-        F.lit(float(model.stages[-1].intercept)),
-        lambda total, term: total + coefficient_of(model, term),
-    )
+    """Add ``raw_score``, the probability of class 1, as a plain column expression."""
+    n = model.stages[0].getNumFeatures()
+    ids = F.transform("term_keys", lambda k: term_index(k, n))
     return (
         featurize(df)
-        .withColumn("raw_score", 1.0 / (1.0 + F.exp(-margin)))
-        .drop("term_keys")
+        .withColumn("_term_ids", ids)
+        .withColumn("raw_score", probability(weights_of(model), model.stages[-1].intercept, "_term_ids"))
+        .drop("term_keys", "_term_ids")
     )
 
 
@@ -99,45 +104,90 @@ def score_batches(df: DataFrame, scorer: Scorer) -> tuple[DataFrame, DataFrame]:
     return score(flatten_batches(accepted), scorer), rejected
 
 
+def results(df: DataFrame, scorer: Scorer | None, explain: bool = False) -> DataFrame:
+    """One row per mail without its text: ``status, text_len`` and what :func:`score` adds.
+
+    Blank mails stay, with status ``EMPTY_TEXT`` and null in every column made here; all others are
+    ``OK``. ``explain`` adds the verdicts; with ``scorer`` None these come from signals alone.
+    """
+    blank = is_blank(F.col("email_text"))
+    marked = df.withColumns(
+        {"status": F.when(blank, BLANK).otherwise(OK), "text_len": F.length("email_text")}
+    )
+    found = marked if scorer is None else score(marked, scorer)
+    if explain:
+        found = verdicts(found)
+    given = {*marked.columns, "true_label"} - ({"label"} if scorer is not None else set())
+    made = {c: F.when(F.col("status") == OK, F.col(c)) for c in found.columns if c not in given}
+    return found.withColumns(made).drop("email_text")
+
+
+def store_results(found: DataFrame, out: str, batch_id: int) -> tuple[str, dict[str, int]]:
+    """Write a batch of :func:`results` under ``out/results/batch=<id>``, one folder per status.
+
+    One write, counted as it goes; returns the path and the counts. The batch appears under its
+    name when it is complete and then takes the place of an earlier one with the same id.
+    """
+    spark, base = found.sparkSession, out.rstrip("/")
+    path, draft = f"{base}/results/batch={batch_id}", f"{base}/drafts/{uuid.uuid4().hex}"
+    seen = Observation()
+    accepted = F.col("status") == OK
+    counted = found.observe(seen, F.count_if(accepted).alias("n_ok"), F.count_if(~accepted).alias("n_refused"))
+    counted.write.partitionBy("status").parquet(draft)
+    for status in (OK, BLANK):
+        files.make_folder(spark, f"{draft}/status={status}")
+    files.put_in_place(spark, draft, path)
+    return path, seen.get
+
+
+def read_results(spark: SparkSession, out: str) -> DataFrame:
+    """All stored results of a job or stream, with ``batch`` and ``status``."""
+    base = f"{out.rstrip('/')}/results"
+    return spark.read.option("basePath", base).option("mergeSchema", "true").parquet(f"{base}/batch=*")
+
+
+def score_and_log(df: DataFrame, scorer: Scorer | None, out: str, batch_id: int, explain: bool = False) -> dict[str, str]:
+    """Score one batch, store it and write its audit; the mails are read once.
+
+    The audit is made of the stored rows, which hold no text. Returns the paths of the
+    ``predictions``, the ``quarantine`` (refused mails) and the ``audit``.
+    """
+    started = time.monotonic()
+    found = results(df, scorer, explain)
+    path, _ = store_results(found, out, batch_id)
+    elapsed = (time.monotonic() - started) * 1000
+    stored = df.sparkSession.read.schema(found.schema).parquet(path)
+    audit = write_audit(audit_rows(stored, batch_id, elapsed), f"{out.rstrip('/')}/audit", batch_id)
+    return {"predictions": f"{path}/status={OK}", "quarantine": f"{path}/status={BLANK}", "audit": audit}
+
+
 def score_job(
     spark: SparkSession, df: DataFrame, scorer: Scorer, out: str, batch_id: int
 ) -> dict[str, str]:
-    """Score a mail table: writes ``predictions``, ``quarantine`` and ``audit`` under ``out``.
+    """Score a mail table in one pass; results and audit go under ``out``, by batch id.
 
     A batch run again with the same id replaces its own output and nothing else.
     """
-    started = time.monotonic()
-    good, quarantine = reject_blank(df)
-    paths = {
-        name: f"{out.rstrip('/')}/{name}/batch={batch_id}" for name in ("predictions", "quarantine")
-    }
-    score(good, scorer).write.mode("overwrite").parquet(paths["predictions"])
-    quarantine.write.mode("overwrite").parquet(paths["quarantine"])
-    elapsed = (time.monotonic() - started) * 1000
-    done = spark.read.parquet(paths["predictions"])
-    refused = spark.read.parquet(paths["quarantine"]).withColumnsRenamed({"reason": "status"})
-    audit = audit_rows(done, batch_id, elapsed).unionByName(
-        audit_rows(refused.withColumn("email_text", F.lit("")), batch_id, elapsed)
-    )
-    paths["audit"] = write_audit(audit, f"{out.rstrip('/')}/audit", batch_id)
-    return paths
+    return score_and_log(df, scorer, out, batch_id)
 
 
 def top_terms(df: DataFrame, model: PipelineModel, k: int = 5) -> DataFrame:
-    """The ``k`` terms that push each mail most towards phishing: tf x coefficient.
+    """The ``k`` terms that push each mail most towards phishing: tf x weight.
 
     Columns ``email_id, rank, term, tf, contribution``; equal contributions are ordered by term
-    hash. Worked out inside each row from term hashes (sort, run lengths, lookup, top k), so no
-    term is shuffled, and text is built for the ``k`` best only.
+    hash. Terms are the runs of 1 to 3 tokens and the signal hits (``<n_urgency>`` and so on), as the
+    model counts them. Worked out inside each row from term hashes (sort, run lengths, lookup), so no
+    term is shuffled. Only numbers are sorted for all terms; records are sorted of those that reach the
+    k-th contribution, and text is made of the ``k`` best.
     """
     no_ints = F.array().cast("array<int>")
     n, n_words = F.col("n"), F.size("words")
     # No filter stands above these columns: one would be pushed below them and drag a copy of
     # their whole expressions along. A mail without terms gives an empty array at each step.
     ordered = (
-        with_terms(df.select("email_id", "email_text"))
+        with_terms(signal_counts(df.select("email_id", "email_text")))
         .drop("email_text")
-        .withColumn("s", F.sort_array("terms"))
+        .withColumn("s", F.sort_array(F.concat("terms", *signal_terms())))
         .withColumn("n", F.size("s"))
         .withColumn(
             "starts",
@@ -163,6 +213,9 @@ def top_terms(df: DataFrame, model: PipelineModel, k: int = 5) -> DataFrame:
             (end - start).alias("tf"),
         )
 
+    numbers = F.sort_array(F.transform("items", lambda item: item["down"]))
+    # Named twice, so that the optimizer does not work it out again for every item.
+    reaching = F.when(F.col("kth").isNotNull(), F.filter("items", lambda item: item["down"] <= F.col("kth")))
     # First place of a term in `terms` (tokens, then pairs, then triples) -> its tokens.
     at = (F.array_position("terms", F.col("item.h")) - 1).cast("int")
     pairs_from, triples_from = n_words, n_words + F.greatest(n_words - 1, F.lit(0))
@@ -171,15 +224,18 @@ def top_terms(df: DataFrame, model: PipelineModel, k: int = 5) -> DataFrame:
         .when(at < triples_from, F.slice("words", at - pairs_from + 1, F.lit(2)))
         .otherwise(F.slice("words", at - triples_from + 1, F.lit(3)))
     )
+    signal = F.coalesce(*[F.when(F.col("item.h") == signal_term(name), F.lit(f"<{name}>")) for name in SIGNALS])
     return (
-        ordered.withColumn("weighed", F.sort_array(F.zip_with("starts", "ends", weigh)))
+        ordered.withColumn("items", F.zip_with("starts", "ends", weigh))
+        .withColumn("kth", F.get(numbers, F.least(F.lit(k), F.size("items")) - 1))
+        .withColumn("weighed", F.sort_array(reaching))
         .select("email_id", "words", "terms", F.slice("weighed", 1, k).alias("best"))
         .select("email_id", "words", "terms", F.posexplode_outer("best").alias("pos", "item"))
         .where("pos is not null")
         .select(
             "email_id",
             (F.col("pos") + 1).alias("rank"),
-            F.array_join(tokens_of, " ").alias("term"),
+            F.when(at < 0, signal).otherwise(F.array_join(tokens_of, " ")).alias("term"),
             F.col("item.tf").alias("tf"),
             (-F.col("item.down")).alias("contribution"),
         )

@@ -58,13 +58,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def pin_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """The same rows as a local relation when there are at most ``max_rows``; ``df`` otherwise.
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder once and go on from its files.
 
-    A local relation has exact size statistics, so the optimizer broadcasts it by its own size
-    check. Beyond the bound the rows stay distributed and joins with them shuffle.
+    For small results that a large table is joined to: Spark knows the size of the files when it plans
+    the join, so it broadcasts them by its own threshold and shuffles beyond it.
     """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return df
-    return df.sparkSession.createDataFrame(rows, schema=df.schema)
+    path = shared_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

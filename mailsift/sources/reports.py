@@ -22,7 +22,7 @@ def require_valid(df: DataFrame, path: str | None = None) -> DataFrame:
         write_report(report, path)
     if not valid:
         reason = report.where("section = 'error'").first()["value"]
-        raise ValueError(f"Dataset validation failed: {reason}")
+        raise ValueError(f"the table is not fit for use: {reason}")
     return df
 
 
@@ -47,14 +47,15 @@ def load_model(path: str) -> PipelineModel:
 def audit_rows(scored: DataFrame, batch_id: int, process_time_ms: float) -> DataFrame:
     """One audit record per mail; the time is that of the whole (micro-)batch.
 
-    ``status`` is taken from the table where it has one and is ``OK`` otherwise.
+    ``status`` and ``text_len`` are taken from the table where it has them; otherwise the status is
+    ``OK`` and the length is that of ``email_text``. Ids keep their type.
     """
     have = scored.columns
     return scored.select(
         F.lit(batch_id).cast("bigint").alias("batch_id"),
-        F.col("email_id").cast("bigint").alias("email_id"),
+        "email_id",
         F.current_timestamp().alias("scored_at"),
-        F.length("email_text").alias("text_len"),
+        (F.col("text_len") if "text_len" in have else F.length("email_text")).alias("text_len"),
         (F.col("label") if "label" in have else F.lit(None).cast("string")).alias("label"),
         (F.col("raw_score") if "raw_score" in have else F.lit(None).cast("double")).alias(
             "raw_score"
@@ -71,10 +72,13 @@ def write_audit(audit: DataFrame, path: str, batch_id: int) -> str:
     return out
 
 
-def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    """The audit records written under a path."""
+def read_audit(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
+    """The audit records written under a path; ``id_type`` is that of the scored table's ids.
+
+    A record that does not fit (ids of another type) is an error.
+    """
     schema = (
-        "batch_id bigint, email_id bigint, scored_at timestamp, text_len int, label string, "
+        f"batch_id bigint, email_id {id_type}, scored_at timestamp, text_len int, label string, "
         "raw_score double, status string, process_time_ms double"
     )
-    return spark.read.schema(schema).json(f"{path.rstrip('/')}/batch=*")
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(f"{path.rstrip('/')}/batch=*")

@@ -7,19 +7,12 @@ shared by the cluster.
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from mailsift.functions.text import is_blank
-from mailsift.operators.quality import reject_blank
-from mailsift.plans.scoring import Scorer, score, verdicts
-from mailsift.sources.reports import audit_rows, write_audit
+from mailsift.plans.scoring import Scorer, results, score_and_log
 
-OUTPUT = ["raw_score", "label", "confidence", "is_phishing"]
 EMAIL_SCHEMA = T.StructType(
     [
         T.StructField("email_id", T.LongType()),
@@ -40,24 +33,6 @@ def read_email_stream(
     return spark.readStream.format(fmt).schema(schema).options(**options).load(path)
 
 
-def scored(emails: DataFrame, scorer: Scorer | None = None) -> DataFrame:
-    """Verdicts for non-blank mails, batch or streaming; without a scorer from signals alone."""
-    good, _ = reject_blank(emails)
-    return verdicts(score(good, scorer) if scorer is not None else good)
-
-
-def _append(
-    rows: DataFrame, out: str, checkpoint: str, available_now: bool
-) -> StreamingQuery:
-    writer = (
-        rows.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-    )
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
 def start_scoring(
     emails: DataFrame,
     out: str,
@@ -67,16 +42,19 @@ def start_scoring(
 ) -> StreamingQuery:
     """Append verdicts to a Parquet table; ``available_now`` ends after what is there.
 
-    Blank mails get no verdict; ``start_rejects`` on the same stream writes them down.
+    One row per mail, without its text and in a folder per ``status``: blank mails are in the same
+    stream, with status ``EMPTY_TEXT`` and no verdict, so none is lost. Without a scorer verdicts
+    come from signals alone.
     """
-    return _append(scored(emails, scorer), out, checkpoint, available_now)
-
-
-def start_rejects(
-    emails: DataFrame, out: str, checkpoint: str, available_now: bool = True
-) -> StreamingQuery:
-    """Append the mails that ``start_scoring`` refuses, ``email_id, reason``, to a Parquet table."""
-    return _append(reject_blank(emails)[1], out, checkpoint, available_now)
+    writer = (
+        results(emails, scorer, explain=True)
+        .writeStream.format("parquet")
+        .partitionBy("status")
+        .outputMode("append")
+        .option("path", out)
+        .option("checkpointLocation", checkpoint)
+    )
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def start_audit(
@@ -86,24 +64,14 @@ def start_audit(
     scorer: Scorer,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Score each micro-batch into ``out/predictions`` and log it in ``out/audit``.
+    """Score each micro-batch into ``out/results`` and log it in ``out/audit``, in one pass.
 
-    Both are keyed by the micro-batch id and overwritten on a retry, so a batch that is run again
-    after a failure leaves no duplicates.
+    Both are keyed by the micro-batch id and replaced on a retry, so a batch that is run again
+    after a failure leaves no duplicates. ``read_results`` and ``read_audit`` read them.
     """
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        started = time.monotonic()
-        target = f"{out.rstrip('/')}/predictions/batch={batch_id}"
-        # One pass: blank mails stay in the batch table, without a score.
-        blank = is_blank(F.col("email_text"))
-        status = F.when(blank, "EMPTY_TEXT").otherwise("OK")
-        result = score(batch.withColumn("status", status), scorer)
-        void = {c: F.when(~blank, F.col(c)) for c in OUTPUT}
-        result.withColumns(void).write.mode("overwrite").parquet(target)
-        elapsed = (time.monotonic() - started) * 1000
-        done = batch.sparkSession.read.parquet(target)
-        write_audit(audit_rows(done, batch_id, elapsed), f"{out.rstrip('/')}/audit", batch_id)
+        score_and_log(batch, scorer, out, batch_id)
 
     writer = emails.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

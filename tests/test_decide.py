@@ -42,3 +42,22 @@ def test_display(spark):
         decide.confidence(F.col("b"), F.lit("PHISHING")).alias("c"),
     ).first()
     assert (row.a, row.b, row.p, row.c) == (1.0, "0.650", "65.0%", 0.65)
+
+
+def test_display_rounds_the_binary_value(spark):
+    import random
+
+    rng = random.Random(4)
+    values = [0.0625, 0.1875, 0.2875, 0.0005, 0.0015, 0.9995, 1.0, 0.0, 0.12345, 1e-9, 0.4445, 2.675, -0.0625, -0.0001]
+    values += [rng.random() for _ in range(2000)] + [rng.randrange(20_000) / 20_000 for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    shown = df.select(
+        "v", decide.display_score(F.col("v")).alias("three"), decide.display_score(F.col("v"), 4).alias("four"),
+        decide.display_percent(F.col("v")).alias("percent"),
+    ).collect()
+    for r in shown:
+        if r.v is None:
+            assert (r.three, r.four, r.percent) == (None, None, None)
+        else:
+            want = [f"{r.v:.3f}", f"{r.v:.4f}", f"{r.v * 100:.1f}%"]
+            assert [r.three, r.four, r.percent] == [w.replace("-0.000", "0.000").replace("-0.0%", "0.0%") if float(w.rstrip("%")) == 0 else w for w in want]

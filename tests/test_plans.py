@@ -11,7 +11,9 @@ FOLDER = "/root/testdata/sf0.001"
 EAGER = {
     "stored_append", "csv_round_trip", "score_job", "stream_score", "stream_audit",
     "train_and_score", "training_history", "model_selection", "test_metrics",
-    "model_round_trip", "top_terms",
+    "model_round_trip", "top_terms", "append_with_ids", "csv_by_header", "read_snapshot",
+    "retrain_latest", "score_job_results", "snapshot_as_of", "stored_append_ids", "table_versions",
+    "report_file", "raw_text_files", "corpus_file",
 }
 REGISTERED = queries.registered()
 

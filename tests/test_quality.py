@@ -47,7 +47,7 @@ def test_missing_columns(spark):
     df = labelled(spark, [0]).drop("language", "label")
     assert quality.missing_columns(df) == ["language", "label"]
     ok, report = quality.validate_emails(df)
-    assert not ok and report.first().value == "Missing required column: language"
+    assert not ok and report.first().value == "the table has no column language"
     with pytest.raises(ValueError, match="language.*label"):
         quality.require_columns(df)
     assert [r.present for r in quality.column_check(df).collect()] == [True, False, False]

@@ -3,6 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.errors import AnalysisException
 
+from mailsift.operators.identity import with_email_id
 from mailsift.sources import emails as store
 
 ROWS = [
@@ -54,7 +55,7 @@ def test_append(spark, mails, tmp_path, fmt):
     lines = []
     preview = store.append_single(spark, path, "new", 1, fmt=fmt, report=lines.append)
     assert preview.count() == 1 and store.read_emails(spark, path, fmt).count() == 4
-    assert lines == ["Dataset rows: 4, new rows: 1"]
+    assert lines == ["4 rows are stored, 1 to be added"]
     store.append_single(
         spark, path, "new", 1, fmt=fmt, dry_run=False, backup=str(tmp_path / "kept"),
         report=lines.append,
@@ -62,7 +63,7 @@ def test_append(spark, mails, tmp_path, fmt):
     rows = store.read_emails(spark, path, fmt).collect()
     assert len(rows) == 5
     added = [r for r in rows if r.email_text == "new"]
-    assert (added[0].email_id, added[0].language, added[0].label) == (None, "en", 1)
+    assert (added[0].email_id, added[0].language, added[0].label) == (5, "en", 1)
     kept = list((tmp_path / "kept").iterdir())
     assert len(kept) == 1 and store.read_emails(spark, str(kept[0]), fmt).count() == 4
 
@@ -86,6 +87,13 @@ def test_snapshot_manifest(spark, mails, tmp_path):
     assert out.endswith("snapshot=20250102T030405Z")
     files = [r.file for r in spark.read.json(out).collect()]
     assert spark.read.parquet(*files).count() == 4
+    store.append_single(spark, path, "later", 0, dry_run=False, report=lambda line: None)
+    assert store.read_emails(spark, path, "parquet").count() == 5
+    assert store.read_snapshot(spark, out).count() == 4
+    copy = store.snapshot(spark, path, str(tmp_path / "s"), now=now)
+    assert copy == f"{out}-2" and store.read_snapshot(spark, copy).count() == 5
+    kept = list((tmp_path / "t-snapshots").iterdir())  # the append has kept the state before
+    assert len(kept) == 1 and store.read_snapshot(spark, str(kept[0])).count() == 4
 
 
 def test_union_by_name(mails):
@@ -105,3 +113,61 @@ def test_labels_that_are_no_numbers(spark):
     good, bad = store.cast_labels(df)
     assert sorted([r.label for r in good.collect()], key=str) == [1, None]
     assert [r.label for r in bad.collect()] == ["x"]
+
+
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    folder = tmp_path / "in put [1]"
+    folder.mkdir()
+    (folder / "a.csv").write_text("email_text,language,label\nhabari,sw,1\n\"two\nlines\",en,0.0\n")
+    (folder / "b.csv").write_text("label,email_text,note,language\n0,hello,x,en\nspam,bad,y,en\n1,short\n")
+    (folder / "c.csv").write_text("\ufefflanguage,label,email_text\n")
+    (folder / "d.csv").write_text("")
+    path = str(folder).replace("[", "\\[").replace("]", "\\]")
+    rows = {r.email_text: r for r in store.read_csv_with_reasons(spark, path).collect()}
+    assert {t: (r.language, r.label, r.note, r.reason) for t, r in rows.items()} == {
+        "habari": ("sw", 1, None, None),
+        "two\nlines": ("en", 0, None, None),
+        "hello": ("en", 0, "x", None),
+        "bad": ("en", None, "y", "label is no number"),
+        "short": (None, 1, None, "the fields do not fit the header"),
+    }
+    assert "spam" in rows["bad"]._corrupt_record and "short" in rows["short"]._corrupt_record
+    with pytest.raises(Exception, match="label is no number|do not fit"):
+        store.read_emails(spark, path).collect()
+    out = str(tmp_path / "stored")
+    assert store.ingest_csv(spark, path, out) == {"good": 3, "quarantine": 2}
+    assert spark.read.parquet(f"{out}/status=good").count() == 3
+
+
+def test_headers_that_cannot_be_read(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("label,label,email_text\n1,2,x\n")
+    with pytest.raises(ValueError, match="twice"):
+        store.read_emails(spark, str(tmp_path / "a.csv"))
+    (tmp_path / "b.csv").write_text('label,"email\ntext"\n1,x\n')
+    with pytest.raises(ValueError, match="one line"):
+        store.read_emails(spark, str(tmp_path / "b.csv"))
+
+
+def test_rows_without_ids_get_new_ones(spark, tmp_path):
+    quiet = {"dry_run": False, "report": lambda line: None, "backup": False}
+    path = store.write_emails(spark.createDataFrame(ROWS, SCHEMA), str(tmp_path / "n"))
+    new = spark.createDataFrame([(f"t{i}", "en", 0) for i in range(50)], "email_text string, language string, label int")
+    store.append_emails(spark, path, new.repartition(4), **quiet)
+    found = [r.email_id for r in store.read_emails(spark, path, "parquet").collect()]
+    assert sorted(found) == list(range(1, 55))
+    named = with_email_id(new)
+    with pytest.raises(ValueError, match="do not fit"):
+        store.append_emails(spark, path, named, **quiet)
+    texts = store.write_emails(named, str(tmp_path / "t"))
+    store.append_emails(spark, texts, new, **quiet)
+    ids = [r.email_id for r in store.read_emails(spark, texts, "parquet").collect()]
+    assert len(set(ids)) == 100 and sorted({i.split("-")[1] for i in ids}) == ["1", "2"]
+
+
+def test_a_corpus_is_whole_before_it_replaces_another(spark, tmp_path):
+    path = store.create_corpus(spark, str(tmp_path / "c"), samples_per_language=10)
+    before = spark.read.parquet(path).count()
+    with pytest.raises(Exception):
+        store.create_corpus(spark, path, samples_per_language="x")
+    assert spark.read.parquet(path).count() == before
+    assert [f.name for f in tmp_path.iterdir()] == ["c"]

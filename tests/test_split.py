@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,15 +42,18 @@ def test_split_sizes_are_scaled(spark):
     assert {r["split"]: r.n_rows for r in sizes} == {"train": 80, "test": 20}
 
 
-def test_split_beyond_the_broadcast_bound(spark, monkeypatch):
+def test_split_beyond_the_broadcast_bound(spark):
     df = spark.range(300).select(
         F.col("id").alias("email_id"), (F.col("id") % 30).cast("int").alias("label")
     )
     small = {r.email_id: r.split for r in split.stratified_split(df).collect()}
-    bound = lambda frame, max_rows=3: frame
-    monkeypatch.setattr(split, "pin_if_small", bound)
-    monkeypatch.setattr(ordering, "pin_if_small", bound)
-    assert {r.email_id: r.split for r in split.stratified_split(df).collect()} == small
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        assert {r.email_id: r.split for r in split.stratified_split(df).collect()} == small
+    finally:
+        spark.conf.set(threshold, before)
 
 
 def test_split_never_shuffles_texts(spark):
@@ -120,3 +124,43 @@ def test_roc_with_one_dominant_language(spark):
         assert tpr == pytest.approx(tp / pos if pos else 0.0)
         assert fpr == pytest.approx(fp / neg if neg else 0.0)
     assert len(got) == len({(g, s) for g, _, s in rows})
+
+
+def test_equal_texts_stay_together(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(400):
+        text = None if i % 90 == 0 else f"text {rng.randrange(150)}"
+        rows.append((text, rng.choice([0, 0, 1, None]) if rng.random() < 0.2 else i % 2))
+    rows += [("everywhere", 1)] * 200  # a third of all rows
+    df = spark.createDataFrame(rows, "email_text string, label int")
+    found = split.grouped_split(df.repartition(5)).collect()
+    assert sorted(map(str, [(r.email_text, r.label) for r in found])) == sorted(map(str, rows))
+    of_text = {}
+    for r in found:
+        of_text.setdefault(r.email_text, set()).add(r.split)
+    assert all(len(s) == 1 for s in of_text.values())
+    again = split.grouped_split(df.repartition(2)).collect()
+    assert {r.email_text: r.split for r in again} == {t: min(s) for t, s in of_text.items()}
+    # Sizes of each class are exact but for the group on the cut.
+    sizes, classes = Counter(t for t, _ in rows), {}
+    for t in sizes:
+        own = Counter(label for text, label in rows if text == t)
+        classes[t] = max(own, key=lambda k: (own[k], k is not None, -(k or 0)))
+    for kind in set(classes.values()):
+        n = sum(s for t, s in sizes.items() if classes[t] == kind)
+        largest = max(s for t, s in sizes.items() if classes[t] == kind)
+        got = sum(s for t, s in sizes.items() if classes[t] == kind and of_text[t] == {"train"})
+        assert math.floor(n * 0.7) <= got < math.floor(n * 0.7) + largest
+    leak = split.split_leakage(split.grouped_split(df)).first()
+    assert (leak.n_texts, leak.n_leaked, leak.n_rows) == (len(sizes), 0, 0)
+    row = split.split_leakage(spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "email_text string, split string")).first()
+    assert tuple(row) == (2, 1, 2)
+
+
+def test_batches_in_the_order_of_text_ids(spark):
+    ids = [f"{i:x}-é{i % 7}" for i in random.Random(3).sample(range(10**9), 700)]
+    df = spark.createDataFrame([(i,) for i in ids], "email_id string")
+    got = split.batch_rows(df.repartition(5), 32, None).collect()
+    place = {v: k for k, v in enumerate(sorted(ids, key=lambda x: x.encode()))}
+    assert all((r.batch_id, r.batch_pos) == divmod(place[r.email_id], 32) for r in got) and len(got) == 700
