@@ -164,6 +164,15 @@ LURE_URLS = [
     "g00gle-security.tk",
 ]
 
+# Names of the arrays of the signal record.
+SIGNAL_ARRAYS = [
+    "urgency_found", "creds_found", "generic_salutation", "attachments_mentioned", "urls",
+    "suspicious_urls", "impersonation_cues",
+]
+# The URL pattern and the suspicious endings in their plain form.
+PLAIN_URL = r"(?i)(https?://\S+|www\\.\S+|\b\S+\.(com|ru|tk|cn|xyz|info|tk|ml)\b)"
+PLAIN_ENDING = r"(?i)\.tk\b|\.ru\b|\.cn\b|\.ml\b"
+
 # Text of the report on a table that is not fit for use.
 UNFIT_TABLE = "Invalid labels or too few rows"
 

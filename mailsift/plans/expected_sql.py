@@ -1,7 +1,7 @@
 """SQL counterparts of the registered queries, for a result check in another engine.
 
 Written from the meaning of each operator: plain windows, plain joins, plain list functions, and
-the URL pattern in its short form. The word lists and templates come from ``constants``.
+the URL pattern in its short form. Word lists, templates and patterns come from ``constants``.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ SPACE = (
     r"\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
-URL = r"(?i)(https?://\S+|www\\.\S+|\b\S+\.(com|ru|tk|cn|xyz|info|tk|ml)\b)"
+URL = C.PLAIN_URL
 
 
 def q(value: str) -> str:
@@ -54,9 +54,7 @@ def words(listed: list[str], low: str = "low") -> str:
     return f"list_filter({arr(listed)}, lambda w: contains({low}, w))"
 
 
-SUSPICIOUS = (
-    r"list_filter(urls, lambda u: regexp_matches(u, '(?i)\.tk\b|\.ru\b|\.cn\b|\.ml\b'))"
-)
+SUSPICIOUS = f"list_filter(urls, lambda u: regexp_matches(u, '{C.PLAIN_ENDING}'))"
 
 
 def signals(source: str) -> str:

@@ -165,15 +165,9 @@ def q_heuristic_score(spark, sf):
     return heuristic(spark, sf).select("email_id", "heuristic_score")
 
 
-SIGNAL_ARRAYS = [
-    "urgency_found", "creds_found", "generic_salutation", "attachments_mentioned", "urls",
-    "suspicious_urls", "impersonation_cues",
-]
-
-
 def q_social_signals(spark, sf):
     return social_signals(headed(spark, sf)).select(
-        "email_id", *[joined(c) for c in SIGNAL_ARRAYS], "heuristic_score"
+        "email_id", *[joined(c) for c in C.SIGNAL_ARRAYS], "heuristic_score"
     )
 
 

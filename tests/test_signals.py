@@ -13,6 +13,7 @@ from mailsift.operators.augment import obfuscate_urls
 # Fixed value: the URL pattern in its plain form.
 PLAIN_URL = r"(https?://\S+|www\\.\S+|\b\S+\.(?:com|ru|tk|cn|xyz|info|ml)\b)"
 
+# Texts with the URLs, suspicious URLs and scores that they must give.
 GOLDENS = [
     ("Urgent: Verify your PayPal account immediately. Click here: bit.ly/verify2024", [], [], 0.65),
     ("Hello, your order from Amazon has shipped and will arrive soon.", [], [], 0.0),
