@@ -1,10 +1,10 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 A text's vector holds a weight for every word: (1 + ln tf) x idf x association, where the association is the
-square root of what the word's chi-squared statistic with the label has above its mean under chance
-(1). So all words of the sample take part by term frequency and idf, those that go with neither label at
-weight 0, and examples of both classes are kept whatever their words. Without the association the
-nearest neighbours follow the prose and hardly any toxic text is found (README).
+square root of what the word's chi-squared statistic with the label has above ``CHANCE``. So all words of
+the sample take part by term frequency and idf, those that go with neither label at weight 0, and
+examples of both classes are kept whatever their words. Without the association the nearest neighbours
+follow the prose and hardly any toxic text is found (README).
 
 Fitting is bounded: at most ``EXAMPLES`` labelled rows of each class, the first by the hash of
 their ids, and of these, classes in turn, as many as hold ``POSTINGS`` different words in all. The bounds make
@@ -40,6 +40,8 @@ from mailsift.session import shared_path
 WORD = re.compile(r"\w+")
 EXAMPLES = 3_000
 POSTINGS = 4_000_000
+LONG_TEXT = 1 << 20  # characters, from which on words are not listed all at once
+CHANCE = 3.84  # chi-squared that one word in twenty has by chance (one degree of freedom)
 NEIGHBOURS = 25
 BLOCK = 32
 FIRST_BLOCKS = 8  # scored before any is left out
@@ -49,7 +51,8 @@ EVIDENCE = 3
 
 def words_of(text: str) -> Counter:
     """How often each word occurs."""
-    return Counter(m.group() for m in WORD.finditer(text.lower()))
+    low = text.lower()
+    return Counter(WORD.findall(low) if len(low) < LONG_TEXT else (m.group() for m in WORD.finditer(low)))
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -131,15 +134,14 @@ class Examples:
         first = np.zeros(self.n_blocks, dtype=bool)
         first[np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]] = True
         scores = scored(first)
-        best = np.sort(scores)[-NEIGHBOURS:]
-        least = best[0] if len(best) == NEIGHBOURS else 0.0
+        least = np.partition(scores, -NEIGHBOURS)[-NEIGHBOURS] if len(scores) >= NEIGHBOURS else 0.0
         rest = ~first & (bounds > 0) & (bounds >= least - 1e-9)
         if rest.any():
             scores += scored(rest)
         scores = np.round(scores, 9)
         found = np.nonzero(scores)[0]
         if len(found) > NEIGHBOURS:
-            found = found[scores[found] >= np.sort(scores[found])[-NEIGHBOURS]]
+            found = found[scores[found] >= np.partition(scores[found], -NEIGHBOURS)[-NEIGHBOURS]]
         found = found[np.lexsort((found, -scores[found]))][:NEIGHBOURS]
         return scores[found], found
 
@@ -164,7 +166,7 @@ def weights_of(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int)
     difference = toxic * (n_clean - clean) - clean * (n_toxic - toxic)
     below = held * (n - held) * float(n_toxic * n_clean)
     chi2 = np.divide(n * difference * difference, below, out=np.zeros(len(held)), where=below > 0)
-    return idf * np.sqrt(np.maximum(0.0, chi2 - 1))
+    return idf * np.sqrt(np.maximum(0.0, chi2 - CHANCE))
 
 
 def fit(
