@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import islice, repeat
@@ -135,17 +135,36 @@ class Item:
     needed: float
 
 
+@dataclass
+class Statistics:
+    """Number of items, of their words, and of the items that hold each word."""
+
+    n: int
+    words: int
+    df: Counter
+
+    @classmethod
+    def of(cls, items: Iterable[list[str]]) -> Statistics:
+        found = cls(0, 0, Counter())
+        for words in items:
+            found.n += 1
+            found.words += len(words)
+            found.df.update(set(words))
+        return found
+
+
 class Index:
     """Items of one part of the benchmark."""
 
-    def __init__(self, rows: list[tuple[int, list[str], int]]):
-        """``rows``: id, words, and how many of the last words are the answer."""
+    def __init__(self, rows: list[tuple[int, list[str], int]], whole: Statistics | None = None):
+        """``rows``: id, words, and how many of the last words are the answer; ``whole``: of all parts."""
+        whole = whole or Statistics.of(words for _, words, _ in rows)
         self.items: list[Item] = []
         self.vocab: dict[str, int] = {}
         classes: dict[int, list[int]] = {}
-        df: Counter[str] = Counter()
+        own: set[str] = set()
         for item_id, words, tail in rows:
-            df.update(set(words))
+            own.update(words)
             cut = len(words) - tail
             needed = OVERLAP if len(words) >= SHORT_ITEM else 1.0
             # The answer's triples reach back over the cut, so that short answers have some.
@@ -155,11 +174,10 @@ class Index:
             while len(words) > CLASS_WORDS << size:
                 size += 1
             classes.setdefault(size, []).append(len(self.items) - 1)
-        for word in df:
+        for word in sorted(own):
             self.vocab[word] = len(self.vocab)
-        n = len(rows)
-        mean = sum(len(r[1]) for r in rows) / max(1, n)
-        idf = {w: np.log(1 + (n - k + 0.5) / (k + 0.5)) for w, k in df.items()}
+        n, mean = whole.n, whole.words / max(1, whole.n)
+        idf = {w: np.log(1 + (n - whole.df[w] + 0.5) / (whole.df[w] + 0.5)) for w in own}
         self.chunks = [
             self._chunk(rows, own[at : at + CHUNK_ITEMS], size, idf, mean)
             for size, own in sorted(classes.items())
@@ -247,25 +265,33 @@ def benchmark_parts(
 ) -> list[Index]:
     """Indexes of the whole benchmark, each of at most about ``PART_WORDS`` words.
 
-    The items are read through an iterator, one partition at a time.
+    The items are read in the order of their ids through an iterator, one partition at a time, twice:
+    first for the statistics of the whole benchmark, which every part scores by, so that where the
+    parts are cut has no effect on a match. The statistics and the parts stay on the driver.
     """
+    columns = [id_col, text_col, *([answer_col] if answer_col else [])]
+    chosen = benchmark.select(columns).orderBy(*columns)
+
+    def items() -> Iterator[tuple[int, list[str], int]]:
+        for row in chosen.toLocalIterator():
+            words = words_of(row[1] or "")
+            extra = words_of(row[2] or "") if answer_col else []
+            tail = len(extra) if answer_col else max(1, len(words) // 4)
+            words += extra
+            if words:
+                yield row[0], words, min(tail, len(words))
+
+    whole = Statistics.of(words for _, words, _ in items())
     parts: list[Index] = []
     rows: list[tuple[int, list[str], int]] = []
     held = 0
-    chosen = benchmark.select(id_col, text_col, *([answer_col] if answer_col else []))
-    for row in chosen.toLocalIterator():
-        words = words_of(row[1] or "")
-        extra = words_of(row[2] or "") if answer_col else []
-        tail = len(extra) if answer_col else max(1, len(words) // 4)
-        words += extra
-        if not words:
-            continue
-        if held and held + len(words) > PART_WORDS:
-            parts.append(Index(rows))
+    for row in items():
+        if held and held + len(row[1]) > PART_WORDS:
+            parts.append(Index(rows, whole))
             rows, held = [], 0
-        rows.append((row[0], words, min(tail, len(words))))
-        held += len(words)
-    return [*parts, Index(rows)] if rows else parts
+        rows.append(row)
+        held += len(row[1])
+    return [*parts, Index(rows, whole)] if rows else parts
 
 
 def _groups(texts: list[str]):
