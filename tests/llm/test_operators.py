@@ -340,6 +340,28 @@ def test_decontamination(spark):
     assert decontaminate.find_contamination(documents(spark, texts), []).count() == 0
 
 
+def test_parts_of_a_benchmark_match_like_the_whole(spark, monkeypatch):
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(300)]
+    items = [" ".join(rng.choices(words, k=rng.randint(3, 60))) for _ in range(40)]
+    texts = []
+    for i in items:
+        own = i.split()
+        for _ in range(rng.randint(0, len(own) // 3)):
+            own[rng.randrange(len(own))] = "other"
+        texts.append(" ".join(rng.choices(words, k=50) + own + rng.choices(words, k=50)))
+    df = documents(spark, texts)
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+
+    def found(parts):
+        return sorted(map(tuple, decontaminate.find_contamination(df, parts).collect()))
+
+    whole = found(decontaminate.benchmark_parts(benchmark))
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 200)
+    parts = decontaminate.benchmark_parts(benchmark.repartition(7))
+    assert len(parts) > 3 and found(parts) == whole and len(whole) > 10
+
+
 def test_decontamination_of_short_items():
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
@@ -397,7 +419,7 @@ def brute_toxicity(train, texts):
         a, b = held[1][w], held[0][w]
         below = (a + b) * (sum(n) - a - b) * n[0] * n[1]
         chi2 = sum(n) * (a * (n[0] - b) - b * (n[1] - a)) ** 2 / below if below else 0
-        weight[w] = math.log(1 + sum(n) / (a + b)) * math.sqrt(max(0, chi2 - 1))
+        weight[w] = math.log(1 + sum(n) / (a + b)) * math.sqrt(max(0, chi2 - toxicity.CHANCE))
 
     def vector(bag):
         v = {w: (1 + math.log(k)) * weight.get(w, 0) for w, k in bag.items()}
