@@ -44,6 +44,19 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session hold ``BATCH_BYTES``, unless it sets a size of its own.
+
+    A batch is held by the executor's JVM and by the worker at once, and texts are long.
+    """
+    if int(spark.conf.get(_BATCH_SETTING).rstrip("b")) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def map_stream(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``mapInArrow`` with this package at hand on the executors."""
     ship_package(df.sparkSession)

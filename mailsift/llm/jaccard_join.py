@@ -33,7 +33,8 @@ rare keys in common, and a parity bitmap of the tokens, whose differing bits are
 are made within what already hangs together, hardly any that do not link, and no link between
 components is missed. Verification computes both sets again from the texts.
 
-Texts are hashed in pieces of bounded bytes, and pairs are verified in slices of bounded bytes.
+Texts are hashed in pieces of bounded bytes, pairs are verified in slices of bounded bytes, and Arrow
+batches are bounded too (:func:`mailsift.llm.common.bound_batches`).
 
 Defined results: a null or empty text, or one without words, has 0 shingles and is its own
 component. Rows with equal ids are one node. A row with a null id is returned with a null
@@ -52,7 +53,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailsift.llm.common import map_stream, texts_of
+from mailsift.llm.common import bound_batches, map_stream, texts_of
 from mailsift.session import materialize, shared_path
 
 SHINGLE = 5
@@ -675,6 +676,7 @@ def _cross_rows(entries: DataFrame, info: DataFrame) -> DataFrame:
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_shingles, component_id``, one row per row of ``df``."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = shared_path(spark, "jaccard")
     docs = df.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     n_buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
