@@ -228,6 +228,23 @@ def test_stream_equals_batch(spark, fitted, tmp_path):
     assert audit.select("batch_id").distinct().count() == 3
 
 
+@pytest.mark.parametrize("parts", [0, 3])
+def test_document_stream_reads_a_file_and_a_folder_of_parts(spark, tmp_path, parts):
+    """``documents.parquet`` is one file (0 parts) or a folder of part files; other tables are not read."""
+    rows = [(i, f"Text number {i}", "en") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    docs.repartition(parts or 1).write.parquet(str(tmp_path / "made"))
+    if parts:
+        (tmp_path / "made").rename(tmp_path / "documents.parquet")
+    else:
+        next((tmp_path / "made").glob("part-*.parquet")).rename(tmp_path / "documents.parquet")
+    docs.limit(5).write.parquet(str(tmp_path / "documents_old.parquet"))
+    scored = queries.q_stream_score(spark, str(tmp_path)).collect()
+    assert sorted(r.email_id for r in scored) == list(range(30))
+    logged = queries.q_stream_audit(spark, str(tmp_path)).collect()
+    assert sorted(r.email_id for r in logged) == list(range(30))
+
+
 def test_monitoring_stream_equals_batch(spark, tmp_path):
     rows = [(f"2025-01-01 0{h}:{m:02d}:00", "error" if m % 3 else "ok", float(m))
             for h in range(4) for m in range(0, 60, 7)]
