@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailsift.session import bound_batches, ship_package  # noqa: F401
+
 #: A word: a maximal run of characters other than these six (space, tab to carriage return).
 SPACE = "\\x20\\x09-\\x0D"
 
@@ -24,39 +23,6 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application; its functions run there."""
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    archive = os.path.join(tempfile.mkdtemp(prefix="mailsift-"), "mailsift_package.zip")
-    with zipfile.ZipFile(archive, "w") as out:
-        for folder, _, names in os.walk(os.path.join(root, "mailsift")):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    out.write(full, os.path.relpath(full, root))
-    context.addPyFile(archive)
-    _SHIPPED.add(context.applicationId)
-
-
-_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
-BATCH_BYTES = 4 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Let Arrow batches of this session hold ``BATCH_BYTES``, unless it sets a size of its own.
-
-    A batch is held by the executor's JVM and by the worker at once, and texts are long.
-    """
-    if int(spark.conf.get(_BATCH_SETTING).rstrip("b")) == _BATCH_DEFAULT:
-        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
-
-
 def map_stream(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``mapInArrow`` with this package at hand on the executors."""
     ship_package(df.sparkSession)

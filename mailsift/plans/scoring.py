@@ -10,26 +10,17 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from mailsift import constants as C
+from mailsift.functions import terms
 from mailsift.functions.decide import is_risky, next_steps, recommendation, with_decision
 from mailsift.functions.signals import signal_counts, social_signals
 from mailsift.functions.text import is_blank
 from mailsift.operators.quality import guard_batches
 from mailsift.operators.split import flatten_batches
-from mailsift.plans.training import (
-    SIGNALS,
-    constant,
-    featurize,
-    probability,
-    signal_term,
-    signal_terms,
-    term_index,
-    weights_of,
-    with_terms,
-)
+from mailsift.plans.training import SIGNALS, counted, weights_of
 from mailsift.sources import files
 from mailsift.sources.reports import audit_rows, write_audit
 
@@ -38,21 +29,14 @@ OK, BLANK = "OK", "EMPTY_TEXT"
 Scorer = PipelineModel | Callable[[DataFrame], DataFrame]
 
 
-def coefficient_of(model: PipelineModel, term: Column) -> Column:
-    """Coefficient of a term hash."""
-    return F.get(constant(weights_of(model)), term_index(term, model.stages[0].getNumFeatures()))
-
-
 def linear_score(df: DataFrame, model: PipelineModel) -> DataFrame:
-    """Add ``raw_score``, the probability of class 1, as a plain column expression."""
-    n = model.stages[0].getNumFeatures()
-    ids = F.transform("term_keys", lambda k: term_index(k, n))
-    return (
-        featurize(df)
-        .withColumn("_term_ids", ids)
-        .withColumn("raw_score", probability(weights_of(model), model.stages[-1].intercept, "_term_ids"))
-        .drop("term_keys", "_term_ids")
-    )
+    """Add ``raw_score``, the probability of class 1, as a plain column expression.
+
+    The weights of all terms are added up without building vectors: the same number that the fitted
+    pipeline gives.
+    """
+    margin = terms.margin("email_text", SIGNALS, weights_of(model), model.stages[-1].intercept)
+    return counted(df).withColumn("raw_score", 1.0 / (1.0 + F.exp(-margin))).drop(*SIGNALS)
 
 
 def score(
@@ -177,66 +161,14 @@ def top_terms(df: DataFrame, model: PipelineModel, k: int = 5) -> DataFrame:
     Columns ``email_id, rank, term, tf, contribution``; equal contributions are ordered by term
     hash. Terms are the runs of 1 to 3 tokens and the signal hits (``<n_urgency>`` and so on), as the
     model counts them. Worked out inside each row from term hashes (sort, run lengths, lookup), so no
-    term is shuffled. Only numbers are sorted for all terms; records are sorted of those that reach the
-    k-th contribution, and text is made of the ``k`` best.
+    term is shuffled; text is made of the ``k`` best only.
     """
-    no_ints = F.array().cast("array<int>")
-    n, n_words = F.col("n"), F.size("words")
-    # No filter stands above these columns: one would be pushed below them and drag a copy of
-    # their whole expressions along. A mail without terms gives an empty array at each step.
-    ordered = (
-        with_terms(signal_counts(df.select("email_id", "email_text")))
-        .drop("email_text")
-        .withColumn("s", F.sort_array(F.concat("terms", *signal_terms())))
-        .withColumn("n", F.size("s"))
-        .withColumn(
-            "starts",
-            F.filter(
-                F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(no_ints),
-                lambda i: (i == 1) | (F.get("s", i - 1) != F.get("s", F.greatest(i - 2, F.lit(0)))),
-            ),
-        )
-        .withColumn(
-            "ends",
-            F.when(
-                n > 0,
-                F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(n + 1)),
-            ).otherwise(no_ints),
-        )
-    )
-
-    def weigh(start: Column, end: Column) -> Column:
-        term = F.get("s", start - 1)
-        return F.struct(
-            (coefficient_of(model, term) * (start - end)).alias("down"),
-            term.alias("h"),
-            (end - start).alias("tf"),
-        )
-
-    numbers = F.sort_array(F.transform("items", lambda item: item["down"]))
-    # Named twice, so that the optimizer does not work it out again for every item.
-    reaching = F.when(F.col("kth").isNotNull(), F.filter("items", lambda item: item["down"] <= F.col("kth")))
-    # First place of a term in `terms` (tokens, then pairs, then triples) -> its tokens.
-    at = (F.array_position("terms", F.col("item.h")) - 1).cast("int")
-    pairs_from, triples_from = n_words, n_words + F.greatest(n_words - 1, F.lit(0))
-    tokens_of = (
-        F.when(at < pairs_from, F.slice("words", at + 1, F.lit(1)))
-        .when(at < triples_from, F.slice("words", at - pairs_from + 1, F.lit(2)))
-        .otherwise(F.slice("words", at - triples_from + 1, F.lit(3)))
-    )
-    signal = F.coalesce(*[F.when(F.col("item.h") == signal_term(name), F.lit(f"<{name}>")) for name in SIGNALS])
+    best = terms.top_terms("email_text", SIGNALS, weights_of(model), k)
     return (
-        ordered.withColumn("items", F.zip_with("starts", "ends", weigh))
-        .withColumn("kth", F.get(numbers, F.least(F.lit(k), F.size("items")) - 1))
-        .withColumn("weighed", F.sort_array(reaching))
-        .select("email_id", "words", "terms", F.slice("weighed", 1, k).alias("best"))
-        .select("email_id", "words", "terms", F.posexplode_outer("best").alias("pos", "item"))
+        counted(df.select("email_id", "email_text"))
+        .select("email_id", best.alias("best"))
+        # Outer: for the inner form Spark infers a filter below, which works the terms out once more.
+        .select("email_id", F.posexplode_outer("best").alias("pos", "item"))
         .where("pos is not null")
-        .select(
-            "email_id",
-            (F.col("pos") + 1).alias("rank"),
-            F.when(at < 0, signal).otherwise(F.array_join(tokens_of, " ")).alias("term"),
-            F.col("item.tf").alias("tf"),
-            (-F.col("item.down")).alias("contribution"),
-        )
+        .select("email_id", (F.col("pos") + 1).alias("rank"), "item.term", "item.tf", "item.contribution")
     )

@@ -94,6 +94,37 @@ def test_no_text_of_the_test_was_learned(spark):
     assert ids.groupBy("email_text").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
 
 
+def test_terms_are_sparks_hashes(spark, fitted):
+    """Terms, indexes and margins of many texts at once equal Spark's own expressions over each text."""
+    long = [" ".join("w" * n + str(i % 7) for n in range(1, 90, 1 + i % 3)) for i in range(9)]
+    odd = ["", " \n\u3000", "a", "a b", "a b c", "\u0130stanbul \u00df\u2003x\x1cy\x85z", "\U0001f600 act now", "x" * 5000, None]
+    df = spark.createDataFrame(list(enumerate(odd + long)), "email_id long, email_text string").coalesce(1)
+    plain = training.with_terms(signal_counts(df)).withColumn(
+        "keys", F.concat("terms", *[F.array_repeat(training.signal_term(s), F.col(s)) for s in training.SIGNALS])
+    )
+    ids = F.transform("keys", lambda key: training.term_index(key, 2000))
+    score = training.probability(training.weights_of(fitted.best), fitted.best.stages[-1].intercept, "ids")
+    expected = plain.withColumn("ids", ids).select("email_id", "keys", score.alias("p"))
+    found = scoring.score(training.featurize(df), fitted.best).select("email_id", "term_keys", "raw_score")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_stored_features_are_those_of_the_hashing_stage(spark, fitted):
+    """The split table's vectors equal what the model's own first stage makes of the mails."""
+    mails = corpus.sample_corpus(spark, 100)
+    made = fitted.best.stages[0].transform(training.featurize(mails)).select("email_id", "features")
+    expected = {r.email_id: r.features for r in made.collect()}
+    found = {r.email_id: r.features for r in fitted.splits.select("email_id", "features").collect()}
+    assert found == expected
+
+
+def test_scoring_evaluates_no_lambda_per_term(spark, fitted):
+    """Lambdas over arrays run one element at a time: at 6 GB that took the longest part of the time."""
+    mails = corpus.sample_corpus(spark, 2)
+    for df in (training.featurize(mails), scoring.score(mails, fitted.best), scoring.top_terms(mails, fitted.best)):
+        assert "lambdafunction" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_top_terms_equal_brute_force(spark, fitted):
     texts = ["Verify your your account NOW", "one", "", "a b a b a", "x y"]
     df = spark.createDataFrame(list(enumerate(texts)), "email_id long, email_text string")
