@@ -54,7 +54,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsift.llm.common import bound_batches, map_stream, texts_of
-from mailsift.session import materialize, shared_path
+from mailsift.session import materialize, shared_path, shuffles_dropped
 
 SHINGLE = 5
 PERCENT = 75
@@ -489,7 +489,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], pa.binary())], ["bits"])
 
     flags = np.zeros(bits // 8, dtype=np.uint8)
-    marks = map_stream(named.coalesce(FILTER_TASKS), mark, "bits binary")
+    marks = materialize(map_stream(named.coalesce(FILTER_TASKS), mark, "bits binary"))
     for row in marks.toLocalIterator():
         flags |= np.frombuffer(row.bits, dtype=np.uint8)
     packed = docs.sparkSession.sparkContext.broadcast(flags)
@@ -673,10 +673,9 @@ def _cross_rows(entries: DataFrame, info: DataFrame) -> DataFrame:
     return a.join(b, met).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_shingles, component_id``, one row per row of ``df``."""
+def _find(df: DataFrame, id_col: str, text_col: str) -> tuple[str, DataFrame | None]:
+    """Where the counted tokens are stored, and the components of all linked documents."""
     spark = df.sparkSession
-    bound_batches(spark)
     path = shared_path(spark, "jaccard")
     docs = df.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     n_buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -717,6 +716,16 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if not found.isEmpty():
             links = links.unionAll(found)
             labels = components(links)
+    return f"{path}/counted", labels
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, n_shingles, component_id``, one row per row of ``df``."""
+    spark = df.sparkSession
+    bound_batches(spark)
+    with shuffles_dropped(spark):
+        counted, labels = _find(df, id_col, text_col)
+    described = spark.read.schema(_ROW).parquet(counted).where(F.col("kind") == _DOC)
     result = described.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"))
     if labels is None:
         return result.withColumn("component_id", F.col(id_col))

@@ -618,3 +618,21 @@ def test_long_texts_are_hashed_in_pieces(spark):
     other = long + " more"
     found = jaccard_join.jaccard_components(documents(spark, [long, other, "short one here", long])).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components([long, other, "short one here", long])
+
+
+def test_the_join_leaves_no_shuffle_files(spark):
+    """Its rounds make some hundred shuffles; on many partitions their files filled the disk until a garbage collection."""
+    import time
+
+    texts = [" ".join(f"w{(i // 3) * 50 + k + (i % 3 == k)}" for k in range(40)) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, kept = files.getAllFiles().size(), spark.conf.get(setting)
+    found = jaccard_join.jaccard_components(df)
+    until = time.time() + 20
+    while files.getAllFiles().size() > before + 20 and time.time() < until:  # they go in the background
+        time.sleep(0.5)
+    assert files.getAllFiles().size() <= before + 20
+    assert spark.conf.get(setting) == kept
+    assert found.count() == 60
