@@ -73,7 +73,7 @@ class TwoGenerations(dict):
 
     def missing(self, wanted: set) -> set:
         """The keys that neither generation has; all others are then in the young one."""
-        need = wanted - self.keys()
+        need = {w for w in wanted if w not in self}  # a difference would go through all keys held
         if len(self) + len(need) > self.limit:
             self.old = dict(self)
             self.clear()

@@ -28,29 +28,70 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from mailsift.llm.common import TwoGenerations, map_batches, map_stream, texts_of
+from mailsift.llm.common import map_batches, map_stream, texts_of
 
 MAGIC = b"RVB1"
 END_ID = 2
 BLOCK_IDS = 1 << 18  # a block is closed when it holds so many ids
-CACHE_LIMIT = 400_000  # words in each generation of a worker's cache
+STEP_IDS = 1 << 20  # ids that a pass takes up at once
+TABLE_LIMIT = 800_000  # words that a worker keeps; beyond that the half used last stays
 NULL_DOC = -(1 << 63)
 
-#: Texts of these characters are split here; all others go to the library whole. Lower-casing and
-#: composition of these act on each character by itself.
+#: Texts of characters below this one are split here; all others go to the library whole. Composition
+#: leaves these alone, and lower-casing acts on each by itself; the few that it makes two characters of,
+#: or takes out of the range, go to the library.
 LATIN_END = 0x250
-_LETTERS = "".join(f"\\u{c:04x}" for c in range(LATIN_END) if unicodedata.category(chr(c))[0] == "L")
-_DIGITS = "".join(f"\\u{c:04x}" for c in range(LATIN_END) if unicodedata.category(chr(c))[0] == "N")
-WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_DIGITS}]|[^\t-\r\x20\x85\xa0{_LETTERS}{_DIGITS}]+")
-BEYOND_LATIN = re.compile(f"[^\\x00-į\u0131-{chr(LATIN_END - 1)}]")  # and the dotted capital I
+SPACE, LETTER, DIGIT, OTHER, STOP = range(5)
+
+
+def _kind(c: int) -> int:
+    if c in (*range(0x09, 0x0E), 0x20, 0x85, 0xA0):
+        return SPACE
+    return {"L": LETTER, "N": DIGIT}.get(unicodedata.category(chr(c))[0], OTHER)
+
+
+KINDS = np.array([_kind(c) for c in range(LATIN_END)], dtype=np.uint8)
+STOP_BYTE = 0xFF  # after each text; no byte of UTF-8
+BYTE_KINDS = np.full(256, STOP, dtype=np.uint8)
+BYTE_KINDS[:0x80] = KINDS[:0x80]
+_PLAIN = "".join(f"\\u{c:04x}" for c in range(LATIN_END) if all(map("\u0250".__gt__, chr(c).lower() + chr(c))))
+BEYOND_LATIN = re.compile(f"[^{_PLAIN}]")
+CHUNK_BYTES = 8 << 20  # of text split at once
 
 
 def is_plain(text: str) -> bool:
-    return "<|" not in text and not BEYOND_LATIN.search(text)
+    return "<|" not in text and (text.isascii() or not BEYOND_LATIN.search(text))
+
+
+def split_words(raw: np.ndarray) -> pa.Array:
+    """The words of plain lower-case texts in UTF-8, each text followed by ``STOP_BYTE``, which is a word too.
+
+    As the vocabulary's own pattern: 's, 't, 're, 've, 'm, 'll, 'd; runs of letters; single digits; runs
+    of anything else but white space.
+    """
+    kinds = BYTE_KINDS[raw]
+    leads = np.flatnonzero((raw >= 0xC0) & (raw != STOP_BYTE))  # of two bytes each
+    kinds[leads] = kinds[leads + 1] = KINDS[(raw[leads] & 0x1F).astype(np.intp) << 6 | raw[leads + 1] & 0x3F]
+    first = (kinds == DIGIT) | (kinds == STOP)
+    first[0] = True
+    first[1:] |= kinds[1:] != kinds[:-1]
+    first[leads + 1] = False
+    marks = np.flatnonzero((raw[:-2] == ord("'")) & first[:-2])
+    one, two = raw[marks + 1], raw[marks + 2]
+    short = np.isin(one, list(b"stmd"))
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    for sort, size in ((short, 2), (long, 3)):
+        first[marks[sort] + 1] = False
+        first[marks[sort] + size] = True
+    keep = kinds != SPACE
+    data = raw[keep]
+    ends = np.append(np.flatnonzero(first[keep]), len(data)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
 
 
 class WordEncoder:
@@ -61,48 +102,87 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        # For words that are split and normal already: the same model on words set apart by spaces.
+        self.by_word = Tokenizer.from_str(self.library.to_str())
+        self.by_word.normalizer = normalizers.Sequence([])
+        self.by_word.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.end = np.array([END_ID], dtype=self.kind).tobytes()
-        self.cache = TwoGenerations(CACHE_LIMIT)  # word -> packed ids
         vocab = self.library.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        # Words of earlier chunks, their packed ids, and the chunk that last had them.
+        self.words = pa.array([bytes([STOP_BYTE])], pa.binary())
+        self.codes = pa.array([self.end], pa.large_binary())
+        self.used = np.zeros(1, dtype=np.int64)
+        self.chunks = 0
 
     def packed(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=self.kind).tobytes()
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: pa.Array) -> list[pa.Array]:
         """Encode words many to a text; the last id of each word carries the mark of a word end."""
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids)
-            ends = np.nonzero(self.ends_word[ids])[0] + 1
+        found = []
+        for at in range(0, len(words), 500):
+            part = words[at : at + 500]
+            text = pc.binary_join(pa.ListArray.from_arrays([0, len(part)], part), b" ")[0].as_py().decode()
+            ids = np.array(self.by_word.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(part):
-                raw, width = ids.astype(self.kind).tobytes(), self.kind.itemsize
-                stops = (ends * width).tolist()
-                self.cache.update((w, raw[a:b]) for w, a, b in zip(part, [0, *stops], stops))
+                offsets = np.append(0, ends * self.kind.itemsize)
+                buffers = [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(self.kind))]
+                found.append(pa.Array.from_buffers(pa.large_binary(), len(part), buffers))
             else:
-                found = self.library.encode_batch(part, add_special_tokens=False)
-                self.cache.update((w, self.packed(e.ids)) for w, e in zip(part, found))
+                alone = self.library.encode_batch([w.decode() for w in part.to_pylist()], add_special_tokens=False)
+                found.append(pa.array([self.packed(e.ids) for e in alone], pa.large_binary()))
+        return found
+
+    def codes_of(self, words: pa.Array) -> pa.Array:
+        """Packed ids of distinct words, ``STOP_BYTE`` being one of them."""
+        if len(self.words) > TABLE_LIMIT:
+            kept = np.argsort(-self.used, kind="stable")[: TABLE_LIMIT // 2]
+            self.words, self.codes, self.used = self.words.take(kept), self.codes.take(kept), self.used[kept]
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(at.is_null())
+        at = at.fill_null(-1).to_numpy().astype(np.int64)
+        at[at < 0] = len(self.words) + np.arange(len(new))
+        self.codes = pa.concat_arrays([self.codes, *self.learn(new)])
+        self.words = pa.concat_arrays([self.words, new])
+        self.chunks += 1
+        self.used = np.append(self.used, np.zeros(len(new), dtype=np.int64))
+        self.used[at] = self.chunks
+        return self.codes.take(at)
+
+    def encode_plain(self, texts: list[bytes]) -> list[bytes]:
+        """Packed ids of plain lower-case texts: each distinct word is looked up once."""
+        raw = np.frombuffer(b"".join(t + b"\xff" for t in texts), np.uint8)
+        words = split_words(raw).dictionary_encode()
+        stop = words.dictionary.index(b"\xff").as_py()
+        offsets, ids = byte_runs(self.codes_of(words.dictionary).take(words.indices))
+        ends = offsets[np.flatnonzero(words.indices.to_numpy() == stop) + 1].tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends], ends)]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text, the end id included."""
         out: list[bytes | None] = [None] * len(texts)
-        for at in range(0, len(texts), 256):
-            split: list[tuple[int, list[str]]] = []
-            wanted: set[str] = set()
-            for i in range(at, min(at + 256, len(texts))):
-                if not is_plain(texts[i]):
-                    ids = self.library.encode(texts[i], add_special_tokens=False).ids
-                    out[i] = self.packed(ids) + self.end
-                else:
-                    words = WORDS.findall(texts[i].lower())
-                    wanted.update(words)
-                    split.append((i, words))
-            self.learn(list(self.cache.missing(wanted)))
-            for i, words in split:
-                out[i] = b"".join(map(self.cache.__getitem__, words)) + self.end
+        rows: list[int] = []
+        held: list[bytes] = []
+        size = 0
+        for i, text in enumerate(texts):
+            if not is_plain(text):
+                ids = self.library.encode(text, add_special_tokens=False).ids
+                out[i] = self.packed(ids) + self.end
+            else:
+                rows.append(i)
+                held.append(text.lower().encode())
+                size += len(held[-1])
+            if held and (size >= CHUNK_BYTES or i == len(texts) - 1):
+                for row, packed in zip(rows, self.encode_plain(held)):
+                    out[row] = packed
+                rows, held, size = [], [], 0
         return out
 
 
@@ -112,16 +192,57 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def code_values(values: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of unsigned 32-bit values."""
-    values = values.astype("<u4")
+def byte_runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of a column of byte strings, the first being 0, and all their bytes in a row."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    if data is None or not len(column):
+        return np.zeros(len(column) + 1, dtype=np.int64), np.empty(0, dtype=np.uint8)
+    offsets = np.frombuffer(offsets, np.int64, len(column) + 1, 8 * column.offset)
+    return offsets - offsets[0], np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+
+
+def code_documents(values: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Control bytes and data bytes of each document; ``counts`` of the unsigned 32-bit values are its own."""
+    values, counts = values.astype("<u4"), np.asarray(counts, dtype=np.int64)
     extra = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    padded = np.zeros(-(-len(values) // 4) * 4, dtype=np.uint8)
-    padded[: len(values)] = extra
+    ends, quad_ends = np.cumsum(counts), np.cumsum(-(-counts // 4))
+    padded = np.zeros(4 * int(quad_ends[-1]) if len(counts) else 0, dtype=np.uint8)
+    quad_starts = quad_ends - -(-counts // 4)
+    padded[np.arange(len(values)) + np.repeat(4 * quad_starts - (ends - counts), counts)] = extra
     quads = padded.reshape(-1, 4)
-    control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
+    control = (quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6).tobytes()
     cells = values.view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), cells[np.arange(4) <= extra[:, None]].tobytes()
+    data = cells[np.arange(4) <= extra[:, None]].tobytes()
+    sizes = np.concatenate([[0], np.cumsum(extra, dtype=np.int64)])
+    data_ends = (ends + sizes[ends]).tolist()
+    quad_ends = quad_ends.tolist()
+    return (
+        [control[a:b] for a, b in zip([0, *quad_ends], quad_ends)],
+        [data[a:b] for a, b in zip([0, *data_ends], data_ends)],
+    )
+
+
+def code_column(column: pa.Array, ranks: np.ndarray, kind: np.dtype) -> tuple[list[bytes], list[bytes]]:
+    """Control bytes and data bytes of the ranks of each row's packed ids."""
+    offsets, ids = byte_runs(column)
+    offsets, ids = offsets // kind.itemsize, ids.view(kind)
+    controls, datas = [], []
+    at = 0
+    while at < len(column):
+        # As many documents as hold STEP_IDS ids, one at least.
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP_IDS, side="right")) - 1)
+        found = code_documents(ranks[ids[offsets[at] : offsets[to]]], np.diff(offsets[at : to + 1]))
+        controls += found[0]
+        datas += found[1]
+        at = to
+    return controls, datas
+
+
+def code_values(values: np.ndarray) -> tuple[bytes, bytes]:
+    """Control bytes and data bytes of unsigned 32-bit values."""
+    controls, datas = code_documents(values, [len(values)])
+    return controls[0], datas[0]
 
 
 #: Lengths of the four values of each control byte.
@@ -189,8 +310,9 @@ def ranks_by_frequency(stored: DataFrame, size: int, kind: np.dtype) -> np.ndarr
     def count(batches):
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), kind), minlength=size)
+            ids = byte_runs(batch.column(0))[1].view(kind)
+            for at in range(0, len(ids), STEP_IDS):
+                total += np.bincount(ids[at : at + STEP_IDS], minlength=size)
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
@@ -233,15 +355,15 @@ def write_token_files(
         own, edges = packed.value
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            coded = [code_values(own[np.frombuffer(i.as_buffer(), kind)]) for i in batch.column(2)]
+            controls, datas = code_column(batch.column(2), own, kind)
             docs = batch.column(0).fill_null(NULL_DOC).to_numpy(zero_copy_only=False)
             shards = np.searchsorted(edges, docs, side="right").astype(np.int32)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(shards),
                     *batch.columns[:2],
-                    pa.array([c for c, _ in coded], pa.binary()),
-                    pa.array([d for _, d in coded], pa.binary()),
+                    pa.array(controls, pa.binary()),
+                    pa.array(datas, pa.binary()),
                 ],
                 ["shard", "doc_id", "n", "control", "data"],
             )

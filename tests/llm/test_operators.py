@@ -12,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import zstandard
@@ -22,6 +23,7 @@ from mailsift.llm import (
     bpe, chat, decontaminate, jaccard_join, language_id, piece_counts, quality_rules, secret_scan,
     token_files, toxicity,
 )
+from mailsift.llm.common import TwoGenerations
 
 LETTERS = "aÀéß 0½²'sS\n\t\r\x0b\x1c\x85\xa0 　.,<|>µªﬁΣİ中文😀é_-%▁"
 EDGES = [None, "", " ", "a", "<|endoftext|>", "x" * 5000, "ab " * 3000, "same text", "same text"]
@@ -98,6 +100,74 @@ def test_value_coding():
         assert back.tolist() == values[:n].tolist()
 
 
+def library_ids(encoder, texts):
+    return [encoder.packed(encoder.library.encode(t, add_special_tokens=False).ids) + encoder.end for t in texts]
+
+
+def test_word_encoder_equals_library_on_odd_texts():
+    encoder = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = [
+        "'s", "'re", "'ll", "'", "''", "s", "e", "LL", " ", "\n", "\x00", "\x1f", "\x85", "\xa0", "²", "½", "9", "É", "ß",
+        "Ⱥ", "Ⱦ", "İ", "ı", "ª", "µ", "×", "ǅ", "!", "...", "<|", "<|endoftext|>", "Å", "ẞ", "漢", "\u0301", "the",
+    ]
+    draw = random.Random(5)
+    mixed = ["".join(draw.choices(pieces[: draw.choice([24, 36])], k=draw.randrange(12))) for _ in range(3000)]
+    # Lower-casing takes these two out of the range of characters that are split here.
+    texts = ["", "'", "x'", "'r", "aȺb", "aȾb c", *mixed, "漢"]
+    assert encoder.encode_all(texts) == library_ids(encoder, texts)
+    assert encoder.encode_all([]) == []
+    for text in ("'", "'l", "", "漢"):
+        assert encoder.encode_all([text]) == library_ids(encoder, [text])
+
+
+def test_word_encoder_learns_each_word_once(monkeypatch):
+    encoder = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    learned = []
+    learn = encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda words: learned.extend(words.to_pylist()) or learn(words))
+    monkeypatch.setattr(token_files, "CHUNK_BYTES", 64)
+    texts = [f"word{chr(97 + i % 7)} other{chr(97 + i % 5)}, it's {i % 10}" for i in range(400)]
+    assert encoder.encode_all(texts) == library_ids(encoder, texts)
+    assert len(learned) == len(set(learned)) == 7 + 5 + 10 + 3
+    # With a smaller table, words are forgotten and learned again.
+    monkeypatch.setattr(token_files, "TABLE_LIMIT", 8)
+    assert encoder.encode_all(texts) == library_ids(encoder, texts)
+    assert len(encoder.words) <= 8 + 7 + 5 + 10 + 3
+
+
+def test_codes_of_many_documents_equal_those_of_each():
+    draw = random.Random(6)
+    for _ in range(100):
+        counts = [draw.choice([0, 1, 2, 3, 4, 5, 9]) for _ in range(draw.randrange(8))]
+        values = np.array(draw.choices([0, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1], k=sum(counts)), np.uint32)
+        each = [token_files.code_values(v) for v in np.split(values, np.cumsum(counts)[:-1])] if counts else []
+        controls, datas = token_files.code_documents(values, counts)
+        assert list(zip(controls, datas)) == each
+
+
+def test_ids_are_coded_in_steps(monkeypatch):
+    kind, draw = np.dtype("<u2"), random.Random(7)
+    ranks = np.random.default_rng(7).permutation(1 << 16).astype(np.uint32)
+    ids = [np.array([draw.randrange(1 << 16) for _ in range(n)], kind) for n in (3, 1, 9, 1, 1, 2, 5, 6, 1)]
+    column = pa.array([b"left out", *(i.tobytes() for i in ids)], pa.binary())[1:]
+    monkeypatch.setattr(token_files, "STEP_IDS", 5)
+    controls, datas = token_files.code_column(column, ranks, kind)
+    assert list(zip(controls, datas)) == [token_files.code_values(ranks[i]) for i in ids]
+    assert token_files.code_column(column[:0], ranks, kind) == ([], [])
+
+
+def test_two_generations_look_up_the_wanted_keys_only():
+    class Watched(TwoGenerations):
+        def keys(self):
+            raise AssertionError("goes through all keys held")
+
+        __iter__ = keys
+
+    cache = Watched(3)
+    cache.update(a=1, b=2)
+    assert cache.missing({"b", "c"}) == {"c"}
+
+
 def test_secret_layers():
     secret = "token=abcdef123456"
     b64 = base64.b64encode(secret.encode()).decode()
