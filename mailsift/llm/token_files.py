@@ -1,7 +1,8 @@
 """Token-id files: frequency-ranked ids in byte-aligned variable-length coding.
 
-Three passes over the corpus, the texts being read in the first only. (1) Each text is encoded by
-the tokenizers library, word by word through a bounded cache, and its ids are stored. (2) The ids
+Three passes over the corpus, the texts being read in the first only. (1) The texts are split into
+words many at once, the tokenizers library encodes each distinct word that a bounded table does not
+hold yet, other texts go to it whole, and the ids are stored. (2) The ids
 are counted in the tasks and added up: one row per id of the vocabulary, so the ranks are a
 broadcast of proven size. (3) Each document's ranks are coded, the documents are dealt out by
 ranges of the document id and sorted, and each range is written as blocks.
@@ -38,8 +39,8 @@ from mailsift.llm.common import map_batches, map_stream, texts_of
 MAGIC = b"RVB1"
 END_ID = 2
 BLOCK_IDS = 1 << 18  # a block is closed when it holds so many ids
-STEP_IDS = 1 << 20  # ids that a pass takes up at once
-TABLE_LIMIT = 800_000  # words that a worker keeps; beyond that the half used last stays
+STEP_IDS = 1 << 18  # ids that a pass takes up at once
+TABLE_LIMIT = 400_000  # words that a worker keeps; beyond that the half used last stays
 NULL_DOC = -(1 << 63)
 
 #: Texts of characters below this one are split here; all others go to the library whole. Composition
@@ -212,8 +213,11 @@ def code_documents(values: np.ndarray, counts: np.ndarray) -> tuple[list[bytes],
     padded[np.arange(len(values)) + np.repeat(4 * quad_starts - (ends - counts), counts)] = extra
     quads = padded.reshape(-1, 4)
     control = (quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6).tobytes()
-    cells = values.view(np.uint8).reshape(-1, 4)
-    data = cells[np.arange(4) <= extra[:, None]].tobytes()
+    width = 2 if values.max(initial=0) <= 0xFFFF else 4
+    used = np.empty((len(values), width), dtype=bool)
+    for k in range(width):
+        used[:, k] = extra >= k
+    data = values.astype(f"<u{width}").view(np.uint8)[used.ravel()].tobytes()
     sizes = np.concatenate([[0], np.cumsum(extra, dtype=np.int64)])
     data_ends = (ends + sizes[ends]).tolist()
     quad_ends = quad_ends.tolist()
