@@ -2,10 +2,10 @@
 
 Three passes over the corpus, the texts being read in the first only. (1) The texts are split into
 words many at once, the tokenizers library encodes each distinct word that a bounded table does not
-hold yet, other texts go to it whole, and the ids are stored. (2) The ids
-are counted in the tasks and added up: one row per id of the vocabulary, so the ranks are a
-broadcast of proven size. (3) Each document's ranks are coded, the documents are dealt out by
-ranges of the document id and sorted, and each range is written as blocks.
+hold yet, other texts go to it whole, and the ids are stored. (2) The ids are counted in the tasks
+and added up: one row per id of the vocabulary, so the ranks are a broadcast of proven size. (3) Each
+document's ranks are coded, the documents are dealt out by ranges of the document id and sorted, and
+each range is written as blocks.
 
 A block holds, in this order: magic, number of documents, number of ids, document ids, ids per
 document, control bytes (two bits per id: bytes of its rank less one; each document starts on a
